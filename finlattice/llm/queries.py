@@ -26,6 +26,13 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     _ready(spark)
     return secret_ledger.digest(secret_ledger.scan(table(spark, sf_dir, "documents"))[0])
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    _ready(spark)
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup
@@ -41,4 +48,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_secret_ledger, op6_line_dedup, op7_decontamination)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    _ready(spark)
+    return langid.digest(langid.identify(table(spark, sf_dir, "documents")))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_extract
+
+    _ready(spark)
+    return html_extract.digest(html_extract.extract(table(spark, sf_dir, "pages")))
+
+
+QUERIES = {f.__name__: f for f in (op2_pii, op3_secret_ledger, op4_packing, op6_line_dedup, op7_decontamination, op9_language_id, op10_html_extraction)}

@@ -144,6 +144,21 @@ def price(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.n
     return float(best[room]), pattern
 
 
+def _invert(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots; small matrices, and no threads of a linear algebra library that vie with the executors."""
+    n = len(matrix)
+    both = np.hstack([matrix.astype(float), np.eye(n)])
+    for k in range(n):
+        p = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, p]] = both[[p, k]]
+        both[k] /= both[k, k]
+        column = both[:, k].copy()
+        column[k] = 0
+        rows = np.flatnonzero(column)
+        both[rows] -= np.outer(column[rows], both[k])
+    return both[:, n:]
+
+
 def solve(sizes: np.ndarray, demand: np.ndarray, room: int, most: int = 5000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and how often each is used, covering the demand of every class exactly or with slots to spare."""
     n = len(sizes)
@@ -151,12 +166,15 @@ def solve(sizes: np.ndarray, demand: np.ndarray, room: int, most: int = 5000) ->
         return np.zeros((0, 0), np.int64), np.zeros(0, np.int64)
     basis = np.diag(room // sizes).astype(np.int64)  # column k: pattern k
     inverse = np.diag(1.0 / np.diag(basis))
-    x = inverse @ demand
+    x = np.einsum("ij,j->i", inverse, demand)
     for step in range(most):
+        if step % 50 == 49:
+            inverse = _invert(basis)
+            x = np.maximum(np.einsum("ij,j->i", inverse, demand), 0)
         value, pattern = price(inverse.sum(axis=0), sizes, room)
         if value <= 1 + 1e-7:
             break
-        way = inverse @ pattern
+        way = np.einsum("ij,j->i", inverse, pattern)
         up = way > 1e-9
         if not up.any():
             break
@@ -169,8 +187,6 @@ def solve(sizes: np.ndarray, demand: np.ndarray, room: int, most: int = 5000) ->
         row = inverse[out] / way[out]
         inverse -= np.outer(way, row)
         inverse[out] = row
-        if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
     whole = np.floor(x + 1e-6).astype(np.int64)
     left = np.maximum(demand - basis @ whole, 0)
     patterns, used = [basis[:, k] for k in range(n) if whole[k]], [int(whole[k]) for k in range(n) if whole[k]]

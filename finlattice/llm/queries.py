@@ -47,6 +47,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     _ready(spark)
     return decontam.digest(decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    _ready(spark)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
@@ -62,4 +69,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.digest(html_extract.extract(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_secret_ledger, op4_packing, op6_line_dedup, op7_decontamination, op9_language_id, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_secret_ledger, op4_packing, op6_line_dedup, op7_decontamination, op8_minhash, op9_language_id, op10_html_extraction)}

@@ -89,15 +89,15 @@ def bounded_groups(df: DataFrame, key: str, most: int, seed_col: str) -> DataFra
     """Split the groups of `key` so that every pair of rows of a group meets in some part of at most about 2 * most rows.
 
     A group of n rows gets b = ceil(n / most) blocks; part (i, j) holds blocks i and j, so a row is copied b times.
-    Groups of up to 2 * most rows stay whole. Adds the columns part_i and part_j; rows alone in their group go.
+    Groups of up to 2 * most rows stay whole. Adds the columns part_i, part_j and block (the row's own); rows alone in their group go.
     """
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     blocks = F.when(F.col("_n") <= 2 * most, F.lit(1)).otherwise(F.ceil(F.col("_n") / most)).cast("int")
     out = df.join(sizes, key).withColumn("_b", blocks)
     mine = F.pmod(F.xxhash64(F.col(seed_col), F.lit("block")), F.col("_b")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("_b") - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
-    whole = out.where("_b = 1").withColumns({"part_i": F.lit(0), "part_j": F.lit(0)})
-    cut = out.where("_b > 1").withColumn("_p", F.explode(pair)).withColumns({"part_i": F.col("_p.i"), "part_j": F.col("_p.j")}).drop("_p")
+    whole = out.where("_b = 1").withColumns({"part_i": F.lit(0), "part_j": F.lit(0), "block": F.lit(0)})
+    cut = out.where("_b > 1").withColumn("_p", F.explode(pair)).withColumns({"part_i": F.col("_p.i"), "part_j": F.col("_p.j"), "block": mine}).drop("_p")
     return whole.unionByName(cut).drop("_n", "_b")
 
 

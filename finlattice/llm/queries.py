@@ -33,6 +33,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embed_dedup
+
+    _ready(spark)
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup
@@ -69,4 +76,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.digest(html_extract.extract(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_secret_ledger, op4_packing, op6_line_dedup, op7_decontamination, op8_minhash, op9_language_id, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op2_pii, op3_secret_ledger, op4_packing, op5_embedding_dedup, op6_line_dedup, op7_decontamination, op8_minhash, op9_language_id, op10_html_extraction)}

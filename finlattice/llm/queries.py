@@ -12,6 +12,13 @@ def _ready(spark: SparkSession) -> None:
     ship_package(spark)
     common.prepare(spark)
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    _ready(spark)
+    return suffix_dedup.digest(suffix_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False))
+
+
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
@@ -76,4 +83,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.digest(html_extract.extract(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii, op3_secret_ledger, op4_packing, op5_embedding_dedup, op6_line_dedup, op7_decontamination, op8_minhash, op9_language_id, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_secret_ledger, op4_packing, op5_embedding_dedup, op6_line_dedup, op7_decontamination, op8_minhash, op9_language_id, op10_html_extraction)}

@@ -46,9 +46,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SCRATCH.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SCRATCH: list[str] = []
+
+
+def scratch() -> list[str]:
+    """The tables written so far by `written` and not yet swept."""
+    return list(_SCRATCH)
+
+
+def sweep(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that no result still to be read depends on."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _SCRATCH:
+            _SCRATCH.remove(path)
+
+
+#: Ids up to this count are broadcast; beyond it they shuffle with the documents.
+BROADCAST_IDS = 200_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is among ids (one column, doc_id); rows that share an id share its fate."""
+    gone = written(ids.select(F.col("doc_id").cast("long").alias("_gone")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -152,33 +152,47 @@ def sample(docs: DataFrame, rows: int = SAMPLE, snippet: int = SNIPPET) -> list[
     return [(r[0], r[1]) for r in part.orderBy("seed", "lang", "snippet").limit(rows).collect()]
 
 
+def _judge(m: Model, text: pa.Array) -> tuple[list[str], list[float], list[bool]]:
+    """Label, score and acceptance of each text."""
+    data, offsets = common.utf8(text)
+    raw = data.tobytes()
+    names, scores = [], []
+    for lo, hi in common.pieces(offsets, _PIECE):
+        if not m.labels:
+            names += ["und"] * (hi - lo)
+            scores += [0.0] * (hi - lo)
+            continue
+        best, p = m.scores(m.logits(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
+        for k in range(hi - lo):
+            mine = raw[offsets[lo + k] : offsets[lo + k + 1]]
+            letters = any(c.isalpha() for c in mine[:64].decode("utf-8", "ignore")) or any(c.isalpha() for c in mine.decode("utf-8", "replace"))
+            names.append(m.labels[best[k]] if letters else "und")
+            scores.append(float(p[k]) if letters else 0.0)
+    return names, scores, [n != "und" and s >= m.threshold for n, s in zip(names, scores)]
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, accepted: one row for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def one(batch: pa.RecordBatch):
-        m = shared.value
-        text = batch.column("text")
-        data, offsets = common.utf8(text)
-        raw = data.tobytes()
-        names, scores = [], []
-        for lo, hi in common.pieces(offsets, _PIECE):
-            if not m.labels:
-                names += ["und"] * (hi - lo)
-                scores += [0.0] * (hi - lo)
-                continue
-            best, p = m.scores(m.logits(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
-            for k in range(hi - lo):
-                mine = raw[offsets[lo + k] : offsets[lo + k + 1]]
-                letters = mine[:256].isalpha() or any(c.isalpha() for c in mine[:64].decode("utf-8", "ignore")) or any(c.isalpha() for c in mine.decode("utf-8", "replace"))
-                names.append(m.labels[best[k]] if letters else "und")
-                scores.append(float(p[k]) if letters else 0.0)
-        accepted = [n != "und" and s >= m.threshold for n, s in zip(names, scores)]
+        names, scores, accepted = _judge(shared.value, batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(accepted, pa.bool_())], ["doc_id", "lang_pred", "score", "accepted"])
 
     return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), one, "doc_id long, lang_pred string, score double, accepted boolean")
 
 
+def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The documents that the model doesn't reject, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or train(sample(docs)))
+    at = docs.columns.index("text")
+
+    def one(batch: pa.RecordBatch):
+        yield batch.filter(pa.array(_judge(shared.value, batch.column(at))[2], pa.bool_()))
+
+    return common.map_arrow(docs, one, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, train(sample(docs)))
 

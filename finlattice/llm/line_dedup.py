@@ -6,7 +6,7 @@ merged against the runs: lines whose key is frequent and whose document isn't th
 
 Defined cases: null or empty text is one empty line; each row counts as one document, so repeated rows count again, and
 all rows with the largest doc_id keep their lines; a null doc_id never is the largest; an empty table gives no rows;
-other columns pass through `apply` and are ignored by `digest`.
+other columns pass through `apply`.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from . import common
 MIN_CHARS, MIN_DOCS, FANOUT = 40, 5, 4
 #: Frequent keys up to this count are broadcast (24 bytes each); beyond it the join shuffles.
 BROADCAST_KEYS = 200_000
-_SPACE = r" \t\n\u000B\f\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_KEYED = f"""transform(split(coalesce(text, ''), '\\n', -1), l -> trim(BOTH ' \\t\\n\\u000B\\f\\r' FROM l))"""
+_STRIP = "trim(BOTH ' \\t\\n\\u000B\\f\\r' FROM l)"
+_KEYED = f"transform(split(coalesce(text, ''), '\\n', -1), l -> {_STRIP})"
 # lower() also changes other alphabets, so it serves only lines that are ASCII throughout.
 _KEY = f"CASE WHEN octet_length(k) = char_length(k) THEN lower(k) ELSE translate(k, '{_UPPER}', '{_LOWER}') END"
 _HASH = f"transform(filter({_KEYED}, k -> char_length(k) >= {{least}}), k -> named_struct('h1', xxhash64({_KEY}), 'h2', xxhash64('second', {_KEY})))"
@@ -77,14 +77,14 @@ class LineRuns:
         return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
 
     def apply(self, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-        """docs with the columns all_lines and kept_lines (arrays of lines)."""
-        lost = self.drops(docs, min_docs).withColumnRenamed("doc_id", "lost_id")
-        both = docs.join(lost.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("lost_id")), "left").drop("lost_id")
-        both = both.withColumn("all_lines", F.expr("split(coalesce(text, ''), '\\n', -1)"))
-        key = _KEY.replace("(k)", "(trim(BOTH ' \\t\\n\\u000B\\f\\r' FROM l))").replace("translate(k,", "translate(trim(BOTH ' \\t\\n\\u000B\\f\\r' FROM l),")
-        gone = f"array_contains(lost, named_struct('h1', xxhash64({key}), 'h2', xxhash64('second', {key})))"
-        keep = f"CASE WHEN lost IS NULL THEN all_lines ELSE filter(all_lines, l -> NOT {gone}) END"
-        return both.withColumn("kept_lines", F.expr(keep)).drop("lost")
+        """docs with the columns _ld_all and _ld_kept (arrays of lines)."""
+        lost = self.drops(docs, min_docs).select(F.col("doc_id").alias("_ld_id"), F.col("lost").alias("_ld_lost"))
+        both = docs.join(lost.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("_ld_id")), "left").drop("_ld_id")
+        both = both.withColumn("_ld_all", F.expr("split(coalesce(text, ''), '\\n', -1)"))
+        key = _KEY.replace("(k)", f"({_STRIP})").replace("translate(k,", f"translate({_STRIP},")
+        gone = f"array_contains(_ld_lost, named_struct('h1', xxhash64({key}), 'h2', xxhash64('second', {key})))"
+        keep = f"CASE WHEN _ld_lost IS NULL THEN _ld_all ELSE filter(_ld_all, l -> NOT {gone}) END"
+        return both.withColumn("_ld_kept", F.expr(keep)).drop("_ld_lost")
 
 
 def dedup_lines(docs: DataFrame, batches: list[DataFrame] | None = None, fanout: int = FANOUT) -> DataFrame:
@@ -95,9 +95,18 @@ def dedup_lines(docs: DataFrame, batches: list[DataFrame] | None = None, fanout:
     return runs.apply(docs)
 
 
+def cleaned(applied: DataFrame) -> DataFrame:
+    """The documents themselves: text without the lines that go, and n_chars to match; null text stays null."""
+    text = F.when(F.col("text").isNotNull(), F.array_join("_ld_kept", "\n"))
+    out = applied.withColumn("text", text)
+    if "n_chars" in applied.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(applied.schema["n_chars"].dataType))
+    return out.drop("_ld_all", "_ld_kept")
+
+
 def digest(applied: DataFrame) -> DataFrame:
     """The columns of the query."""
     return applied.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.size("all_lines").cast("long").alias("n_lines"), (F.size("all_lines") - F.size("kept_lines")).cast("long").alias("n_dropped"),
-        F.sha2(F.array_join("kept_lines", "\n"), 256).alias("kept_sha256"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.size("_ld_all").cast("long").alias("n_lines"), (F.size("_ld_all") - F.size("_ld_kept")).cast("long").alias("n_dropped"),
+        F.sha2(F.array_join("_ld_kept", "\n"), 256).alias("kept_sha256"),
     )

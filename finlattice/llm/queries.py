@@ -8,14 +8,14 @@ from ..session import ship_package, table
 from . import common
 
 
-def _ready(spark: SparkSession) -> None:
+def ready(spark: SparkSession) -> None:
     ship_package(spark)
     common.prepare(spark)
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix_dedup
 
-    _ready(spark)
+    ready(spark)
     return suffix_dedup.digest(suffix_dedup.dedup(table(spark, sf_dir, "documents"), with_text=False))
 
 
@@ -23,27 +23,27 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii
 
-    _ready(spark)
+    ready(spark)
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secret_ledger
 
-    _ready(spark)
+    ready(spark)
     return secret_ledger.digest(secret_ledger.scan(table(spark, sf_dir, "documents"))[0])
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
-    _ready(spark)
+    ready(spark)
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import embed_dedup
 
-    _ready(spark)
+    ready(spark)
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
@@ -51,20 +51,20 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup
 
-    _ready(spark)
+    ready(spark)
     return line_dedup.digest(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontam
 
-    _ready(spark)
+    ready(spark)
     return decontam.digest(decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import minhash
 
-    _ready(spark)
+    ready(spark)
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
@@ -72,14 +72,14 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
-    _ready(spark)
+    ready(spark)
     return langid.digest(langid.identify(table(spark, sf_dir, "documents")))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import html_extract
 
-    _ready(spark)
+    ready(spark)
     return html_extract.digest(html_extract.extract(table(spark, sf_dir, "pages")))
 
 

@@ -1,5 +1,82 @@
-"""DuckDB SQL for the corpus queries that SQL can express on whole tables."""
+"""DuckDB SQL for the corpus queries that SQL can express on whole tables.
+
+Language ID, packing and HTML extraction have none, nor has PII: its added kinds depend on checksums and context words.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from .secret_ledger import BASE, RULES
+
+SUFFIX = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
+w AS (SELECT doc_id, p, array_slice(b, p + 1, p + 50) AS w FROM n, LATERAL (SELECT unnest(range(0, greatest(n - 49, 0))) AS p)),
+f AS (SELECT w, min(doc_id) AS first FROM w GROUP BY w HAVING count(*) > 1),
+g AS (SELECT w.doc_id, p FROM w JOIN f USING (w) WHERE w.doc_id > first),
+i AS (SELECT *, CASE WHEN p <= lag(p) OVER o + 50 THEN 0 ELSE 1 END AS new FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM i),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM r GROUP BY doc_id, run),
+e AS (SELECT doc_id, a, z FROM s UNION ALL SELECT doc_id, n, n FROM n),
+k AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a, z), 0) AS begin FROM e),
+h AS (SELECT doc_id, string_agg(CASE WHEN a > begin THEN hex(array_slice(b, begin + 1, a)) ELSE '' END, '' ORDER BY a) AS kept FROM k JOIN n USING (doc_id) GROUP BY doc_id),
+c AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM s GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM n JOIN h USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
+def _secrets() -> str:
+    parts = []
+    for k, rule in enumerate(RULES):
+        p = "'" + rule.pattern.replace("'", "''") + "'"
+        parts.append(f"SELECT doc_id, {k} AS rule, '{rule.kind}' AS kind, {rule.least} AS least, regexp_split_to_array(text, {p}) AS gaps, regexp_extract_all(text, {p}, 0) AS hits, regexp_extract_all(text, {p}, {rule.secret}) AS secrets FROM t WHERE regexp_matches(text, {p})")
+    kinds = ", ".join(f"CAST(count(*) FILTER (kind = '{k}') AS BIGINT) AS n_{k}" for k in BASE)
+    base = ", ".join(f"'{k}'" for k in BASE)
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({" UNION ALL ".join(parts)}),
+x AS (SELECT doc_id, rule, kind, i, length(hits[i]) AS len, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: length(g))), 0) AS a, length(secrets[i]) >= least AS fine
+    FROM m, LATERAL (SELECT unnest(range(1, len(hits) + 1)) AS i)),
+s AS (SELECT doc_id, rule, kind, CAST(a AS BIGINT) AS a, concat_ws(':', kind, CAST(a AS BIGINT), CAST(a + len AS BIGINT)) AS span FROM x WHERE fine),
+g AS (SELECT doc_id, {kinds}, string_agg(span, ',' ORDER BY a, rule) FILTER (kind IN ({base})) AS base, string_agg(span, ',' ORDER BY a, rule) AS spans FROM s GROUP BY doc_id)
+SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (doc_id)"""
+
+
+EMBEDDINGS = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT *, label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 AS fine FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.fine AND b.fine AND list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS c FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c AS component_id, vec_id = c AS kept FROM v JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a"""
+
+_KEY = "translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LINES = f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i] AS x FROM d, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)), k AS (SELECT *, {_KEY} AS k FROM l),
+f AS (SELECT k, max(doc_id) AS last FROM k WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+g AS (SELECT k.*, f.k IS NULL OR doc_id = last AS keep FROM k LEFT JOIN f ON k.k = f.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT keep) AS n_dropped, sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (keep), '')) AS kept_sha256 FROM g GROUP BY doc_id"""
+
+_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+BENCHMARK = f"""WITH b AS (SELECT item_id, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark), d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+bm AS (SELECT *, least(13, len(w)) AS m FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, m, array_to_string(w[i : i + m - 1], ' ') AS win FROM bm, LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS i)),
+ms AS (SELECT DISTINCT m FROM bw),
+dw AS (SELECT doc_id, i, m, array_to_string(w[i : i + m - 1], ' ') AS win FROM d, ms, LATERAL (SELECT unnest(range(1, greatest(len(w) - m + 2, 1))) AS i)),
+o AS (SELECT doc_id, i, dw.m AS m, item_id FROM dw JOIN bw ON dw.m = bw.m AND dw.win = bw.win),
+h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS j FROM o) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM (SELECT DISTINCT doc_id, item_id FROM o) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+MINHASH = """WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS sh FROM d),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+k AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)), l AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, s.doc_id = c AS kept FROM s JOIN c ON s.doc_id = c.a"""
+
+SQL: dict[str, str] = {
+    "op1_suffix_dedup": SUFFIX,
+    "op3_secret_ledger": _secrets(),
+    "op5_embedding_dedup": EMBEDDINGS,
+    "op6_line_dedup": LINES,
+    "op7_decontamination": BENCHMARK,
+    "op8_minhash": MINHASH,
+}

@@ -45,6 +45,7 @@ class Words:
     """Ids of texts by a table of their distinct words.
 
     White space ends tokens in this tokenizer and words don't affect each other, so a text's ids are those of its words.
+    A text with "<|" in it is one entry.
     """
 
     def __init__(self, path: str, most: int = CACHE):
@@ -75,7 +76,8 @@ class Words:
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.index) > self.most:
             self._clear()
-        split = [_SPLIT.sub(b" ", t.lower()).split() for t in texts]
+        # texts that may hold the tokenizer's special strings aren't split or lower-cased here
+        split = [[t] if b"<|" in t else _SPLIT.sub(b" ", t.lower()).split() for t in texts]
         new = set().union(*split) - self.index.keys()
         if new:
             self._learn(sorted(new))

@@ -66,7 +66,7 @@ def date_text(text: Column) -> Column:
 def confidence(text: Column) -> Column:
     """A stated confidence clamped to [0, 1]; 0.5 if there is none or it isn't a number."""
     value = some(F.regexp_extract(text, CONFIDENCE, 1)).try_cast("double")
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), F.lit(0.5))
+    return F.when(value.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def json_array(text: Column) -> Column:

@@ -162,7 +162,7 @@ _RAW = {
     "verification_totals": f"WITH {_VERIFIED} SELECT count(*) AS n_claims, count(*) FILTER (verified) AS n_verified, round(avg(verified::INT::DOUBLE), 6) AS rate FROM ver",
     "faithfulness": f"WITH {_VERIFIED} SELECT answer_id, round(avg(verified::INT::DOUBLE), 6) AS faithfulness FROM ver GROUP BY 1",
     "extractions": f"""SELECT doc_id, round({_numbers('text')}[1], 4) AS first_number, round({_PERCENT}, 6) AS percentage, {_DATE} AS date_text,
-        round(coalesce(greatest(0, least(1, TRY_CAST({_extract('text', T.CONFIDENCE, 1)} AS DOUBLE))), 0.5), 6) AS confidence, {_extract('text', T.JSON_ARRAY, 0)} AS json_array,
+        round(CASE WHEN TRY_CAST({_extract('text', T.CONFIDENCE, 1)} AS DOUBLE) IS NULL THEN 0.5 ELSE greatest(0, least(1, TRY_CAST({_extract('text', T.CONFIDENCE, 1)} AS DOUBLE))) END, 6) AS confidence, {_extract('text', T.JSON_ARRAY, 0)} AS json_array,
         array_to_string(regexp_extract_all(text, {q(T.RAW_NUMBER)}), '|') AS raw_numbers, CAST(len({_numbers('text')}) AS INT) AS n_numbers, round(list_max({_numbers('text')}), 4) AS max_number FROM statements""",
     "document_extractions": f"SELECT doc_id, CAST(len(regexp_extract_all(text, {q(T.RAW_NUMBER)})) AS INT) AS n_numbers, CAST(len({_numbers('text')}) AS INT) AS n_scaled FROM documents",
     "dense_top_k": f"WITH {_dense(20)} SELECT question_id, point_id, round(score, 6) AS score, rank FROM den",

@@ -26,6 +26,8 @@ SAMPLE, SNIPPET = 4000, 320
 ORDERS, BITS, DIMS, EPOCHS, RATE, BATCH = (2, 3, 4), 15, 16, 6, 0.5, 32
 #: At most this share of rightly labelled calibration snippets may be rejected.
 REJECT = 0.001
+#: The threshold is at most this many times the score of a guess: texts of several languages aren't rejected for it.
+CHANCE = 1.4
 _PIECE = 1 << 20
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 
@@ -136,7 +138,7 @@ def _calibrate(model: Model, held: list[tuple[str, str]]) -> None:
     best, score = model.scores(logits)
     right = score[known & (best == truth)]
     if len(right):
-        model.threshold = float(min(0.5, np.quantile(right, REJECT)))
+        model.threshold = float(min(CHANCE / len(model.labels), np.quantile(right, REJECT)))
 
 
 def held_out(doc_id) -> F.Column:

@@ -87,10 +87,16 @@ class LineRuns:
         return both.withColumn("_ld_kept", F.expr(keep)).drop("_ld_lost")
 
 
+def arrivals(docs: DataFrame, bits: int = 2) -> list[DataFrame]:
+    """All documents dealt into 2 ** bits batches by the leading bits of a hash of the id."""
+    part = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("batch")), 64 - bits)
+    return [docs.where(part == k) for k in range(1 << bits)]
+
+
 def dedup_lines(docs: DataFrame, batches: list[DataFrame] | None = None, fanout: int = FANOUT) -> DataFrame:
-    """Add the batches (default: all documents as one) to fresh runs and apply these to docs."""
+    """Add the batches (default: arrivals(docs)), which together hold all documents, to fresh runs and apply these to docs."""
     runs = LineRuns(docs.sparkSession, fanout)
-    for batch in batches or [docs]:
+    for batch in batches or arrivals(docs):
         runs.add(batch)
     return runs.apply(docs)
 

@@ -25,7 +25,7 @@ from . import common
 
 LENGTH, WIDTH, END_ID, SALTS = 2048, 8, 1, 64
 #: Words that a worker keeps tokenised.
-CACHE = 400_000
+CACHE = 250_000
 _PRUNE = 1e-9
 # A space before punctuation that follows an ASCII letter changes no id: the tokenizer splits there anyway.
 _SPLIT = re.compile(rb"(?<=[a-z])(?=[^a-z\x80-\xff\s])")
@@ -109,7 +109,7 @@ def cut(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataF
         ids = batch.column("doc_id").to_pylist()
         data, offsets = common.utf8(batch.column("text"))
         raw = data.tobytes()
-        for lo, hi in common.pieces(offsets, 4 << 20):
+        for lo, hi in common.pieces(offsets, 1 << 20):
             rows = []
             for k, got in zip(range(lo, hi), words.ids([raw[offsets[k] : offsets[k + 1]] for k in range(lo, hi)])):
                 full = np.append(got, np.uint32(END_ID)).astype("<u4")

@@ -19,7 +19,7 @@ from . import common
 
 WINDOW = 13
 #: Benchmark bytes that one matcher holds; a larger benchmark is searched for in blocks of its items.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 _LANE, _TABLE_BITS, _BATCH = 128, 20, 4 << 20
 _WORD = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -33,16 +33,15 @@ class WuManber:
 
     def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        by_length: dict[int, tuple[list, list]] = {}
+        by_length: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
         for item_id, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
             m = min(window, len(ids))
             if m:
                 rows, owners = by_length.setdefault(m, ([], []))
-                for k in range(len(ids) - m + 1):
-                    rows.append(ids[k : k + m])
-                    owners.append(item_id)
-        self.groups = [self._tables(m, np.array(rows, np.int64), np.array(owners, np.int64)) for m, (rows, owners) in sorted(by_length.items())]
+                rows.append(np.lib.stride_tricks.sliding_window_view(np.array(ids, np.int64), m))
+                owners.append(np.full(len(ids) - m + 1, item_id, np.int64))
+        self.groups = [self._tables(m, np.concatenate(rows), np.concatenate(owners)) for m, (rows, owners) in sorted(by_length.items())]
 
     @staticmethod
     def _slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:

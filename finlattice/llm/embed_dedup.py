@@ -2,7 +2,7 @@
 
 Normalised vectors of cosine c lie sqrt(2 - 2c) apart. Each of TABLES tables quantises PROJECTIONS random Gaussian
 projections to cells of width CELL; vectors that share label, table and cells meet, and their cosine decides. A pair at
-0.98 collides in a table with probability 0.15, so all tables miss it with probability 0.002, and a closer one hardly ever.
+0.98 collides in a table with probability 0.15, so all tables miss it with probability 1e-5, and a closer one hardly ever.
 A bucket only yields a spanning forest of its links. The links of a vector all lie in its component, so they are then
 counted there, over all pairs of the component, in blocks: no link inside a component depends on a bucket.
 
@@ -24,7 +24,7 @@ from . import common
 from .components import components
 from .minhash import spanning
 
-LEAST, TABLES, PROJECTIONS, CELL = 0.98, 40, 5, 0.5
+LEAST, TABLES, PROJECTIONS, CELL = 0.98, 72, 5, 0.5
 BUCKET = 1000
 _ROWS = 256
 

@@ -30,11 +30,11 @@ ASIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements adsbygoogle sponsor sponsored promo promotion banner sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs "
     "footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations "
-    "comment comments respond reply replies discussion disqus masthead toolbar pagination pager login search copyright skip complementary contentinfo search".split()
+    "comment comments respond reply replies discussion disqus masthead toolbar pagination pager login search copyright skip complementary contentinfo".split()
 )
 BLOCK_CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([A-Za-z:_-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.S)
 _WORDS = re.compile(r"[a-z]+")
 _PUNCT = re.compile(r"[.,;:!?。，؟¿¡]")

@@ -5,8 +5,8 @@ bucket the packed signatures are compared by bit counts, and a pair goes on when
 five standard deviations of the threshold. What goes on is a spanning forest of each bucket, whose components are the
 candidate groups; in these the full sets decide, again up to a spanning forest. So components lose no link that the bands
 find (a pair at 0.8 shares one of BANDS bands with probability over 0.9999) and no group is ever written out as pairs.
-Documents with the same set are one node. Buckets and groups beyond BUCKET and GROUP rows are cut into blocks of which
-every pair meets in some task.
+Documents with the same set are one node. Buckets and groups beyond BUCKET and GROUP rows are cut into blocks, so no task
+holds more; `confirmed` says how blocks meet.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased. A set is the distinct shingles of `shingle` words; with
 fewer words the whole sequence is the one shingle. Shingles are 64-bit hashes. Defined cases: null, empty and blank texts
@@ -224,6 +224,50 @@ def _group_edges(shingle: int, numerator: int, denominator: int):
     return edges
 
 
+def _blocked(rows: DataFrame, key: str, most: int, name: str, by: str = "doc_id") -> DataFrame:
+    """rows with `name`, the block of about `most` rows of its key that a row is in, and `name`_n, the number of blocks."""
+    sizes = rows.groupBy(key).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / most)).cast("int").alias(f"{name}_n"))
+    return rows.join(sizes, key).withColumn(name, F.pmod(F.xxhash64(by, F.lit("block")), F.col(f"{name}_n")).cast("int"))
+
+
+def confirmed(texts: DataFrame, maybe: DataFrame, shingle: int, percent: int, group: int) -> DataFrame:
+    """Edges a, b of full sets that connect each group as all its links would. texts: grp, doc_id, text; maybe: a, b.
+
+    Groups of up to 2 * group documents are compared in one task. A larger one is dealt into blocks; links within blocks and
+    those of the candidate edges come first, and only documents outside its largest component so far, the strays, are then
+    compared with all others, in blocks of strays against blocks of the rest. If links are plain, as among edited copies of
+    one text, there are few strays and the work is linear; at worst every two blocks meet.
+    """
+    exact = _group_edges(shingle, percent, 100)
+    edges = "a long, b long"
+
+    def within(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return common.map_runs(rows.select(*keys, "doc_id", "text"), keys, exact, edges)
+
+    sizes = common.written(texts.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * group).select("grp"), "large")
+    if not sizes.take(1):
+        return within(texts, ["grp"])
+    small = within(texts.join(sizes, "grp", "left_anti"), ["grp"])
+    large = common.written(_blocked(texts.join(sizes, "grp", "left_semi"), "grp", group, "part"), "large-texts")
+    inside = within(large, ["grp", "part"])
+    ends = maybe.where("a <> b").distinct().select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
+    pairs = ends.join(large.select("doc_id", "text"), "doc_id")
+    first = common.written(inside.unionByName(within(pairs, ["a", "b"])), "first-links")
+    roots = components(first).select(F.col("node").alias("doc_id"), "root")
+    placed = common.written(large.select("grp", "doc_id", "part", "part_n").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "placed")
+    main = placed.groupBy("grp", "root").count().groupBy("grp").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    stray = common.written(_blocked(placed.join(main, "grp").where("root <> main").select("grp", "doc_id", "part_n"), "grp", group, "side"), "strays")
+    if not stray.take(1):
+        return small.unionByName(first)
+    counts = stray.groupBy("grp").agg(F.first("side_n").alias("side_n"))
+    rest = placed.join(stray.select("grp", "doc_id"), ["grp", "doc_id"], "left_anti").join(counts, "grp").select("doc_id", "grp", "part", F.explode(F.sequence(F.lit(0), F.col("side_n") - 1)).alias("side"))
+    met = stray.select("doc_id", "grp", F.explode(F.sequence(F.lit(0), F.col("part_n") - 1)).alias("part"), "side")
+    bodies = large.select("grp", "doc_id", "text")
+    across = within(rest.unionByName(met).join(bodies, ["grp", "doc_id"]), ["grp", "part", "side"])
+    among = common.bounded_groups(stray.select("grp", "doc_id"), "grp", group, "doc_id").join(bodies, ["grp", "doc_id"])
+    return small.unionByName(first).unionByName(across).unionByName(within(among, ["grp", "part_i", "part_j"]))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80, bucket: int = BUCKET, group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs. percent: the least similarity."""
     signed = common.written(signatures(docs, shingle), "signatures")
@@ -235,13 +279,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80,
     members = common.bounded_groups(keyed, "key", bucket, "doc_id").join(heads.select("doc_id", "sig"), "doc_id")
     runs = ["key", "part_i", "part_j"]
     maybe = common.map_runs(members.select(*runs, "doc_id", "sig"), runs, _bucket_edges(least_estimate(percent / 100)), "a long, b long")
+    maybe = common.written(maybe.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidate-edges")
     groups = components(maybe)
     # Rows of one id and other texts would meet here too; the join on the id takes them as one node.
     cand = groups.select(F.col("node").alias("cand_id"), F.col("root").alias("grp"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(cand.hint("shuffle_hash"), F.col("doc_id") == F.col("cand_id")).select("grp", "doc_id", "text")
-    parts = ["grp", "part_i", "part_j"]
-    held = common.bounded_groups(common.written(texts, "candidates"), "grp", group, "doc_id")
-    sure = common.map_runs(held.select(*parts, "doc_id", "text"), parts, _group_edges(shingle, percent, 100), "a long, b long")
+    sure = confirmed(common.written(texts, "candidates"), maybe, shingle, percent, group)
     roots = components(sure).select(F.col("node").alias("rep"), "root")
     named = common.written(reps.join(roots, "rep", "left").select(*sets, F.coalesce("root", "rep").alias("root")), "roots")
     out = signed.select("doc_id", *sets).join(named, sets, "left")

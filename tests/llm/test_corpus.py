@@ -394,3 +394,18 @@ def five_word_groups(rows):
     links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     root = brute.components(sorted(sets), links)
     return {d: (len(sets[d]), root[d], root[d] == d) for d in sets}
+
+
+@pytest.mark.parametrize("group", [4, 1000])
+def test_minhash_hot_group(spark, group):
+    rng = random.Random(12)
+    start = [f"h{k}" for k in range(120)]
+    rows = []
+    for k in range(90):  # edits of one text, of which many pairs are just below or above the threshold, and some stray far
+        now = list(start)
+        for _ in range(rng.choice([1, 3, 5, 6, 7, 9, 14])):
+            now[rng.randrange(120)] = f"e{rng.randrange(10**9)}"
+        rows.append((rng.randrange(10**6), " ".join(now)))
+    got = collected(minhash.near_duplicates(docs_of(spark, rows), shingle=2, bucket=50, group=group))
+    assert got == brute.op8(rows)
+    assert 1 < len({v[1] for v in got.values()}) < len(got)

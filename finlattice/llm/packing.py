@@ -12,6 +12,7 @@ columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from functools import lru_cache
@@ -25,66 +26,105 @@ from . import common
 
 LENGTH, WIDTH, END_ID, SALTS = 2048, 8, 1, 64
 #: Words that a worker keeps tokenised.
-CACHE = 250_000
+CACHE = 400_000
 _PRUNE = 1e-9
-# A space before punctuation that follows an ASCII letter changes no id: the tokenizer splits there anyway.
-_SPLIT = re.compile(rb"(?<=[a-z])(?=[^a-z\x80-\xff\s])")
 _LATIN = re.compile("[a-zß-öø-ÿ]+")
-
-
-@lru_cache(1)
-def _byte_chars() -> dict[int, str]:
-    """The printable stand-ins of byte-level vocabularies: a printable byte is itself, others follow from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    chars = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-    return {c: "".join(chars[b] for b in chr(c).encode()) for c in range(256)}
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_LETTER = np.array([97 <= c <= 122 for c in range(256)])
+_MARK = np.array([c < 128 and not 97 <= c <= 122 and not (c == 32 or 9 <= c <= 13) for c in range(256)])
 
 
 class Words:
     """Ids of texts by a table of their distinct words.
 
     White space ends tokens in this tokenizer and words don't affect each other, so a text's ids are those of its words.
-    A text with "<|" in it is one entry.
+    Words of Latin letters are one pre-token that no normaliser changes once lower-cased; they are merged many at a time.
+    All others, and texts with "<|" in them as one entry, are left to the tokenizer. Ids are kept as little-endian bytes.
     """
 
     def __init__(self, path: str, most: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.model = self.tokenizer.model
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.parts: list[np.ndarray] = []
+        model = json.loads(self.tokenizer.to_str())["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level vocabularies: these bytes are themselves, others follow from 256 on
+        chars = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+        self.inner = np.array([vocab[chars[b]] for b in range(256)], np.uint64)
+        self.last = np.array([vocab[chars[b] + end] for b in range(256)], np.uint64)
+        pairs = np.array([vocab[x] << 32 | vocab[y] for x, y in model["merges"]], np.uint64)
+        made = np.array([vocab[x + y] for x, y in model["merges"]], np.uint64)
+        order = np.argsort(pairs, kind="stable")
+        self.pairs, self.rank, self.made = pairs[order], order.astype(np.int64), made[order]
+        self.table: dict[bytes, bytes] = {}
+
+    def merged(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that are one pre-token each: all words take their best merge at once, round after round."""
+        size = np.array([len(w) for w in words])
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ids = self.inner[data]
+        ends = np.cumsum(size) - 1
+        ids[ends] = self.last[data[ends]]
+        word = np.repeat(np.arange(len(words)), size)
+        done_ids, done_word = [], []
+        none = len(self.rank)
+        while len(ids):
+            key = ids[:-1] << np.uint64(32) | ids[1:]
+            at = np.minimum(np.searchsorted(self.pairs, key), none - 1)
+            rank = np.full(len(ids), none)
+            hit = (self.pairs[at] == key) & (word[:-1] == word[1:])
+            rank[:-1][hit] = self.rank[at[hit]]
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(ids))))
+            over = best == none
+            done_ids.append(ids[over])
+            done_word.append(word[over])
+            pick = (rank == best) & ~over
+            before = np.append(False, pick[:-1])
+            if (pick & before).any():  # a run of one symbol: every other pair, from the left
+                start = np.flatnonzero(pick & ~before)
+                place = np.flatnonzero(pick)
+                pick[place[(place - start[np.searchsorted(start, place, "right") - 1]) % 2 == 1]] = False
+            chosen = np.flatnonzero(pick)
+            ids[chosen] = self.made[at[chosen]]
+            keep = ~over
+            keep[chosen + 1] = False
+            ids, word = ids[keep], word[keep]
+        word = np.concatenate(done_word)
+        order = np.argsort(word, kind="stable")
+        raw = np.concatenate(done_ids)[order].astype("<u4").tobytes()
+        at = np.searchsorted(word[order], np.arange(len(words) + 1)) * 4
+        return [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
     def _learn(self, words: list[bytes]) -> None:
-        slow = []
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            low = text.lower()
-            if len(low) == len(text) and _LATIN.fullmatch(low):  # one pre-token that no normaliser changes further
-                self.index[word] = len(self.parts)
-                self.parts.append(np.array([t.id for t in self.model.tokenize(low.translate(_byte_chars()))], np.uint32))
-            else:
-                slow.append((word, text))
-        for (word, _), e in zip(slow, self.tokenizer.encode_batch_fast([t for _, t in slow], add_special_tokens=False)):
-            self.index[word] = len(self.parts)
-            self.parts.append(np.array(e.ids, np.uint32))
-
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.index) > self.most:
-            self._clear()
-        # texts that may hold the tokenizer's special strings aren't split or lower-cased here
-        split = [[t] if b"<|" in t else _SPLIT.sub(b" ", t.lower()).split() for t in texts]
-        new = set().union(*split) - self.index.keys()
+        low = b"\n".join(words).decode("utf-8", "replace").lower().split("\n")
+        fast = [k for k, w in enumerate(low) if _LATIN.fullmatch(w)]
+        if fast:
+            self.table.update(zip([words[k] for k in fast], self.merged([low[k].encode() for k in fast])))
+        slow = [w for w in words if w not in self.table]
+        for w, e in zip(slow, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in slow], add_special_tokens=False)):
+            self.table[w] = np.array(e.ids, "<u4").tobytes()
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of documents laid end to end."""
+        if len(self.table) > self.most:
+            self.table = {}
+        low = _LOWER[data]
+        # a space before a mark that follows an ASCII letter changes no id, as tokens end there anyway
+        cut = np.flatnonzero(_MARK[low[1:]] & _LETTER[low[:-1]]) + 1
+        spaced = np.insert(low, cut, 32).tobytes()
+        at = (offsets + np.searchsorted(cut, offsets)).tolist()
+        split = [spaced[a:b].split() for a, b in zip(at[:-1], at[1:])]
+        raw = data.tobytes()
+        if b"<|" in raw:
+            for k in range(len(split)):
+                if b"<|" in (text := raw[offsets[k] : offsets[k + 1]]):
+                    split[k] = [text]
+        new = set().union(*split) - self.table.keys()
         if new:
             self._learn(sorted(new))
-        get = self.index.__getitem__
-        parts = self.parts
-        none = np.zeros(0, np.uint32)
-        return [np.concatenate([parts[get(w)] for w in words]) if words else none for words in split]
+        get = self.table.__getitem__
+        return [b"".join(map(get, words)) for words in split]
 
 
 @lru_cache(1)
@@ -108,12 +148,12 @@ def cut(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataF
         words = _words(path or tokenizer_path())
         ids = batch.column("doc_id").to_pylist()
         data, offsets = common.utf8(batch.column("text"))
-        raw = data.tobytes()
-        for lo, hi in common.pieces(offsets, 1 << 20):
+        for lo, hi in common.pieces(offsets, 2 << 20):
             rows = []
-            for k, got in zip(range(lo, hi), words.ids([raw[offsets[k] : offsets[k + 1]] for k in range(lo, hi)])):
-                full = np.append(got, np.uint32(END_ID)).astype("<u4")
-                rows += [(ids[k], s, min(length, len(full) - s), zlib.crc32(full[s : s + length].tobytes()), len(full)) for s in range(0, len(full), length)]
+            for k, got in zip(range(lo, hi), words.ids(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])):
+                full = got + END_ID.to_bytes(4, "little")
+                n = len(full) // 4
+                rows += [(ids[k], s, min(length, n - s), zlib.crc32(full[4 * s : 4 * (s + length)]), n) for s in range(0, n, length)]
             cols = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 

@@ -209,6 +209,9 @@ _RAW = {
         SELECT i.intent, round(coalesce(list_reduce(list(m.way ORDER BY place), lambda t, x: CASE WHEN x > 0 THEN least(0.9::DOUBLE, t + x) WHEN x < 0 THEN greatest(0.1::DOUBLE, t + x) ELSE t END, 0.3::DOUBLE), 0.3), 6) AS threshold FROM ints i LEFT JOIN moves m USING (intent) GROUP BY i.intent""",
     "metric_drift": """WITH m AS (SELECT l_returnflag, l_linestatus, avg(l_quantity) AS v FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2), b AS (SELECT l_returnflag AS metric, avg(v) AS b FROM m GROUP BY 1), c AS (SELECT l_returnflag AS metric, avg(l_quantity) AS c FROM lineitem WHERE l_quantity < 40 GROUP BY 1)
         SELECT metric, round((b - c) / b, 6) AS drop, (b - c) / b > 0.1 AS alert FROM b JOIN c USING (metric)""",
+    "document_scope": """SELECT question_id, CAST(label AS VARCHAR) AS ticker, 2024 AS year, CASE WHEN question_id % 3 = 0 THEN '10-Q' ELSE '10-K' END AS type, question_id % 3 <> 0 AS known,
+        CASE WHEN question_id % 3 <> 0 THEN 'income' ELSE '' END AS sections, CASE WHEN question_id % 3 <> 0 THEN 0.9 ELSE 0.3 END::DOUBLE AS confidence FROM vector_queries""",
+    "document_scoped_search": f"WITH {_dense(5, '(v.question_id % 3 = 0 OR v.label = p.label)')} SELECT question_id, point_id, round(score, 6) AS score, rank FROM den",
     "answer_questions": f"WITH {_ROUTED}, {_ANSWERED} SELECT question_id, intent, strategy, coalesce(answer, {q(C.REFUSAL)}) AS answer, coalesce(done.confidence, 0) AS confidence, coalesce(n_claims, 0) AS n_claims, coalesce(n_verified, 0) AS n_verified FROM routed LEFT JOIN done ON answer_id = question_id",
 }
 SQL = {name: with_views(sql) for name, sql in _RAW.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, claims, feedback, graph, metrics, retrieval, routing, tables
+from ..operators import chunking, claims, feedback, graph, metrics, retrieval, routing, scoping, tables
 from .views import view
 
 V = view
@@ -255,6 +255,21 @@ def metric_drift(s: SparkSession, d: str) -> DataFrame:
     return out.select("metric", F.round("drop", 6).alias("drop"), "alert")
 
 
+def _scoped(s: SparkSession, d: str) -> DataFrame:
+    asked = V(s, d, "vector_queries").select("question_id", F.col("label").cast("string").alias("ticker"), F.lit(2024).alias("year"), F.when(F.col("question_id") % 3 == 0, "10-Q").otherwise("10-K").alias("type"), F.array(F.lit("risk"), F.lit("income")).alias("sections"), F.lit(0.9).alias("confidence"))
+    known = V(s, d, "embeddings").select(F.col("label").cast("string").alias("ticker")).distinct().select("ticker", F.lit(2024).alias("year"), F.lit("10-K").alias("type"), F.array(F.lit("income"), F.lit("notes")).alias("known_sections"))
+    return scoping.scope(asked, known)
+
+
+def document_scope(s: SparkSession, d: str) -> DataFrame:
+    return _scoped(s, d).withColumn("sections", _joined("sections"))
+
+
+def document_scoped_search(s: SparkSession, d: str) -> DataFrame:
+    points = retrieval.upsert_latest(V(s, d, "points")).select("point_id", "dense", F.col("label").cast("string").alias("ticker"))
+    return scoping.scoped_top_k(_scoped(s, d), V(s, d, "vector_queries"), points).withColumn("score", F.round("score", 6))
+
+
 def answer_questions(s: SparkSession, d: str) -> DataFrame:
     """Route, pick contexts by strategy, decompose a draft, verify, and answer from what was verified."""
     from .pipeline import answer
@@ -266,5 +281,5 @@ QUERIES = {f.__name__: f for f in (
     route_intents, route_gate, route_distribution, intent_metrics, intent_accuracy, intent_failures, latency_summary, claim_decomposition, document_sentences, verify_claims, verified_answers,
     method_distribution, type_distribution, verification_totals, faithfulness, extractions, document_extractions, dense_top_k, scoped_search, upsert_points, lexical_top_k, lexical_idf_top_k,
     hybrid_search, weighted_hybrid_search, rerank, diverse_top_k, table_blocks, table_description, grid_tables, model_tables, table_retrieval, source_cascade, token_chunks, char_chunks,
-    graph_nodes, graph_relationships, graph_mentions, graph_neighbours, graph_two_hops, graph_reachable, feedback_success, adaptive_thresholds, metric_drift, answer_questions,
+    graph_nodes, graph_relationships, graph_mentions, graph_neighbours, graph_two_hops, graph_reachable, feedback_success, adaptive_thresholds, metric_drift, document_scope, document_scoped_search, answer_questions,
 )}

@@ -26,7 +26,7 @@ from . import common
 
 LENGTH, WIDTH, END_ID, SALTS = 2048, 8, 1, 64
 #: Words that a worker keeps tokenised.
-CACHE = 400_000
+CACHE = 250_000
 _PRUNE = 1e-9
 _LATIN = re.compile("[a-zß-öø-ÿ]+")
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -148,7 +148,7 @@ def cut(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataF
         words = _words(path or tokenizer_path())
         ids = batch.column("doc_id").to_pylist()
         data, offsets = common.utf8(batch.column("text"))
-        for lo, hi in common.pieces(offsets, 2 << 20):
+        for lo, hi in common.pieces(offsets, 1 << 20):
             rows = []
             for k, got in zip(range(lo, hi), words.ids(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])):
                 full = got + END_ID.to_bytes(4, "little")

@@ -43,16 +43,20 @@ def display(pattern: str) -> str:
     return rf"\b{pattern}\b".strip(r"\b")
 
 
-def hits(text: Column, intent: str) -> Column:
-    """The displayed keywords of an intent that occur in the text, in order."""
-    found = [F.when(F.regexp_like(text, F.lit(rf"(?i)\b{p}\b")), F.lit(display(p))) for p in INTENTS[intent][2]]
-    return F.filter(F.array(*found), lambda k: k.isNotNull())
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def hits(text: str, intent: str) -> Column:
+    """The displayed keywords of an intent that occur in the text column, in order; one expression, so plans build fast."""
+    found = [rf"CASE WHEN `{text}` RLIKE {_quoted(rf'(?i)\b{p}\b')} THEN {_quoted(display(p))} END" for p in INTENTS[intent][2]]
+    return F.expr(f"filter(array({', '.join(found)}), k -> k IS NOT NULL)")
 
 
 def classify(questions: DataFrame, text: str = "text") -> DataFrame:
     """questions with intent, strategy, confidence, reasoning and keywords_matched."""
     names = list(INTENTS)
-    out = questions.withColumns({f"_k{i}": hits(F.col(text), name) for i, name in enumerate(names)})
+    out = questions.withColumns({f"_k{i}": hits(text, name) for i, name in enumerate(names)})
     score = [F.size(f"_k{i}") / F.lit(float(len(INTENTS[n][2]))) * F.lit(INTENTS[n][0]) for i, n in enumerate(names)]
     out = out.withColumns({f"_s{i}": s for i, s in enumerate(score)})
     total = F.lit(0.0)

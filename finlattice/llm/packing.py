@@ -39,7 +39,7 @@ class Words:
 
     White space ends tokens in this tokenizer and words don't affect each other, so a text's ids are those of its words.
     Words of Latin letters are one pre-token that no normaliser changes once lower-cased; they are merged many at a time.
-    All others, and texts with "<|" in them as one entry, are left to the tokenizer. Ids are kept as little-endian bytes.
+    All others, and texts with "<|" in them as a whole, are left to the tokenizer. Ids are kept as little-endian bytes.
     """
 
     def __init__(self, path: str, most: int = CACHE):
@@ -102,8 +102,10 @@ class Words:
         if fast:
             self.table.update(zip([words[k] for k in fast], self.merged([low[k].encode() for k in fast])))
         slow = [w for w in words if w not in self.table]
-        for w, e in zip(slow, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in slow], add_special_tokens=False)):
-            self.table[w] = np.array(e.ids, "<u4").tobytes()
+        self.table.update(zip(slow, self._encoded(slow)))
+
+    def _encoded(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The ids of documents laid end to end."""
@@ -116,15 +118,19 @@ class Words:
         at = (offsets + np.searchsorted(cut, offsets)).tolist()
         split = [spaced[a:b].split() for a, b in zip(at[:-1], at[1:])]
         raw = data.tobytes()
+        whole: dict[int, bytes] = {}
         if b"<|" in raw:
             for k in range(len(split)):
                 if b"<|" in (text := raw[offsets[k] : offsets[k + 1]]):
-                    split[k] = [text]
+                    whole[k], split[k] = text, []
         new = set().union(*split) - self.table.keys()
         if new:
             self._learn(sorted(new))
         get = self.table.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = [b"".join(map(get, words)) for words in split]
+        for k, got in zip(whole, self._encoded(list(whole.values()))):
+            out[k] = got
+        return out
 
 
 @lru_cache(1)

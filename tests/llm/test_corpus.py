@@ -279,6 +279,18 @@ def test_packing(spark, texts):
     assert packing.pack(docs_of(spark, [])).count() == 0
 
 
+def test_packing_special_strings_over_lines():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    rows = ["alpha beta gamma zeta", "<|im_start|>user\nalpha\nBeta <|im_end|>\n", "beta\ngamma delta", "a <| b\n|> c", "", "omega zeta alpha"]
+    words = packing.Words(packing.tokenizer_path())
+    for mine in (rows, rows[::-1], rows[:1]):
+        raw = [t.encode() for t in mine]
+        got = words.ids(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(t) for t in raw]))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in mine]
+
+
 def test_packing_repeats(spark):
     rows = [(1, "a b c")] * 5 + [(None, "a"), (2, None)]
     got = packing.pack(docs_of(spark, rows)).collect()

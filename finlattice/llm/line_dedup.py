@@ -20,7 +20,8 @@ MIN_CHARS, MIN_DOCS, FANOUT = 40, 5, 4
 #: Frequent keys up to this count are broadcast (24 bytes each); beyond it the join shuffles.
 BROADCAST_KEYS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_STRIP = "trim(BOTH ' \\t\\n\\u000B\\f\\r' FROM l)"
+# Spark's literals have no \f: it would be the letter f.
+_STRIP = "trim(BOTH ' \\t\\n\\u000B\\u000C\\r' FROM l)"
 _KEYED = f"transform(split(coalesce(text, ''), '\\n', -1), l -> {_STRIP})"
 # lower() also changes other alphabets, so it serves only lines that are ASCII throughout.
 _KEY = f"CASE WHEN octet_length(k) = char_length(k) THEN lower(k) ELSE translate(k, '{_UPPER}', '{_LOWER}') END"

@@ -159,6 +159,14 @@ def test_line_dedup_keeps_columns_and_null(spark):
     assert got[0] == "rest 0" and got[5] == f"{line}\nrest 5" and got[9] is None
 
 
+def test_line_dedup_strips_form_feeds_not_letters(spark):
+    exact, left, feed = "auf " + "x" * 33 + "auf", "f" + "y" * 45, "z" * 45
+    rows = [(k, f"{exact}\n{'f' * (k % 2)}{left}\n{chr(12) * (k % 2)}{feed}{chr(12)}\nf{'w' * 37}f\nrest {k}") for k in range(8)]
+    assert len(exact) == 40
+    got = collected(line_dedup.digest(line_dedup.dedup_lines(docs_of(spark, rows))))
+    assert got == brute.op6(rows) and got[7][1] == 0 and got[0][1] == 2
+
+
 def test_decontamination(spark, texts):
     bench = [(1, " ".join(texts[9][1].split(" ")[10:40])), (2, "One"), (3, None), (4, "!!"), (5, "one TWO"), (11, "x" * 120), (6, texts[-1][1]), (12, texts[-1][1])]
     frame = spark.createDataFrame([(i, t, "n") for i, t in bench], "item_id long, text string, rank string")

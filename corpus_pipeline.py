@@ -34,8 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words under a twentieth lies in windows of the benchmark."""
     ready(spark)
-    found = decontam.digest(decontam.find_contamination(docs, table(spark, sf_dir, "benchmark")))
-    return common.without(docs, found.where("contaminated").select("doc_id"))
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

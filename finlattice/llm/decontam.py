@@ -116,65 +116,102 @@ def _merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-_SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
+_FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<long>"
+
+
+def _occurrences(wm: WuManber, column: pa.Array):
+    """Ranges of the texts, each with n_words, the merged spans and the items of its texts."""
+    get = wm.vocabulary.get
+    data, offsets = common.utf8(column)
+    raw = data.tobytes()
+    for lo, hi in common.pieces(offsets, _BATCH):
+        flat: list[int] = []
+        bounds = [0]
+        for k in range(lo, hi):
+            flat += [get(w, 0) for w in raw[offsets[k] : offsets[k + 1]].translate(_WORD).split()]
+            bounds.append(len(flat))
+        ids, at = np.array(flat, np.int64), np.array(bounds, np.int64)
+        starts, ends, hits = wm.search(ids, at)
+        doc = np.searchsorted(at, starts, "right") - 1
+        spans: list = [[] for _ in range(hi - lo)]
+        items: list = [[] for _ in range(hi - lo)]
+        for d in np.unique(doc).tolist():
+            mine = doc == d
+            spans[d] = [{"start": s - bounds[d], "end": e - bounds[d]} for s, e in _merge(starts[mine], ends[mine])]
+            items[d] = np.unique(hits[mine[hits[:, 0]], 1]).tolist()
+        yield lo, hi, np.diff(at), spans, items
 
 
 def _search_docs(docs: DataFrame, matcher) -> DataFrame:
-    """matcher: a broadcast WuManber."""
+    """matcher: a broadcast WuManber. The columns of docs (whole numbers, and text as the last), with what is found in place of text."""
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    keys = docs.columns[:-1]
 
     def one(batch: pa.RecordBatch):
-        wm = matcher.value
-        get = wm.vocabulary.get
-        ids_col = batch.column("doc_id")
-        data, offsets = common.utf8(batch.column("text"))
-        raw = data.tobytes()
-        for lo, hi in common.pieces(offsets, _BATCH):
-            flat: list[int] = []
-            bounds = [0]
-            for k in range(lo, hi):
-                flat += [get(w, 0) for w in raw[offsets[k] : offsets[k + 1]].translate(_WORD).split()]
-                bounds.append(len(flat))
-            ids, at = np.array(flat, np.int64), np.array(bounds, np.int64)
-            starts, ends, hits = wm.search(ids, at)
-            doc = np.searchsorted(at, starts, "right") - 1
-            spans: list = [[] for _ in range(hi - lo)]
-            items: list = [[] for _ in range(hi - lo)]
-            for d in np.unique(doc).tolist():
-                mine = doc == d
-                spans[d] = [{"start": s - bounds[d], "end": e - bounds[d]} for s, e in _merge(starts[mine], ends[mine])]
-                items[d] = np.unique(hits[mine[hits[:, 0]], 1]).tolist()
-            yield pa.RecordBatch.from_arrays([ids_col.slice(lo, hi - lo), pa.array(np.diff(at), pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "n_words", "spans", "items"])
-
-    return common.map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), one, _SCHEMA)
+        for lo, hi, n_words, spans, items in _occurrences(matcher.value, batch.column(len(keys))):
+            own = [batch.column(k).slice(lo, hi - lo) for k in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.int64()))], [*keys, "n_words", "spans", "items"])
 
+    return common.map_arrow(docs, one, "".join(f"{k} long, " for k in keys) + _FOUND)
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, merged word spans that benchmark windows cover, and the items that occur.
 
-    The benchmark's size is checked first. Up to block_bytes it is one broadcast matcher; beyond, its items are dealt
-    into blocks of about that size, all documents are searched for each block, and spans and items are merged.
-    """
-    spark = docs.sparkSession
+def _matchers(benchmark: DataFrame, window: int, block_bytes: int) -> list:
+    """Broadcast matchers. The benchmark's size is checked first; beyond block_bytes its items are dealt into blocks of about that size."""
+    spark = benchmark.sparkSession
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text is not null and item_id is not null")
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, common.ceil_div(size, block_bytes))
-    parts = []
+    out = []
     for b in range(blocks):
         mine = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         items = [(r[0], r[1].encode("utf-8", "surrogatepass")) for r in mine.collect()]
-        parts.append(_search_docs(docs, spark.sparkContext.broadcast(WuManber(items, window))))
-    if blocks == 1:
-        return parts[0]
-    tagged = parts[0]
-    for p in parts[1:]:
-        tagged = tagged.unionByName(p)
-    merged = tagged.groupBy("doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        out.append(spark.sparkContext.broadcast(WuManber(items, window)))
+    return out
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row, _row; written, so that it is the same for each block of the benchmark."""
+    return common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontamination-rows")
+
+
+def _search_blocks(rows: DataFrame, matchers: list) -> DataFrame:
+    """rows: _row, doc_id and text. All rows are searched for each block; spans and items are merged by row."""
+    tagged = _search_docs(rows, matchers[0])
+    for m in matchers[1:]:
+        tagged = tagged.unionByName(_search_docs(rows, m))
+    merged = tagged.groupBy("_row", "doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     fold = """aggregate(s, cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) ->
         CASE WHEN size(acc) > 0 AND x.start <= element_at(acc, -1).end
              THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end))))
              ELSE concat(acc, array(named_struct('start', x.start, 'end', x.end))) END)"""
-    return merged.select("doc_id", "n_words", F.expr(fold).alias("spans"), "items")
+    return merged.select("_row", "doc_id", "n_words", F.expr(fold).alias("spans"), "items")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, merged word spans that benchmark windows cover, and the items that occur: one row for each row of docs."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    matchers = _matchers(benchmark, window, block_bytes)
+    if len(matchers) == 1:
+        return _search_docs(docs, matchers[0])
+    return _search_blocks(_keyed(docs).select("_row", "doc_id", "text"), matchers).drop("_row")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns; each row has its own verdict, whatever its doc_id."""
+    matchers = _matchers(benchmark, window, block_bytes)
+    if len(matchers) > 1:
+        rows = _keyed(docs)
+        found = digest(_search_blocks(rows.select("_row", F.col("_row").alias("doc_id"), "text"), matchers))
+        gone = found.where("contaminated").select(F.col("doc_id").alias("_row"))
+        return rows.join(gone.hint("shuffle_hash"), "_row", "left_anti").drop("_row")
+    shared, at = matchers[0], docs.columns.index("text")
+
+    def one(batch: pa.RecordBatch):
+        for lo, hi, n_words, spans, _ in _occurrences(shared.value, batch.column(at)):
+            hit = np.array([sum(x["end"] - x["start"] for x in s) for s in spans])
+            yield batch.slice(lo, hi - lo).filter(pa.array((hit == 0) | (20 * hit < n_words)))
+
+    return common.map_arrow(docs, one, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -180,6 +180,20 @@ def test_decontamination(spark, texts):
     assert decontam.find_contamination(docs_of(spark, []), frame).count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_decontamination_by_row(spark, block_bytes):
+    first, second = " ".join(f"a{k}" for k in range(13)), " ".join(f"b{k}" for k in range(13))
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate([first, second] * 3)], "item_id long, text string")
+    free = " ".join(f"c{k}" for k in range(13))
+    rows = [(1, first), (1, first), (2, first), (2, second), (2, free), (None, first), (None, free), (None, free), (None, None), (3, None)]
+    found = decontam.digest(decontam.find_contamination(docs_of(spark, rows), bench, block_bytes=block_bytes)).collect()
+    want = [(d, 13 if t else 0, 13 if t in (first, second) else 0, 3 if t in (first, second) else 0, t in (first, second)) for d, t in rows]
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated)) for r in found)
+    kept = decontam.clean(docs_of(spark, rows), bench, block_bytes=block_bytes)
+    assert kept.columns == docs_of(spark, rows).columns
+    assert sorted(map(repr, [(r.doc_id, r.text) for r in kept.collect()])) == sorted(repr(r) for r in rows if r[1] not in (first, second))
+
+
 @pytest.mark.parametrize("bucket, group", [(4000, 1000), (3, 3)])
 def test_minhash(spark, texts, bucket, group):
     got = collected(minhash.near_duplicates(docs_of(spark, texts), shingle=2, bucket=bucket, group=group))

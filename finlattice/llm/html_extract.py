@@ -2,9 +2,11 @@
 
 A page is cut into blocks of text, each with its root-to-leaf tag path. Text length and punctuation are summed per path
 and divided by its blocks; both ratios are smoothed over neighbouring blocks, fused by their product, and the blocks at or
-above a threshold are content. The element that holds them best (an article or main element if there is one, else the
-deepest one that holds nearly all of their text) is the article: all its blocks are returned, short ones too, but for what
-is marked as menu, footer, sidebar, notice, advert, form, comments and the like.
+above a threshold are content, as are headings right before them. The article and main elements, if they hold half of
+the content or more, else the deepest element that holds all of it, are the article: all their blocks are returned, short
+ones too, but for what is marked as menu, footer, sidebar, notice, advert, form, comments and the like. Such a mark
+doesn't count on an article, on what holds a main element or the longest article, nor, where no article or main element
+is left, on what holds most of the text.
 
 Defined cases: null html counts as empty; a page without text gives ''; unclosed, truncated and stray tags are allowed;
 repeated rows give repeated rows; columns other than page_id, url and html are ignored.
@@ -25,7 +27,15 @@ from . import common
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-RAW = frozenset("script style noscript template textarea title select option button iframe object svg canvas math head".split())
+RAW = frozenset("script style noscript template textarea title select option button iframe object svg canvas math".split())
+#: Up to the end of the page if unclosed, as in browsers; other raw elements then end at the next tag.
+TO_END = frozenset(("script", "style"))
+#: The end of an option or button, or what shows that it is unclosed.
+BREAKS = {
+    "option": re.compile(r"(</option\s*(?:>|\Z))|<(?:option|optgroup|/optgroup|/select|/datalist)\b", re.I),
+    "button": re.compile(r"(</button\s*(?:>|\Z))|<(?:/?(?:article|aside|body|footer|form|header|html|li|main|nav|ol|section|table|td|ul)|button|h[1-6]|p)\b", re.I),
+}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements adsbygoogle sponsor sponsored promo promotion banner sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs "
@@ -39,33 +49,41 @@ _ATTR = re.compile(r"([A-Za-z:_-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.S)
 _WORDS = re.compile(r"[a-z]+")
 _PUNCT = re.compile(r"[.,;:!?。，؟¿¡]")
 SMOOTH = np.array([0.1, 0.2, 0.4, 0.2, 0.1])
-#: Share of the content text that the deepest container must hold.
-HOLD = 0.9
+_TAG = re.compile(r"<[A-Za-z/!?]")
+#: Class words that only say whether a page has something.
+_STATE = re.compile(r"\b(?:has|have|with|without|no)[-_]+[A-Za-z]+")
+#: Share of the content text that article and main elements must hold, and of a page's text that no mark may take.
+HOLD = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "aside", "main")
+    __slots__ = ("tag", "parent", "mark", "hidden", "aside", "main")
 
     def __init__(self, tag: str, parent: "Node | None", attrs: str):
         self.tag, self.parent = tag, parent
-        self.aside = parent.aside if parent else False
         self.main = tag in ("article", "main")
-        if not self.aside:
-            inside = parent is not None and parent.in_main()
-            self.aside = tag in ASIDE_TAGS or (tag == "header" and not inside)
-            if attrs and not self.aside and tag not in ("html", "body"):
-                for name, value in _ATTR.findall(attrs):
-                    name = name.lower()
-                    if name in ("class", "id", "role") and ASIDE_WORDS.intersection(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-                        self.aside = True
-                    if name in ("class", "id", "role") and not inside and "header" in _WORDS.findall(value.lower()):
-                        self.aside = True
-                    if name == "role" and "main" in value.lower():
-                        self.main = True
-                    if name == "style" and re.search(r"display\s*:\s*none", value, re.I) or name == "aria-hidden" and "true" in value.lower():
-                        self.aside = True
-                if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)):
-                    self.aside = True
+        inside = parent is not None and parent.in_main()
+        self.mark = tag in ASIDE_TAGS or (tag == "header" and not inside)
+        self.hidden = self.aside = False
+        if attrs and tag not in ("html", "body"):
+            for name, value in _ATTR.findall(attrs):
+                name = name.lower()
+                if name in ("class", "id", "role"):
+                    words = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", _STATE.sub(" ", value)).lower())
+                    if ASIDE_WORDS.intersection(words) or not inside and "header" in _WORDS.findall(value.lower()):
+                        self.mark = True
+                if name == "role" and "main" in value.lower():
+                    self.main = True
+                if name == "style" and re.search(r"display\s*:\s*none", value, re.I) or name == "aria-hidden" and "true" in value.lower():
+                    self.hidden = True
+            if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)):
+                self.hidden = True
+
+    def chain(self) -> "list[Node]":
+        out = [self]
+        while out[-1].parent is not None:
+            out.append(out[-1].parent)
+        return out
 
     def in_main(self) -> bool:
         node = self
@@ -115,6 +133,15 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
             node = node.parent
 
     at, n = 0, len(page)
+    absent: set[str] = set()
+
+    def closing(tag: str):
+        """The next end of a raw element; what has none isn't searched for again."""
+        found = None if tag in absent else re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
+        if found is None:
+            absent.add(tag)
+        return found
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -134,14 +161,20 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
             if node.parent is not None:
                 if tag in INLINE and any(x.tag not in INLINE for x in _between(top, node)):
                     continue  # a stray end of an inline element doesn't close blocks
-                if node.aside != node.parent.aside:
+                if node.mark or node.hidden:
                     end_block()
                 top = node.parent
             continue
-        if tag in RAW and tag != "head":
+        if tag in RAW:
             if not m.group(3).rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else n
+                close = BREAKS[tag].search(page, at) if tag in BREAKS else closing(tag)
+                if close and tag in BREAKS and not close.group(1):
+                    close = None
+                if close is None and tag not in TO_END:
+                    after = _TAG.search(page, at)
+                    at = after.start() if after else n
+                else:
+                    at = close.end() if close else n
             continue
         if tag in VOID:
             continue
@@ -150,7 +183,7 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
         if tag in CLOSED_BY:
             pop_to(CLOSED_BY[tag], frozenset(("ul", "ol", "dl", "table", "menu", "div", "article", "section")))
         node = Node(tag, top, m.group(3))
-        if node.aside != top.aside:
+        if node.mark or node.hidden:
             end_block()
         top = node
     end_block()
@@ -181,35 +214,68 @@ def path_scores(blocks: list[tuple[Node, str]]) -> np.ndarray:
     return smooth(text_ratio) * (1 + smooth(mark_ratio))
 
 
+def settle(blocks: list[tuple[Node, str]]) -> None:
+    """Decide for the nodes of all blocks which are aside."""
+    chains = [node.chain()[::-1] for node, _ in blocks]
+    size: dict[Node, int] = defaultdict(int)
+    for chain, (_, text) in zip(chains, blocks):
+        if not any(x.hidden for x in chain):
+            for x in chain:
+                size[x] += len(text)
+    longest = max((x for x in size if x.tag == "article"), key=lambda x: size[x], default=None)
+    needed = {y for x in size if x.main and x.tag != "article" or x is longest for y in x.chain()}
+
+    def mark(most: bool) -> bool:
+        """Set aside; whether an article or main element is left."""
+        left, seen = False, set()
+        for chain in chains:
+            in_article = False
+            for x in chain:
+                if x not in seen:
+                    seen.add(x)
+                    spared = x in needed or x.tag == "article" and not in_article or most and x.tag not in ("nav", "footer", "menu", "dialog") and size[x] > HOLD * size[chain[0]]
+                    x.aside = (x.parent is not None and x.parent.aside) or x.hidden or (x.mark and not spared)
+                    left = left or x.main and not x.aside
+                in_article = in_article or x.tag == "article"
+        return left
+
+    if not mark(False):
+        mark(True)
+
+
 def main_text(page: str | None) -> str:
-    found = [b for b in blocks_of(page or "") if not b[0].aside]
+    found = blocks_of(page or "")
+    settle(found)
+    found = [b for b in found if not b[0].aside]
     if not found:
         return ""
     scores = path_scores(found)
     content = scores >= min(scores.mean(), 0.5 * scores.max())
-    weight: dict[int, float] = defaultdict(float)
-    nodes: dict[int, Node] = {}
-    depth: dict[int, int] = {}
-    total = 0.0
-    for (node, text), chosen in zip(found, content):
-        if not chosen:
-            continue
-        total += len(text)
-        chain = [node]
-        while chain[-1].parent is not None:
-            chain.append(chain[-1].parent)
-        for k, x in enumerate(reversed(chain)):
-            weight[id(x)] += len(text)
-            nodes[id(x)], depth[id(x)] = x, k
-    mains = [i for i in weight if nodes[i].main and not (nodes[i].parent and nodes[i].parent.in_main() and nodes[i].parent.parent)]
-    mains = [i for i in mains if weight[i] > 0]
-    if mains:
-        best = nodes[max(mains, key=lambda i: (weight[i], -depth[i]))]
-        inner = [i for i in weight if nodes[i].tag == "article" and best is not nodes[i] and _inside(nodes[i], best) and weight[i] >= HOLD * weight[id(best)]]
-        if inner:
-            best = nodes[max(inner, key=lambda i: (weight[i], -depth[i]))]
-    else:
-        best = nodes[max((i for i in weight if weight[i] >= HOLD * total and nodes[i].tag not in INLINE and nodes[i].tag != "p"), key=lambda i: depth[i], default=next(iter(weight)))]
+    chains = [node.chain()[::-1] for node, _ in found]
+    for k in range(len(found) - 2, -1, -1):
+        if content[k + 1] and any(x.tag in HEADINGS for x in chains[k]):
+            content[k] = True
+    tops = [next((k for k, x in enumerate(chain) if x.main), None) for chain in chains]
+    total = sum(len(text) for (_, text), c in zip(found, content) if c)
+    held = sum(len(text) for (_, text), c, t in zip(found, content, tops) if c and t is not None)
+    if held and held >= HOLD * total:
+        keep: set[int] = set()
+        blocks: dict[Node, list[int]] = defaultdict(list)
+        for k, (chain, t) in enumerate(zip(chains, tops)):
+            if t is not None:
+                blocks[chain[t]].append(k)
+        in_article = [any(x.tag == "article" for x in chain) for chain in chains]
+        for mine in blocks.values():
+            narrow = any(content[k] for k in mine) and all(in_article[k] for k in mine if content[k])
+            keep.update(k for k in mine if in_article[k] or not narrow)
+        return " ".join(text for k, (_, text) in enumerate(found) if k in keep)
+    chosen = [chain for chain, c in zip(chains, content) if c]
+    depth = min(map(len, chosen))
+    while any(chain[depth - 1] is not chosen[0][depth - 1] for chain in chosen):
+        depth -= 1
+    best = chosen[0][depth - 1]
+    while best.parent is not None and (best.tag in INLINE or best.tag == "p" or best.tag in HEADINGS):
+        best = best.parent
     return " ".join(text for node, text in found if _inside(node, best))
 
 

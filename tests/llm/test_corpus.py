@@ -370,6 +370,25 @@ def test_html(spark):
     assert html_extract.extract(frame.where("page_id < 0")).count() == 0
 
 
+LONG = "<p>A long paragraph of the story, with commas, and with points. It goes on for a while, as stories do.</p>" * 3
+STORY = " ".join(["A long paragraph of the story, with commas, and with points. It goes on for a while, as stories do."] * 3)
+WHOLE_PAGES = {
+    f"<div class='layout has-sidebar'><nav>Menu</nav><article>{LONG}</article><div class='sidebar'>Side</div></div>": STORY,
+    f"<div class='sidebar-layout'><nav>Menu</nav><article class='post comments-open'>{LONG}</article></div><div id='comments'><article class='comment'><p>Not this.</p></article></div>": STORY,
+    f"<form id='form1'><div id='banner-wrap'><div id='menu'>Menu</div><div>{LONG}</div></div></form>": STORY,
+    f"<div><div><p>The lead, in short, comes first.</p></div><div>{LONG}{LONG}{LONG}</div><div><p>And so, at last, it ends.</p></div></div>": f"The lead, in short, comes first. {STORY} {STORY} {STORY} And so, at last, it ends.",
+    f"<main><article>{LONG}</article><article><p>A second one, shorter.</p></article></main>": f"{STORY} A second one, shorter.",
+    f"<datalist><option>One<option>Two</datalist><article>{LONG}</article><select><option>x</option></select>": STORY,
+    f"<div><button>Go</div><article>{LONG}</article><button>Stop</button>": STORY,
+    f"<article style='display:none'>Gone</article><article>{LONG}</article><script>if (a<b) 'unclosed": STORY,
+}
+
+
+@pytest.mark.parametrize("page", WHOLE_PAGES)
+def test_html_keeps_whole_articles(page):
+    assert html_extract.main_text(page) == WHOLE_PAGES[page]
+
+
 def test_html_on_test_pages(spark, sf_dir):
     import html
     import re

@@ -1,23 +1,25 @@
 """Exact removal of repeated byte strings by suffix arrays over shards.
 
 Every N-byte window has a minimiser, the least hash of the GRAM-byte strings in it, so equal windows have equal ones.
-Consecutive windows with one minimiser form a segment. Blocks of documents exchange minimiser hashes to learn which occur
-in two documents; only the segments of these can hold a repeat, and they go to the shard of their minimiser. A shard's
-suffix array is sorted by Larsson-Sadakane prefix doubling in numpy to depth N, only unsorted groups each round; Kasai's
-recurrence gives the common prefixes, and suffixes that share N bytes form a group. A shard too large for one array is cut
-into several, whose sorted windows are merged by binary search. A window goes if its group has a smaller doc_id.
-
-Copies of a segment within a block go in once, for the smallest doc_id; later ones are covered by it. So a hot passage
-costs a shard a segment a block. Minimiser hashes only select; equality is decided on the bytes, but for the copies within a
-block, which are matched by 128 bits. Defined cases: null text counts as empty; texts under N bytes keep all; rows that
-share a doc_id don't cover each other; a null doc_id covers nothing and keeps all; an empty table gives no rows; other
-columns are ignored.
+Consecutive windows with one minimiser form a segment. Groups of documents exchange minimiser hashes to learn which occur
+in two documents; only the segments of these can hold a repeat, and they go to the shard of their minimiser. Equal
+segments are folded, compared byte by byte: the smallest doc_id stands for all, copies with larger ids are covered. That
+happens in each group, then for every FAN rows of a shard until no shard has more, so a hot passage is a segment of at
+most FAN rows in one task. What differs is cut into arrays of at most MOST bytes, each sorted by Larsson-Sadakane prefix
+doubling in numpy to depth N, only unsorted groups each round; Kasai's recurrence gives the common prefixes, and suffixes
+that share N bytes form a group. The sorted windows of the arrays are merged by binary search. A window goes if its group
+has a smaller doc_id. Hashes only select; equality is always decided on the bytes.
+
+Rows exchanged: one for each group of GROUP_BYTES and bucket or shard, so few even where buckets grow with the corpus.
+Defined cases: null text counts as empty; texts under N bytes keep all; rows that share a doc_id don't cover each other; a
+null doc_id covers nothing and keeps all; repeated rows give repeated rows; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,14 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, GRAM = 50, 20
-BLOCK_BYTES = 4 << 20
+#: Text bytes hashed at once, and of a group of such blocks.
+BLOCK_BYTES, GROUP_BYTES = 4 << 20, 32 << 20
 #: Positions of one suffix array; ranks and positions then share a 64-bit sort key.
-MOST = (1 << 21) - 1
+MOST = 1 << 19
 #: Text bytes of a bucket of minimisers, and of a shard if all text were candidates (a segment repeats its overlap).
 BUCKET_BYTES, SHARD_BYTES, OVERLAP = 32 << 20, 16 << 20, 4
+#: Rows of a shard folded at once, and candidate bytes of a group folded at once.
+FAN, FOLD_BYTES = 256, 48 << 20
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
 
@@ -50,26 +55,38 @@ def _words(data: np.ndarray, n: int, kind: str = "<u8") -> np.ndarray:
     return np.ndarray((n,), kind, data, strides=(1,))
 
 
-# ---- blocks of documents and their segments
+# ---- groups of documents and their segments
 
+_PART = pa.struct([("ids", pa.binary()), ("known", pa.binary()), ("offsets", pa.binary()), ("bytes", pa.int64()), ("data", pa.binary())])
 
-def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents in blocks of about block_bytes, compressed: block, ids, known (0 for a null id), offsets, bytes, data."""
+
+def groups_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Documents in groups of about group_bytes, or what a task has: grp, bytes, parts (blocks, compressed; known: 0 for a null id)."""
 
     def run(batches):
-        part, n = TaskContext.get().partitionId(), 0
+        task, n, parts, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def group():
+            return pa.RecordBatch.from_arrays([pa.array([(task << 33) + n], pa.int64()), pa.array([size], pa.int64()), pa.array([parts], pa.list_(_PART))], ["grp", "bytes", "parts"])
+
         for batch in batches:
             ids = batch.column("doc_id")
             data, offsets = common.utf8(batch.column("text"))
             for lo, hi in common.pieces(offsets, block_bytes):
-                mine = ids.slice(lo, hi - lo)
-                raw = data[offsets[lo] : offsets[hi]]
-                cols = [pa.array([(part << 33) + n], pa.int64()), pa.array([_packed(mine.fill_null(0).to_numpy())]), pa.array([_packed(mine.is_valid().to_numpy(zero_copy_only=False))])]
-                cols += [pa.array([_packed(offsets[lo : hi + 1] - offsets[lo])]), pa.array([len(raw)], pa.int64()), pa.array([zstandard.ZstdCompressor(3).compress(raw.tobytes())])]
-                n += 1
-                yield pa.RecordBatch.from_arrays(cols, ["block", "ids", "known", "offsets", "bytes", "data"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, ids binary, known binary, offsets binary, bytes long, data binary")
+                mine, raw = ids.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]]
+                parts.append({
+                    "ids": _packed(mine.fill_null(0).to_numpy()), "known": _packed(mine.is_valid().to_numpy(zero_copy_only=False)), "offsets": _packed(offsets[lo : hi + 1] - offsets[lo]),
+                    "bytes": len(raw), "data": zstandard.ZstdCompressor(3).compress(raw.tobytes()),
+                })
+                size += len(raw)
+                if size >= group_bytes:
+                    yield group()
+                    n, parts, size = n + 1, [], 0
+        if parts:
+            yield group()
+
+    kind = "array<struct<ids:binary,known:binary,offsets:binary,bytes:long,data:binary>>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"grp long, bytes long, parts {kind}")
 
 
 class Block:
@@ -114,42 +131,65 @@ class Block:
         doc = np.searchsorted(self.offsets, starts, "right") - 1
         return common.mix64(low[starts] ^ np.uint64(0x5851F42D4C957F2D)), doc, starts, stops - starts
 
-    def keys(self, buckets: int) -> tuple[np.ndarray, ...]:
-        """Distinct minimisers by bucket, whether each occurs in two documents here, and each run's place among them."""
-        value, doc, starts, count = self.runs()
-        key = (value >> np.uint64(40)) % np.uint64(buckets) << np.uint64(40) | value & np.uint64((1 << 40) - 1)
-        distinct, place = np.unique(key, return_inverse=True)
-        ids = self.ids[doc]
-        low, high = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
-        np.minimum.at(low, place, ids)
-        np.maximum.at(high, place, ids)
-        return distinct, low != high, place, value, doc, starts, count
+
+@dataclass
+class Keys:
+    """The runs of a group (block, doc_id, first window, windows, minimiser) and its distinct minimisers by bucket."""
+
+    part: np.ndarray
+    ids: np.ndarray
+    starts: np.ndarray
+    count: np.ndarray
+    value: np.ndarray
+    distinct: np.ndarray
+    both: np.ndarray  # whether a distinct minimiser occurs in two documents of the group
+    place: np.ndarray  # of each run among the distinct minimisers
+
+
+def keys_of(parts: list[dict], buckets: int, n: int) -> Keys:
+    found = []
+    for k, row in enumerate(parts):
+        block = Block(row, n)
+        value, doc, starts, count = block.runs()
+        found.append((np.full(len(value), k, np.int32), block.ids[doc], starts, count, value))
+    part, ids, starts, count, value = (np.concatenate(x) for x in zip(*found))
+    key = (value >> np.uint64(40)) % np.uint64(buckets) << np.uint64(40) | value & np.uint64((1 << 40) - 1)
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    new = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
+    heads = np.flatnonzero(new)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    by_id = ids[order]
+    both = np.minimum.reduceat(by_id, heads) != np.maximum.reduceat(by_id, heads) if len(heads) else np.zeros(0, bool)
+    return Keys(part, ids, starts, count, value, ranked[heads], both, place)
 
 
 def _rows(batch: pa.RecordBatch):
     yield from batch.to_pylist()
 
 
-def minimisers(blocks: DataFrame, buckets: int, n: int) -> DataFrame:
-    """bucket, block and the sorted distinct minimisers of the block in the bucket (40 bits each), with a flag for each."""
+def minimisers(groups: DataFrame, buckets: int, n: int) -> DataFrame:
+    """bucket, grp and the sorted distinct minimisers of the group in the bucket (40 bits each), with a flag for each."""
 
     def one(batch: pa.RecordBatch):
         for row in _rows(batch):
-            distinct, both, *_ = Block(row, n).keys(buckets)
-            bucket = (distinct >> np.uint64(40)).astype(np.int64)
+            keys = keys_of(row["parts"], buckets, n)
+            bucket = (keys.distinct >> np.uint64(40)).astype(np.int64)
             at = np.searchsorted(bucket, np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(at))
-            low = distinct.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            keys = [low[at[k] : at[k + 1]].tobytes() for k in some]
-            flags = [np.packbits(both[at[k] : at[k + 1]]).tobytes() for k in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), pa.array(keys, pa.binary()), pa.array(flags, pa.binary())], ["bucket", "block", "keys", "flags"])
+            low = keys.distinct.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            for lo in range(0, len(some), 1000):
+                mine = some[lo : lo + 1000]
+                flags = [np.packbits(keys.both[at[k] : at[k + 1]]).tobytes() for k in mine]
+                cols = [pa.array(mine, pa.int32()), pa.array([row["grp"]] * len(mine), pa.int64()), pa.array([low[at[k] : at[k + 1]].tobytes() for k in mine], pa.binary()), pa.array(flags, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["bucket", "grp", "keys", "flags"])
 
-    return common.map_arrow(blocks, one, "bucket int, block long, keys binary, flags binary")
+    return common.map_arrow(groups, one, "bucket int, grp long, keys binary, flags binary")
 
 
 def repeated(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each block a bit for each of its minimisers, set if some other document has it."""
-    blocks = table.column("block").to_pylist()
+    """Of one bucket: for each group a bit for each of its minimisers, set if some other document has it."""
     keys, flags = [], []
     for k, f in zip(table.column("keys").to_pylist(), table.column("flags").to_pylist()):
         low = np.frombuffer(k, np.uint8).reshape(-1, 5)
@@ -158,77 +198,155 @@ def repeated(table: pa.Table) -> pa.Table:
         keys.append(wide.view("<u8").reshape(-1))
         flags.append(np.unpackbits(np.frombuffer(f, np.uint8), count=len(low)).astype(bool))
     ends = np.cumsum([0] + [len(k) for k in keys])
-    _, place, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    hit = count > 1
-    hit[place[np.concatenate(flags)]] = True
-    bits = [np.packbits(hit[place[a:b]]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
-    return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
-
-
-@lru_cache(2)
-def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for base in _BASES:
-        up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        out.append((np.multiply.accumulate(up), np.multiply.accumulate(down)))
-    return out
+    flat = np.concatenate(keys)
+    del keys
+    order = np.argsort(flat, kind="stable")
+    ranked = flat[order]
+    same = ranked[1:] == ranked[:-1]
+    hit = np.zeros(len(flat), bool)
+    hit[order[1:]] = same
+    hit[order[:-1]] |= same
+    hit |= np.concatenate(flags)
+    bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
+    return pa.table({"grp": table.column("grp"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
+
+
+@dataclass
+class Fold:
+    """Distinct segments with the smallest doc_id that holds each, its copies in that document, and what copies in others cover."""
+
+    texts: list[bytes]
+    ids: np.ndarray
+    code: np.ndarray  # of each copy: its segment, group and place in the group
+    owner: np.ndarray
+    start: np.ndarray
+    covered: np.ndarray  # rows of group, first byte, end
+
+
+def fold(texts: list[bytes], ids: np.ndarray, code: np.ndarray, owner: np.ndarray, start: np.ndarray) -> Fold:
+    """Fold equal segments; ids: of each text, code: the text of each copy."""
+    seen: dict[bytes, int] = {}
+    place = np.array([seen.setdefault(x, len(seen)) for x in texts], np.int64)
+    least = np.full(len(seen), np.iinfo(np.int64).max)
+    np.minimum.at(least, place, ids)
+    size = np.array([len(x) for x in texts], np.int64)
+    now = place[code]
+    later = ids[code] > least[now]
+    covered = np.stack([owner[later], start[later], start[later] + size[code[later]]], 1)
+    return Fold(list(seen), least, now[~later], owner[~later], start[~later], covered)
+
+
+def _spans(rows: np.ndarray):
+    """(group, packed spans) of rows of group, first byte, end; spans that overlap become one (not those that touch: they may lie in two documents)."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    for lo, hi in zip(*_bounds(rows[:, 0])):
+        a, b = rows[lo:hi, 1], np.maximum.accumulate(rows[lo:hi, 2])
+        head = np.append(True, a[1:] >= b[:-1])
+        yield int(rows[lo, 0]), _packed(np.stack([a[head], b[np.append(np.flatnonzero(head)[1:] - 1, len(b) - 1)]], 1))
+
+
+def _bounds(ranked: np.ndarray) -> tuple[list[int], list[int]]:
+    at = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, np.int64)
+    return at.tolist(), np.append(at[1:], len(ranked)).tolist() if len(at) else []
 
 
-_SEGMENTS = "shard int, block long, ids binary, doc binary, start binary, size binary, sub binary, data binary, direct binary"
+_SEGMENTS = "shard int, salt int, grp long, covered binary, ids binary, size binary, data binary, code binary, owner binary, start binary"
+_COLUMNS = ["shard", "salt", "grp", "covered", "ids", "size", "data", "code", "owner", "start"]
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 7]
 
 
-def segments(joined: DataFrame, buckets: int, shards: int, n: int) -> DataFrame:
-    """The candidate segments of each block, dealt to shards; `direct` has the spans that copies within the block settle."""
+def _batches(rows: list[tuple]):
+    for lo in range(0, len(rows), 500):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 500]), _KINDS)], _COLUMNS)
+
+
+def _segment_row(shard: int, salt: int, f: Fold, picked: np.ndarray, copies: np.ndarray) -> tuple:
+    """A row of the picked segments (sorted) and their copies."""
+    texts = [f.texts[k] for k in picked.tolist()]
+    size = np.array([len(x) for x in texts], np.int32)
+    data = zstandard.ZstdCompressor(1).compress(b"".join(texts))
+    return (shard, salt, None, None, _packed(f.ids[picked]), _packed(size), data, _packed(np.searchsorted(picked, f.code[copies]).astype(np.int32)), _packed(f.owner[copies]), _packed(f.start[copies].astype(np.int64)))
+
+
+def _covered_rows(shard: int, salt: int, rows: np.ndarray) -> list[tuple]:
+    return [(shard, salt, grp, spans, *[None] * 6) for grp, spans in _spans(rows)]
+
+
+def segments(joined: DataFrame, buckets: int, shards: int, salts: int, n: int) -> DataFrame:
+    """The folded candidate segments of each group, dealt to shards, and rows of what copies within the group cover."""
 
     def one(batch: pa.RecordBatch):
         for row in _rows(batch):
-            block = Block(row, n)
-            distinct, _, place, value, doc, starts, count = block.keys(buckets)
-            hit = np.zeros(len(distinct), bool)
-            bounds = np.searchsorted((distinct >> np.uint64(40)).astype(np.int64), np.arange(buckets + 1))
+            grp, keys = row["grp"], keys_of(row["parts"], buckets, n)
+            hit = np.zeros(len(keys.distinct), bool)
+            bounds = np.searchsorted((keys.distinct >> np.uint64(40)).astype(np.int64), np.arange(buckets + 1))
             for item in row["hits"] or []:
                 lo, hi = bounds[item["bucket"]], bounds[item["bucket"] + 1]
                 hit[lo:hi] = np.unpackbits(np.frombuffer(item["bits"], np.uint8), count=hi - lo)
-            pick = np.flatnonzero(hit[place]) if len(place) else place
-            if not len(pick):
-                continue
-            value, doc, starts, size = value[pick], doc[pick], starts[pick], count[pick] + n - 1
-            # copies of a segment within the block: the smallest doc_id stands for larger ones
-            same = np.zeros((3, len(pick)), np.uint64)
-            same[2] = size
-            for k, (up, down) in enumerate(_powers(1 << max(20, (block.size + 1).bit_length()))):
-                sums = np.zeros(block.size + 1, np.uint64)
-                np.cumsum((block.data[: block.size].astype(np.uint64) + np.uint64(1)) * up[: block.size], out=sums[1:])
-                same[k] = (sums[starts + size] - sums[starts]) * down[starts]
-            ids = block.ids[doc]
-            order = np.lexsort((ids, same[0], same[1], same[2]))
-            new = np.ones(len(order), bool)
-            new[1:] = (same[:, order[1:]] != same[:, order[:-1]]).any(axis=0)
-            first = np.flatnonzero(new)
-            least = ids[order[first]][np.cumsum(new) - 1]
-            later = np.zeros(len(order), bool)
-            later[order] = ids[order] > least
-            spans = np.stack([starts[later], starts[later] + size[later]], 1).astype(np.int64)
-            keep = np.flatnonzero(~later)
-            shard = ((value >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)[keep]
-            keep, shard = keep[np.argsort(shard, kind="stable")], np.sort(shard)
-            at = np.searchsorted(shard, np.arange(shards + 1))
-            rows = []
-            for s in np.flatnonzero(np.diff(at)).tolist():
-                mine = keep[at[s] : at[s + 1]]
-                text = b"".join([block.data[a : a + b].tobytes() for a, b in zip(starts[mine].tolist(), size[mine].tolist())])
-                rows.append((s, row["block"], _packed(ids[mine]), None, _packed(starts[mine].astype(np.int64)), _packed(size[mine].astype(np.int32)), _packed((value[mine] & np.uint64(255)).astype(np.uint8)), zstandard.ZstdCompressor(1).compress(text), None))
-            if len(spans):
-                rows.append((int(row["block"] % shards), row["block"], None, None, None, None, None, None, _packed(spans)))
-            for lo in range(0, len(rows), 500):
-                cols = list(zip(*rows[lo : lo + 500]))
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["shard", "block", "ids", "doc", "start", "size", "sub", "data", "direct"])
+            pick = np.flatnonzero(hit[keys.place]) if len(keys.place) else keys.place
+            base = np.cumsum([0] + [p["bytes"] for p in row["parts"]])
+            salt = int(common.mix64(np.array([grp], np.uint64))[0] % np.uint64(salts))
+            held: list[tuple] = []
+
+            def settled():
+                texts = [x for t, *_ in held for x in t]
+                ids, start, shard = (np.concatenate(x) for x in list(zip(*held))[1:])
+                f = fold(texts, ids, np.arange(len(texts)), np.full(len(texts), grp), start)  # noqa: B023
+                home = np.zeros(len(f.texts), np.int64)
+                # a segment's shard follows from its minimiser, so from its text
+                home[f.code] = shard[np.searchsorted(start, f.start)]
+                order, by = np.argsort(home, kind="stable"), np.argsort(home[f.code], kind="stable")
+                at, to = np.searchsorted(home[order], np.arange(shards + 1)), np.searchsorted(home[f.code][by], np.arange(shards + 1))
+                rows = [_segment_row(s, salt, f, np.sort(order[at[s] : at[s + 1]]), by[to[s] : to[s + 1]]) for s in np.flatnonzero(np.diff(at)).tolist()]  # noqa: B023
+                yield from _batches(rows + _covered_rows(grp % shards, salt, f.covered))  # noqa: B023
+
+            volume = 0
+            for k, part in enumerate(row["parts"]):
+                mine = pick[keys.part[pick] == k]
+                if not len(mine):
+                    continue
+                raw = Block(part, n).data.tobytes()
+                starts, size = keys.starts[mine], keys.count[mine] + n - 1
+                texts = [raw[a:b] for a, b in zip(starts.tolist(), (starts + size).tolist())]
+                held.append((texts, keys.ids[mine], starts + base[k], ((keys.value[mine] >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)))
+                volume += int(size.sum())
+                if volume >= FOLD_BYTES:
+                    yield from settled()
+                    held, volume = [], 0
+            if held:
+                yield from settled()
 
     return common.map_arrow(joined, one, _SEGMENTS)
 
 
+def gathered(table: pa.Table) -> tuple[list[tuple[int, bytes]], Fold]:
+    """The covered spans that pass through, and the fold of all segments of the rows."""
+    through, texts, ids, code, owner, start = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for batch in table.to_batches():
+        for row in batch.to_pylist():
+            if row["covered"]:
+                through.append((row["grp"], row["covered"]))
+                continue
+            raw, size = zstandard.ZstdDecompressor().decompress(row["data"]), _open(row["size"], np.int32)
+            ends = np.cumsum(size, dtype=np.int64)
+            code.append(_open(row["code"], np.int32) + len(texts))
+            texts += [raw[a:b] for a, b in zip((ends - size).tolist(), ends.tolist())]
+            ids.append(_open(row["ids"], np.int64))
+            owner.append(_open(row["owner"], np.int64))
+            start.append(_open(row["start"], np.int64))
+    return through, fold(texts, *(np.concatenate(x) for x in (ids, code, owner, start)))
+
+
+def fold_rows(table: pa.Table, fan: int) -> pa.Table:
+    """Rows of one shard and salt, folded to one row and to the rows of what is covered; the salt becomes the next level's."""
+    shard, salt = table.column("shard")[0].as_py(), table.column("salt")[0].as_py() // fan
+    through, f = gathered(table)
+    rows = [(shard, salt, grp, spans, *[None] * 6) for grp, spans in through] + _covered_rows(shard, salt, f.covered)
+    if f.texts:
+        rows.append(_segment_row(shard, salt, f, np.arange(len(f.texts)), np.arange(len(f.code))))
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], _COLUMNS)
+
+
 # ---- suffix arrays
 
 
@@ -360,52 +478,29 @@ def covered_windows(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, n: int
 
 
 def shard_spans(table: pa.Table, n: int, most: int) -> pa.Table:
-    """Of one shard: the spans that go, for each block. Sub-shards of the minimiser keep arrays small; equal windows share one."""
-    blocks, spans = [], []
-    texts, sizes, ids, subs, owner, start = [], [], [], [], [], []
-    for row in table.to_pylist():
-        if row["direct"]:
-            blocks.append(row["block"])
-            spans.append(row["direct"])
-        if row["data"]:
-            texts.append(zstandard.ZstdDecompressor().decompress(row["data"]))
-            sizes.append(_open(row["size"], np.int32).astype(np.int64))
-            ids.append(_open(row["ids"], np.int64))
-            subs.append(_open(row["sub"], np.uint8))
-            start.append(_open(row["start"], np.int64))
-            owner.append(np.full(len(sizes[-1]), row["block"], np.int64))
-    if texts:
-        raw = np.frombuffer(b"".join(texts), np.uint8)
-        del texts
-        sizes, ids, subs, owner, start = (np.concatenate(x) for x in (sizes, ids, subs, owner, start))
-        begin = np.cumsum(sizes) - sizes
-        n_sub = min(256, common.ceil_div(len(raw), most // 2))
-        got: dict[int, list[np.ndarray]] = {}
-        for sub in range(n_sub):
-            mine = np.flatnonzero(subs % n_sub == sub)
-            if not len(mine):
-                continue
-            size = sizes[mine]
-            at = np.repeat(begin[mine] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            gone = covered_windows(raw[at], size, ids[mine], n, most)
-            hit = np.flatnonzero(gone)
-            if not len(hit):
-                continue
+    """Of one shard: the spans that go, for each group."""
+    out, f = gathered(table)
+    rows = [f.covered]
+    if f.texts:
+        size = np.array([len(x) for x in f.texts], np.int64)
+        gone = covered_windows(np.frombuffer(b"".join(f.texts), np.uint8), size, f.ids, n, most)
+        hit = np.flatnonzero(gone)
+        if len(hit):
             ends = np.cumsum(size)
             seg = np.searchsorted(ends, hit, "right")
-            new = np.ones(len(hit), bool)
-            new[1:] = (hit[1:] != hit[:-1] + 1) | (seg[1:] != seg[:-1])
+            new = np.append(True, (hit[1:] != hit[:-1] + 1) | (seg[1:] != seg[:-1]))
             head = np.flatnonzero(new)
             tail = np.append(head[1:], len(hit)) - 1
-            place = start[mine][seg[head]] + hit[head] - (ends - size)[seg[head]]
-            rows = np.stack([place, place + (hit[tail] - hit[head]) + n], 1)
-            who = owner[mine][seg[head]]
-            for b in np.unique(who).tolist():
-                got.setdefault(b, []).append(rows[who == b])
-        for b, rows in got.items():
-            blocks.append(b)
-            spans.append(_packed(np.concatenate(rows).astype(np.int64)))
-    return pa.table({"block": pa.array(blocks, pa.int64()), "spans": pa.array(spans, pa.binary())})
+            code, lo, hi = seg[head], hit[head] - (ends - size)[seg[head]], hit[tail] - (ends - size)[seg[head]] + n
+            # each span holds for all copies of its segment
+            by = np.argsort(f.code, kind="stable")
+            first, last = np.searchsorted(f.code[by], code, "left"), np.searchsorted(f.code[by], code, "right")
+            count = last - first
+            span = np.repeat(np.arange(len(code)), count)
+            copy = by[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(span))]
+            rows.append(np.stack([f.owner[copy], f.start[copy] + lo[span], f.start[copy] + hi[span]], 1))
+    out += _spans(np.concatenate(rows))
+    return pa.table({"grp": pa.array([g for g, _ in out], pa.int64()), "spans": pa.array([s for _, s in out], pa.binary())})
 
 
 # ---- the result
@@ -417,46 +512,56 @@ _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 def _apply(joined: DataFrame, n: int, with_text: bool) -> DataFrame:
     def one(batch: pa.RecordBatch):
         for row in _rows(batch):
-            block = Block(row, n)
-            step = np.zeros(block.size + 1, np.int32)
-            for packed in row["hits"] or []:
-                spans = _open(packed, np.int64).reshape(-1, 2)
-                np.add.at(step, spans[:, 0], 1)
-                np.add.at(step, spans[:, 1], -1)
-            gone = np.cumsum(step[:-1]) > 0
-            size = np.diff(block.offsets)
-            new = gone.copy()
-            new[1:] &= ~gone[:-1]
-            edge = block.offsets[:-1][size > 0]
-            new[edge] = gone[edge]
-            removed = np.append(0, np.cumsum(gone))
-            runs = np.append(0, np.cumsum(new))
-            kept = block.data[: block.size][~gone].tobytes()
-            at = block.offsets - removed[block.offsets]
-            parts = [kept[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            result = parts if with_text else [hashlib.sha256(p).digest() for p in parts]
-            cols = [pa.array(block.ids, pa.int64(), mask=~block.known), pa.array(size, pa.int64()), pa.array(np.diff(removed[block.offsets]), pa.int64()), pa.array(np.diff(runs[block.offsets]), pa.int64()), pa.array(result, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            spans = [_open(packed, np.int64).reshape(-1, 2) for packed in row["hits"] or []]
+            spans = np.concatenate(spans) if spans else np.zeros((0, 2), np.int64)
+            spans = spans[np.argsort(spans[:, 0])]
+            base = 0
+            for part in row["parts"]:
+                block = Block(part, n)
+                lo, hi = np.searchsorted(spans[:, 0], [base, base + block.size])
+                step = np.zeros(block.size + 1, np.int32)
+                np.add.at(step, spans[lo:hi, 0] - base, 1)
+                np.add.at(step, spans[lo:hi, 1] - base, -1)
+                base += block.size
+                gone = np.cumsum(step[:-1]) > 0
+                size = np.diff(block.offsets)
+                new = gone.copy()
+                new[1:] &= ~gone[:-1]
+                edge = block.offsets[:-1][size > 0]
+                new[edge] = gone[edge]
+                removed = np.append(0, np.cumsum(gone))
+                runs = np.append(0, np.cumsum(new))
+                kept = block.data[: block.size][~gone].tobytes()
+                at = block.offsets - removed[block.offsets]
+                texts = [kept[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                result = texts if with_text else [hashlib.sha256(p).digest() for p in texts]
+                cols = [pa.array(block.ids, pa.int64(), mask=~block.known), pa.array(size, pa.int64()), pa.array(np.diff(removed[block.offsets]), pa.int64()), pa.array(np.diff(runs[block.offsets]), pa.int64()), pa.array(result, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return common.map_arrow(joined, one, _KEPT)
 
 
-def dedup(docs: DataFrame, n: int = WINDOW, with_text: bool = True, most: int = MOST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, n: int = WINDOW, with_text: bool = True, most: int = MOST, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept: the remaining bytes, or their SHA-256 without with_text."""
     spark = docs.sparkSession
-    blocks = common.written(blocks_of(docs, block_bytes), "blocks")
-    total = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    groups = common.written(groups_of(docs, block_bytes, group_bytes), "groups")
+    total, n_groups = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(common.partitions(spark), common.ceil_div(total, BUCKET_BYTES))
     shards = max(common.partitions(spark), common.ceil_div(OVERLAP * total, SHARD_BYTES))
-    found = minimisers(blocks, buckets, n).groupBy("bucket").applyInArrow(repeated, "block long, bucket int, bits binary")
-    bits = found.groupBy(F.col("block").alias("hit_block")).agg(F.collect_list(F.struct("bucket", "bits")).alias("hits"))
+    found = minimisers(groups, buckets, n).groupBy("bucket").applyInArrow(repeated, "grp long, bucket int, bits binary")
+    bits = found.groupBy(F.col("grp").alias("hit_grp")).agg(F.collect_list(F.struct("bucket", "bits")).alias("hits"))
 
     def with_hits(hits: DataFrame) -> DataFrame:
-        return blocks.join(hits.hint("shuffle_hash"), blocks["block"] == hits["hit_block"], "left").drop("hit_block")
-
-    parts = segments(with_hits(bits), buckets, shards, n)
-    spans = parts.groupBy("shard").applyInArrow(lambda t: shard_spans(t, n, most), "block long, spans binary")
-    spans = spans.groupBy(F.col("block").alias("hit_block")).agg(F.collect_list("spans").alias("hits"))
+        # the hash tables hold a bit for each minimiser, or the packed spans: some hundredth of the text
+        return groups.join(hits.hint("shuffle_hash"), groups["grp"] == hits["hit_grp"], "left").drop("hit_grp")
+
+    salts = common.ceil_div(n_groups, fan)
+    parts = segments(with_hits(bits), buckets, shards, max(1, salts), n)
+    while salts > 1:  # about `fan` rows of a shard to a salt; the next level has as many of their results
+        parts = parts.groupBy("shard", "salt").applyInArrow(lambda t: fold_rows(t, fan), _SEGMENTS)
+        salts = common.ceil_div(salts, fan)
+    spans = parts.groupBy("shard").applyInArrow(lambda t: shard_spans(t, n, most), "grp long, spans binary")
+    spans = spans.groupBy(F.col("grp").alias("hit_grp")).agg(F.collect_list("spans").alias("hits"))
     return _apply(with_hits(spans), n, with_text)
 
 

@@ -63,7 +63,7 @@ def test_suffix_dedup(spark, texts):
     want = brute.op1(texts)
     got = collected(suffix_dedup.digest(suffix_dedup.dedup(docs_of(spark, texts), with_text=False)))
     assert got == want
-    small = suffix_dedup.dedup(docs_of(spark, texts).repartition(3), most=2000, block_bytes=4000)
+    small = suffix_dedup.dedup(docs_of(spark, texts).repartition(3), most=2000, block_bytes=2000, group_bytes=5000, fan=2)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, brute.sha(bytes(r.kept))) for r in small.collect()} == want
 
 

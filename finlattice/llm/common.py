@@ -14,15 +14,19 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch sent to a Python worker.
 ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
+#: Shuffled bytes of a partition up to which it may become the hash table of a join.
+HASH_JOIN_BYTES = 32 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches and make sure that the checkpoint folder is known.
+    """Bound the Arrow batches and hash joins, and make sure that the checkpoint folder is known.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (tests) one is made up.
+    A shuffled join becomes a hash join only if every partition of its smaller side turns out to be small; others sort and
+    can spill. The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (tests) one is made up.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", str(HASH_JOIN_BYTES))
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
@@ -44,17 +48,23 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    _SCRATCH.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, to be swept once no result depends on it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
 _SCRATCH: list[str] = []
 
 
 def scratch() -> list[str]:
-    """The tables written so far by `written` and not yet swept."""
+    """The paths given out so far and not yet swept."""
     return list(_SCRATCH)
 
 
@@ -73,9 +83,18 @@ BROADCAST_IDS = 200_000
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id is among ids (one column, doc_id); rows that share an id share its fate."""
-    gone = written(ids.select(F.col("doc_id").cast("long").alias("_gone")).distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    name = free_name("_gone", docs)
+    gone = written(ids.select(F.col("doc_id").cast("long").alias(name)).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_anti")
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
@@ -114,20 +133,23 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
     return df.mapInArrow(run, schema)
 
 
-def bounded_groups(df: DataFrame, key: str, most: int, seed_col: str) -> DataFrame:
+def bounded_groups(df: DataFrame, key: str, most: int, seed_col: str, bytes_of: tuple[str, int] | None = None) -> DataFrame:
     """Split the groups of `key` so that every pair of rows of a group meets in some part of at most about 2 * most rows.
 
     A group of n rows gets b = ceil(n / most) blocks; part (i, j) holds blocks i and j, so a row is copied b times.
-    Groups of up to 2 * most rows stay whole. Adds the columns part_i, part_j and block (the row's own); rows alone in their group go.
+    bytes_of: a column of sizes and how much of it counts like `most` rows. Groups of up to 2 * most rows stay whole. Adds the columns part_i, part_j and block (the row's own); rows alone in their group go.
     """
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    blocks = F.when(F.col("_n") <= 2 * most, F.lit(1)).otherwise(F.ceil(F.col("_n") / most)).cast("int")
+    weight = F.count(F.lit(1)) / most
+    if bytes_of:
+        weight = F.greatest(weight, F.sum(bytes_of[0]) / bytes_of[1])
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), weight.alias("_w")).where("_n > 1")
+    blocks = F.when(F.col("_w") <= 2, F.lit(1)).otherwise(F.ceil("_w")).cast("int")
     out = df.join(sizes, key).withColumn("_b", blocks)
     mine = F.pmod(F.xxhash64(F.col(seed_col), F.lit("block")), F.col("_b")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("_b") - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
     whole = out.where("_b = 1").withColumns({"part_i": F.lit(0), "part_j": F.lit(0), "block": F.lit(0)})
     cut = out.where("_b > 1").withColumn("_p", F.explode(pair)).withColumns({"part_i": F.col("_p.i"), "part_j": F.col("_p.j"), "block": mine}).drop("_p")
-    return whole.unionByName(cut).drop("_n", "_b")
+    return whole.unionByName(cut).drop("_n", "_w", "_b")
 
 
 def map_runs(df: DataFrame, keys: list[str], function: Callable, schema: str, n: int | None = None) -> DataFrame:

@@ -32,11 +32,11 @@ from . import common
 
 WINDOW, GRAM = 50, 20
 #: Text bytes hashed at once, and of a group of such blocks.
-BLOCK_BYTES, GROUP_BYTES = 4 << 20, 32 << 20
+BLOCK_BYTES, GROUP_BYTES = 2 << 20, 12 << 20
 #: Positions of one suffix array; ranks and positions then share a 64-bit sort key.
 MOST = 1 << 19
 #: Text bytes of a bucket of minimisers, and of a shard if all text were candidates (a segment repeats its overlap).
-BUCKET_BYTES, SHARD_BYTES, OVERLAP = 32 << 20, 16 << 20, 4
+BUCKET_BYTES, SHARD_BYTES, OVERLAP = 64 << 20, 16 << 20, 4
 #: Rows of a shard folded at once, and candidate bytes of a group folded at once.
 FAN, FOLD_BYTES = 256, 48 << 20
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
@@ -552,8 +552,7 @@ def dedup(docs: DataFrame, n: int = WINDOW, with_text: bool = True, most: int =
     bits = found.groupBy(F.col("grp").alias("hit_grp")).agg(F.collect_list(F.struct("bucket", "bits")).alias("hits"))
 
     def with_hits(hits: DataFrame) -> DataFrame:
-        # the hash tables hold a bit for each minimiser, or the packed spans: some hundredth of the text
-        return groups.join(hits.hint("shuffle_hash"), groups["grp"] == hits["hit_grp"], "left").drop("hit_grp")
+        return groups.join(hits, groups["grp"] == hits["hit_grp"], "left").drop("hit_grp")
 
     salts = common.ceil_div(n_groups, fan)
     parts = segments(with_hits(bits), buckets, shards, max(1, salts), n)

@@ -4,8 +4,12 @@ The alphabet is the words of the benchmark, so a word that no benchmark text has
 Per window length there is a shift table over hashed blocks of two words; where it says zero, the bucket of the block
 that ends the window (with the block that begins it) selects the test strings, and a comparison of all words confirms.
 
-Defined cases: a null text has no words; a null or wordless benchmark text never occurs; repeated rows of documents
-give repeated rows; an empty benchmark leaves every document clean; columns other than doc_id and text are ignored.
+A benchmark beyond BLOCK_BYTES is cut into blocks, each with a matcher; all are broadcast (as files; a worker holds at most
+RESIDENT in memory), and a single pass over the documents searches a range of texts for every block in turn.
+
+Defined cases: a null text has no words; a null or wordless benchmark text, or one without item_id, never occurs; items
+that share an id count once; repeated rows of documents give repeated rows, each judged by itself, null ids included; an
+empty benchmark leaves every document clean; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -18,8 +22,9 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 13
-#: Benchmark bytes that one matcher holds; a larger benchmark is searched for in blocks of its items.
-BLOCK_BYTES = 4 << 20
+#: Benchmark bytes of one matcher, and how many matchers a worker keeps loaded.
+BLOCK_BYTES, RESIDENT = 4 << 20, 4
+#: Text bytes searched at once.
 _LANE, _TABLE_BITS, _BATCH = 128, 20, 4 << 20
 _WORD = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -33,37 +38,43 @@ class WuManber:
 
     def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        by_length: dict[int, tuple[list[np.ndarray], list[np.ndarray]]] = {}
-        for item_id, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            m = min(window, len(ids))
-            if m:
-                rows, owners = by_length.setdefault(m, ([], []))
-                rows.append(np.lib.stride_tricks.sliding_window_view(np.array(ids, np.int64), m))
-                owners.append(np.full(len(ids) - m + 1, item_id, np.int64))
-        self.groups = [self._tables(m, np.concatenate(rows), np.concatenate(owners)) for m, (rows, owners) in sorted(by_length.items())]
+        ids = [[self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)] for _, text in items]
+        size = np.array([len(x) for x in ids], np.int64)
+        self.text = np.array([w for x in ids for w in x], np.int32)  # a window is kept as the place where it begins here
+        first = np.cumsum(size) - size
+        length = np.minimum(size, window)
+        self.groups = []
+        for m in np.unique(length[length > 0]).tolist():
+            mine = np.flatnonzero(length == m)
+            count = size[mine] - m + 1
+            at = np.repeat(first[mine] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            self.groups.append(self._tables(m, at, np.repeat(np.array([items[k][0] for k in mine.tolist()], np.int64), count)))
 
     @staticmethod
     def _slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         mixed = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         return (common.mix64(mixed) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
-    def _tables(self, m: int, rows: np.ndarray, owners: np.ndarray) -> dict:
+    def _tables(self, m: int, at: np.ndarray, owners: np.ndarray) -> dict:
         block = min(2, m)
         shift = np.full(1 << _TABLE_BITS, m - block + 1, np.int16)
         for end in range(block - 1, m):  # a slot shared by several blocks keeps the smallest shift
-            np.minimum.at(shift, self._slot(rows[:, end - block + 1], rows[:, end]), np.int16(m - 1 - end))
-        patterns, which = np.unique(rows, axis=0, return_inverse=True)
-        which = which.reshape(-1)
-        key = self._bucket(patterns, block)
+            np.minimum.at(shift, self._slot(self.text[at + end - block + 1], self.text[at + end]), np.int16(m - 1 - end))
+        which = np.zeros(len(at), np.int64)  # equal windows get one number, a word at a time
+        for j in range(m):
+            which = np.unique(which << 32 | self.text[at + j], return_inverse=True)[1].reshape(-1)
+        patterns = np.zeros(int(which.max()) + 1, np.int64)
+        patterns[which] = at
+        key = self._bucket(self.text, patterns + m - 1, m, block)
         order = np.argsort(key, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         pairs = np.unique(np.stack([rank[which], owners], 1), axis=0)
         return {"m": m, "block": block, "shift": shift, "patterns": patterns[order], "keys": key[order], "first": np.searchsorted(pairs[:, 0], np.arange(len(order) + 1)), "owners": pairs[:, 1]}
 
-    def _bucket(self, rows: np.ndarray, block: int) -> np.ndarray:
-        return self._slot(rows[:, -block], rows[:, -1]) << _TABLE_BITS | self._slot(rows[:, 0], rows[:, block - 1])
+    def _bucket(self, ids: np.ndarray, ends: np.ndarray, m: int, block: int) -> np.ndarray:
+        """The bucket of the windows of m words that end at the given places: their last block and their first."""
+        return self._slot(ids[ends - block + 1], ids[ends]) << _TABLE_BITS | self._slot(ids[ends - m + 1], ids[ends - m + block])
 
     def search(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Occurrences in documents given as word ids: start word, end word (both in ids), and (occurrence, item) pairs."""
@@ -71,14 +82,14 @@ class WuManber:
         n = 0
         for g in self.groups:
             at = self._zero_shifts(g, ids, offsets)
-            rows = ids[at[:, None] + np.arange(1 - g["m"], 1)] if len(at) else np.zeros((0, g["m"]), np.int64)
-            key = self._bucket(rows, g["block"])
+            key = self._bucket(ids, at, g["m"], g["block"])
             low, high = np.searchsorted(g["keys"], key, "left"), np.searchsorted(g["keys"], key, "right")
             count = high - low
             where = np.repeat(np.arange(len(at)), count)
             pattern = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            same = (rows[where] == g["patterns"][pattern]).all(axis=1)
-            where, pattern = where[same], pattern[same]
+            for j in range(g["m"]):  # all words must agree
+                same = ids[at[where] - g["m"] + 1 + j] == self.text[g["patterns"][pattern] + j]
+                where, pattern = where[same], pattern[same]
             begin, end = g["first"][pattern], g["first"][pattern + 1]
             owners = np.repeat(np.arange(len(where)), end - begin)
             item = g["owners"][np.repeat(begin, end - begin) + np.arange(len(owners)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin)]
@@ -106,9 +117,9 @@ class WuManber:
         return np.sort(np.concatenate(found))
 
 
-def _merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for s, e in sorted(zip(starts.tolist(), ends.tolist())):
+    for s, e in sorted(spans):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
@@ -119,44 +130,32 @@ def _merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 _FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<long>"
 
 
-def _occurrences(wm: WuManber, column: pa.Array):
-    """Ranges of the texts, each with n_words, the merged spans and the items of its texts."""
-    get = wm.vocabulary.get
+def _occurrences(matchers: list, column: pa.Array):
+    """Ranges of the texts, each with n_words, the merged spans and the items of its texts. matchers: broadcast, one for each block."""
     data, offsets = common.utf8(column)
     raw = data.tobytes()
     for lo, hi in common.pieces(offsets, _BATCH):
-        flat: list[int] = []
-        bounds = [0]
-        for k in range(lo, hi):
-            flat += [get(w, 0) for w in raw[offsets[k] : offsets[k + 1]].translate(_WORD).split()]
-            bounds.append(len(flat))
-        ids, at = np.array(flat, np.int64), np.array(bounds, np.int64)
-        starts, ends, hits = wm.search(ids, at)
-        doc = np.searchsorted(at, starts, "right") - 1
-        spans: list = [[] for _ in range(hi - lo)]
-        items: list = [[] for _ in range(hi - lo)]
-        for d in np.unique(doc).tolist():
-            mine = doc == d
-            spans[d] = [{"start": s - bounds[d], "end": e - bounds[d]} for s, e in _merge(starts[mine], ends[mine])]
-            items[d] = np.unique(hits[mine[hits[:, 0]], 1]).tolist()
-        yield lo, hi, np.diff(at), spans, items
-
-
-def _search_docs(docs: DataFrame, matcher) -> DataFrame:
-    """matcher: a broadcast WuManber. The columns of docs (whole numbers, and text as the last), with what is found in place of text."""
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    keys = docs.columns[:-1]
-
-    def one(batch: pa.RecordBatch):
-        for lo, hi, n_words, spans, items in _occurrences(matcher.value, batch.column(len(keys))):
-            own = [batch.column(k).slice(lo, hi - lo) for k in range(len(keys))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.int64()))], [*keys, "n_words", "spans", "items"])
-
-    return common.map_arrow(docs, one, "".join(f"{k} long, " for k in keys) + _FOUND)
+        words = [raw[offsets[k] : offsets[k + 1]].translate(_WORD).split() for k in range(lo, hi)]
+        at = np.cumsum([0] + [len(w) for w in words])
+        spans: list = [[] for _ in words]
+        items: list = [[] for _ in words]
+        for n, shared in enumerate(matchers):
+            get = shared.value.vocabulary.get
+            starts, ends, hits = shared.value.search(np.array([get(w, 0) for mine in words for w in mine], np.int64), at)
+            if n >= RESIDENT:
+                shared.__dict__.pop("_value", None)  # loaded from its file again for the next range
+            doc = np.searchsorted(at, starts, "right") - 1
+            by, owner = np.argsort(doc, kind="stable"), doc[hits[:, 0]]
+            of = np.argsort(owner, kind="stable")
+            for d in np.unique(doc).tolist():
+                mine = by[slice(*np.searchsorted(doc[by], [d, d + 1]))]
+                spans[d] += zip((starts[mine] - at[d]).tolist(), (ends[mine] - at[d]).tolist())
+                items[d] += hits[of[slice(*np.searchsorted(owner[of], [d, d + 1]))], 1].tolist()
+        yield lo, hi, np.diff(at), [_merge(s) for s in spans], [sorted(set(x)) for x in items]
 
 
 def _matchers(benchmark: DataFrame, window: int, block_bytes: int) -> list:
-    """Broadcast matchers. The benchmark's size is checked first; beyond block_bytes its items are dealt into blocks of about that size."""
+    """Broadcast matchers, built one after the other. The benchmark's size is checked first; beyond block_bytes its items are dealt into blocks of about that size."""
     spark = benchmark.sparkSession
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("text is not null and item_id is not null")
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -169,46 +168,26 @@ def _matchers(benchmark: DataFrame, window: int, block_bytes: int) -> list:
     return out
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row, _row; written, so that it is the same for each block of the benchmark."""
-    return common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontamination-rows")
-
-
-def _search_blocks(rows: DataFrame, matchers: list) -> DataFrame:
-    """rows: _row, doc_id and text. All rows are searched for each block; spans and items are merged by row."""
-    tagged = _search_docs(rows, matchers[0])
-    for m in matchers[1:]:
-        tagged = tagged.unionByName(_search_docs(rows, m))
-    merged = tagged.groupBy("_row", "doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    fold = """aggregate(s, cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) ->
-        CASE WHEN size(acc) > 0 AND x.start <= element_at(acc, -1).end
-             THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end))))
-             ELSE concat(acc, array(named_struct('start', x.start, 'end', x.end))) END)"""
-    return merged.select("_row", "doc_id", "n_words", F.expr(fold).alias("spans"), "items")
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, merged word spans that benchmark windows cover, and the items that occur: one row for each row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     matchers = _matchers(benchmark, window, block_bytes)
-    if len(matchers) == 1:
-        return _search_docs(docs, matchers[0])
-    return _search_blocks(_keyed(docs).select("_row", "doc_id", "text"), matchers).drop("_row")
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def one(batch: pa.RecordBatch):
+        for lo, hi, n_words, spans, items in _occurrences(matchers, batch.column("text")):
+            found = [[{"start": a, "end": b} for a, b in s] for s in spans]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n_words, pa.int64()), pa.array(found, spans_type), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "n_words", "spans", "items"])
+
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), one, f"doc_id long, {_FOUND}")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns; each row has its own verdict, whatever its doc_id."""
-    matchers = _matchers(benchmark, window, block_bytes)
-    if len(matchers) > 1:
-        rows = _keyed(docs)
-        found = digest(_search_blocks(rows.select("_row", F.col("_row").alias("doc_id"), "text"), matchers))
-        gone = found.where("contaminated").select(F.col("doc_id").alias("_row"))
-        return rows.join(gone.hint("shuffle_hash"), "_row", "left_anti").drop("_row")
-    shared, at = matchers[0], docs.columns.index("text")
+    matchers, at = _matchers(benchmark, window, block_bytes), docs.columns.index("text")
 
     def one(batch: pa.RecordBatch):
-        for lo, hi, n_words, spans, _ in _occurrences(shared.value, batch.column(at)):
-            hit = np.array([sum(x["end"] - x["start"] for x in s) for s in spans])
+        for lo, hi, n_words, spans, _ in _occurrences(matchers, batch.column(at)):
+            hit = np.array([sum(b - a for a, b in s) for s in spans])
             yield batch.slice(lo, hi - lo).filter(pa.array((hit == 0) | (20 * hit < n_words)))
 
     return common.map_arrow(docs, one, docs.schema)

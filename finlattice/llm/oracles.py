@@ -5,8 +5,6 @@ Language ID, packing and HTML extraction have none, nor has PII: its added kinds
 
 from __future__ import annotations
 
-from .secret_ledger import BASE, RULES
-
 SUFFIX = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
 n AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
 w AS (SELECT doc_id, p, array_slice(b, p + 1, p + 50) AS w FROM n, LATERAL (SELECT unnest(range(0, greatest(n - 49, 0))) AS p)),
@@ -23,19 +21,31 @@ SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_remov
 FROM n JOIN h USING (doc_id) LEFT JOIN c USING (doc_id)"""
 
 
+# kind, pattern, group that must be long enough, its least length, group that is the finding. RE2 has no look-behind: the
+# character before a jwt is in its match, but not in the finding, which ends where the match ends.
+_RULES = [
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, 0),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20, 0),
+    ("hex", r"[0-9a-f]+", 0, 24, 0),
+    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0, 0),
+    ("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+)", 1, 0, 1),
+]
+_BASE = ("assign", "access", "hex")
+
+
 def _secrets() -> str:
     parts = []
-    for k, rule in enumerate(RULES):
-        p = "'" + rule.pattern.replace("'", "''") + "'"
-        parts.append(f"SELECT doc_id, {k} AS rule, '{rule.kind}' AS kind, {rule.least} AS least, regexp_split_to_array(text, {p}) AS gaps, regexp_extract_all(text, {p}, 0) AS hits, regexp_extract_all(text, {p}, {rule.secret}) AS secrets FROM t WHERE regexp_matches(text, {p})")
-    kinds = ", ".join(f"CAST(count(*) FILTER (kind = '{k}') AS BIGINT) AS n_{k}" for k in BASE)
-    base = ", ".join(f"'{k}'" for k in BASE)
+    for k, (kind, pattern, group, least, finding) in enumerate(_RULES):
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"SELECT doc_id, {k} AS rule, '{kind}' AS kind, {least} AS least, regexp_split_to_array(text, {p}) AS gaps, regexp_extract_all(text, {p}, 0) AS hits, regexp_extract_all(text, {p}, {group}) AS secrets, regexp_extract_all(text, {p}, {finding}) AS found FROM t WHERE regexp_matches(text, {p})")
+    kinds = ", ".join(f"CAST(count(*) FILTER (kind = '{k}') AS BIGINT) AS n_{k}" for k in _BASE)
+    base = ", ".join(f"'{k}'" for k in _BASE)
     return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({" UNION ALL ".join(parts)}),
-x AS (SELECT doc_id, rule, kind, i, length(hits[i]) AS len, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: length(g))), 0) AS a, length(secrets[i]) >= least AS fine
+x AS (SELECT doc_id, rule, kind, length(found[i]) AS len, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(hits[1:i], lambda g: length(g))) AS z, length(secrets[i]) >= least AS fine
     FROM m, LATERAL (SELECT unnest(range(1, len(hits) + 1)) AS i)),
-s AS (SELECT doc_id, rule, kind, CAST(a AS BIGINT) AS a, concat_ws(':', kind, CAST(a AS BIGINT), CAST(a + len AS BIGINT)) AS span FROM x WHERE fine),
+s AS (SELECT doc_id, rule, kind, CAST(z - len AS BIGINT) AS a, concat_ws(':', kind, CAST(z - len AS BIGINT), CAST(z AS BIGINT)) AS span FROM x WHERE fine),
 g AS (SELECT doc_id, {kinds}, string_agg(span, ',' ORDER BY a, rule) FILTER (kind IN ({base})) AS base, string_agg(span, ',' ORDER BY a, rule) AS spans FROM s GROUP BY doc_id)
-SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (doc_id)"""
+SELECT t.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (doc_id)"""
 
 
 EMBEDDINGS = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

@@ -1,8 +1,9 @@
 """Secret scans over an incremental blob ledger, in DataFrame operations only.
 
-Every version of a text is a blob addressed by the SHA-256 of its bytes. Only (blob, rule, version) triples that the
-ledger doesn't hold are scanned, once per blob however many paths (document ids) carry it; findings are then joined back
-to all paths. The text of a blob comes from one row that carries it, matched on blob and id, so copies of a hot text stay spread.
+Every version of a text is a blob addressed by the SHA-256 of its bytes. An anti-join with the ledger leaves the pairs of
+blob and rule version that it doesn't hold; only these are scanned, once per blob however many paths (document ids) carry
+it, and added to the ledger. Findings are then joined back to all paths. The text of a blob comes from one row that carries
+it, matched on blob and id, so copies of a hot text stay spread.
 
 Defined cases: null text counts as empty; a null doc_id is a path like any other; repeated rows give repeated rows; an
 empty table gives no rows; other columns are ignored. Offsets are code points, ends exclusive.
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -39,12 +40,28 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    # entered once for each run of its characters and never backed up in, so linear
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++"),
 )
 BASE = ("assign", "access", "hex")
 LEDGER_SCHEMA = "blob binary, rule string, findings array<struct<start:bigint,end:bigint>>"
 
 
+class Ledger:
+    """A ledger kept as Parquet files in a folder (made in the shared one by default); it is only ever added to."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or common.scratch_path(spark, "ledger")
+        self.empty = path is None
+
+    def read(self) -> DataFrame | None:
+        return None if self.empty else self.spark.read.schema(LEDGER_SCHEMA).parquet(self.path)
+
+    def append(self, entries: DataFrame) -> None:
+        entries.write.mode("append").parquet(self.path)
+        self.empty = False
+
+
 def _lit(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -63,16 +80,15 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
 
     entries holds a row for every (blob, rule version) scanned now, findings or not, so that the next scan skips it.
     """
-    tags = [r.tag for r in rules]
-    every = F.array(*[F.lit(t) for t in tags])
-    paths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    paths = paths.withColumn("blob", F.unhex(F.sha2("text", 256)))
-    blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("rep")).withColumn("need", every)
+    every = F.array(*[F.lit(r.tag) for r in rules])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("blob", F.unhex(F.sha2("text", 256)))
+    paths = common.written(rows.select("doc_id", "blob"), "paths")
+    pairs = paths.groupBy("blob").agg(F.min("doc_id").alias("rep")).select("blob", "rep", F.explode(every).alias("rule"))
     if ledger is not None:
-        seen = ledger.where(F.col("rule").isin(tags)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("need", F.array_except("need", F.coalesce("seen", F.array().cast("array<string>")))).where("size(need) > 0")
-    blobs = blobs.select(F.col("blob").alias("b_blob"), "rep", "need")
-    texts = paths.join(blobs.hint("shuffle_hash"), (F.col("blob") == F.col("b_blob")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("blob", "need", "text")
+        pairs = pairs.join(ledger.select("blob", "rule").distinct(), ["blob", "rule"], "left_anti")
+    blobs = common.written(pairs.groupBy(F.col("blob").alias("b_blob")).agg(F.first("rep").alias("rep"), F.collect_set("rule").alias("need")), "unseen")
+    texts = rows.join(blobs, (F.col("blob") == F.col("b_blob")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("blob", "need", "text")
     lists = ", ".join(_matches(r, n) for n, r in enumerate(rules))
     raw = texts.select("blob", F.explode(F.expr(f"concat({lists})")).alias("m")).select("blob", "m.*").distinct()
     before = Window.partitionBy("blob", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -85,7 +101,17 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     number = F.array_position(every, F.col("rule")) - 1
     mine = F.filter(F.coalesce("hits", F.array().cast(found.schema["hits"].dataType)), lambda h: h["rule"] == number)
     entries = entries.select("blob", "rule", F.transform(mine, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))).alias("findings"))
-    return joined(paths.select("doc_id", "blob"), found, ledger, rules), entries
+    return joined(paths, found, ledger, rules), entries
+
+
+def scan_arrivals(arrivals: list[DataFrame], ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scan batches of documents one after the other against a ledger that each adds to: the paths of all with their findings."""
+    out = None
+    for docs in arrivals:
+        paths, entries = scan(docs, ledger.read(), rules)
+        ledger.append(entries)
+        out = paths if out is None else out.unionByName(paths)
+    return out
 
 
 def joined(paths: DataFrame, found: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:

@@ -5,17 +5,19 @@ bucket the packed signatures are compared by bit counts, and a pair goes on when
 five standard deviations of the threshold. What goes on is a spanning forest of each bucket, whose components are the
 candidate groups; in these the full sets decide, again up to a spanning forest. So components lose no link that the bands
 find (a pair at 0.8 shares one of BANDS bands with probability over 0.9999) and no group is ever written out as pairs.
-Documents with the same set are one node. Buckets and groups beyond BUCKET and GROUP rows are cut into blocks, so no task
-holds more; `confirmed` says how blocks meet.
+Documents with the same set are one node. Buckets and groups beyond BUCKET and GROUP rows, or GROUP_BYTES of text, are cut
+into blocks, so no task holds more; `confirmed` says how blocks meet.
 
 Words are runs of anything but ASCII white space, A-Z lower-cased. A set is the distinct shingles of `shingle` words; with
-fewer words the whole sequence is the one shingle. Shingles are 64-bit hashes. Defined cases: null, empty and blank texts
+fewer words the whole sequence is the one shingle. Signatures hash shingles to 64 bits, mixing eight bytes of a word at a
+time; links are confirmed on the words themselves, without a hash. Defined cases: null, empty and blank texts
 have no shingles and link with nothing; rows that share a doc_id are one node; a null doc_id links with nothing and is
 kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import lru_cache
 
@@ -31,17 +33,15 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, B_BITS = 32, 6, 4
 PERMS = BANDS * ROWS
 BUCKET, GROUP = 4000, 1000
+#: Text bytes of a block of a group; at most twice as many meet in a task, and more only in texts that are longer alone.
+GROUP_BYTES = 32 << 20
 _PIECE = 1 << 20
-_FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint64) + np.uint64(1)
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_FOLD = np.frombuffer(_LOWER, np.uint8)
 _BLANK = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+#: The low k bytes of a 64-bit word, and the length from which words are hashed one by one.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LONG = 256
 
 
 @lru_cache(1)
@@ -56,7 +56,6 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    up, down = _powers(1 << max(20, (n).bit_length()))
     solid = ~_BLANK[data]
     begin, end = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
@@ -65,11 +64,21 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     begin[edges] = solid[edges]
     last = offsets[1:][offsets[1:] > 0] - 1
     end[last] = solid[last]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(end)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_FOLD[data] * up[:n], out=sums[1:])
-    hashes = (sums[ends + 1] - sums[starts]) * down[starts]
-    hashes = common.mix64(hashes ^ (ends - starts + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    folded = np.zeros(n + 8, np.uint8)
+    folded[:n] = _FOLD[data]
+    eight = np.ndarray((n + 1,), "<u8", folded, strides=(1,))
+    size = ends - starts
+    hashes = size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    short = np.flatnonzero(size < _LONG)
+    at, left = starts[short], size[short]
+    while len(short):
+        lane = eight[at] & _MASK[np.minimum(left, 8)]
+        hashes[short] = common.mix64(hashes[short] * np.uint64(0xA0761D6478BD642F) ^ common.mix64(lane + np.uint64(0x9E3779B97F4A7C15)))
+        more = left > 8
+        short, at, left = short[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size >= _LONG).tolist():
+        hashes[k] = int.from_bytes(hashlib.blake2b(folded[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
     return hashes, np.searchsorted(starts, offsets, "left")
 
 
@@ -95,6 +104,25 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[n
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), ends
 
 
+def shingle_codes(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """The distinct shingles of each text as numbers, the same for the same words and for no others."""
+    vocabulary: dict[bytes, int] = {}
+    whole: dict[tuple, int] = {}
+    ids = [[vocabulary.setdefault(w, len(vocabulary)) for w in t.translate(_LOWER).split()] for t in texts]
+    at = np.cumsum([0] + [len(x) for x in ids])
+    flat = np.array([w for x in ids for w in x], np.int64)
+    codes = flat[: max(0, len(flat) - shingle + 1)]
+    for j in range(1, shingle):
+        codes = np.unique(codes << 32 | flat[j : j + len(codes)], return_inverse=True)[1].reshape(-1)
+    out = []
+    for k, mine in enumerate(ids):
+        if len(mine) >= shingle:
+            out.append(np.unique(codes[at[k] : at[k + 1] - shingle + 1]))
+        else:
+            out.append(np.array([-1 - whole.setdefault(tuple(mine), len(whole))] if mine else [], np.int64))
+    return out
+
+
 def minima(flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """PERMS minima for each non-empty set."""
     starts = ends[:-1][np.diff(ends) > 0]
@@ -200,9 +228,10 @@ def _group_edges(shingle: int, numerator: int, denominator: int):
         for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
             part = table.slice(lo, hi - lo)
             ids = part.column("doc_id").to_numpy()
-            flat, ends = shingle_sets(*common.utf8(part.column("text")), shingle)
-            codes = np.unique(flat, return_inverse=True)[1].reshape(-1)
-            size = np.diff(ends)
+            sets = shingle_codes([x or b"" for x in part.column("text").cast(pa.large_binary()).to_pylist()], shingle)
+            size = np.array([len(s) for s in sets], np.int64)
+            ends = np.append(0, np.cumsum(size))
+            codes = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
             mark = np.zeros(int(codes.max()) + 1 if len(codes) else 1, np.int64)
 
             def near(u: int, others: np.ndarray) -> np.ndarray:
@@ -225,15 +254,16 @@ def _group_edges(shingle: int, numerator: int, denominator: int):
 
 
 def _blocked(rows: DataFrame, key: str, most: int, name: str, by: str = "doc_id") -> DataFrame:
-    """rows with `name`, the block of about `most` rows of its key that a row is in, and `name`_n, the number of blocks."""
-    sizes = rows.groupBy(key).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / most)).cast("int").alias(f"{name}_n"))
+    """rows with `name`, the block of about `most` rows and GROUP_BYTES of its key that a row is in, and `name`_n, the number of blocks."""
+    weight = F.greatest(F.count(F.lit(1)) / most, F.sum("n_bytes") / GROUP_BYTES)
+    sizes = rows.groupBy(key).agg(F.greatest(F.lit(1), F.ceil(weight)).cast("int").alias(f"{name}_n"))
     return rows.join(sizes, key).withColumn(name, F.pmod(F.xxhash64(by, F.lit("block")), F.col(f"{name}_n")).cast("int"))
 
 
 def confirmed(texts: DataFrame, maybe: DataFrame, shingle: int, percent: int, group: int) -> DataFrame:
-    """Edges a, b of full sets that connect each group as all its links would. texts: grp, doc_id, text; maybe: a, b.
+    """Edges a, b of full sets that connect each group as all its links would. texts: grp, doc_id, n_bytes, text; maybe: a, b.
 
-    Groups of up to 2 * group documents are compared in one task. A larger one is dealt into blocks; links within blocks and
+    Groups of up to 2 * group documents and 2 * GROUP_BYTES are compared in one task. A larger one is dealt into blocks; links within blocks and
     those of the candidate edges come first, and only documents outside its largest component so far, the strays, are then
     compared with all others, in blocks of strays against blocks of the rest. If links are plain, as among edited copies of
     one text, there are few strays and the work is linear; at worst every two blocks meet.
@@ -244,7 +274,7 @@ def confirmed(texts: DataFrame, maybe: DataFrame, shingle: int, percent: int, gr
     def within(rows: DataFrame, keys: list[str]) -> DataFrame:
         return common.map_runs(rows.select(*keys, "doc_id", "text"), keys, exact, edges)
 
-    sizes = common.written(texts.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * group).select("grp"), "large")
+    sizes = common.written(texts.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("b")).where((F.col("n") > 2 * group) | (F.col("b") > 2 * GROUP_BYTES)).select("grp"), "large")
     if not sizes.take(1):
         return within(texts, ["grp"])
     small = within(texts.join(sizes, "grp", "left_anti"), ["grp"])
@@ -254,9 +284,9 @@ def confirmed(texts: DataFrame, maybe: DataFrame, shingle: int, percent: int, gr
     pairs = ends.join(large.select("doc_id", "text"), "doc_id")
     first = common.written(inside.unionByName(within(pairs, ["a", "b"])), "first-links")
     roots = components(first).select(F.col("node").alias("doc_id"), "root")
-    placed = common.written(large.select("grp", "doc_id", "part", "part_n").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "placed")
+    placed = common.written(large.select("grp", "doc_id", "n_bytes", "part", "part_n").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")), "placed")
     main = placed.groupBy("grp", "root").count().groupBy("grp").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    stray = common.written(_blocked(placed.join(main, "grp").where("root <> main").select("grp", "doc_id", "part_n"), "grp", group, "side"), "strays")
+    stray = common.written(_blocked(placed.join(main, "grp").where("root <> main").select("grp", "doc_id", "n_bytes", "part_n"), "grp", group, "side"), "strays")
     if not stray.take(1):
         return small.unionByName(first)
     counts = stray.groupBy("grp").agg(F.first("side_n").alias("side_n"))
@@ -264,7 +294,7 @@ def confirmed(texts: DataFrame, maybe: DataFrame, shingle: int, percent: int, gr
     met = stray.select("doc_id", "grp", F.explode(F.sequence(F.lit(0), F.col("part_n") - 1)).alias("part"), "side")
     bodies = large.select("grp", "doc_id", "text")
     across = within(rest.unionByName(met).join(bodies, ["grp", "doc_id"]), ["grp", "part", "side"])
-    among = common.bounded_groups(stray.select("grp", "doc_id"), "grp", group, "doc_id").join(bodies, ["grp", "doc_id"])
+    among = common.bounded_groups(stray.select("grp", "doc_id", "n_bytes"), "grp", group, "doc_id", ("n_bytes", GROUP_BYTES)).drop("n_bytes").join(bodies, ["grp", "doc_id"])
     return small.unionByName(first).unionByName(across).unionByName(within(among, ["grp", "part_i", "part_j"]))
 
 
@@ -283,7 +313,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80,
     groups = components(maybe)
     # Rows of one id and other texts would meet here too; the join on the id takes them as one node.
     cand = groups.select(F.col("node").alias("cand_id"), F.col("root").alias("grp"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(cand.hint("shuffle_hash"), F.col("doc_id") == F.col("cand_id")).select("grp", "doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(cand, F.col("doc_id") == F.col("cand_id")).select("grp", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     sure = confirmed(common.written(texts, "candidates"), maybe, shingle, percent, group)
     roots = components(sure).select(F.col("node").alias("rep"), "root")
     named = common.written(reps.join(roots, "rep", "left").select(*sets, F.coalesce("root", "rep").alias("root")), "roots")

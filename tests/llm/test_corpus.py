@@ -462,3 +462,55 @@ def test_minhash_hot_group(spark, group):
     got = collected(minhash.near_duplicates(docs_of(spark, rows), shingle=2, bucket=50, group=group))
     assert got == brute.op8(rows)
     assert 1 < len({v[1] for v in got.values()}) < len(got)
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_minhash_keeps_words_apart(spark):
+    one = thue_morse(1 << 12)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, other), (3, one.upper()), (4, one[:255]), (5, one[:256]), (6, "a" * 8), (7, "a" * 9), (8, "A" * 9)]
+    assert collected(minhash.near_duplicates(docs_of(spark, rows), shingle=2)) == brute.op8(rows)
+
+
+def test_shingle_codes_agree_with_sets():
+    texts = [b"a b c d a b c", b"A  b\tC", b"x", b"", b"a b", b"b a b", b"\xc3\xa9 \xc3\x89 z"]
+    for n in (1, 2, 5):
+        codes = minhash.shingle_codes(texts, n)
+        plain = []
+        for t in texts:
+            w = t.translate(minhash._LOWER).split()
+            plain.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+        assert [len(c) for c in codes] == [len(s) for s in plain]
+        assert [[len(np.intersect1d(x, y)) for y in codes] for x in codes] == [[len(x & y) for y in plain] for x in plain]
+
+
+def test_minhash_cuts_groups_by_bytes(spark, monkeypatch):
+    rng = random.Random(6)
+    start = [f"h{k}" for k in range(400)]
+    rows = []
+    for k in range(40):
+        now = list(start)
+        for _ in range(rng.choice([1, 9, 19, 23, 40])):
+            now[rng.randrange(400)] = f"e{rng.randrange(10**9)}"
+        rows.append((rng.randrange(10**6), " ".join(now)))
+    monkeypatch.setattr(minhash, "GROUP_BYTES", 8000)
+    assert collected(minhash.near_duplicates(docs_of(spark, rows), shingle=2)) == brute.op8(rows)
+
+
+def test_secrets_of_long_runs_take_linear_time(spark):
+    rows = [(1, "eyJ" * 340_000), (2, "-eyJ" * 250_000), (3, "token " * 150_000), (4, "eyJhbGciOiJ.eyJzdWIiOi.abc .eyJhbGciOiJ.eyJzdWIiOi.abc -eyJhbGciOiJ.eyJzdWIiOi.abc"), (5, "AKIA" * 200_000)]
+    got = {r.doc_id: r.spans for r in secret_ledger.digest(secret_ledger.scan(docs_of(spark, rows))[0]).collect()}
+    assert got == {1: "", 2: "", 3: "", 4: "jwt:0:26,jwt:28:54", 5: "access:0:800000"}
+
+
+def test_secret_ledger_over_arrivals(spark, texts):
+    rows = texts + texts[5:30]
+    ledger = secret_ledger.Ledger(spark)
+    parts = [docs_of(spark, rows[k::3]) for k in range(3)]
+    got = sorted(map(repr, secret_ledger.digest(secret_ledger.scan_arrivals(parts, ledger)).collect()))
+    assert got == sorted(map(repr, secret_ledger.digest(secret_ledger.scan(docs_of(spark, rows))[0]).collect()))
+    held = [(bytes(r.blob), r.rule) for r in ledger.read().collect()]
+    assert len(held) == len(set(held)) == len(secret_ledger.RULES) * len({t or "" for _, t in rows})

@@ -1,8 +1,9 @@
 """Near-duplicate vectors by Euclidean p-stable hashing, confirmed by exact cosines.
 
-Normalised vectors of cosine c lie sqrt(2 - 2c) apart. Each of TABLES tables quantises PROJECTIONS random Gaussian
-projections to cells of width CELL; vectors that share label, table and cells meet, and their cosine decides. A pair at
-0.98 collides in a table with probability 0.15, so all tables miss it with probability 1e-5, and a closer one hardly ever.
+Normalised vectors of cosine c lie sqrt(2 - 2c) apart. Each table quantises some random Gaussian projections to cells of
+width CELL; vectors that share label, table and cells meet, and their cosine decides. `plan` takes as many projections as
+keep unrelated vectors of the largest label apart (their number grows with the logarithm of its rows, so the work for a
+vector hardly grows), and as many tables as miss a pair at the threshold with probability MISS, closer ones hardly ever.
 A bucket only yields a spanning forest of its links. The links of a vector all lie in its component, so they are then
 counted there, over all pairs of the component, in blocks: no link inside a component depends on a bucket.
 
@@ -13,6 +14,7 @@ repeated rows are vectors of their own that share an id; an empty table gives no
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -24,15 +26,34 @@ from . import common
 from .components import components
 from .minhash import spanning
 
-LEAST, TABLES, PROJECTIONS, CELL = 0.98, 72, 5, 0.5
+LEAST, CELL, MISS = 0.98, 2.0, 1e-5
+#: Unrelated vectors that a vector may meet in all its tables together, as expected for right angles.
+CHANCE = 0.5
 BUCKET = 1000
 _ROWS = 256
 
 
+def collision(distance: float, cell: float = CELL) -> float:
+    """Probability that two points at a distance share a cell of one projection."""
+    r = cell / distance
+    return math.erf(r / math.sqrt(2)) - math.sqrt(2 / math.pi) / r * (1 - math.exp(-r * r / 2))
+
+
+def plan(rows: int, least: float = LEAST) -> tuple[int, int]:
+    """(tables, projections of each) for labels of up to `rows` vectors."""
+    near, far = collision(math.sqrt(2 - 2 * least)), collision(math.sqrt(2))
+    projections = 1
+    while True:
+        tables = math.ceil(math.log(MISS) / math.log1p(-(near**projections)))
+        if tables * far**projections * rows <= CHANCE:
+            return tables, projections
+        projections += 1
+
+
 @lru_cache(4)
-def _projections(dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _projections(dim: int, tables: int, projections: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(dim)
-    return rng.normal(size=(dim, TABLES * PROJECTIONS)), rng.uniform(0, CELL, TABLES * PROJECTIONS)
+    return rng.normal(size=(dim, tables * projections)), rng.uniform(0, CELL, tables * projections)
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -41,17 +62,17 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def keys(unit: np.ndarray, label: np.ndarray) -> np.ndarray:
+def keys(unit: np.ndarray, label: np.ndarray, tables: int, projections: int) -> np.ndarray:
     """A 64-bit bucket key for each row and table."""
-    direction, shift = _projections(unit.shape[1])
-    cells = np.floor((unit @ direction + shift) / CELL).astype(np.int64).astype(np.uint64).reshape(len(unit), TABLES, PROJECTIONS)
-    out = common.mix64(label.astype(np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93) + np.arange(TABLES, dtype=np.uint64) + np.uint64(unit.shape[1] << 32))
-    for k in range(PROJECTIONS):
+    direction, shift = _projections(unit.shape[1], tables, projections)
+    cells = np.floor((unit @ direction + shift) / CELL).astype(np.int64).astype(np.uint64).reshape(len(unit), tables, projections)
+    out = common.mix64(label.astype(np.uint64)[:, None] * np.uint64(0xD6E8FEB86659FD93) + np.arange(tables, dtype=np.uint64) + np.uint64(unit.shape[1] << 32))
+    for k in range(projections):
         out = common.mix64(out * np.uint64(0xA0761D6478BD642F) + cells[:, :, k])
     return out.view(np.int64)
 
 
-def _clean(rows: DataFrame) -> DataFrame:
+def _clean(rows: DataFrame, tables: int, projections: int) -> DataFrame:
     """vec_id, label and the normalised vector as bytes (null where it links with nothing) with its cells' keys."""
 
     def one(batch: pa.RecordBatch):
@@ -68,7 +89,7 @@ def _clean(rows: DataFrame) -> DataFrame:
             at, x = at[fine], x[fine]
             if len(at):
                 u = units(x)
-                key = keys(u, np.array([labels[k] for k in at.tolist()], np.int64))
+                key = keys(u, np.array([labels[k] for k in at.tolist()], np.int64), tables, projections)
                 for k, row, c in zip(at.tolist(), u, key):
                     unit[k], cells[k] = row.tobytes(), c
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(unit, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], ["vec_id", "label", "unit", "cells"])
@@ -87,9 +108,15 @@ def _bucket_edges(least: float):
         raw = table.column("unit").combine_chunks()
         size = np.diff(starts)
         a, b = [], []
-        for lo, hi in zip(starts[:-1][size > 1].tolist(), starts[1:][size > 1].tolist()):
-            x = np.frombuffer(b"".join(raw.slice(lo, hi - lo).to_pylist()), float).reshape(hi - lo, -1)
-            for u, v in spanning(hi - lo, lambda u, others: x[others] @ x[u] >= least):  # noqa: B023
+        two = starts[:-1][size == 2]
+        first, second = (raw.take(pa.array(two + j)).to_pylist() for j in (0, 1))
+        if len({len(v) for v in first + second}) == 1:  # vectors of one length, as usual
+            x, y = (np.frombuffer(b"".join(v), float).reshape(len(two), -1) for v in (first, second))
+            two = two[(x * y).sum(axis=1) >= least - 1e-12]
+        pairs = [(int(lo), 2) for lo in two] + list(zip(starts[:-1][size > 2].tolist(), size[size > 2].tolist()))
+        for lo, n in pairs:
+            x = np.frombuffer(b"".join(raw.slice(lo, n).to_pylist()), float).reshape(n, -1)
+            for u, v in spanning(n, lambda u, others: x[others] @ x[u] >= least):  # noqa: B023
                 a.append(int(ids[lo + u]))
                 b.append(int(ids[lo + v]))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -121,7 +148,8 @@ def _link_counts(least: float):
 
 def near_duplicates(rows: DataFrame, least: float = LEAST, bucket: int = BUCKET) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row."""
-    clean = common.written(_clean(rows).withColumns({"h1": F.xxhash64("label", "unit"), "h2": F.xxhash64(F.lit("second"), "label", "unit")}), "units")
+    largest = rows.where("label is not null").groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+    clean = common.written(_clean(rows, *plan(largest, least)).withColumns({"h1": F.xxhash64("label", "unit"), "h2": F.xxhash64(F.lit("second"), "label", "unit")}), "units")
     good = clean.where("unit is not null and vec_id is not null")
     same = ["label", "h1", "h2"]
     reps = common.written(good.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "heads")

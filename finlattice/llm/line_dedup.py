@@ -1,12 +1,17 @@
 """Line dedup over levelled sorted runs of line hashes, in DataFrame operations only.
 
-A run is a Parquet table of (h1, h2, n_docs, last_doc) sorted by the 128-bit hash of the line key. Each batch of
-documents adds a run on level 0; when a level has FANOUT runs they are merged into one of the next level. A batch is then
-merged against the runs: lines whose key is frequent and whose document isn't the last that holds it go (an anti-join).
+A run is a table of (h1, h2, n_docs, last_doc), bucketed and sorted by the 128-bit hash of the line key, so merges and
+anti-joins of runs move nothing between executors. Each batch of documents is merge-anti-joined with the runs: keys that a
+run already settles (frequent, with a later document) add nothing and go; the rest is the batch's own run on level 0. When
+a level has FANOUT runs they are compacted into one of the next. In the end lines go whose key is frequent and whose
+document isn't the last that holds it.
+
+Documents are read once for the hashes of all batches, once for the lines that go, and once to cut these out. That join
+broadcasts what documents lose if it is small; else it sorts and can spill.
 
 Defined cases: null or empty text is one empty line; each row counts as one document, so repeated rows count again, and
 all rows with the largest doc_id keep their lines; a null doc_id never is the largest; an empty table gives no rows;
-other columns pass through `apply`.
+other columns pass through `apply`, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,9 +21,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_CHARS, MIN_DOCS, FANOUT = 40, 5, 4
+MIN_CHARS, MIN_DOCS, FANOUT = 40, 5, 2
 #: Frequent keys up to this count are broadcast (24 bytes each); beyond it the join shuffles.
 BROADCAST_KEYS = 200_000
+#: Documents that lose lines, and lines that they lose, up to which both are broadcast (some 10 MB).
+BROADCAST_DOCS, BROADCAST_LINES = 100_000, 300_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Spark's literals have no \f: it would be the letter f.
 _STRIP = "trim(BOTH ' \\t\\n\\u000B\\u000C\\r' FROM l)"
@@ -33,22 +40,49 @@ def _hashes(least: int) -> Column:
 
 
 class LineRuns:
-    """The levelled runs of one corpus, in the shared folder."""
+    """The levelled runs of one corpus, in the shared folder; close() when no more is to be read from them."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT, min_chars: int = MIN_CHARS):
-        self.spark, self.fanout, self.min_chars = spark, fanout, min_chars
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS):
+        self.spark, self.fanout, self.min_chars, self.min_docs = spark, fanout, min_chars, min_docs
+        self.buckets = common.partitions(spark)
         self.levels: list[list[DataFrame]] = []
+        self._tables: list[str] = []
+        self._paths: list[str] = []
 
-    def lines(self, docs: DataFrame) -> DataFrame:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_hashes(self.min_chars)).alias("h")).select("doc_id", "h.h1", "h.h2")
+    def lines(self, docs: DataFrame, batch: Column | None = None) -> DataFrame:
+        batch = F.lit(0) if batch is None else batch
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), batch.alias("batch"), F.explode(_hashes(self.min_chars)).alias("h")).select("doc_id", "batch", "h.h1", "h.h2")
 
     def add(self, docs: DataFrame) -> None:
-        """Add the run of a batch of documents, then compact the levels that are full."""
-        stats = self.lines(docs).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        """Add a batch of documents."""
+        self.add_batches(docs, F.lit(0), 1)
+
+    def add_batches(self, docs: DataFrame, batch: Column, n: int) -> None:
+        """Add the batches 0 to n - 1 of docs, one after the other; the documents are read once for all."""
+        mine = lambda k, c: F.when(F.col("batch") == k, c)
+        counts = [F.count(mine(k, F.lit(1))).alias(f"n_{k}") for k in range(n)] + [F.max(mine(k, F.col("doc_id"))).alias(f"last_{k}") for k in range(n)]
+        stats = self._stored(self.lines(docs, batch).groupBy("h1", "h2").agg(*counts), "line-stats")
+        for k in range(n):
+            self._add(stats.where(F.col(f"n_{k}") > 0).select("h1", "h2", F.col(f"n_{k}").alias("n_docs"), F.col(f"last_{k}").alias("last_doc")))
+
+    def _add(self, stats: DataFrame) -> None:
+        for run in [r for level in self.levels for r in level]:
+            old = run.where(F.col("n_docs") >= self.min_docs).select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("last_doc").alias("old"))
+            settled = (F.col("h1") == F.col("o1")) & (F.col("h2") == F.col("o2")) & F.coalesce(F.col("old") >= F.col("last_doc"), F.col("last_doc").isNull())
+            stats = stats.join(old.hint("merge"), settled, "left_anti")
         self._put(0, stats)
 
+    def _stored(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows as a table in as many buckets as shuffles have partitions, sorted by the hash."""
+        path = common.scratch_path(self.spark, name)
+        label = path.rsplit("/", 1)[1].replace("-", "_")
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(label)
+        self._tables.append(label)
+        self._paths.append(path)
+        return self.spark.table(label)
+
     def _put(self, level: int, stats: DataFrame) -> None:
-        run = common.written(stats.sortWithinPartitions("h1", "h2"), f"line-run-{level}")
+        run = self._stored(stats, f"line-run-{level}")
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
@@ -56,64 +90,78 @@ class LineRuns:
             full, self.levels[level] = self.levels[level], []
             self._put(level + 1, self._merge(full))
 
-    @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        if len(runs) == 1:
-            return runs[0]
-        both = runs[0]
-        for run in runs[1:]:
-            both = both.unionByName(run)
-        return both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-
-    def frequent(self, min_docs: int = MIN_DOCS) -> DataFrame:
+    def _merge(self, runs: list[DataFrame]) -> DataFrame:
+        """The runs as one, two at a time: a full join of bucketed tables moves nothing. (Spark 4.1 ignores buckets under a union.)"""
+        out = runs[0]
+        for k, run in enumerate(runs[1:]):
+            if k:
+                out = self._stored(out, "line-merge")
+            other = run.select("h1", "h2", F.col("n_docs").alias("n"), F.col("last_doc").alias("last")).hint("merge")
+            zero = F.lit(0).cast("long")
+            out = out.join(other, ["h1", "h2"], "full").select("h1", "h2", (F.coalesce("n_docs", zero) + F.coalesce("n", zero)).alias("n_docs"), F.greatest("last_doc", "last").alias("last_doc"))
+        return out
+
+    def frequent(self) -> DataFrame:
         runs = [r for level in self.levels for r in level]
-        return self._merge(runs).where(F.col("n_docs") >= min_docs).select("h1", "h2", "last_doc")
+        return self._merge(runs).where(F.col("n_docs") >= self.min_docs).select("h1", "h2", "last_doc")
 
-    def drops(self, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-        """doc_id and the hashes of the lines that this batch loses against the runs."""
-        keys = common.written(self.frequent(min_docs), "line-keys")
+    def close(self) -> None:
+        for label in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {label}")
+        common.sweep(self.spark, self._paths)
+        self._tables, self._paths, self.levels = [], [], []
+
+    def drops(self, docs: DataFrame) -> DataFrame:
+        """doc_id and the hashes of the lines that these documents lose; a written table."""
+        keys = common.written(self.frequent(), "line-keys")
         if keys.count() <= BROADCAST_KEYS:
             keys = F.broadcast(keys)
         lost = self.lines(docs).join(keys, ["h1", "h2"]).where(F.coalesce(F.col("doc_id") < F.col("last_doc"), F.col("last_doc").isNotNull()))
-        return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
-
-    def apply(self, docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-        """docs with the columns _ld_all and _ld_kept (arrays of lines)."""
-        lost = self.drops(docs, min_docs).select(F.col("doc_id").alias("_ld_id"), F.col("lost").alias("_ld_lost"))
-        both = docs.join(lost.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("_ld_id")), "left").drop("_ld_id")
-        both = both.withColumn("_ld_all", F.expr("split(coalesce(text, ''), '\\n', -1)"))
+        return common.written(lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost")), "lost-lines")
+
+    def apply(self, docs: DataFrame) -> DataFrame:
+        """docs with the columns ALL and KEPT (arrays of lines) at the end."""
+        lost = self.drops(docs)
+        rows, lines = lost.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lost")), F.lit(0))).first()
+        lost = lost.select(F.col("doc_id").alias(_LOST[0]), F.col("lost").alias(_LOST[1]))
+        if rows <= BROADCAST_DOCS and lines <= BROADCAST_LINES:
+            lost = F.broadcast(lost)
+        both = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(F.col(_LOST[0])), "left")
         key = _KEY.replace("(k)", f"({_STRIP})").replace("translate(k,", f"translate({_STRIP},")
-        gone = f"array_contains(_ld_lost, named_struct('h1', xxhash64({key}), 'h2', xxhash64('second', {key})))"
-        keep = f"CASE WHEN _ld_lost IS NULL THEN _ld_all ELSE filter(_ld_all, l -> NOT {gone}) END"
-        return both.withColumn("_ld_kept", F.expr(keep)).drop("_ld_lost")
+        gone = f"array_contains({_LOST[1]}, named_struct('h1', xxhash64({key}), 'h2', xxhash64('second', {key})))"
+        lines = "split(coalesce(text, ''), '\\n', -1)"
+        kept = f"CASE WHEN {_LOST[1]} IS NULL THEN {lines} ELSE filter({lines}, l -> NOT {gone}) END"
+        return both.select(*[docs[f"`{c}`"] for c in docs.columns], F.expr(lines).alias(ALL), F.expr(kept).alias(KEPT))
 
 
-def arrivals(docs: DataFrame, bits: int = 2) -> list[DataFrame]:
-    """All documents dealt into 2 ** bits batches by the leading bits of a hash of the id."""
-    part = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("batch")), 64 - bits)
-    return [docs.where(part == k) for k in range(1 << bits)]
+#: Names that no table has: other columns can't clash with them.
+ALL, KEPT = "line_dedup: all lines", "line_dedup: kept lines"
+_LOST = ("line_dedup_lost_4f1d_id", "line_dedup_lost_4f1d_lines")
+BATCHES = 4
 
 
-def dedup_lines(docs: DataFrame, batches: list[DataFrame] | None = None, fanout: int = FANOUT) -> DataFrame:
-    """Add the batches (default: arrivals(docs)), which together hold all documents, to fresh runs and apply these to docs."""
+def dedup_lines(docs: DataFrame, batch: Column | None = None, n: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """Add all documents in n batches (default: by a hash of the id) to fresh runs and apply these to all."""
     runs = LineRuns(docs.sparkSession, fanout)
-    for batch in batches or arrivals(docs):
-        runs.add(batch)
-    return runs.apply(docs)
+    runs.add_batches(docs, F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(n)) if batch is None else batch, n)
+    out = runs.apply(docs)
+    runs.close()
+    return out
 
 
 def cleaned(applied: DataFrame) -> DataFrame:
     """The documents themselves: text without the lines that go, and n_chars to match; null text stays null."""
-    text = F.when(F.col("text").isNotNull(), F.array_join("_ld_kept", "\n"))
+    text = F.when(F.col("text").isNotNull(), F.array_join(F.col(f"`{KEPT}`"), "\n"))
     out = applied.withColumn("text", text)
     if "n_chars" in applied.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(applied.schema["n_chars"].dataType))
-    return out.drop("_ld_all", "_ld_kept")
+    return out.drop(ALL, KEPT)
 
 
 def digest(applied: DataFrame) -> DataFrame:
     """The columns of the query."""
+    lines, kept = F.col(f"`{ALL}`"), F.col(f"`{KEPT}`")
     return applied.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.size("_ld_all").cast("long").alias("n_lines"), (F.size("_ld_all") - F.size("_ld_kept")).cast("long").alias("n_dropped"),
-        F.sha2(F.array_join("_ld_kept", "\n"), 256).alias("kept_sha256"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped"),
+        F.sha2(F.array_join(kept, "\n"), 256).alias("kept_sha256"),
     )

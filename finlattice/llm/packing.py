@@ -4,7 +4,7 @@ A document's ids (with the end id) are cut at every LENGTH ids; the pieces form
 wide. A linear program over patterns (how many pieces of each class share a sequence) is solved on the driver: knapsack
 dynamic programming prices new columns until none improves. The solution is rounded down, what is left is filled first-fit
 decreasing, and the pieces, ranked within their class, are dealt to the slots of the patterns on the executors. The driver
-only sees the histogram, of at most LENGTH / WIDTH classes times SALTS counts, whatever the corpus.
+only sees the histogram, of at most LENGTH / WIDTH classes, and a count for every RANKED pieces of a class.
 
 Defined cases: null or empty text has the end id alone; repeated rows are packed each; an empty table gives no rows;
 columns other than doc_id and text are ignored.
@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LENGTH, WIDTH, END_ID, SALTS = 2048, 8, 1, 64
-#: Words that a worker keeps tokenised.
-CACHE = 250_000
+LENGTH, WIDTH, END_ID = 2048, 8, 1
+#: Pieces of a class that one task ranks.
+RANKED = 250_000
+#: Bytes of words and ids that a worker keeps, with what Python adds to each; words from LONG bytes on go to the tokenizer each time.
+CACHE_BYTES, ENTRY_BYTES, LONG = 96 << 20, 200, 64
 _PRUNE = 1e-9
 _LATIN = re.compile("[a-zß-öø-ÿ]+")
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -39,13 +41,14 @@ class Words:
 
     White space ends tokens in this tokenizer and words don't affect each other, so a text's ids are those of its words.
     Words of Latin letters are one pre-token that no normaliser changes once lower-cased; they are merged many at a time.
-    All others, and texts with "<|" in them as a whole, are left to the tokenizer. Ids are kept as little-endian bytes.
+    All others, and texts with "<|" in them as a whole, are left to the tokenizer; neither these nor long words are kept.
+    Ids are kept as little-endian bytes. The table is emptied between batches once it holds `most` bytes.
     """
 
-    def __init__(self, path: str, most: int = CACHE):
+    def __init__(self, path: str, most: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.held = Tokenizer.from_file(path), most, 0
         model = json.loads(self.tokenizer.to_str())["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level vocabularies: these bytes are themselves, others follow from 256 on
@@ -99,18 +102,19 @@ class Words:
     def _learn(self, words: list[bytes]) -> None:
         low = b"\n".join(words).decode("utf-8", "replace").lower().split("\n")
         fast = [k for k, w in enumerate(low) if _LATIN.fullmatch(w)]
-        if fast:
-            self.table.update(zip([words[k] for k in fast], self.merged([low[k].encode() for k in fast])))
-        slow = [w for w in words if w not in self.table]
-        self.table.update(zip(slow, self._encoded(slow)))
+        got = dict(zip([words[k] for k in fast], self.merged([low[k].encode() for k in fast]))) if fast else {}
+        slow = [w for w in words if w not in got]
+        got.update(zip(slow, self._encoded(slow)))
+        self.held += sum(len(w) + len(i) + ENTRY_BYTES for w, i in got.items())
+        self.table.update(got)
 
     def _encoded(self, texts: list[bytes]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The ids of documents laid end to end."""
-        if len(self.table) > self.most:
-            self.table = {}
+        if self.held > self.most:
+            self.table, self.held = {}, 0
         low = _LOWER[data]
         # a space before a mark that follows an ASCII letter changes no id, as tokens end there anyway
         cut = np.flatnonzero(_MARK[low[1:]] & _LETTER[low[:-1]]) + 1
@@ -124,9 +128,10 @@ class Words:
                 if b"<|" in (text := raw[offsets[k] : offsets[k + 1]]):
                     whole[k], split[k] = text, []
         new = set().union(*split) - self.table.keys()
-        if new:
-            self._learn(sorted(new))
-        get = self.table.__getitem__
+        long = sorted(w for w in new if len(w) >= LONG)
+        if len(new) > len(long):
+            self._learn(sorted(new.difference(long)))
+        get = (self.table if not long else self.table | dict(zip(long, self._encoded(long)))).__getitem__
         out = [b"".join(map(get, words)) for words in split]
         for k, got in zip(whole, self._encoded(list(whole.values()))):
             out[k] = got
@@ -292,20 +297,21 @@ class Plan:
         return sequence, slot
 
 
-def assign(pieces: DataFrame, length: int = LENGTH, width: int = WIDTH, salts: int = SALTS) -> DataFrame:
+def assign(pieces: DataFrame, length: int = LENGTH, width: int = WIDTH, ranked: int = RANKED) -> DataFrame:
     """pieces with sequence_id and offset. pieces is read more than once and should be a written table."""
     spark = pieces.sparkSession
-    tagged = pieces.withColumns({"class": F.ceil(F.col("length") / width).cast("int"), "salt": F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int")})
-    counts = {(r[0], r[1]): r[2] for r in tagged.groupBy("class", "salt").count().collect()}
-    sizes = np.array(sorted({c for c, _ in counts}), np.int64)
-    total = {int(c): sum(counts.get((int(c), s), 0) for s in range(salts)) for c in sizes}
-    patterns, used = solve(sizes, np.array([total[int(c)] for c in sizes], np.int64), length // width)
-    before = {}
-    for c in sizes.tolist():
-        at = 0
-        for s in range(salts):
-            before[c * salts + s] = at
-            at += counts.get((c, s), 0)
+    classed = pieces.withColumn("class", F.ceil(F.col("length") / width).cast("int"))
+    total = {int(r[0]): int(r[1]) for r in classed.groupBy("class").count().collect()}
+    sizes = np.array(sorted(total), np.int64)
+    patterns, used = solve(sizes, np.array([total[c] for c in sizes.tolist()], np.int64), length // width)
+    # a class has as many salts as it needs for `ranked` pieces in each; the ranks of a salt follow those of the one before
+    salts = F.array(*[F.lit(max(1, common.ceil_div(total.get(c, 0), ranked))) for c in range(length // width + 1)])
+    tagged = classed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.element_at(salts, F.col("class") + 1)).cast("int"))
+    counts = sorted((int(r[0]), int(r[1]), int(r[2])) for r in tagged.groupBy("class", "salt").count().collect())
+    before, at = {}, {}
+    for c, s, n in counts:
+        before[c << 32 | s] = at.get(c, 0)
+        at[c] = at.get(c, 0) + n
     shared = spark.sparkContext.broadcast((Plan(sizes, patterns, used), before))
     rank = F.row_number().over(Window.partitionBy("class", "salt").orderBy("doc_id", "start", "length", "ids_crc32")).cast("long") - 1
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
@@ -313,7 +319,7 @@ def assign(pieces: DataFrame, length: int = LENGTH, width: int = WIDTH, salts: i
     def one(batch: pa.RecordBatch):
         plan, first = shared.value
         classes = batch.column("class").to_numpy().astype(np.int64)
-        key = classes * salts + batch.column("salt").to_numpy()
+        key = classes << 32 | batch.column("salt").to_numpy()
         ranks = batch.column("rank").to_numpy() + np.array([first[k] for k in key.tolist()], np.int64)
         sequence, slot = plan.place(classes, ranks)
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sequence), pa.array(slot)], [*names, "sequence_id", "slot"])

@@ -2,12 +2,13 @@
 
 Subwords are runs of two to four bytes of the text with ASCII letters lower-cased and other ASCII turned into spaces. As
 the score of a text is linear in its subwords, the trained embeddings and output weights are folded into one table of a
-row per bucket, which predicts whole texts. Training reads at most SAMPLE snippets of at most SNIPPET code points, taken
-at a hashed place of labelled documents outside the held-out fold; a fifth of the sample calibrates temperature and
-rejection threshold. Only text and lang are learnt from; only text is predicted from.
+row per bucket, which predicts whole texts. Training reads whole texts of labelled documents outside the held-out fold:
+at most SAMPLE rows and SAMPLE_BYTES, those of least hash; a fifth of them calibrates temperature and rejection threshold.
+Only text and lang are learnt from; only text is predicted from.
 
-Defined cases: null text or text without a letter is `und` with score 0 and rejected; rows without lang aren't learnt
-from; without any labelled row everything is `und`; repeated rows and extra columns change nothing else.
+Defined cases: null text or text without a letter is `und` with score 0 and rejected; rows without lang, text or doc_id
+aren't learnt from; without any labelled row everything is `und` and nothing is rejected; repeated rows give repeated
+rows; an empty table gives no rows; columns other than doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Bounds of the training sample, in rows and in code points of a row.
-SAMPLE, SNIPPET = 4000, 320
+#: Bounds of the training sample, in rows and in bytes of their texts together.
+SAMPLE, SAMPLE_BYTES = 1500, 24 << 20
+#: Every third text is also learnt in pieces of so many bytes, all of them, for the sake of short texts.
+PIECE = 200
 ORDERS, BITS, DIMS, EPOCHS, RATE, BATCH = (2, 3, 4), 15, 16, 6, 0.5, 32
 #: At most this share of rightly labelled calibration snippets may be rejected.
 REJECT = 0.001
@@ -76,23 +79,22 @@ class Model:
 
 
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
-    """A model from (lang, snippet) rows."""
+    """A model from (lang, text) rows."""
     labels = sorted({lang for lang, _ in rows})
     buckets = len(ORDERS) << BITS
     if not labels:
         return Model([], np.zeros((buckets + 1, 0), np.float32), np.zeros(0))
     rng = np.random.default_rng(seed)
     rows = [rows[k] for k in rng.permutation(len(rows))]
-    held = rows[: len(rows) // 5] if len(rows) >= 50 else []
+    held = rows[: -(-len(rows) // 5)]
     examples = []
-    for k, (lang, text) in enumerate(rows[len(held) :]):
+    for k, (lang, text) in enumerate(rows[len(held) :] or rows):  # a single row serves for both
         data = np.frombuffer(text.encode(), np.uint8)
-        if k % 3 == 0 and len(data) > 60:  # short texts must be learnt too
-            start = int(rng.integers(0, len(data) - 40))
-            data = data[start : start + 40]
-        ids = np.concatenate(subwords(data))
-        if len(ids):
-            examples.append((labels.index(lang), ids))
+        cuts = range(0, len(data), PIECE) if k % 3 == 0 else ()
+        for part in (data, *(data[at : at + PIECE] for at in cuts)):
+            ids, count = np.unique(np.concatenate(subwords(part)), return_counts=True)
+            if len(ids):
+                examples.append((labels.index(lang), ids, (count / count.sum()).astype(np.float32)))
     emb = rng.uniform(-1 / DIMS, 1 / DIMS, (buckets, DIMS)).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (DIMS, len(labels))).astype(np.float32), np.zeros(len(labels), np.float32)
     steps = EPOCHS * max(1, -(-len(examples) // BATCH))
@@ -103,22 +105,23 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             rate = RATE * (1 - step / steps)
             step += 1
             part = [examples[k] for k in order[at : at + BATCH]]
-            size = np.array([len(ids) for _, ids in part])
-            flat = np.concatenate([ids for _, ids in part])
+            size = np.array([len(ids) for _, ids, _ in part])
+            flat, weight = np.concatenate([ids for _, ids, _ in part]), np.concatenate([w for *_, w in part])[:, None]
             first = np.cumsum(size) - size
-            mean = np.add.reduceat(emb[flat], first, axis=0) / size[:, None]
+            mean = np.add.reduceat(emb[flat] * weight, first, axis=0)
             z = mean @ out + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(part)), [y for y, _ in part]] -= 1
-            back = (p @ out.T) / size[:, None] * rate
+            p[np.arange(len(part)), [y for y, *_ in part]] -= 1
+            back = (p @ out.T) * rate
             out -= rate * mean.T @ p
             bias -= rate * p.sum(axis=0) / len(part)
-            np.add.at(emb, flat, np.repeat(-back, size, axis=0).astype(np.float32))
+            by = np.argsort(flat, kind="stable")
+            heads = np.flatnonzero(np.append(True, np.diff(flat[by]) > 0))
+            emb[flat[by][heads]] -= np.add.reduceat((np.repeat(back, size, axis=0) * weight)[by], heads, axis=0).astype(np.float32)
     table = np.vstack([emb @ out, np.zeros((1, len(labels)), np.float32)]).astype(np.float32)
     model = Model(labels, table, bias.astype(np.float64))
-    if held:
-        _calibrate(model, held)
+    _calibrate(model, held)
     return model
 
 
@@ -145,19 +148,22 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, rows: int = SAMPLE, snippet: int = SNIPPET) -> list[tuple[str, str]]:
-    """The training rows: those of least hash, a snippet of each; the bound doesn't grow with the table.
+def sample(docs: DataFrame, rows: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
+    """The training rows, whole texts in the order of a hash up to both bounds, which don't grow with the table.
 
     Labelled rows are counted first, and a hash lets about twice the bound through, so tasks send few rows to the driver.
+    A text that would go beyond the bytes is left out as a whole, and so is what follows it.
     """
     part = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     total = docs.where(F.col("lang").isNotNull()).count()
     share = min(1.0, 2.5 * rows / max(total, 1))
-    seed = F.xxhash64("doc_id", F.lit("sample"))
-    start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.length("text") - snippet, F.lit(0)).cast("long") + 1).cast("int") + 1
-    part = part.withColumn("_seed", seed).where(F.pmod("_seed", F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    part = part.select(F.col("lang").alias("lang"), F.col("text").substr(start, F.lit(snippet)).alias("snippet"), "_seed")
-    return [(r[0], r[1]) for r in part.orderBy("_seed", "lang", "snippet").limit(rows).collect()]
+    size = F.octet_length("text").cast("long")
+    part = part.select(F.xxhash64("doc_id", F.lit("sample")).alias("seed"), F.col("lang").cast("string").alias("lang"), F.col("text").alias("text"), size.alias("size"))
+    part = part.where(F.pmod("seed", F.lit(1_000_000)) < int(share * 1_000_000) + 1).where(F.col("size") <= most_bytes)
+    order = ["seed", "lang", "text"]
+    above = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over at most `rows` rows
+    picked = part.orderBy(*order).limit(rows).withColumn("held", F.sum("size").over(above)).where(F.col("held") <= most_bytes)
+    return [(r[0], r[1]) for r in picked.select("lang", "text").collect()]
 
 
 def _judge(m: Model, text: pa.Array) -> tuple[list[str], list[float], list[bool]]:
@@ -176,7 +182,7 @@ def _judge(m: Model, text: pa.Array) -> tuple[list[str], list[float], list[bool]
             letters = any(c.isalpha() for c in mine[:64].decode("utf-8", "ignore")) or any(c.isalpha() for c in mine.decode("utf-8", "replace"))
             names.append(m.labels[best[k]] if letters else "und")
             scores.append(float(p[k]) if letters else 0.0)
-    return names, scores, [n != "und" and s >= m.threshold for n, s in zip(names, scores)]
+    return names, scores, [not m.labels or n != "und" and s >= m.threshold for n, s in zip(names, scores)]
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -191,7 +197,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The documents that the model doesn't reject, with all their columns."""
+    """The documents that the model doesn't reject, with all their columns; all of them where nothing could be learnt."""
     shared = docs.sparkSession.sparkContext.broadcast(model or train(sample(docs)))
     at = docs.columns.index("text")
 

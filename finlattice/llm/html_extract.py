@@ -1,15 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
 A page is cut into blocks of text, each with its root-to-leaf tag path. Text length and punctuation are summed per path
-and divided by its blocks; both ratios are smoothed over neighbouring blocks, fused by their product, and the blocks at or
-above a threshold are content, as are headings right before them. The article and main elements, if they hold half of
-the content or more, else the deepest element that holds all of it, are the article: all their blocks are returned, short
-ones too, but for what is marked as menu, footer, sidebar, notice, advert, form, comments and the like. Such a mark
-doesn't count on an article, on what holds a main element or the longest article, nor, where no article or main element
-is left, on what holds most of the text.
-
-Defined cases: null html counts as empty; a page without text gives ''; unclosed, truncated and stray tags are allowed;
-repeated rows give repeated rows; columns other than page_id, url and html are ignored.
+and divided by its blocks; both ratios are smoothed over neighbouring blocks, fused by their product, and blocks at or
+above a threshold are content, as are headings right before them. The text of its content blocks is the weight of an
+element, and decides what the page is about:
+
+* What is marked as menu, footer, sidebar, advert, form, comments and the like, by tag or by a word in class, id or role, is
+  left out, unless it holds a main element or the heaviest article or, where no such element is left, over half of the page's
+  weight. A word of a box that may be part of a text (related, notice, share) only counts if the fused ratio of the element's
+  own blocks is below the threshold.
+* Article and main elements are the article if they hold half of the weight or more, else the deepest element that holds
+  all of it. All their blocks are returned, short ones too; lists of links without content are left out of the latter.
+
+Time and memory are linear in the page. Defined cases: null html counts as empty; a page without text gives ''; unclosed,
+truncated and stray tags are allowed; repeated rows give repeated rows; an empty table gives no rows; columns other than
+page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -37,11 +42,14 @@ BREAKS = {
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
+#: Never the article, whatever they hold.
+HARD = frozenset("nav footer menu dialog".split())
 ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertisements adsbygoogle sponsor sponsored promo promotion banner sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations "
-    "comment comments respond reply replies discussion disqus masthead toolbar pagination pager login search copyright skip complementary contentinfo".split()
+    "ad ads advert adverts advertisement advertisements adsbygoogle sponsor sponsored sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr "
+    "comment comments respond reply replies discussion disqus masthead toolbar pagination pager login copyright complementary contentinfo".split()
 )
+#: Words of boxes that are left out only if their own ratio is low.
+BOX_WORDS = frozenset("promo promotion banner widget widgets notice notices popup modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations search skip".split())
 BLOCK_CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*)(?:>|\Z)", re.S)
@@ -52,26 +60,29 @@ SMOOTH = np.array([0.1, 0.2, 0.4, 0.2, 0.1])
 _TAG = re.compile(r"<[A-Za-z/!?]")
 #: Class words that only say whether a page has something.
 _STATE = re.compile(r"\b(?:has|have|with|without|no)[-_]+[A-Za-z]+")
-#: Share of the content text that article and main elements must hold, and of a page's text that no mark may take.
+#: Share of the weight that article and main elements must hold, and of the page's weight that no mark may take.
 HOLD = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "mark", "hidden", "aside", "main")
+    """An element: what its tag and attributes say, its place in page order and the number of its tag path."""
 
-    def __init__(self, tag: str, parent: "Node | None", attrs: str):
-        self.tag, self.parent = tag, parent
+    __slots__ = ("tag", "parent", "at", "path", "mark", "box", "hidden", "main", "inside", "link")
+
+    def __init__(self, tag: str, parent: "Node | None", attrs: str, at: int, path: int):
+        self.tag, self.parent, self.at, self.path = tag, parent, at, path
         self.main = tag in ("article", "main")
-        inside = parent is not None and parent.in_main()
-        self.mark = tag in ASIDE_TAGS or (tag == "header" and not inside)
-        self.hidden = self.aside = False
+        self.inside = parent is not None and (parent.inside or parent.main)
+        self.link = tag == "a" or parent is not None and parent.link
+        self.mark = tag in ASIDE_TAGS or (tag == "header" and not self.inside)
+        self.box = self.hidden = False
         if attrs and tag not in ("html", "body"):
             for name, value in _ATTR.findall(attrs):
                 name = name.lower()
                 if name in ("class", "id", "role"):
                     words = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", _STATE.sub(" ", value)).lower())
-                    if ASIDE_WORDS.intersection(words) or not inside and "header" in _WORDS.findall(value.lower()):
-                        self.mark = True
+                    self.mark = self.mark or bool(ASIDE_WORDS.intersection(words)) or not self.inside and "header" in words
+                    self.box = self.box or bool(BOX_WORDS.intersection(words))
                 if name == "role" and "main" in value.lower():
                     self.main = True
                 if name == "style" and re.search(r"display\s*:\s*none", value, re.I) or name == "aria-hidden" and "true" in value.lower():
@@ -79,128 +90,142 @@ class Node:
             if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attrs)):
                 self.hidden = True
 
-    def chain(self) -> "list[Node]":
-        out = [self]
-        while out[-1].parent is not None:
-            out.append(out[-1].parent)
-        return out
 
-    def in_main(self) -> bool:
-        node = self
-        while node is not None:
-            if node.main:
-                return True
-            node = node.parent
-        return False
-
-    def path(self) -> str:
-        out, node = [], self
-        while node is not None:
-            if node.tag not in INLINE:
-                out.append(node.tag)
-            node = node.parent
-        return "/".join(reversed(out))
-
-
-def blocks_of(page: str) -> list[tuple[Node, str]]:
-    """(node, text) of each block in page order; the text has its references decoded and its white space folded."""
-    root = top = Node("", None, "")
-    out: list[tuple[Node, str]] = []
-    held: list[str] = []
-    owner = root
-
-    def end_block() -> None:
-        if held:
-            text = " ".join(entities.unescape("".join(held)).split())
+class Page:
+    """The elements of a page in page order, parents first, and its blocks: owner, text, and how much of it is links."""
+
+    def __init__(self, page: str):
+        self.paths: dict[tuple[int, str], int] = {}
+        self.nodes = [Node("", None, "", 0, 0)]
+        self.owners: list[Node] = []
+        self.texts: list[str] = []
+        self.links: list[float] = []
+        self._read(page)
+
+    def _node(self, tag: str, parent: Node, attrs: str) -> Node:
+        path = parent.path if tag in INLINE else self.paths.setdefault((parent.path, tag), len(self.paths) + 1)
+        self.nodes.append(Node(tag, parent, attrs, len(self.nodes), path))
+        return self.nodes[-1]
+
+    def _read(self, page: str) -> None:
+        top = owner = self.nodes[0]
+        held: list[str] = []
+        linked = 0
+        open_tags: dict[str, int] = defaultdict(int)
+
+        def end_block() -> None:
+            nonlocal linked
+            if held:
+                raw = "".join(held)
+                text = " ".join(entities.unescape(raw).split())
+                if text:
+                    self.owners.append(owner)
+                    self.texts.append(text)
+                    self.links.append(linked / len(raw))
+                held.clear()
+                linked = 0
+
+        def words(text: str) -> None:
+            nonlocal owner, linked
             if text:
-                out.append((owner, text))
-            held.clear()
-
-    def words(text: str) -> None:
-        nonlocal owner
-        if text:
-            if not held:
-                owner = top
-            held.append(text)
-
-    def pop_to(tags: tuple[str, ...], stop: frozenset) -> None:
-        nonlocal top
-        node = top
-        while node.parent is not None and node.tag not in stop:
-            if node.tag in tags:
-                top = node.parent
+                if not held:
+                    owner = top
+                held.append(text)
+                linked += len(text) * top.link
+
+        def close(node: Node) -> None:
+            nonlocal top
+            while top is not node.parent:
+                open_tags[top.tag] -= 1
+                top = top.parent
+
+        def pop_to(tags: tuple[str, ...], stop: frozenset) -> None:
+            if not any(open_tags[t] for t in tags):
                 return
-            node = node.parent
-
-    at, n = 0, len(page)
-    absent: set[str] = set()
-
-    def closing(tag: str):
-        """The next end of a raw element; what has none isn't searched for again."""
-        found = None if tag in absent else re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
-        if found is None:
-            absent.add(tag)
-        return found
-
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            words(page[at:])
-            break
-        words(page[at : m.start()])
-        at = m.end()
-        tag = (m.group(2) or "").lower()
-        if not tag:
-            continue
-        if tag not in INLINE:
-            end_block()
-        if m.group(1):
             node = top
-            while node.parent is not None and node.tag != tag:
+            while node.parent is not None and node.tag not in stop:
+                if node.tag in tags:
+                    close(node)
+                    return
                 node = node.parent
-            if node.parent is not None:
-                if tag in INLINE and any(x.tag not in INLINE for x in _between(top, node)):
-                    continue  # a stray end of an inline element doesn't close blocks
-                if node.mark or node.hidden:
-                    end_block()
-                top = node.parent
-            continue
-        if tag in RAW:
-            if not m.group(3).rstrip().endswith("/"):
-                close = BREAKS[tag].search(page, at) if tag in BREAKS else closing(tag)
-                if close and tag in BREAKS and not close.group(1):
-                    close = None
-                if close is None and tag not in TO_END:
-                    after = _TAG.search(page, at)
-                    at = after.start() if after else n
-                else:
-                    at = close.end() if close else n
-            continue
-        if tag in VOID:
-            continue
-        if tag in BLOCK_CLOSES_P:
-            pop_to(("p",), frozenset(("article", "aside", "body", "button", "div", "section", "td", "th", "main", "li", "blockquote")))
-        if tag in CLOSED_BY:
-            pop_to(CLOSED_BY[tag], frozenset(("ul", "ol", "dl", "table", "menu", "div", "article", "section")))
-        node = Node(tag, top, m.group(3))
-        if node.mark or node.hidden:
-            end_block()
-        top = node
-    end_block()
-    return out
-
-
-def _between(low: Node, high: Node):
-    while low is not high:
-        yield low
-        low = low.parent
-
-
-def path_scores(blocks: list[tuple[Node, str]]) -> np.ndarray:
+
+        at, n = 0, len(page)
+        absent: set[str] = set()
+
+        def closing(tag: str):
+            """The next end of a raw element; what has none isn't searched for again."""
+            found = None if tag in absent else re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
+            if found is None:
+                absent.add(tag)
+            return found
+
+        while at < n:
+            m = _TOKEN.search(page, at)
+            if m is None:
+                words(page[at:])
+                break
+            words(page[at : m.start()])
+            at = m.end()
+            tag = (m.group(2) or "").lower()
+            if not tag:
+                continue
+            if tag not in INLINE:
+                end_block()
+            if m.group(1):
+                if open_tags[tag]:
+                    node = top
+                    while node.tag != tag and (tag not in INLINE or node.tag in INLINE):
+                        node = node.parent
+                    if node.tag == tag:  # a stray end of an inline element doesn't close blocks
+                        if node.mark or node.box or node.hidden:
+                            end_block()
+                        close(node)
+                continue
+            if tag in RAW:
+                if not m.group(3).rstrip().endswith("/"):
+                    end = BREAKS[tag].search(page, at) if tag in BREAKS else closing(tag)
+                    if end and tag in BREAKS and not end.group(1):
+                        end = None
+                    if end is None and tag not in TO_END:
+                        after = _TAG.search(page, at)
+                        at = after.start() if after else n
+                    else:
+                        at = end.end() if end else n
+                continue
+            if tag in VOID:
+                continue
+            if tag in BLOCK_CLOSES_P:
+                pop_to(("p",), frozenset(("article", "aside", "body", "button", "div", "section", "td", "th", "main", "li", "blockquote")))
+            if tag in CLOSED_BY:
+                pop_to(CLOSED_BY[tag], frozenset(("ul", "ol", "dl", "table", "menu", "div", "article", "section")))
+            node = self._node(tag, top, m.group(3))
+            if node.mark or node.box or node.hidden:
+                end_block()
+            open_tags[tag] += 1
+            top = node
+        end_block()
+
+    def inherited(self, own) -> list[bool]:
+        """For each element whether own(element) holds for it or for one that it is in."""
+        out: list[bool] = []
+        for x in self.nodes:
+            out.append(bool(own(x)) or x.parent is not None and out[x.parent.at])
+        return out
+
+    def sums(self, values) -> list:
+        """For each element the sum of values (one for each block) over the blocks in it."""
+        out = [0] * len(self.nodes)
+        for owner, value in zip(self.owners, values):
+            out[owner.at] += value
+        for x in reversed(self.nodes[1:]):
+            out[x.parent.at] += out[x.at]
+        return out
+
+
+def path_scores(paths: list[int], texts: list[str]) -> np.ndarray:
     """The fused tag-path ratio of each block."""
-    paths = [node.path() for node, _ in blocks]
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, (_, text) in zip(paths, blocks):
+    for path, text in zip(paths, texts):
         length[path] += len(text)
         marks[path] += len(_PUNCT.findall(text))
         count[path] += 1
@@ -214,77 +239,87 @@ def path_scores(blocks: list[tuple[Node, str]]) -> np.ndarray:
     return smooth(text_ratio) * (1 + smooth(mark_ratio))
 
 
-def settle(blocks: list[tuple[Node, str]]) -> None:
-    """Decide for the nodes of all blocks which are aside."""
-    chains = [node.chain()[::-1] for node, _ in blocks]
-    size: dict[Node, int] = defaultdict(int)
-    for chain, (_, text) in zip(chains, blocks):
-        if not any(x.hidden for x in chain):
-            for x in chain:
-                size[x] += len(text)
-    longest = max((x for x in size if x.tag == "article"), key=lambda x: size[x], default=None)
-    needed = {y for x in size if x.main and x.tag != "article" or x is longest for y in x.chain()}
-
-    def mark(most: bool) -> bool:
-        """Set aside; whether an article or main element is left."""
-        left, seen = False, set()
-        for chain in chains:
-            in_article = False
-            for x in chain:
-                if x not in seen:
-                    seen.add(x)
-                    spared = x in needed or x.tag == "article" and not in_article or most and x.tag not in ("nav", "footer", "menu", "dialog") and size[x] > HOLD * size[chain[0]]
-                    x.aside = (x.parent is not None and x.parent.aside) or x.hidden or (x.mark and not spared)
-                    left = left or x.main and not x.aside
-                in_article = in_article or x.tag == "article"
-        return left
-
-    if not mark(False):
-        mark(True)
-
-
-def main_text(page: str | None) -> str:
-    found = blocks_of(page or "")
-    settle(found)
-    found = [b for b in found if not b[0].aside]
-    if not found:
-        return ""
-    scores = path_scores(found)
-    content = scores >= min(scores.mean(), 0.5 * scores.max())
-    chains = [node.chain()[::-1] for node, _ in found]
-    for k in range(len(found) - 2, -1, -1):
-        if content[k + 1] and any(x.tag in HEADINGS for x in chains[k]):
-            content[k] = True
-    tops = [next((k for k, x in enumerate(chain) if x.main), None) for chain in chains]
-    total = sum(len(text) for (_, text), c in zip(found, content) if c)
-    held = sum(len(text) for (_, text), c, t in zip(found, content, tops) if c and t is not None)
-    if held and held >= HOLD * total:
-        keep: set[int] = set()
-        blocks: dict[Node, list[int]] = defaultdict(list)
-        for k, (chain, t) in enumerate(zip(chains, tops)):
-            if t is not None:
-                blocks[chain[t]].append(k)
-        in_article = [any(x.tag == "article" for x in chain) for chain in chains]
-        for mine in blocks.values():
-            narrow = any(content[k] for k in mine) and all(in_article[k] for k in mine if content[k])
-            keep.update(k for k in mine if in_article[k] or not narrow)
-        return " ".join(text for k, (_, text) in enumerate(found) if k in keep)
-    chosen = [chain for chain, c in zip(chains, content) if c]
-    depth = min(map(len, chosen))
-    while any(chain[depth - 1] is not chosen[0][depth - 1] for chain in chosen):
-        depth -= 1
-    best = chosen[0][depth - 1]
-    while best.parent is not None and (best.tag in INLINE or best.tag == "p" or best.tag in HEADINGS):
-        best = best.parent
-    return " ".join(text for node, text in found if _inside(node, best))
-
-
-def _inside(node: Node | None, top: Node) -> bool:
-    while node is not None:
-        if node is top:
+def _content(page: Page, live: list[bool]) -> tuple[list[bool], float]:
+    """Of each block whether it is content among the live ones, and the threshold."""
+    at = [k for k, on in enumerate(live) if on]
+    out = [False] * len(live)
+    if not at:
+        return out, 0.0
+    scores = path_scores([page.owners[k].path for k in at], [page.texts[k] for k in at])
+    least = min(scores.mean(), 0.5 * scores.max())
+    for k, score in zip(at, scores.tolist()):
+        out[k] = score >= least
+    heading = page.inherited(lambda x: x.tag in HEADINGS)
+    for k, after in zip(at[-2::-1], at[:0:-1]):
+        if out[after] and heading[page.owners[k].at]:
+            out[k] = True
+    return out, least
+
+
+def _asides(page: Page) -> list[bool]:
+    """Of each element whether it is left out, or in one that is."""
+    gone = page.inherited(lambda x: x.hidden or x.tag in HARD)
+    live = [not gone[o.at] for o in page.owners]
+    content, least = _content(page, live)
+    weight = page.sums([len(t) * c for t, c in zip(page.texts, content)])
+    blocks, length, marks = page.sums(live), page.sums([len(t) * v for t, v in zip(page.texts, live)]), page.sums([len(_PUNCT.findall(t)) * v for t, v in zip(page.texts, live)])
+    fused = [(s / max(n, 1)) * (1 + m / max(n, 1)) for n, s, m in zip(blocks, length, marks)]
+    in_article = page.inherited(lambda x: x.tag == "article")
+    best = max((x for x in page.nodes if x.tag == "article" and weight[x.at]), key=lambda x: weight[x.at], default=None)
+    needed = page.sums([0] * len(page.owners))
+    for x in page.nodes:
+        if not gone[x.at] and length[x.at] and (x.main and x.tag != "article" or x is best):
+            needed[x.at] = 1
+    for x in reversed(page.nodes[1:]):
+        needed[x.parent.at] = needed[x.parent.at] or needed[x.at]
+
+    def left_out(x: Node) -> bool:
+        if x.hidden or x.tag in HARD:
             return True
-        node = node.parent
-    return False
+        if not (x.mark or x.box) or needed[x.at] or x.tag == "article" and not in_article[x.parent.at]:
+            return False
+        return x.mark or fused[x.at] < least
+
+    out = page.inherited(left_out)
+    if any(x.main and length[x.at] and not out[x.at] for x in page.nodes):
+        return out
+    return page.inherited(lambda x: left_out(x) and (x.hidden or x.tag in HARD or weight[x.at] <= HOLD * weight[0]))
+
+
+def main_text(html: str | None) -> str:
+    page = Page(html or "")
+    aside = _asides(page)
+    live = [not aside[o.at] for o in page.owners]
+    content, _ = _content(page, live)
+    if not any(content):
+        return ""
+    weight = [len(t) * c for t, c in zip(page.texts, content)]
+    in_main, in_article = page.inherited(lambda x: x.main), page.inherited(lambda x: x.tag == "article")
+    held = sum(w for w, o in zip(weight, page.owners) if in_main[o.at])
+    if held and held >= HOLD * sum(weight):
+        # of a main element whose content is all in articles, what is beside these isn't the article
+        outer = [None] * len(page.nodes)
+        for x in page.nodes:
+            outer[x.at] = (x.parent is not None and outer[x.parent.at]) or (x if x.main else None)
+        own = page.sums(weight)
+        inner = page.sums([w * in_article[o.at] for w, o in zip(weight, page.owners)])
+        keep = []
+        for o, on in zip(page.owners, live):
+            top = outer[o.at]
+            keep.append(on and top is not None and (in_article[o.at] or not own[top.at] or own[top.at] > inner[top.at]))
+    else:
+        total = page.sums(content)
+        best = page.nodes[0]
+        for x in page.nodes:  # parents come first, so the deepest that holds all content is the last
+            if total[x.at] == total[0]:
+                best = x
+        while best.parent is not None and (best.tag in INLINE or best.tag == "p" or best.tag in HEADINGS):
+            best = best.parent
+        size, links = page.sums([len(t) * v for t, v in zip(page.texts, live)]), page.sums([len(t) * s * v for t, s, v in zip(page.texts, page.links, live)])
+        lists = page.inherited(lambda x: x.tag not in INLINE and not total[x.at] and links[x.at] > HOLD * size[x.at])
+        within = page.inherited(lambda x: x is best)
+        keep = [on and within[o.at] and not lists[o.at] for o, on in zip(page.owners, live)]
+    return " ".join(text for text, k in zip(page.texts, keep) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -168,3 +168,131 @@ def op5(rows, least=0.98):
             n[ids[y]] += 1
     root = components([r[0] for r in rows], links)
     return {r[0]: (n[r[0]], root[r[0]], root[r[0]] == r[0]) for r in rows}
+
+
+class _Tree:
+    """A page as nested lists, for pages whose only unclosed elements are paragraphs."""
+
+    INLINE = {"a", "b", "i", "em", "span", "strong"}
+
+    def __init__(self, page):
+        from html.parser import HTMLParser
+
+        tree = self
+        self.blocks, self.stack, self.raw, self.text = [], [{"tag": "", "attrs": {}, "up": None}], 0, []
+
+        class Parser(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                if tag in ("script", "style", "title", "select"):
+                    tree.raw += 1
+                elif tag not in ("br", "meta"):
+                    if tag not in tree.INLINE:
+                        tree.flush()
+                        open_tags = [x["tag"] for x in tree.stack]
+                        if "p" in open_tags and tag in ("p", "div", "ul", "section", "article", "aside", "form", "nav", "footer", "h1", "h2"):
+                            del tree.stack[open_tags.index("p") :]
+                    if attrs:
+                        tree.flush()
+                    tree.stack.append({"tag": tag, "attrs": dict(attrs), "up": tree.stack[-1]})
+                else:
+                    tree.flush()
+
+            def handle_endtag(self, tag):
+                if tag in ("script", "style", "title", "select"):
+                    tree.raw -= 1
+                    return
+                open_tags = [x["tag"] for x in tree.stack]
+                if tag not in tree.INLINE:
+                    tree.flush()
+                if tag in open_tags and (tag not in tree.INLINE or all(t in tree.INLINE for t in open_tags[len(open_tags) - open_tags[::-1].index(tag) :])):
+                    if tree.stack[len(open_tags) - 1 - open_tags[::-1].index(tag)]["attrs"]:
+                        tree.flush()
+                    del tree.stack[len(open_tags) - 1 - open_tags[::-1].index(tag) :]
+
+            def handle_data(self, data):
+                if not tree.raw:
+                    tree.text.append((data, tree.stack[-1]))
+
+        parser = Parser()
+        parser.feed(page)
+        parser.close()
+        self.flush()
+
+    def flush(self):
+        text = " ".join("".join(t for t, _ in self.text).split())
+        if text:
+            total = sum(len(t) for t, _ in self.text)
+            self.blocks.append((text, self.text[0][1], sum(len(t) for t, n in self.text if any(x["tag"] == "a" for x in self.chain(n))) / total))
+        self.text = []
+
+    @staticmethod
+    def chain(node):
+        out = []
+        while node is not None:
+            out.insert(0, node)
+            node = node["up"]
+        return out
+
+
+def op10(page, scored=True):
+    """The main text of a simple page, by the rules as they are described. scored=False: all ratios are one."""
+    tree = _Tree(page or "")
+    chain, blocks = _Tree.chain, tree.blocks
+    punct = lambda t: sum(c in ".,;:!?。，؟¿¡" for c in t)
+
+    def choose(live):
+        paths = ["/".join(x["tag"] for x in chain(n) if x["tag"] not in _Tree.INLINE) for _, n, _ in live]
+        groups = defaultdict(list)
+        for p, (t, _, _) in zip(paths, live):
+            groups[p].append(t)
+        one, two = ([f(groups[p]) for p in paths] for f in (lambda g: sum(map(len, g)) / len(g), lambda g: sum(map(punct, g)) / len(g)))
+        smooth = lambda x: [sum(w * x[min(max(k + d, 0), len(x) - 1)] for d, w in zip(range(-2, 3), (0.1, 0.2, 0.4, 0.2, 0.1))) for k in range(len(x))]
+        fused = [a * (1 + b) if scored else 1 for a, b in zip(smooth(one), smooth(two))]
+        least = min(sum(fused) / len(fused), max(fused) / 2) if fused else 0
+        picked = [f >= least for f in fused]
+        for k in range(len(live) - 2, -1, -1):
+            if picked[k + 1] and any(x["tag"] in ("h1", "h2") for x in chain(live[k][1])):
+                picked[k] = True
+        return [b for b, p in zip(live, picked) if p], least
+
+    hard = lambda x: x["tag"] in ("nav", "footer", "menu")
+    live = [b for b in blocks if not any(map(hard, chain(b[1])))]
+    content, least = choose(live)
+    under = lambda x, those: [b for b in those if any(y is x for y in chain(b[1]))]
+    length = lambda those: sum(len(b[0]) for b in those)
+    articles = {id(x): x for b in live for x in chain(b[1]) if x["tag"] == "article"}
+    best = max((x for x in articles.values() if under(x, content)), key=lambda x: length(under(x, content)), default=None)
+
+    def aside(x, spare):
+        words = set(re.findall("[a-z]+", " ".join(v or "" for v in x["attrs"].values())))
+        mark = x["tag"] in ("aside", "form", "nav", "footer", "menu") or words & {"ad", "sidebar", "comments", "menu", "footer", "cookie"}
+        box = words & {"related", "share", "promo", "notice"}
+        mine = under(x, live)
+        if hard(x):
+            return True
+        if not (mark or box) or spare and 2 * length(under(x, content)) > length(content) or best is not None and any(y is x for b in under(best, live) for y in chain(best)):
+            return False
+        if x["tag"] == "article" and not any(y["tag"] == "article" for y in chain(x)[:-1]):
+            return False
+        return bool(mark) or not mine or length(mine) / len(mine) * (1 + sum(punct(b[0]) for b in mine) / len(mine)) < least
+
+    left = [b for b in blocks if not any(aside(x, False) for x in chain(b[1]))]
+    if not any(x["tag"] == "article" for b in left for x in chain(b[1])):
+        left = [b for b in blocks if not any(aside(x, True) for x in chain(b[1]))]
+    live = left
+    content, _ = choose(live)
+    if not content:
+        return ""
+    inside = [b for b in live if any(x["tag"] == "article" for x in chain(b[1]))]
+    held = [b for b in content if any(b is y for y in inside)]
+    if held and 2 * length(held) >= length(content):
+        return " ".join(b[0] for b in inside)
+    common = [x for x in chain(content[0][1]) if all(any(x is y for y in chain(b[1])) for b in content)][-1]
+    while common["up"] is not None and common["tag"] in {*_Tree.INLINE, "p", "h1", "h2"}:
+        common = common["up"]
+
+    def links(x):
+        mine = under(x, live)
+        return x["tag"] not in _Tree.INLINE and not under(x, content) and 2 * sum(len(b[0]) * b[2] for b in mine) > length(mine)
+
+    return " ".join(b[0] for b in under(common, live) if not any(links(x) for x in chain(b[1])))

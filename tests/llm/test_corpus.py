@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -137,8 +138,7 @@ def test_secrets_null_id_and_repeats(spark):
 def test_line_dedup(spark, texts):
     assert collected(line_dedup.digest(line_dedup.dedup_lines(docs_of(spark, texts)))) == brute.op6(texts)
     docs = docs_of(spark, texts)
-    parts = [docs.where(F.pmod("doc_id", F.lit(5)) == k) for k in range(5)]
-    assert collected(line_dedup.digest(line_dedup.dedup_lines(docs, parts, fanout=2))) == brute.op6(texts)
+    assert collected(line_dedup.digest(line_dedup.dedup_lines(docs, F.pmod("doc_id", F.lit(5)), 5, fanout=2))) == brute.op6(texts)
     assert line_dedup.digest(line_dedup.dedup_lines(docs_of(spark, []))).count() == 0
 
 
@@ -514,3 +514,152 @@ def test_secret_ledger_over_arrivals(spark, texts):
     assert got == sorted(map(repr, secret_ledger.digest(secret_ledger.scan(docs_of(spark, rows))[0]).collect()))
     held = [(bytes(r.blob), r.rule) for r in ledger.read().collect()]
     assert len(held) == len(set(held)) == len(secret_ledger.RULES) * len({t or "" for _, t in rows})
+
+
+def test_packing_of_long_words_and_special_strings():
+    import time
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    rng = random.Random(1)
+    rows = ["x" * 1_000_000, "".join(rng.choice("abcdefg") for _ in range(80_000)), "ab" * 31 + " " + "ab" * 32 + " " + "é" * 40]
+    rows += [f"let f{k} = x <| y {rng.random()} <|im_end|>" for k in range(10_000)]
+    words = packing.Words(packing.tokenizer_path(), most=100_000)
+    raw = [t.encode() for t in rows]
+    offsets = np.cumsum([0] + [len(t) for t in raw])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    began = time.perf_counter()
+    got = [x for lo, hi in common.pieces(offsets, 1 << 20) for x in words.ids(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]
+    assert time.perf_counter() - began < 30
+    assert words.held < 200_000 and max(map(len, words.table)) < packing.LONG
+    for k in (0, 1, 2, 3, 4, 777, 10_000):
+        assert np.frombuffer(got[k], "<u4").tolist() == tokenizer.encode(rows[k], add_special_tokens=False).ids
+
+
+def test_packing_ranks_over_salts(spark):
+    rows = [(k, "word " * (k % 7)) for k in range(500)]
+    pieces = common.written(packing.cut(docs_of(spark, rows)), "pieces")
+    one, many = packing.assign(pieces).collect(), packing.assign(pieces, ranked=20).collect()
+    assert len({(r.sequence_id, r.offset) for r in many}) == 500
+    shape = lambda rows: sorted(Counter(r.sequence_id for r in rows).values())
+    assert shape(one) == shape(many)
+    ids = {r.doc_id: [0] * r.doc_tokens for r in pieces.collect()}
+    assert all(sum(r.length for r in many if r.sequence_id == s) <= packing.LENGTH for s in {r.sequence_id for r in many}) and len(ids) == 500
+
+
+def test_embedding_plan_and_recall():
+    assert [embed_dedup.plan(n)[1] for n in (10, 1000, 10**6)] == sorted(embed_dedup.plan(n)[1] for n in (10, 1000, 10**6))
+    assert embed_dedup.plan(10**9)[0] < 10 ** (6 / 7) * embed_dedup.plan(1000)[0]
+    rng = np.random.default_rng(3)
+    a = embed_dedup.units(rng.normal(size=(4000, 64)))
+    b = rng.normal(size=a.shape)
+    b = embed_dedup.units(b - (a * b).sum(axis=1, keepdims=True) * a)
+    c = rng.uniform(0.98, 0.99, len(a))[:, None]
+    b = c * a + np.sqrt(1 - c * c) * b
+    tables, projections = embed_dedup.plan(100_000)
+    label = np.zeros(len(a), np.int64)
+    meet = embed_dedup.keys(a, label, tables, projections) == embed_dedup.keys(b, label, tables, projections)
+    assert meet.any(axis=1).mean() > 0.999
+    apart = embed_dedup.keys(a, label, tables, projections)[:-1] == embed_dedup.keys(a, label, tables, projections)[1:]
+    assert apart.any(axis=1).mean() < 0.001
+
+
+def random_page(rng):
+    """A page of nested boxes: paragraphs, headings, link lists, marked boxes; half of the pages have an article."""
+    from html import escape
+
+    say = lambda n: escape(" ".join(rng.choice(["lorem", "ipsum", "dolor,", "sit", "amet.", "a", "Q&A", "<b>"]) for _ in range(n)))
+
+    def part(depth):
+        kind = rng.randrange(9 if depth < 3 else 6)
+        if kind < 3:
+            return f"<p>{say(rng.randrange(1, 60))}" + rng.choice(["</p>", "", f" <b>{say(3)}</b></p>"])
+        if kind == 3:
+            return f"<h2>{say(3)}</h2>"
+        if kind == 4:
+            return "<ul>" + "".join(f"<li><a>{say(2)}</a></li>" for _ in range(rng.randrange(1, 5))) + "</ul>"
+        if kind == 5:
+            return f"<div class='{rng.choice(['ad', 'related box', 'share', 'notice', 'x', 'comments', 'sidebar'])}'>" + "".join(f"<p>{say(rng.choice([3, 30]))}</p>" for _ in range(2)) + "</div>"
+        tag = rng.choice(["div", "section", "div class='layout sidebar'", "div id='promo'", "aside", "form"])
+        return f"<{tag}>" + "".join(part(depth + 1) for _ in range(rng.randrange(1, 5))) + f"</{tag.split()[0]}>"
+
+    body = "".join(part(0) for _ in range(rng.randrange(1, 6)))
+    if rng.random() < 0.5:
+        body = body + f"<article>{''.join(part(2) for _ in range(4))}</article>" + part(0)
+    return f"<html><head><title>t</title><script>if (a<b) x</script></head><body><nav><ul><li><a>Home</a></li></ul></nav>{body}<footer>{say(20)}</footer></body></html>"
+
+
+def test_html_against_plain_version():
+    rng = random.Random(21)
+    pages = [random_page(rng) for _ in range(400)]
+    for page in pages:
+        assert html_extract.main_text(page) == brute.op10(page), page
+    # the ratios decide: without them many pages would come out otherwise
+    assert sum(brute.op10(p) != brute.op10(p, scored=False) for p in pages if "<article>" not in p) > 20
+
+
+def test_html_marks_and_boxes():
+    for tag in ("div class='layout has-sidebar'", "div class='site no-sidebar'"):
+        assert html_extract.main_text(f"<{tag}><article>{LONG}</article></div>") == STORY
+    assert html_extract.main_text(f"<main class='content with-ads'>{LONG}</main>") == STORY
+    for kind in ("entry sticky-header", "post comment-open"):
+        assert html_extract.main_text(f"<article class='{kind}'>{LONG}</article>") == STORY
+    assert html_extract.main_text(f"<article>{LONG}<section class='related-work'><h2>Related work</h2>{LONG}</section></article>") == f"{STORY} Related work {STORY}"
+    assert html_extract.main_text(f"<article>{LONG}<section class='related'><h2>Related</h2><ul><li><a>One</a><li><a>Two</a></ul></section></article>") == STORY
+
+
+def test_html_is_linear_in_depth_and_strays():
+    import time
+
+    began = time.perf_counter()
+    assert html_extract.main_text("<div>" * 50_000 + "deep") == "deep"
+    assert html_extract.main_text("<div>x " * 50_000).count("x") == 50_000
+    for odd in ("<b>" * 50_000 + "</i>" * 50_000, "</p>" * 50_000, "<button>" * 50_000, "<option>" * 50_000, "<li>" * 50_000, "<i>" + "<p>" * 30_000 + "</i>" * 30_000, '<p class="x' * 20_000):
+        html_extract.main_text(odd + "x")
+    assert time.perf_counter() - began < 20
+
+
+def test_html_on_small_tables(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = sorted((r.page_id, r.text) for r in html_extract.extract(pages).collect())
+    assert got == sorted((r.page_id, brute.op10(r.html)) for r in pages.collect())
+
+
+def test_language_id_against_plain_scorer(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(langid.sample(docs))
+    want = []
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(1, None), (2, ""), (3, "12 é"), (3, "12 é"), (4, "ab"), (5, "x" * 3), (None, "the")]
+    for doc_id, text in rows:
+        raw = brute.lower_ascii(text or "").encode()
+        raw = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in raw)
+        total, count = np.zeros(len(model.labels)), 0
+        for k, n in enumerate(langid.ORDERS):
+            for at in range(len(raw) - n + 1):
+                code = int.from_bytes(raw[at : at + n], "big") * 2654435761 % 2**32 >> 32 - langid.BITS
+                total += model.table[(k << langid.BITS) + code]
+                count += 1
+        z = (total / max(count, 1) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        found = text is not None and any(c.isalpha() for c in text)
+        want.append((doc_id, model.labels[int(p.argmax())] if found else "und", float(p.max()) if found else 0.0, bool(found and p.max() >= model.threshold)))
+    got = langid.predict(docs_of(spark, rows), model).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    for one, other in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert one[:2] == other[:2] and abs(one[2] - other[2]) < 1e-5 and one[3] == other[3]
+
+
+def test_language_sample_keeps_its_bounds(spark):
+    rows = [(k, f"text {k} " * 50, "en" if k % 2 else "de", 1, 1, 1, 0.0, "", 1, "", 1) for k in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert len(langid.sample(docs, rows=50)) == 50
+    some = langid.sample(docs, most_bytes=5000)
+    assert 4000 < sum(len(t.encode()) for _, t in some) <= 5000 and all(t.count("text") == 50 for _, t in some)
+    few = langid.train([("en", "the cat")])
+    assert few.labels == ["en"] and langid.train([("en", "the cat"), ("de", "die Katze")]).threshold > 0
+
+
+def test_language_without_labels_rejects_nothing(spark):
+    rows = [(1, "text"), (2, None), (3, "123"), (None, "x")]
+    assert langid.accepted(docs_of(spark, rows)).count() == 4

@@ -6,8 +6,8 @@ run already settles (frequent, with a later document) add nothing and go; the re
 a level has FANOUT runs they are compacted into one of the next. In the end lines go whose key is frequent and whose
 document isn't the last that holds it.
 
-Documents are read once for the hashes of all batches, once for the lines that go, and once to cut these out. That join
-broadcasts what documents lose if it is small; else it sorts and can spill.
+Documents are read once for the hashes of all batches, once for the lines that go, and once to cut these out, by a join on
+the id that sorts and can spill.
 
 Defined cases: null or empty text is one empty line; each row counts as one document, so repeated rows count again, and
 all rows with the largest doc_id keep their lines; a null doc_id never is the largest; an empty table gives no rows;
@@ -24,8 +24,6 @@ from . import common
 MIN_CHARS, MIN_DOCS, FANOUT = 40, 5, 2
 #: Frequent keys up to this count are broadcast (24 bytes each); beyond it the join shuffles.
 BROADCAST_KEYS = 200_000
-#: Documents that lose lines, and lines that they lose, up to which both are broadcast (some 10 MB).
-BROADCAST_DOCS, BROADCAST_LINES = 100_000, 300_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Spark's literals have no \f: it would be the letter f.
 _STRIP = "trim(BOTH ' \\t\\n\\u000B\\u000C\\r' FROM l)"
@@ -121,11 +119,7 @@ class LineRuns:
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """docs with the columns ALL and KEPT (arrays of lines) at the end."""
-        lost = self.drops(docs)
-        rows, lines = lost.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("lost")), F.lit(0))).first()
-        lost = lost.select(F.col("doc_id").alias(_LOST[0]), F.col("lost").alias(_LOST[1]))
-        if rows <= BROADCAST_DOCS and lines <= BROADCAST_LINES:
-            lost = F.broadcast(lost)
+        lost = self.drops(docs).select(F.col("doc_id").alias(_LOST[0]), F.col("lost").alias(_LOST[1])).hint("shuffle_merge")
         both = docs.join(lost, docs["doc_id"].cast("long").eqNullSafe(F.col(_LOST[0])), "left")
         key = _KEY.replace("(k)", f"({_STRIP})").replace("translate(k,", f"translate({_STRIP},")
         gone = f"array_contains({_LOST[1]}, named_struct('h1', xxhash64({key}), 'h2', xxhash64('second', {key})))"

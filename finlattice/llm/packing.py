@@ -4,7 +4,7 @@ A document's ids (with the end id) are cut at every LENGTH ids; the pieces form
 wide. A linear program over patterns (how many pieces of each class share a sequence) is solved on the driver: knapsack
 dynamic programming prices new columns until none improves. The solution is rounded down, what is left is filled first-fit
 decreasing, and the pieces, ranked within their class, are dealt to the slots of the patterns on the executors. The driver
-only sees the histogram, of at most LENGTH / WIDTH classes, and a count for every RANKED pieces of a class.
+only sees the histogram, of at most LENGTH / WIDTH classes, and at most SHARES counts more for the ranks within them.
 
 Defined cases: null or empty text has the end id alone; repeated rows are packed each; an empty table gives no rows;
 columns other than doc_id and text are ignored.
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, WIDTH, END_ID = 2048, 8, 1
-#: Pieces of a class that one task ranks.
-RANKED = 250_000
+#: A task ranks this many pieces of a class, or this share of all pieces if that is more: the driver's counts stay few.
+RANKED, SHARES = 2000, 20_000
 #: Bytes of words and ids that a worker keeps, with what Python adds to each; words from LONG bytes on go to the tokenizer each time.
-CACHE_BYTES, ENTRY_BYTES, LONG = 96 << 20, 200, 64
+CACHE_BYTES, ENTRY_BYTES, LONG = 64 << 20, 200, 64
 _PRUNE = 1e-9
 _LATIN = re.compile("[a-zß-öø-ÿ]+")
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -131,7 +131,10 @@ class Words:
         long = sorted(w for w in new if len(w) >= LONG)
         if len(new) > len(long):
             self._learn(sorted(new.difference(long)))
-        get = (self.table if not long else self.table | dict(zip(long, self._encoded(long)))).__getitem__
+        get = self.table.__getitem__
+        if long:
+            apart = dict(zip(long, self._encoded(long)))
+            get = lambda w: apart[w] if w in apart else self.table[w]
         out = [b"".join(map(get, words)) for words in split]
         for k, got in zip(whole, self._encoded(list(whole.values()))):
             out[k] = got
@@ -305,6 +308,7 @@ def assign(pieces: DataFrame, length: int = LENGTH, width: int = WIDTH, ranked:
     sizes = np.array(sorted(total), np.int64)
     patterns, used = solve(sizes, np.array([total[c] for c in sizes.tolist()], np.int64), length // width)
     # a class has as many salts as it needs for `ranked` pieces in each; the ranks of a salt follow those of the one before
+    ranked = max(ranked, sum(total.values()) // SHARES)
     salts = F.array(*[F.lit(max(1, common.ceil_div(total.get(c, 0), ranked))) for c in range(length // width + 1)])
     tagged = classed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.element_at(salts, F.col("class") + 1)).cast("int"))
     counts = sorted((int(r[0]), int(r[1]), int(r[2])) for r in tagged.groupBy("class", "salt").count().collect())

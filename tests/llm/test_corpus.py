@@ -540,7 +540,7 @@ def test_packing_of_long_words_and_special_strings():
 def test_packing_ranks_over_salts(spark):
     rows = [(k, "word " * (k % 7)) for k in range(500)]
     pieces = common.written(packing.cut(docs_of(spark, rows)), "pieces")
-    one, many = packing.assign(pieces).collect(), packing.assign(pieces, ranked=20).collect()
+    one, many = packing.assign(pieces, ranked=10_000).collect(), packing.assign(pieces, ranked=20).collect()
     assert len({(r.sequence_id, r.offset) for r in many}) == 500
     shape = lambda rows: sorted(Counter(r.sequence_id for r in rows).values())
     assert shape(one) == shape(many)
@@ -663,3 +663,81 @@ def test_language_sample_keeps_its_bounds(spark):
 def test_language_without_labels_rejects_nothing(spark):
     rows = [(1, "text"), (2, None), (3, "123"), (None, "x")]
     assert langid.accepted(docs_of(spark, rows)).count() == 4
+
+
+CASES = [(None, "the null id, with some words of its own"), (1, None), (2, ""), (3, "  \n "), (4, "a word"), (4, "a word"), (5, "x" * 50_000), (6, "tie one two three four five six"), (7, "tie one two three four five six")]
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_pipeline_stage_cases(spark, sf_dir, labelled):
+    """Nulls, empty and long texts, ties, repeated rows and clashing names through every stage."""
+    import corpus_pipeline
+
+    langs = [("en", f"the {k} of and with this that from our house {k * 7}") for k in range(40)] + [("de", f"der {k} die und nicht ein von dem Haus {k * 7}") for k in range(40)]
+    rows = [(d, t, None, 1, 2, 3, 0.5, "x", 4, "y", 5) for d, t in CASES] + [(100 + k, t, lang if labelled else None, 1, 2, 3, 0.5, "x", 4, "y", 5) for k, (lang, t) in enumerate(langs)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"_gone": F.lit(1), "_ld_id": F.lit("z"), "source": F.lit("s"), "n_chars": F.char_length("text")})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = Counter((r.doc_id, r.text) for r in docs.collect())
+        docs = common.written(stage(spark, docs, sf_dir), "cases")
+        assert docs.columns == columns
+        after = Counter((r.doc_id, r.text) for r in docs.collect())
+        assert not after - before
+        gone = before - after
+        if name == "language_id":
+            # without labels nothing goes; else what has no letter does
+            assert (set(gone) >= {(1, None), (2, ""), (3, "  \n ")} if labelled else not gone) and after[(4, "a word")] in (0, 2)
+        if name in ("line_dedup", "decontamination"):
+            assert not gone
+        if name == "minhash_dedup":
+            assert (7, CASES[-1][1]) not in after and (4, "a word") not in gone and all(d is not None for d, _ in gone)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter(r.doc_id for r in docs.select("doc_id").collect())
+    empty = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_pipeline_run(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = common.written(stage(spark, docs, sf_dir), "by-stage")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
+    spark.read.parquet(f"{sf_dir}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def multiset(df):
+    return Counter(map(repr, map(tuple, df.collect())))
+
+
+def twice(counts):
+    return Counter({k: 2 * v for k, v in counts.items()})
+
+
+def test_repeated_rows_and_clashing_names(spark, texts):
+    """Each query gives a row for each row: what depends on a row alone comes twice for rows that stand twice."""
+    rows = [r for r in texts if r[0] not in (5, 8)] + [(None, "card 4111 1111 1111 1111 and words")]
+    once, double = docs_of(spark, rows), docs_of(spark, rows + rows)
+    bench = spark.createDataFrame([(1, " ".join(texts[9][1].split(" ")[10:40])), (1, None)], "item_id long, text string")
+    for per_row in (
+        lambda d: pii.digest(pii.find_pii(d)),
+        lambda d: secret_ledger.digest(secret_ledger.scan(d)[0]),
+        lambda d: decontam.digest(decontam.find_contamination(d, bench)),
+        lambda d: suffix_dedup.digest(suffix_dedup.dedup(d, with_text=False)),
+        lambda d: minhash.near_duplicates(d, shingle=2),
+    ):
+        assert multiset(per_row(double)) == twice(multiset(per_row(once)))
+    assert line_dedup.digest(line_dedup.dedup_lines(double)).count() == 2 * len(rows)
+    model = langid.train([("en", "the and of with this"), ("de", "der die und nicht ein")] * 20)
+    assert multiset(langid.predict(double, model)) == twice(multiset(langid.predict(once, model)))
+    pages = spark.createDataFrame([(k % 2, "u", f"<p>a {k % 2}") for k in range(4)] + [(None, None, None)] * 2, "page_id long, url string, html string")
+    assert sorted(multiset(html_extract.digest(html_extract.extract(pages))).values()) == [2, 2, 2]
+    vectors = [(1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, None, 1), (None, [1.0, 0.0], 1)]
+    frame = spark.createDataFrame(vectors + vectors[:2], "vec_id long, embedding array<double>, label int")
+    got = embed_dedup.near_duplicates(frame).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in got) == Counter({(1, 3, 1): 2, (2, 3, 1): 2, (3, 0, 3): 1, (None, 0, None): 1})

@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, line dedup, near-dedup, decontamination and packing.
 
 Every stage takes all that its predecessor kept. All but the last return the columns of documents; a document that a stage
-rejects is gone for the next, and line dedup changes text and n_chars. Packing returns its pieces.
+rejects is gone for the next, and line dedup changes text and n_chars. Packing returns its pieces. An empty table goes
+through all stages as one; columns beyond those of documents go through all but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,31 +15,50 @@ from finlattice.session import table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on these documents, accepts."""
+    """Documents that the classifier, trained on these documents, accepts.
+
+    Where no row has lang, text and doc_id there is nothing to learn, and all documents stay. Else a document whose text is
+    null, empty or has no letter goes, as does one whose score is below the threshold. Each row is judged by itself, so
+    repeated rows all stay or all go, and a null doc_id makes no difference.
+    """
     ready(spark)
     return langid.accepted(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the long lines that five or more of them share, but for the last one."""
+    """All documents, without the long lines that five or more of them share, but for the last one.
+
+    Null text stays null, empty text empty. Rows are documents, so five repeated rows share their lines; rows tied for the
+    largest doc_id all keep a line, and a null doc_id is never the largest.
+    """
     ready(spark)
     return line_dedup.cleaned(line_dedup.dedup_lines(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group linked at 0.8 on shingles of five words."""
+    """One document (the smallest doc_id) of each group linked at 0.8 on shingles of five words.
+
+    Documents without words (null, empty or blank text) and those with a null doc_id link with nothing and stay. Rows that
+    share a doc_id are one document: all of them stay or all go.
+    """
     ready(spark)
     return common.without(docs, minhash.near_duplicates(docs).where("not kept").select("doc_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words under a twentieth lies in windows of the benchmark."""
+    """Documents of whose words under a twentieth lies in windows of the benchmark.
+
+    A document without words stays, and with an empty benchmark all do. Each row is judged by itself, whatever its doc_id.
+    """
     ready(spark)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its place in a sequence."""
+    """The pieces of all documents, each with its place in a sequence.
+
+    Null and empty texts have the end id alone; repeated rows are packed each; an empty table has no pieces.
+    """
     ready(spark)
     return packing.pack(docs)
 

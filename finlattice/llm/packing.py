@@ -133,9 +133,10 @@ class Words:
             self._learn(sorted(new.difference(long)))
         get = self.table.__getitem__
         if long:
-            apart = dict(zip(long, self._encoded(long)))
-            get = lambda w: apart[w] if w in apart else self.table[w]
+            self.table.update(zip(long, self._encoded(long)))
         out = [b"".join(map(get, words)) for words in split]
+        for w in long:
+            del self.table[w]
         for k, got in zip(whole, self._encoded(list(whole.values()))):
             out[k] = got
         return out

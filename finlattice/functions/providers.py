@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,21 @@ class Generator(Protocol):
     def generate(self, prompt: str) -> str: ...
 
 
+class Reranker(Protocol):
+    def score(self, question: str, texts: list[str]) -> list[float]: ...
+
+
+@dataclass
+class ScriptedGenerator:
+    """Answers by the first key that a prompt contains: a model for tests and demonstrations."""
+
+    answers: dict[str, str]
+    default: str = ""
+
+    def generate(self, prompt: str) -> str:
+        return next((a for k, a in self.answers.items() if k in prompt), self.default)
+
+
 @dataclass
 class HashingEmbedder:
     """Counts of hashed words: the default in place of an embedding model."""
@@ -29,10 +45,8 @@ class HashingEmbedder:
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
         for text in texts:
-            v = [0.0] * self.dim
-            for word in (text or "").lower().split():
-                v[int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % self.dim] += 1.0
-            out.append(v)
+            at = [zlib.crc32(word.encode()) % self.dim for word in (text or "").lower().split()]
+            out.append(np.bincount(np.array(at, np.int64), minlength=self.dim).astype(float).tolist())
         return out
 
 
@@ -47,6 +61,9 @@ class Config:
     max_graph_chunks: int = 20
     embedder: Embedder = field(default_factory=HashingEmbedder)
     generator: Generator | None = None
+    reranker: Reranker | None = None
+    top: int = 5
+    diversity: float | None = 0.7
 
 
 def embed(texts: DataFrame, embedder: Embedder, column: str = "text", to: str = "dense") -> DataFrame:
@@ -78,3 +95,17 @@ def generate(prompts: DataFrame, generator: Generator | Callable[[str], str], co
             yield pd.Series(out, dtype=object)
 
     return prompts.withColumn(to, run(F.col(column)))
+
+
+def rerank_scores(pairs: DataFrame, reranker: Reranker) -> DataFrame:
+    """question_id, point_id, ce of pairs (question_id, point_id, question, text), in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for questions, texts in batches:
+            out = pd.Series(0.0, index=questions.index)
+            for question, at in questions.groupby(questions).groups.items():
+                out.loc[at] = reranker.score(question, texts.loc[at].fillna("").tolist())
+            yield out
+
+    return pairs.select("question_id", "point_id", run(F.col("question"), F.col("text")).alias("ce"))

@@ -1,7 +1,8 @@
 """Claims: rule decomposition of answers, verification against contexts, and answers from what was verified.
 
-The contexts of an answer are one array, so verification is a single pass of higher-order functions over claims; the only
-shuffle brings claims and contexts of an answer together.
+The contexts of an answer are one array, whose numbers and lower-case texts are worked out once for each answer. Answers and
+contexts meet before answers are cut into claims, so claims never shuffle; a formula's parts are only looked for in claims
+that need them.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ FORMULAS = [
     ("debt ratio", "total_debt/total_assets"),
     ("current ratio", "current_assets/current_liabilities"),
 ]
+TYPES = ["numerical", "comparative", "computational", "temporal", "entity", "regulatory"]
 REFUSAL = "I cannot verify any claims from the retrieved context. I cannot provide a reliable answer."
 VARIABLES = {
     "(revenue-cogs)/revenue": ["revenue", "cogs"],
@@ -33,21 +35,42 @@ VARIABLES = {
 }
 
 
+def _parts(text: Column) -> Column:
+    return F.filter(F.split(T.strip(text), T.SENTENCE_END), lambda s: F.char_length(T.strip(s)) >= 10)
+
+
 def sentences(answers: DataFrame, key: str = "answer_id") -> DataFrame:
     """key, claim_pos, text: sentences of at least ten characters, numbered from 0."""
-    parts = F.filter(F.split(T.strip(F.col("text")), T.SENTENCE_END), lambda s: F.char_length(T.strip(s)) >= 10)
-    return answers.select(key, F.posexplode(parts).alias("claim_pos", "text"))
+    return answers.select(key, F.posexplode(_parts(F.col("text"))).alias("claim_pos", "text"))
 
 
-def decompose(answers: DataFrame, key: str = "answer_id") -> DataFrame:
-    """The claims of each answer with type and flags."""
-    return sentences(answers, key).withColumn("text", T.strip(F.col("text"))).withColumns({
+def _typed(claims: DataFrame) -> DataFrame:
+    return claims.withColumn("text", T.strip(F.col("text"))).withColumns({
         "claim_type": T.claim_type(F.col("text")),
         "has_numbers": F.regexp_like("text", F.lit(r"\d")),
         "has_dates": F.regexp_like("text", F.lit(T.DATE_HINT)),
     })
 
 
+def decompose(answers: DataFrame, key: str = "answer_id") -> DataFrame:
+    """The claims of each answer with type and flags."""
+    return _typed(sentences(answers, key))
+
+
+def decompose_told(answers: DataFrame, key: str = "answer_id") -> DataFrame:
+    """The claims of answers (key, text, response) as a model's JSON tells them, with type and flags.
+
+    A claim has its `claim` text and its `type`. Where the response holds no array of such claims, or any of them names no
+    text or a type that isn't one of TYPES, the answer is cut by the rules instead.
+    """
+    told = parse_claims(answers)
+    fine = F.coalesce(F.forall("claims", lambda c: F.coalesce(c["claim"].isNotNull() & F.lower(c["type"]).isin(TYPES), F.lit(False))), F.lit(False))
+    rule = F.transform(_parts(F.col("text")), lambda s: F.struct(T.strip(s).alias("claim"), F.lit(None).cast("string").alias("type")))
+    rows = told.select(key, F.posexplode(F.when(fine, F.col("claims")).otherwise(rule)).alias("claim_pos", "c"))
+    typed = _typed(rows.select(key, "claim_pos", F.col("c.claim").alias("text"), F.lower("c.type").alias("_told")))
+    return typed.withColumn("claim_type", F.coalesce("_told", "claim_type")).drop("_told")
+
+
 def parse_claims(responses: DataFrame, column: str = "response") -> DataFrame:
     """Claims from a model's JSON answer: the first to last bracket, malformed text giving null (then use decompose)."""
     kind = "array<struct<claim:string,type:string>>"
@@ -65,6 +88,13 @@ def nearest(claimed: Column, values: Column) -> Column:
     return F.array_min(F.transform(values, lambda v: F.abs(v - claimed) / F.greatest(claimed, F.lit(1.0))))
 
 
+def first_hit(claimed: Column, values: Column) -> Column:
+    """match, near or none by the first value within FUZZY of the claimed one, relative to it: an order-dependent check."""
+    gap = lambda v: F.try_divide(F.abs(v - claimed), claimed)
+    first = F.get(F.filter(values, lambda v: gap(v) < FUZZY), F.lit(0))
+    return F.when(first.isNull(), "none").when(gap(first) < EXACT, "match").otherwise("near")
+
+
 def formula_of(text: Column) -> Column:
     low = F.lower(text)
     out = F.when(F.contains(low, F.lit(FORMULAS[0][0])), FORMULAS[0][1])
@@ -80,38 +110,53 @@ def component(contexts: Column, variable: str) -> Column:
     return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
-def _computed(formula: Column, v: dict[str, Column]) -> Column:
-    """Each known formula as arithmetic; null if a part is missing or a divisor is zero. Nothing is ever evaluated as code."""
-    return (
-        F.when(formula == "(revenue-cogs)/revenue", F.try_divide(v["revenue"] - v["cogs"], v["revenue"]))
-        .when(formula == "operating_income/revenue", F.try_divide(v["operating_income"], v["revenue"]))
-        .when(formula == "net_income/revenue", F.try_divide(v["net_income"], v["revenue"]))
-        .when(formula == "net_income/shares_outstanding", F.try_divide(v["net_income"], v["shares_outstanding"]))
-        .when(formula == "total_debt/total_assets", F.try_divide(v["total_debt"], v["total_assets"]))
-        .when(formula == "current_assets/current_liabilities", F.try_divide(v["current_assets"], v["current_liabilities"]))
-    )
+def _ratio(formula: str, contexts: Column) -> Column:
+    """value and missing (whether every part is) of one known formula. Nothing is ever evaluated as code."""
+    parts = [component(contexts, v) for v in VARIABLES[formula]]
+    top = parts[0] - parts[1] if formula == "(revenue-cogs)/revenue" else parts[0]
+    below = parts[0] if formula == "(revenue-cogs)/revenue" else parts[1]
+    return F.struct(F.try_divide(top, below).alias("value"), (parts[0].isNull() & parts[1].isNull()).alias("missing"))
 
 
 def _verdict(ok: Column | bool, method: str | None, sure: float = 0.0) -> Column:
     return F.struct((F.lit(ok) if isinstance(ok, bool) else ok).alias("verified"), F.lit(method).cast("string").alias("method"), F.lit(sure).alias("confidence_after"))
 
 
+def features(contexts: DataFrame, key: str = "answer_id") -> DataFrame:
+    """key, contexts and what verification needs of them: _all, their numbers in order, and _low, their lower-case texts."""
+    return gather_contexts(contexts, key).withColumns({"_all": F.flatten(F.transform("contexts", T.numbers)), "_low": F.transform("contexts", F.lower)})
+
+
 def verify(claims: DataFrame, contexts: DataFrame, key: str = "answer_id", strict: bool = False) -> DataFrame:
     """claims with verified, method and confidence_after. contexts: key, ctx_pos, text.
 
     The rules are those of the claim's type. strict also checks the number of a temporal claim; the default doesn't.
     """
-    joined = claims.join(gather_contexts(contexts, key), key, "left").withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
-    variables = sorted({v for vs in VARIABLES.values() for v in vs})
+    return _decided(claims.join(features(contexts, key), key, "left"), strict).select(*claims.columns, "verified", "method", "confidence_after")
+
+
+def verify_answers(answers: DataFrame, contexts: DataFrame, key: str = "answer_id", strict: bool = False) -> DataFrame:
+    """verify(decompose(answers), contexts), where answers and contexts meet before the claims are told apart. Adds evidence."""
+    both = answers.select(key, "text").join(features(contexts, key), key, "left")
+    rows = both.select(key, "contexts", "_all", "_low", F.posexplode(_parts(F.col("text"))).alias("claim_pos", "text"))
+    return _decided(_typed(rows), strict).select(key, "claim_pos", "text", "claim_type", "has_numbers", "has_dates", "verified", "method", "confidence_after", "evidence")
+
+
+def _decided(joined: DataFrame, strict: bool) -> DataFrame:
+    """Claims with their answer's features, and what the rules make of them."""
+    none = F.array().cast("array<string>")
+    joined = joined.withColumns({"contexts": F.coalesce("contexts", none), "_low": F.coalesce("_low", none), "_all": F.coalesce("_all", F.array().cast("array<double>"))})
     joined = joined.withColumns({
-        "_n": T.primary_number(F.col("text")), "_p": T.percentage(F.col("text")), "_d": T.date_text(F.col("text")),
-        "_all": F.flatten(F.transform("contexts", T.numbers)), "_f": F.when(F.col("claim_type") == "computational", formula_of(F.col("text"))),
+        "_n": T.primary_number(F.col("text")), "_p": F.when(F.col("claim_type") == "comparative", T.percentage(F.col("text"))), "_d": F.when(F.col("claim_type") == "temporal", T.date_text(F.col("text"))),
+        "_f": F.when(F.col("claim_type") == "computational", formula_of(F.col("text"))),
     })
-    joined = joined.withColumn("_v", F.when(F.col("_f").isNotNull(), F.struct(*[component(F.col("contexts"), v).alias(v) for v in variables])))
-    parts = {v: F.col(f"_v.{v}") for v in variables}
-    joined = joined.withColumns({"_near": nearest(F.col("_n"), F.col("_all")), "_first": F.get("_all", F.lit(0)), "_second": F.get("_all", F.lit(1)), "_value": _computed(F.col("_f"), parts)})
+    ratio = None
+    for formula in VARIABLES:
+        one = _ratio(formula, F.col("contexts"))
+        ratio = F.when(F.col("_f") == formula, one) if ratio is None else ratio.when(F.col("_f") == formula, one)
+    joined = joined.withColumns({"_near": nearest(F.col("_n"), F.col("_all")), "_first": F.get("_all", F.lit(0)), "_second": F.get("_all", F.lit(1)), "_v": ratio})
     low = F.lower("text")
-    n, near, first, second = F.col("_n"), F.col("_near"), F.col("_first"), F.col("_second")
+    n, near, first, second, value = F.col("_n"), F.col("_near"), F.col("_first"), F.col("_second"), F.col("_v.value")
     numerical = (
         F.when(n.isNull(), _verdict(False, "no_number_found"))
         .when(near.isNull(), _verdict(False, "numerical_no_match"))
@@ -134,26 +179,20 @@ def verify(claims: DataFrame, contexts: DataFrame, key: str = "answer_id", stric
         .when(way == actual, _verdict(True, "directional_verified", 0.8))
         .otherwise(_verdict(False, "directional_mismatch"))
     )
-    no_parts = F.lit(True)
-    for formula, names in VARIABLES.items():
-        missing = F.lit(True)
-        for v in names:
-            missing = missing & parts[v].isNull()
-        no_parts = F.when(F.col("_f") == formula, missing).otherwise(no_parts)
-    gap = F.abs(F.col("_value") - n) / F.greatest(n, F.lit(1.0))
+    gap = F.abs(value - n) / F.greatest(n, F.lit(1.0))
     computational = (
         F.when(F.col("_f").isNull(), _verdict(False, None))
-        .when(no_parts, _verdict(False, "computational_missing_components"))
-        .when(F.col("_value").isNull(), _verdict(False, "computational_error"))
+        .when(F.col("_v.missing"), _verdict(False, "computational_missing_components"))
+        .when(value.isNull(), _verdict(False, "computational_error"))
         .when(n.isNull(), _verdict(False, None))
         .when(gap < EXACT, _verdict(True, "computational_verified", 0.9))
         .otherwise(_verdict(False, "computational_mismatch"))
     )
-    seen = F.exists("contexts", lambda c: F.contains(F.lower(c), F.lower("_d")))
+    seen = F.exists("_low", lambda c: F.contains(c, F.lower("_d")))
     temporal = F.when(F.col("_d").isNull(), _verdict(False, None)).when(seen, _verdict(True, "temporal_match", 0.85)).otherwise(_verdict(False, "temporal_not_found"))
     if strict:
         temporal = F.when(n.isNotNull() & (near >= EXACT), _verdict(False, "numerical_mismatch")).otherwise(temporal)
-    known = F.exists("contexts", lambda c: F.contains(F.lower(c), low))
+    known = F.exists("_low", lambda c: F.contains(c, low))
     generic = F.when(known, _verdict(True, "generic_keyword_match", 0.8)).otherwise(_verdict(False, "generic_not_found"))
     kind = F.col("claim_type")
     verdict = (
@@ -164,7 +203,17 @@ def verify(claims: DataFrame, contexts: DataFrame, key: str = "answer_id", stric
         .otherwise(generic)
     )
     out = joined.withColumn("_r", verdict).withColumns({"verified": F.col("_r.verified"), "method": F.col("_r.method"), "confidence_after": F.col("_r.confidence_after")})
-    return out.select(*claims.columns, "verified", "method", "confidence_after")
+    closest = F.array_min(F.transform("_all", lambda v: F.struct(F.abs(v - n).alias("gap"), v.alias("v"))))["v"]
+    plain = lambda c: F.round(c, 4).cast("decimal(28,4)").cast("string")
+    evidence = (
+        F.when(kind == "numerical", F.concat(F.lit("nearest number: "), plain(closest)))
+        .when((kind == "comparative") & F.col("_p").isNotNull(), F.concat(F.lit("growth: "), plain(growth)))
+        .when(kind == "comparative", F.concat(plain(first), F.lit(" -> "), plain(second)))
+        .when(kind == "computational", F.concat(F.lit("computed: "), plain(value)))
+        .when(kind == "temporal", F.concat(F.lit("date: "), F.col("_d")))
+        .otherwise(F.get(F.filter("contexts", lambda c: F.contains(F.lower(c), low)), F.lit(0)))
+    )
+    return out.withColumn("evidence", evidence)
 
 
 def verify_semantic(claims: DataFrame, contexts: DataFrame, key: str = "answer_id") -> DataFrame:
@@ -176,8 +225,20 @@ def verify_semantic(claims: DataFrame, contexts: DataFrame, key: str = "answer_i
     return best.withColumns({"verified": sure, "method": F.when(sure, "generic_semantic_match").otherwise("generic_no_semantic_match"), "confidence_after": F.when(sure, F.col("similarity")).otherwise(0.0)})
 
 
+def verify_generic(claims: DataFrame, contexts: DataFrame, key: str = "answer_id") -> DataFrame:
+    """Claims verified by the rules, but generic ones (entity, regulatory) by embeddings: both frames have a column `embedding`."""
+    ruled = verify(claims.drop("embedding"), contexts.drop("embedding"), key)
+    near = verify_semantic(claims.where(F.col("claim_type").isin("entity", "regulatory")).select(key, "claim_pos", "embedding"), contexts, key)
+    near = near.select(key, "claim_pos", *[F.col(c).alias(f"_{c}") for c in ("verified", "method", "confidence_after")])
+    both = ruled.join(near, [key, "claim_pos"], "left")
+    return both.withColumns({c: F.coalesce(f"_{c}", c) for c in ("verified", "method", "confidence_after")}).drop("_verified", "_method", "_confidence_after")
+
+
 def regenerate(verified: DataFrame, key: str = "answer_id") -> DataFrame:
-    """key, answer, confidence, n_claims, n_verified: verified texts in claim order and their mean confidence, or the refusal."""
+    """key, answer, confidence, n_claims, n_verified: verified texts in claim order and their mean confidence, or the refusal.
+
+    What a model makes of the verified claims is `regenerate_told`.
+    """
     kept = F.array_sort(F.collect_list(F.when(F.col("verified"), F.struct("claim_pos", "text", "confidence_after"))))
     rows = verified.groupBy(key).agg(kept.alias("_k"), F.count(F.lit(1)).alias("n_claims"), F.count_if("verified").alias("n_verified"))
     none = F.size("_k") == 0
@@ -186,3 +247,20 @@ def regenerate(verified: DataFrame, key: str = "answer_id") -> DataFrame:
         key, F.when(none, REFUSAL).otherwise(F.array_join(F.transform("_k", lambda c: c["text"]), " ")).alias("answer"),
         F.when(none, 0.0).otherwise(total / F.size("_k")).alias("confidence"), "n_claims", "n_verified",
     )
+
+
+def payload(verified: DataFrame, key: str = "answer_id") -> DataFrame:
+    """key, claims: the claims of each answer in order, as structs of text, type, verified, method and evidence."""
+    one = F.struct("claim_pos", "text", F.col("claim_type").alias("type"), "verified", "method", "evidence")
+    rows = verified.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("_c"))
+    return rows.select(key, F.transform("_c", lambda c: F.struct(*[c[f].alias(f) for f in ("text", "type", "verified", "method", "evidence")])).alias("claims"))
+
+
+def regenerate_told(verified: DataFrame, told: DataFrame, key: str = "answer_id") -> DataFrame:
+    """regenerate, with the text of a model's response (told: key, response) and the confidence that it states.
+
+    An answer without verified claims keeps the refusal, one whose model gave nothing the rules' text and confidence.
+    """
+    plain = regenerate(verified, key).join(told.select(key, "response"), key, "left")
+    use = (F.col("n_verified") > 0) & F.col("response").isNotNull()
+    return plain.withColumns({"answer": F.when(use, F.col("response")).otherwise(F.col("answer")), "confidence": F.when(use, T.confidence(F.col("response"))).otherwise(F.col("confidence"))}).drop("response")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ENTITY, RELATED = "Entity", "RELATED_TO"
@@ -17,12 +19,20 @@ def strip_fences(text: Column) -> Column:
     return trim(F.regexp_replace(F.regexp_replace(trim(text), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", ""))
 
 
+def message_text(message: Column) -> Column:
+    """The text of a model's message: of JSON with content or text, alone or in lists, else the message itself."""
+    paths = ("$.content[0].text", "$.content", "$[0].text", "$.text")
+    return F.coalesce(*[F.get_json_object(message, p) for p in paths], message)
+
+
 def normalise(documents: DataFrame, column: str = "json") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of each document's JSON, whichever field names it uses; text that isn't JSON gives none.
 
+    The JSON may stand in a code fence, or in a model's message around it.
+
     Endpoint types come from a join with the document's nodes, the last of an id winning; unknown endpoints are entities.
     """
-    parsed = documents.select("doc_id", F.from_json(strip_fences(F.col(column)), _SHAPE).alias("g"))
+    parsed = documents.select("doc_id", F.from_json(strip_fences(message_text(F.col(column))), _SHAPE).alias("g"))
     nodes = parsed.select("doc_id", F.posexplode(F.coalesce("g.nodes", "g.entities")).alias("pos", "n"))
     nodes = nodes.select("doc_id", "pos", F.coalesce("n.id", "n.name", F.lit("")).alias("id"), F.coalesce("n.type", "n.label", F.lit(ENTITY)).alias("type"))
     types = nodes.groupBy("doc_id", "id").agg(F.max_by("type", "pos").alias("type"))
@@ -51,13 +61,41 @@ def two_hops(edges: DataFrame, first: str, second: str) -> DataFrame:
     return a.join(edges.where(F.col("type") == second).select(F.col("src").alias("mid"), "dst"), "mid").select("src", "mid", "dst")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, depth: int = 4) -> DataFrame:
-    """start, node, hops: every node within `depth` hops and its least distance; each step joins only the new frontier."""
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops"))
-    frontier = seen
+def reachable(edges: DataFrame, starts: DataFrame, depth: int = 4, kept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """start, node, hops: every node within `depth` hops and its least distance; each step joins only the new frontier.
+
+    kept writes a frontier and reads it back, so that a step's plan doesn't repeat the steps before.
+    """
+    frontier = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops"))
     links = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    seen = frontier
     for hop in range(1, depth + 1):
         step = frontier.join(links, "node").select("start", F.col("next").alias("node")).distinct()
-        frontier = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        step = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        frontier = kept(step) if kept else step
         seen = seen.unionByName(frontier)
     return seen
+
+
+def entity_context(edges: DataFrame, mentions: DataFrame, chunks: DataFrame, starts: DataFrame, entity_type: str) -> DataFrame:
+    """start, node, doc_id, text, page: the chunks that mention an entity of a type one hop from each start, in order of page.
+
+    mentions: doc_id, node_id. chunks: doc_id, text, page. starts: one column `start`.
+    """
+    near = starts.join(edges.where(F.col("dst_type") == entity_type).select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct(), "start")
+    found = near.join(mentions.select(F.col("node_id").alias("node"), "doc_id").distinct(), "node").join(chunks, "doc_id")
+    return found.select("start", "node", "doc_id", "text", "page").orderBy("start", "page")
+
+
+def ask(questions: DataFrame, edges: DataFrame, words: int = 4) -> DataFrame:
+    """question_id, ctx_pos, text: the edges, as sentences, of each node that a question names.
+
+    A node is named by the runs of up to `words` words of the question, without its punctuation; case doesn't count.
+    """
+    clean = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^a-z0-9#]+", " ")), " ")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0))), lambda k: F.array_join(F.slice("_w", k + 1, n), " "))))
+    named = questions.where("text is not null").select("question_id", clean.alias("_w")).select("question_id", F.explode(F.array_distinct(runs)).alias("name"))
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9#]+", " "))
+    told = edges.select(plain(F.col("src")).alias("name"), F.concat_ws(" ", "src", F.regexp_replace(F.lower("type"), "_", " "), "dst").alias("text"))
+    found = named.join(told, "name").select("question_id", "text").distinct()
+    return found.select("question_id", (F.row_number().over(Window.partitionBy("question_id").orderBy("text")) - 1).alias("ctx_pos"), "text")

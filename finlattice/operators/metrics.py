@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,12 +35,12 @@ def overall(rows: DataFrame, expected: str = "expected", predicted: str = "predi
 
 
 def latency(rows: DataFrame, value: str, group: str) -> DataFrame:
-    """Mean and the value at place int(n * 0.95) of the sorted ones (from 0), by rank and not by a collected list."""
-    from pyspark.sql import Window
-
-    ranked = rows.select(group, F.col(value).alias("v"), (F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1).alias("r"), F.count(F.lit(1)).over(Window.partitionBy(group)).alias("n"))
+    """Mean and the value at place int(n * 0.95) of the sorted ones (from 0), by counts of equal values and not by a collected list."""
+    counts = rows.groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))  # equal values are one row
+    below = F.sum("c").over(Window.partitionBy(group).orderBy("v"))
+    ranked = counts.select(group, "v", "c", below.alias("upto"), F.sum("c").over(Window.partitionBy(group)).alias("n"))
     place = F.floor(F.col("n") * 0.95)
-    return ranked.groupBy(group).agg(F.avg("v").alias("mean"), F.max(F.when(F.col("r") == place, F.col("v"))).alias("p95"))
+    return ranked.groupBy(group).agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.min(F.when(F.col("upto") > place, F.col("v"))).alias("p95"))
 
 
 def distribution(verified: DataFrame, column: str) -> DataFrame:
@@ -58,3 +58,41 @@ def drift(current: DataFrame, baseline: DataFrame, key: str, least: float = 0.10
     both = current.withColumnRenamed("value", "current").join(baseline.withColumnRenamed("value", "baseline"), key)
     both = both.withColumn("drop", F.try_divide(F.col("baseline") - F.col("current"), F.col("baseline")))
     return both.withColumn("alert", F.coalesce(F.col("drop") > least, F.lit(False)))
+
+
+COMPONENTS = ("intent", "verifier", "e2e", "all")
+
+
+def chosen(component: str) -> list[str]:
+    """The components that a name stands for; a ValueError for other names."""
+    if component not in COMPONENTS:
+        raise ValueError(f"component must be one of {', '.join(COMPONENTS)}")
+    return list(COMPONENTS[:-1]) if component == "all" else [component]
+
+
+def case_checks(cases: DataFrame, verified: DataFrame, key: str = "answer_id") -> DataFrame:
+    """Counts of each case against what it expects; a null expectation passes.
+
+    cases: key, expected_claims, expected_verified, expected_unverified. Adds n_claims, n_verified, decomposition_ok, verification_ok.
+    """
+    counts = verified.groupBy(key).agg(F.count(F.lit(1)).alias("n_claims"), F.count_if("verified").alias("n_verified"))
+    both = cases.join(counts, key, "left").fillna(0, ["n_claims", "n_verified"])
+    meets = lambda c, expected: F.coalesce(c == F.col(expected), F.lit(True))
+    ok = meets(F.col("n_verified"), "expected_verified") & meets(F.col("n_claims") - F.col("n_verified"), "expected_unverified")
+    return both.select(key, "n_claims", "n_verified", meets(F.col("n_claims"), "expected_claims").alias("decomposition_ok"), ok.alias("verification_ok"))
+
+
+def check_totals(checks: DataFrame) -> DataFrame:
+    """One row: cases, claims, verified claims and their rate, and the cases whose checks passed."""
+    return checks.agg(
+        F.count(F.lit(1)).alias("n_cases"), F.sum("n_claims").alias("n_claims"), F.sum("n_verified").alias("n_verified"), _ratio(F.sum("n_verified"), F.sum("n_claims")).alias("rate"),
+        F.count_if("decomposition_ok").alias("decomposition_passed"), F.count_if("verification_ok").alias("verification_passed"),
+    )
+
+
+def end_to_end(answers: DataFrame) -> DataFrame:
+    """One row over question_id, intent_ok, strategy_ok, faithfulness, answer: shares, mean faithfulness, and whether no answer is empty."""
+    return answers.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.col("intent_ok").cast("double")).alias("intent_accuracy"), F.avg(F.col("strategy_ok").cast("double")).alias("strategy_accuracy"),
+        F.avg("faithfulness").alias("faithfulness"), F.bool_and(F.trim(F.coalesce("answer", F.lit(""))) != "").alias("all_answered"),
+    )

@@ -69,6 +69,12 @@ def describe(tables: DataFrame) -> DataFrame:
     return tables.withColumns({"headers": headers(md), "num_rows": n_rows(md), "num_cols": n_cols(md), "table_type": table_type(md)})
 
 
+def parsed(documents: DataFrame) -> DataFrame:
+    """The described tables of documents that a parsing service has made markdown of: sure, without a place on the page."""
+    zero = F.lit(0.0)
+    return describe(blocks(documents)).withColumns({"confidence": F.lit(0.9), "bbox": F.struct(zero.alias("x1"), zero.alias("y1"), zero.alias("x2"), zero.alias("y2"))})
+
+
 def grid_markdown(grid: Column) -> Column:
     """Markdown of an array of rows of cells: header, rule, rows padded or cut to the header's width, empty rows left out."""
     clean = lambda row: F.transform(row, lambda c: T.strip(F.coalesce(c, F.lit(""))))

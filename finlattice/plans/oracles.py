@@ -113,7 +113,7 @@ def _lexical(idf: bool, where: str = "TRUE") -> str:
 
 
 def _fused(a: float, b: float) -> str:
-    return f"""WITH {_dense(20)}, {_lexical(False, 'question_id < 20')}, fs AS (SELECT question_id, point_id, round(sum(part), 12) AS score FROM (
+    return f"""WITH {_dense(20)}, {_lexical(False)}, fs AS (SELECT question_id, point_id, round(sum(part), 12) AS score FROM (
         SELECT question_id, point_id, {a}::DOUBLE / (60 + rank) AS part FROM den UNION ALL SELECT question_id, point_id, {b}::DOUBLE / (60 + rank) FROM lex) GROUP BY 1, 2)
         SELECT question_id, point_id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, point_id) AS rank FROM fs) WHERE rank <= 20"""
 
@@ -184,22 +184,24 @@ _RAW = {
     "grid_tables": f"WITH {_GRID} SELECT doc_id, table_no, markdown, CAST(num_rows AS INT) AS num_rows, num_cols, height FROM grid",
     "model_tables": f"WITH {_MODEL} SELECT doc_id, table_id, markdown, array_to_string(headers, '|') AS headers, CAST(num_rows AS INT) AS num_rows, CAST(num_cols AS INT) AS num_cols, confidence FROM model",
     "table_retrieval": f"""WITH {_BLOCKS}, {_DESC}, {_TQ},
-        th AS (SELECT question_id, 'table' AS type, 0 AS o, table_pos AS pos, markdown AS content, 0.3::DOUBLE * len(list_filter(headers, lambda h: contains(lower(text), lower(h)))) + CASE WHEN contains(lower(markdown), lower(text)) THEN 0.5 ELSE 0 END + 0.2::DOUBLE AS score FROM tqs JOIN described ON collection = doc_id WHERE {_NUM}),
-        ch AS (SELECT question_id, 'text' AS type, 1 AS o, 0 AS pos, substr(m.text, 1, 500) AS content, 0.5::DOUBLE AS score FROM tqs JOIN md_docs m ON collection = doc_id WHERE contains(lower(m.text), lower(tqs.text))),
+        th AS (SELECT question_id, 'table' AS type, 0 AS o, doc_id // 100 * 10 + table_pos AS pos, markdown AS content, 0.3::DOUBLE * len(list_filter(headers, lambda h: contains(lower(text), lower(h)))) + CASE WHEN contains(lower(markdown), lower(text)) THEN 0.5 ELSE 0 END + 0.2::DOUBLE AS score FROM tqs JOIN described ON collection = doc_id % 100 WHERE {_NUM}),
+        ch AS (SELECT question_id, 'text' AS type, 1 AS o, m.doc_id // 100 AS pos, substr(m.text, 1, 500) AS content, 0.5::DOUBLE AS score FROM tqs JOIN md_docs m ON collection = doc_id % 100 WHERE contains(lower(m.text), lower(tqs.text))),
         un AS (SELECT * FROM th WHERE round(score, 9) > 0.3 UNION ALL SELECT * FROM ch)
         SELECT question_id, type, CAST(pos AS INT) AS pos, content, round(score, 6) AS score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, o, pos) AS r FROM un) WHERE r <= 5""",
-    "source_cascade": f"""WITH {_BLOCKS}, {_GRID}, {_MODEL}, un AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, 0 AS priority, markdown FROM blk WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1, markdown FROM grid UNION ALL SELECT doc_id, 2, markdown FROM model)
+    "source_cascade": f"""WITH {_BLOCKS}, {_GRID}, {_MODEL}, un AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, 0 AS priority, markdown FROM blk UNION ALL SELECT doc_id + x, 1, markdown FROM grid, (VALUES (0), (200)) s(x) UNION ALL SELECT doc_id + x, 2, markdown FROM model, (VALUES (0), (200), (300)) s(x))
         SELECT CAST(doc_id AS INT) AS doc_id, priority, markdown FROM (SELECT *, min(priority) OVER (PARTITION BY doc_id) AS best FROM un) WHERE priority = best""",
     "token_chunks": r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT *, greatest(1, CAST(ceil((len(w) - 1000) / 800.0) AS INT) + 1) AS n FROM t WHERE len(w) > 0)
         SELECT doc_id, CAST(i AS INT) AS chunk_pos, md5(array_to_string(w[i * 800 + 1 : i * 800 + 1000], ' ')) AS text_md5 FROM c, generate_series(0, 2000) g(i) WHERE i < n""",
-    "char_chunks": """WITH c AS (SELECT doc_id, text, least(30, greatest(1, CAST(ceil((length(text) - 1200) / 800.0) AS INT) + 1)) AS n FROM documents WHERE text <> '')
+    "char_chunks": """WITH c AS (SELECT doc_id, text, greatest(1, CAST(ceil((length(text) - 1200) / 800.0) AS INT) + 1) AS n FROM documents WHERE text <> '')
+        SELECT doc_id, CAST(i AS INT) AS chunk_pos, md5(substr(text, CAST(i * 800 + 1 AS INT), 1200)) AS text_md5 FROM c, LATERAL (SELECT unnest(range(0, n)) AS i)""",
+    "graph_input_chunks": """WITH c AS (SELECT doc_id, text, least(30, greatest(1, CAST(ceil((length(text) - 1200) / 800.0) AS INT) + 1)) AS n FROM documents WHERE text <> '')
         SELECT doc_id, CAST(i AS INT) AS chunk_pos, md5(substr(text, CAST(i * 800 + 1 AS INT), 1200)) AS text_md5 FROM c, generate_series(0, 29) g(i) WHERE i < n""",
     "graph_nodes": f"WITH {_NODES} SELECT doc_id, CAST(pos AS INT) AS pos, id, type FROM nodes",
     "graph_relationships": f"WITH {_EDGES} SELECT e.doc_id, CAST(pos AS INT) AS pos, src, coalesce(a.type, 'Entity') AS src_type, dst, coalesce(b.type, 'Entity') AS dst_type, e.type FROM eds e LEFT JOIN ty a ON a.doc_id = e.doc_id AND a.id = src LEFT JOIN ty b ON b.doc_id = e.doc_id AND b.id = dst",
     "graph_mentions": f"WITH {_NODES} SELECT DISTINCT doc_id, id AS node_id FROM nodes",
     "graph_neighbours": "SELECT src AS start, type, count(*) AS n, max(dst) AS last_node FROM graph_edges WHERE src_type = 'Supplier' GROUP BY 1, 2",
     "graph_two_hops": "SELECT a.src, a.dst AS mid, b.dst FROM graph_edges a JOIN graph_edges b ON a.dst = b.src WHERE a.type = 'LOCATED_IN' AND b.type = 'PART_OF'",
-    "graph_reachable": """WITH RECURSIVE w AS (SELECT concat('supplier ', CAST(s_suppkey AS VARCHAR)) AS start, concat('supplier ', CAST(s_suppkey AS VARCHAR)) AS node, 0 AS hops FROM supplier WHERE s_suppkey <= 20
+    "graph_reachable": """WITH RECURSIVE w AS (SELECT concat('supplier ', CAST(s_suppkey AS VARCHAR)) AS start, concat('supplier ', CAST(s_suppkey AS VARCHAR)) AS node, 0 AS hops FROM supplier
             UNION SELECT w.start, e.dst, w.hops + 1 FROM w JOIN graph_edges e ON e.src = w.node WHERE w.hops < 3)
         SELECT start, hops, count(*) AS n FROM (SELECT start, node, min(hops) AS hops FROM w GROUP BY 1, 2) GROUP BY 1, 2""",
     "feedback_success": "SELECT intent, count(*) AS n, round(avg(was_helpful::INT::DOUBLE), 6) AS success_rate FROM feedback GROUP BY 1",
@@ -214,4 +216,54 @@ _RAW = {
     "document_scoped_search": f"WITH {_dense(5, '(v.question_id % 3 = 0 OR v.label = p.label)')} SELECT question_id, point_id, round(score, 6) AS score, rank FROM den",
     "answer_questions": f"WITH {_ROUTED}, {_ANSWERED} SELECT question_id, intent, strategy, coalesce(answer, {q(C.REFUSAL)}) AS answer, coalesce(done.confidence, 0) AS confidence, coalesce(n_claims, 0) AS n_claims, coalesce(n_verified, 0) AS n_verified FROM routed LEFT JOIN done ON answer_id = question_id",
 }
+_TYPES = "('numerical', 'comparative', 'computational', 'temporal', 'entity', 'regulatory')"
+_RERANKED = """rr AS (SELECT f.question_id, f.point_id, ce, row_number() OVER (PARTITION BY f.question_id ORDER BY ce DESC, f.rank, f.point_id) AS r FROM fu f JOIN ces USING (question_id, point_id))"""
+_FUSE = "fs AS (SELECT question_id, point_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT question_id, point_id, rank FROM {0} UNION ALL SELECT question_id, point_id, rank FROM {1}) GROUP BY 1, 2), fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, point_id) AS rank FROM fs) WHERE rank <= {2})"
+_TICKER = f"""{_LATEST}, dsc AS (SELECT v.question_id, p.point_id, {_COS} AS score FROM ticker_questions v JOIN pts p ON v.label = p.label), den AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, point_id) AS rank FROM dsc WHERE score IS NOT NULL) WHERE rank <= 20),
+    {_terms('tq', 'ticker_questions', 'question_id')}, {_terms('td', 'ticker_documents', 'doc_id')}, st AS (SELECT avg(len) AS avg_len, count(*) AS n_docs FROM (SELECT DISTINCT k, len FROM td)),
+    lsc AS (SELECT q.k AS question_id, d.k AS point_id, round(sum(d.tf * 2.2::DOUBLE / (d.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d.len / s.avg_len)) * q.tf), 9) AS score FROM tq q JOIN td d USING (term) JOIN ticker_questions a ON a.question_id = q.k JOIN ticker_documents b ON b.doc_id = d.k AND a.label = b.label, st s GROUP BY 1, 2),
+    lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, point_id) AS rank FROM lsc) WHERE rank <= 20), {_FUSE.format('den', 'lex', 10)}, ces AS (SELECT question_id, point_id, (point_id % 11)::DOUBLE AS ce FROM fu)"""
+_PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9#]+', ' ', 'g'))"
+_CONFIDENCE = f"TRY_CAST({_extract('response', '(?i)confidence[:' + chr(92) + 's]*([0-9.]+)', 1)} AS DOUBLE)"
+
+_RAW |= {
+    "hybrid_rerank": f"""WITH {_dense(20)}, {_lexical(False)}, {_FUSE.format('den', 'lex', 20)}, ov AS (SELECT q.k AS question_id, d.k AS point_id, count(*)::DOUBLE AS ce FROM tq q JOIN td d USING (term) GROUP BY 1, 2),
+        ces AS (SELECT f.question_id, f.point_id, coalesce(ce, 0) AS ce FROM fu f LEFT JOIN ov USING (question_id, point_id)), {_RERANKED} SELECT question_id, point_id, ce AS score, CAST(r AS INT) AS rank FROM rr WHERE r <= 5""",
+    "hybrid_rerank_diverse": f"""WITH RECURSIVE {_dense(20)}, dsc2 AS (SELECT v.question_id, p.point_id, round(list_cosine_similarity(list_reverse(CAST(v.embedding AS DOUBLE[])), CAST(p.dense AS DOUBLE[])), 9) AS score FROM vector_queries v, pts p),
+        den2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, point_id) AS rank FROM dsc2 WHERE score IS NOT NULL) WHERE rank <= 20), {_FUSE.format('den', 'den2', 20)}, ces AS (SELECT question_id, point_id, (point_id % 7)::DOUBLE AS ce FROM fu), {_RERANKED},
+        cand AS (SELECT r.question_id, r.point_id, ce, r, CAST(p.dense AS DOUBLE[]) AS e, coalesce(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(p.dense AS DOUBLE[])), 0) AS rel FROM rr r JOIN pts p USING (point_id) JOIN vector_queries v USING (question_id) WHERE r <= 10),
+        pick AS (SELECT question_id, 0 AS step, []::BIGINT[] AS picked FROM (SELECT DISTINCT question_id FROM cand)
+            UNION ALL SELECT question_id, step + 1, list_append(picked, (SELECT c.point_id FROM cand c WHERE c.question_id = pick.question_id AND NOT list_contains(pick.picked, c.point_id)
+                ORDER BY round(0.7::DOUBLE * c.rel - 0.3::DOUBLE * coalesce((SELECT max(list_cosine_similarity(c.e, o.e)) FROM cand o WHERE o.question_id = c.question_id AND list_contains(pick.picked, o.point_id)), 0), 9) DESC, c.r LIMIT 1)) FROM pick WHERE step < 5)
+        SELECT p.question_id, CAST(i AS INT) AS rank, p.picked[i] AS point_id, c.ce AS score FROM pick p, generate_series(1, 5) g(i), cand c WHERE step = 5 AND c.question_id = p.question_id AND c.point_id = p.picked[i]""",
+    "ticker_hybrid_search": f"WITH {_TICKER}, {_RERANKED} SELECT question_id, point_id, ce AS score, CAST(r AS INT) AS rank FROM rr WHERE r <= 5",
+    "answer_payload": f"""WITH {_lexical(False)}, x AS (SELECT question_id, score, rank, text, concat(coalesce(source, '-'), '/', coalesce(lang, '-')) AS cited FROM lex JOIN documents ON doc_id = point_id WHERE rank <= 5)
+        SELECT question_id, round(max(score) FILTER (rank = 1), 6) AS score, md5(string_agg(text, chr(10) || chr(10) ORDER BY rank) FILTER (rank <= 3)) AS context_md5, CAST(count(*) AS INT) AS n_nodes, string_agg(cited, '|' ORDER BY rank) FILTER (rank <= 3) AS citations FROM x GROUP BY 1""",
+    "answer_claims": f"WITH {_VERIFIED} SELECT answer_id, string_agg(concat_ws(':', substr(text, 1, 80), claim_type, CAST(verified AS VARCHAR), method), '|' ORDER BY claim_pos) AS claims FROM ver GROUP BY 1",
+    "strategy_contexts": f"""WITH {_ROUTED}, un AS (SELECT question_id, 'graph' AS branch, 0 AS o, ctx_pos, text FROM graph_contexts JOIN routed USING (question_id) WHERE strategy = 'graphrag' AND text <> ''
+        UNION ALL SELECT question_id, 'table', 0, ctx_pos, text FROM table_contexts JOIN routed USING (question_id) WHERE strategy = 'multimodal_rag' AND text <> '' UNION ALL SELECT answer_id, 'simple', 1, ctx_pos, text FROM contexts JOIN routed ON answer_id = question_id WHERE text <> '')
+        SELECT question_id, branch, CAST(ctx_pos AS BIGINT) AS ctx_pos, text FROM (SELECT *, min(o) OVER (PARTITION BY question_id) AS best FROM un) WHERE o = best""",
+    "told_claims": f"""WITH {_CLAIMS}, tj AS (SELECT answer_id, TRY_CAST(nullif(regexp_extract(response, '(?s)\\[.*\\]', 0), '') AS JSON) AS j FROM told_answers),
+        tf AS (SELECT answer_id, j FROM tj WHERE j IS NOT NULL AND list_bool_and(list_transform(json_extract_string(j, '$[*].type'), lambda x: lower(x) IN {_TYPES}))),
+        tc AS (SELECT answer_id, i AS claim_pos, trim(json_extract_string(j, '$[' || i || '].claim')) AS text, lower(json_extract_string(j, '$[' || i || '].type')) AS claim_type FROM tf, generate_series(0, 9) g(i) WHERE i < json_array_length(j))
+        SELECT answer_id, CAST(claim_pos AS INT) AS claim_pos, text, claim_type, regexp_matches(text, '\\d') AS has_numbers, regexp_matches(text, {q(T.DATE_HINT)}) AS has_dates FROM tc
+        UNION ALL SELECT answer_id, CAST(claim_pos AS INT), text, claim_type, has_numbers, has_dates FROM typed WHERE answer_id NOT IN (SELECT answer_id FROM tf)""",
+    "told_answers": f"""WITH {_ANSWERED} SELECT answer_id, CASE WHEN n_verified > 0 AND response IS NOT NULL THEN response ELSE answer END AS answer,
+        CASE WHEN n_verified > 0 AND response IS NOT NULL THEN CASE WHEN {_CONFIDENCE} IS NULL THEN 0.5 ELSE greatest(0, least(1, {_CONFIDENCE})) END ELSE confidence END::DOUBLE AS confidence, n_claims, n_verified FROM done LEFT JOIN told_texts USING (answer_id)""",
+    "semantic_claims": """WITH b AS (SELECT v.label AS answer_id, v.question_id AS claim_pos, greatest(0, coalesce(max(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), list_reverse(CAST(e.embedding AS DOUBLE[])))), 0)) AS s FROM vector_queries v LEFT JOIN embeddings e ON v.label = e.label GROUP BY 1, 2)
+        SELECT answer_id, claim_pos, round(s, 6) AS similarity, s > 0.85 AS verified, CASE WHEN s > 0.85 THEN 'generic_semantic_match' ELSE 'generic_no_semantic_match' END AS method, round(CASE WHEN s > 0.85 THEN s ELSE 0 END, 6) AS confidence_after FROM b""",
+    "verifier_checks": f"""WITH {_VERIFIED}, n AS (SELECT answer_id, count(*) AS n_claims, count(*) FILTER (verified) AS n_verified FROM ver GROUP BY 1)
+        SELECT answer_id, coalesce(n_claims, 0) AS n_claims, coalesce(n_verified, 0) AS n_verified, coalesce(coalesce(n_claims, 0) = expected_claims, TRUE) AS decomposition_ok,
+        coalesce(coalesce(n_verified, 0) = expected_verified, TRUE) AND coalesce(coalesce(n_claims, 0) - coalesce(n_verified, 0) = expected_unverified, TRUE) AS verification_ok FROM cases LEFT JOIN n USING (answer_id)""",
+    "verifier_totals": f"""WITH {_VERIFIED}, n AS (SELECT answer_id, count(*) AS n_claims, count(*) FILTER (verified) AS n_verified FROM ver GROUP BY 1),
+        c AS (SELECT coalesce(n_claims, 0) AS a, coalesce(n_verified, 0) AS b, * FROM cases LEFT JOIN n USING (answer_id))
+        SELECT count(*) AS n_cases, CAST(sum(a) AS BIGINT) AS n_claims, CAST(sum(b) AS BIGINT) AS n_verified, round(sum(b)::DOUBLE / sum(a), 6) AS rate, count(*) FILTER (coalesce(a = expected_claims, TRUE)) AS decomposition_passed,
+        count(*) FILTER (coalesce(b = expected_verified, TRUE) AND coalesce(a - b = expected_unverified, TRUE)) AS verification_passed FROM c""",
+    "e2e_summary": f"""WITH {_ROUTED}, {_ANSWERED} SELECT count(*) AS n, round(avg((intent = expected_intent)::INT::DOUBLE), 6) AS intent_accuracy, round(avg((strategy <> 'simple_rag')::INT::DOUBLE), 6) AS strategy_accuracy,
+        round(avg(coalesce(n_verified::DOUBLE / n_claims, 0)), 6) AS faithfulness, bool_and(coalesce(trim(answer), '') <> '') AS all_answered FROM routed LEFT JOIN done ON answer_id = question_id""",
+    "graph_questions": f"""WITH e AS (SELECT {_PLAIN.format('src')} AS name, concat_ws(' ', src, lower(replace(type, '_', ' ')), dst) AS text FROM graph_edges WHERE type <> 'SUPPLIES'),
+        f AS (SELECT DISTINCT question_id, e.text FROM graph_questions g JOIN e ON contains(' ' || {_PLAIN.format('g.text')} || ' ', ' ' || e.name || ' '))
+        SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY text) - 1 AS INT) AS ctx_pos, text FROM f""",
+    "odd_tables": f"WITH {_BLOCKS.replace('md_docs', 'odd_docs')}, {_DESC} SELECT doc_id, CAST(table_pos AS INT) AS table_pos, array_to_string(headers, '|') AS headers, CAST(num_rows AS INT) AS num_rows, CAST(num_cols AS INT) AS num_cols, table_type, 0.9::DOUBLE AS confidence, CASE WHEN strpos(text, markdown) = 0 THEN 1 ELSE least((strpos(text, markdown) - 1) // 3000 + 1, 100) END::INT AS page FROM described JOIN odd_docs USING (doc_id)",
+}
 SQL = {name: with_views(sql) for name, sql in _RAW.items()}

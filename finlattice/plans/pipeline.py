@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import claims, routing
@@ -10,6 +10,22 @@ from ..operators import claims, routing
 NO_CONTEXT = "No relevant context found for your query."
 
 
+def dispatch(routed: DataFrame, simple: DataFrame, tables: DataFrame, graph: DataFrame) -> DataFrame:
+    """question_id, branch, ctx_pos, text: the contexts of each question's strategy, or the simple ones where it has none.
+
+    routed: question_id, strategy. The branches: question_id, ctx_pos, text; contexts without text don't count. Each branch
+    only meets the questions that may use it, and one pass over what is left decides.
+    """
+    branches = [("graph", 0, graph, F.col("strategy") == "graphrag"), ("table", 0, tables, F.col("strategy") == "multimodal_rag"), ("simple", 1, simple, F.lit(True))]
+    found = None
+    for name, order, rows, use in branches:
+        rows = rows.where(F.col("text").isNotNull() & (F.col("text") != "")).select("question_id", "ctx_pos", "text")
+        part = rows.join(routed.where(use).select("question_id"), "question_id", "left_semi").withColumns({"branch": F.lit(name), "_o": F.lit(order)})
+        found = part if found is None else found.unionByName(part)
+    best = F.min("_o").over(Window.partitionBy("question_id"))
+    return found.withColumn("_b", best).where("_o = _b").select("question_id", "branch", "ctx_pos", "text")
+
+
 def answer(questions: DataFrame, drafts: DataFrame, contexts: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
     """question_id, intent, strategy, answer, confidence, n_claims, n_verified.
 
@@ -18,7 +34,7 @@ def answer(questions: DataFrame, drafts: DataFrame, contexts: DataFrame, thresho
     """
     routed = routing.classify(questions)
     routed = routing.gate(routed, thresholds) if thresholds else routed
-    verified = claims.regenerate(claims.verify(claims.decompose(drafts), contexts))
+    verified = claims.regenerate(claims.verify_answers(drafts, contexts))
     known = contexts.select("answer_id").distinct().withColumn("_known", F.lit(True))
     out = routed.select("question_id", "intent", "strategy").join(verified.withColumnRenamed("answer_id", "question_id"), "question_id", "left").join(known.withColumnRenamed("answer_id", "question_id"), "question_id", "left")
     found = F.col("_known").isNotNull()

@@ -62,7 +62,7 @@ def document_sentences(s: SparkSession, d: str) -> DataFrame:
 
 
 def _verified(s: SparkSession, d: str, strict: bool = False) -> DataFrame:
-    return claims.verify(claims.decompose(V(s, d, "answers")), V(s, d, "contexts"), strict=strict)
+    return claims.verify_answers(V(s, d, "answers"), V(s, d, "contexts"), strict=strict)
 
 
 def verify_claims(s: SparkSession, d: str) -> DataFrame:
@@ -126,7 +126,7 @@ def lexical_idf_top_k(s: SparkSession, d: str) -> DataFrame:
 
 def _two_rankings(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     dense = retrieval.dense_top_k(V(s, d, "vector_queries"), retrieval.upsert_latest(V(s, d, "points")), 20)
-    sparse = retrieval.lexical_top_k(V(s, d, "text_queries").where("question_id < 20"), V(s, d, "documents"), 20)
+    sparse = retrieval.lexical_top_k(V(s, d, "text_queries"), V(s, d, "documents"), 20)
     return dense, sparse
 
 
@@ -150,6 +150,92 @@ def rerank(s: SparkSession, d: str) -> DataFrame:
     return retrieval.rerank(found, _overlap(s, d), 5)
 
 
+def _scored(s: SparkSession, d: str, fused: DataFrame) -> DataFrame:
+    return fused.select("question_id", "point_id").join(_overlap(s, d), ["question_id", "point_id"], "left").fillna(0.0, ["ce"])
+
+
+def hybrid_rerank(s: SparkSession, d: str) -> DataFrame:
+    dense, sparse = _two_rankings(s, d)
+    return retrieval.search(dense, sparse, V(s, d, "points"), lambda fused: _scored(s, d, fused))
+
+
+def hybrid_rerank_diverse(s: SparkSession, d: str) -> DataFrame:
+    points, asked = retrieval.upsert_latest(V(s, d, "points")), V(s, d, "vector_queries")
+    dense = retrieval.dense_top_k(asked, points, 20)
+    second = retrieval.dense_top_k(asked.withColumn("embedding", F.reverse("embedding")), points, 20)
+    ce = lambda fused: fused.select("question_id", "point_id", (F.col("point_id") % 7).cast("double").alias("ce"))
+    return retrieval.search(dense, second, points, ce, asked, 5, 20, 0.7)
+
+
+def ticker_hybrid_search(s: SparkSession, d: str) -> DataFrame:
+    asked, docs = V(s, d, "ticker_questions"), V(s, d, "ticker_documents")
+    ce = lambda fused: fused.select("question_id", "point_id", (F.col("point_id") % 11).cast("double").alias("ce"))
+    return retrieval.ticker_search(asked, retrieval.upsert_latest(V(s, d, "points")), docs, ce, "label")
+
+
+def answer_payload(s: SparkSession, d: str) -> DataFrame:
+    docs = V(s, d, "documents").select(F.col("doc_id").cast("long").alias("point_id"), "text", "source", F.col("lang").alias("section"))
+    out = retrieval.payload(retrieval.lexical_top_k(V(s, d, "text_queries"), V(s, d, "documents"), 5), docs, ["source", "section"])
+    cited = F.array_join(F.transform("citations", lambda c: F.concat_ws("/", F.coalesce(c["source"], F.lit("-")), F.coalesce(c["section"], F.lit("-")))), "|")
+    return out.select("question_id", F.round("score", 6).alias("score"), F.md5("context").alias("context_md5"), F.size("nodes").alias("n_nodes"), cited.alias("citations"))
+
+
+def answer_claims(s: SparkSession, d: str) -> DataFrame:
+    rows = claims.payload(_verified(s, d))
+    told = F.transform("claims", lambda c: F.concat_ws(":", F.substring(c["text"], 1, 80), c["type"], c["verified"].cast("string"), c["method"]))
+    return rows.select("answer_id", F.array_join(told, "|").alias("claims"))
+
+
+def strategy_contexts(s: SparkSession, d: str) -> DataFrame:
+    from .pipeline import dispatch
+
+    simple = V(s, d, "contexts").withColumnRenamed("answer_id", "question_id")
+    found = dispatch(routing.classify(V(s, d, "questions")), simple, V(s, d, "table_contexts"), V(s, d, "graph_contexts"))
+    return found.withColumn("ctx_pos", F.col("ctx_pos").cast("long"))
+
+
+def told_claims(s: SparkSession, d: str) -> DataFrame:
+    return claims.decompose_told(V(s, d, "told_answers")).withColumn("claim_pos", F.col("claim_pos").cast("int"))
+
+
+def told_answers(s: SparkSession, d: str) -> DataFrame:
+    return claims.regenerate_told(_verified(s, d), V(s, d, "told_texts")).withColumn("confidence", F.round("confidence", 6))
+
+
+def semantic_claims(s: SparkSession, d: str) -> DataFrame:
+    told = V(s, d, "vector_queries").select(F.col("label").alias("answer_id"), F.col("question_id").alias("claim_pos"), "embedding")
+    shown = V(s, d, "embeddings").where("label is not null").select(F.col("label").alias("answer_id"), F.reverse("embedding").alias("embedding"))
+    return claims.verify_semantic(told, shown).withColumns({c: F.round(c, 6) for c in ("similarity", "confidence_after")})
+
+
+def verifier_checks(s: SparkSession, d: str) -> DataFrame:
+    return metrics.case_checks(V(s, d, "cases"), _verified(s, d))
+
+
+def verifier_totals(s: SparkSession, d: str) -> DataFrame:
+    return metrics.check_totals(metrics.case_checks(V(s, d, "cases"), _verified(s, d))).withColumn("rate", F.round("rate", 6))
+
+
+def e2e_summary(s: SparkSession, d: str) -> DataFrame:
+    routed = routing.classify(V(s, d, "questions"))
+    verified = _verified(s, d)
+    rows = routed.select("question_id", (F.col("intent") == F.col("expected_intent")).alias("intent_ok"), (F.col("strategy") != "simple_rag").alias("strategy_ok"))
+    for part in (metrics.faithfulness(verified), claims.regenerate(verified).select("answer_id", "answer")):
+        rows = rows.join(part.withColumnRenamed("answer_id", "question_id"), "question_id", "left")
+    out = metrics.end_to_end(rows.fillna(0.0, ["faithfulness"]))
+    return out.select("n", *[F.round(c, 6).alias(c) for c in ("intent_accuracy", "strategy_accuracy", "faithfulness")], "all_answered")
+
+
+def graph_questions(s: SparkSession, d: str) -> DataFrame:
+    return graph.ask(V(s, d, "graph_questions"), V(s, d, "graph_edges").where("type <> 'SUPPLIES'"))
+
+
+def odd_tables(s: SparkSession, d: str) -> DataFrame:
+    docs = V(s, d, "odd_docs")
+    out = tables.parsed(docs).join(docs, "doc_id")
+    return out.select("doc_id", "table_pos", _joined("headers").alias("headers"), "num_rows", "num_cols", "table_type", "confidence", tables.page_of(F.col("markdown"), F.col("text")).alias("page"))
+
+
 def diverse_top_k(s: SparkSession, d: str) -> DataFrame:
     points = retrieval.upsert_latest(V(s, d, "points"))
     found = retrieval.dense_top_k(V(s, d, "vector_queries"), points, 10)
@@ -190,16 +276,19 @@ def _table_questions(s: SparkSession, d: str) -> DataFrame:
 
 
 def table_retrieval(s: SparkSession, d: str) -> DataFrame:
-    docs = V(s, d, "md_docs").where("doc_id < 100")
-    found = tables.describe(tables.blocks(docs)).select(F.col("doc_id").cast("long").alias("collection"), "table_pos", "markdown", "headers")
-    chunks = docs.select(F.col("doc_id").cast("long").alias("collection"), F.lit(0).alias("chunk_pos"), "text")
+    docs = V(s, d, "md_docs")  # a collection is a region's documents, whose ids end in its key
+    collection, order = F.pmod("doc_id", F.lit(100)).cast("long").alias("collection"), F.floor(F.col("doc_id") / 100).cast("int")
+    found = tables.describe(tables.blocks(docs)).select(collection, (order * 10 + F.col("table_pos")).alias("table_pos"), "markdown", "headers")
+    chunks = docs.select(collection, order.alias("chunk_pos"), "text")
     return tables.retrieve(_table_questions(s, d), found, chunks).withColumn("score", F.round("score", 6))
 
 
 def source_cascade(s: SparkSession, d: str) -> DataFrame:
-    parsed = tables.blocks(V(s, d, "md_docs")).where("doc_id % 2 = 0").select("doc_id", F.lit(0).alias("priority"), "markdown")
-    read = tables.grids(_grids(s, d)).select("doc_id", F.lit(1).alias("priority"), "markdown")
-    seen = tables.parse_response(V(s, d, "responses")).select("doc_id", F.lit(2).alias("priority"), "markdown")
+    # documents from 200 on have no parsed table, those from 300 on no grid either
+    more = lambda df, *shifts: df.withColumn("doc_id", F.explode(F.array(*[F.col("doc_id") + x for x in shifts])))
+    parsed = tables.blocks(V(s, d, "md_docs")).select("doc_id", F.lit(0).alias("priority"), "markdown")
+    read = more(tables.grids(_grids(s, d)), 0, 200).select("doc_id", F.lit(1).alias("priority"), "markdown")
+    seen = more(tables.parse_response(V(s, d, "responses")), 0, 200, 300).select("doc_id", F.lit(2).alias("priority"), "markdown")
     return tables.first_source(parsed.unionByName(read).unionByName(seen))
 
 
@@ -209,10 +298,20 @@ def token_chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def char_chunks(s: SparkSession, d: str) -> DataFrame:
+    out = chunking.char_windows(V(s, d, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "chunk_pos", F.md5("text").alias("text_md5"))
+
+
+def graph_input_chunks(s: SparkSession, d: str) -> DataFrame:
+    """What a graph model is fed: the first MAX_DOCS windows of each document, which is the feature."""
     out = chunking.char_windows(V(s, d, "documents").select("doc_id", "text"), max_docs=chunking.MAX_DOCS)
     return out.select("doc_id", "chunk_pos", F.md5("text").alias("text_md5"))
 
 
+def text_splits(s: SparkSession, d: str) -> DataFrame:
+    return chunking.text_splits(V(s, d, "documents").select("doc_id", "text"))
+
+
 def graph_nodes(s: SparkSession, d: str) -> DataFrame:
     return graph.normalise(V(s, d, "graph_json"))[0].withColumn("pos", F.col("pos").cast("int"))
 
@@ -235,7 +334,7 @@ def graph_two_hops(s: SparkSession, d: str) -> DataFrame:
 
 
 def graph_reachable(s: SparkSession, d: str) -> DataFrame:
-    starts = V(s, d, "supplier").where("s_suppkey <= 20").select(F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("start"))
+    starts = V(s, d, "supplier").select(F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("start"))
     return graph.reachable(V(s, d, "graph_edges"), starts, 3).groupBy("start", "hops").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -281,5 +380,6 @@ QUERIES = {f.__name__: f for f in (
     route_intents, route_gate, route_distribution, intent_metrics, intent_accuracy, intent_failures, latency_summary, claim_decomposition, document_sentences, verify_claims, verified_answers,
     method_distribution, type_distribution, verification_totals, faithfulness, extractions, document_extractions, dense_top_k, scoped_search, upsert_points, lexical_top_k, lexical_idf_top_k,
     hybrid_search, weighted_hybrid_search, rerank, diverse_top_k, table_blocks, table_description, grid_tables, model_tables, table_retrieval, source_cascade, token_chunks, char_chunks,
-    graph_nodes, graph_relationships, graph_mentions, graph_neighbours, graph_two_hops, graph_reachable, feedback_success, adaptive_thresholds, metric_drift, document_scope, document_scoped_search, answer_questions,
+    hybrid_rerank, hybrid_rerank_diverse, ticker_hybrid_search, answer_payload, answer_claims, strategy_contexts, told_claims, told_answers, semantic_claims, verifier_checks, verifier_totals, e2e_summary,
+    graph_questions, odd_tables, graph_input_chunks, text_splits, graph_nodes, graph_relationships, graph_mentions, graph_neighbours, graph_two_hops, graph_reachable, feedback_success, adaptive_thresholds, metric_drift, document_scope, document_scoped_search, answer_questions,
 )}

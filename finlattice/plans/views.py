@@ -42,7 +42,20 @@ VIEWS = {
         UNION ALL SELECT doc_id + 200, concat('One | pipe', chr(10), 'x | y') FROM md_tables""",
     "points": """SELECT 'main' AS collection, CAST(vec_id AS BIGINT) AS point_id, 0 AS ingest_seq, embedding AS dense, label FROM embeddings
         UNION ALL SELECT 'main', CAST(vec_id AS BIGINT) - 100, 1, embedding, label FROM embeddings WHERE vec_id >= 100 AND vec_id < 200""",
-    "vector_queries": "SELECT CAST(vec_id AS BIGINT) AS question_id, embedding, label FROM embeddings WHERE vec_id < 20",
+    "vector_queries": "SELECT CAST(vec_id AS BIGINT) AS question_id, embedding, label FROM embeddings WHERE vec_id % 50 = 0",
+    "ticker_questions": "SELECT q.question_id, q.embedding, q.label, b.text FROM vector_queries q JOIN benchmark b ON b.item_id = q.question_id",
+    "ticker_documents": "SELECT CAST(doc_id AS BIGINT) AS doc_id, text, CAST(doc_id % 10 AS INT) AS label FROM documents",
+    "table_contexts": """SELECT l_orderkey AS question_id, l_linenumber AS ctx_pos, CASE WHEN l_quantity > 10 THEN concat('| part | quantity |', chr(10), '| --- | --- |', chr(10), '| part ', CAST(l_partkey AS STRING), ' | ', CAST(CAST(l_quantity AS BIGINT) AS STRING), ' |') END AS text FROM lineitem""",
+    "graph_contexts": """SELECT l_orderkey AS question_id, l_linenumber AS ctx_pos, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE concat('supplier ', CAST(s_suppkey AS STRING), ' located in ', n_name) END AS text
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
+    "graph_questions": """SELECT CAST(s_suppkey AS BIGINT) AS question_id, CASE s_suppkey % 3 WHEN 0 THEN concat('Where is Supplier ', CAST(s_suppkey AS STRING), ' located?') WHEN 1 THEN concat('What of ', n_name, ', then?') ELSE 'Nobody named here' END AS text
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+    "told_answers": """SELECT answer_id, text, CASE v WHEN 0 THEN concat('Here: [{"claim": "Total was $', CAST(k AS STRING), 'K.", "type": "Numerical"}, {"claim": "In fiscal year ', CAST(y AS STRING), '.", "type": "temporal"}] done')
+            WHEN 1 THEN concat('[{"claim": "Total was $', CAST(k AS STRING), 'K.", "type": "guess"}]') WHEN 2 THEN 'no list' WHEN 3 THEN '[{"claim": broken' END AS response FROM answers JOIN facts USING (answer_id)""",
+    "told_texts": """SELECT answer_id, CASE v WHEN 0 THEN concat('The total was $', CAST(k AS STRING), 'K. Confidence: 0.9') WHEN 4 THEN 'No number here' WHEN 1 THEN 'Confidence: 7' END AS response FROM facts""",
+    "cases": """SELECT answer_id, CASE WHEN v < 3 THEN 6 END AS expected_claims, CASE v WHEN 0 THEN 3 WHEN 1 THEN 2 END AS expected_verified, CASE WHEN v = 2 THEN 4 END AS expected_unverified FROM facts""",
+    "odd_docs": """SELECT doc_id, concat('Intro text.', chr(10), '| Nation [merged] | Key |', chr(10), '| --- | --- |', chr(10), '| a | 1 |', chr(10), 'Between.', chr(10), '| Top |  |', chr(10), '| Left | Right |', chr(10), '| 1 | 2 |', chr(10), '| 3 | 4 |', chr(10),
+            repeat('Far down the text. ', CAST(170 * (doc_id + 1) AS INT)), chr(10), markdown, chr(10), 'End.') AS text FROM md_tables""",
     "text_queries": "SELECT CAST(item_id AS BIGINT) AS question_id, text FROM benchmark",
     "graph_edges": """SELECT concat('supplier ', CAST(s_suppkey AS STRING)) AS src, 'Supplier' AS src_type, n_name AS dst, 'Nation' AS dst_type, 'LOCATED_IN' AS type FROM supplier JOIN nation ON s_nationkey = n_nationkey
         UNION ALL SELECT n_name, 'Nation', r_name, 'Region', 'PART_OF' FROM nation JOIN region ON n_regionkey = r_regionkey

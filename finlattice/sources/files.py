@@ -33,6 +33,9 @@ def read_pdfs(spark: SparkSession, path: str, parser: PageParser = fitz_pages) -
                     texts.append(None)
             yield pd.DataFrame({"path": part["path"], "text": texts})
 
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target):
+        raise FileNotFoundError(path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
     return files.select("path", "content").mapInPandas(run, "path string, text string")
 

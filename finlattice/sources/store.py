@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..operators.retrieval import upsert_latest
 
 
+#: Document ids of a span in which places are counted by one window.
+SPAN = 10_000
+
+
 class PointStore:
     """A Parquet table of (collection, point_id, ingest_seq, text, dense, ticker); points are replaced by id when read."""
 
@@ -40,9 +44,58 @@ class PointStore:
         return upsert_latest(rows) if latest else rows
 
 
+class GraphStore:
+    """Nodes, edges and mentions as Parquet tables by collection; ingests append, and repeats merge when read."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    TABLES = {"nodes": "id string, type string", "edges": "src string, src_type string, dst string, dst_type string, type string", "mentions": "doc_id string, node_id string"}
+
+    def ingest(self, collection: str, nodes: DataFrame, edges: DataFrame, mentions: DataFrame) -> None:
+        for name, rows in (("nodes", nodes), ("edges", edges), ("mentions", mentions)):
+            cols = [F.col(c.split()[0]).cast("string") for c in self.TABLES[name].split(", ")]
+            rows.select(*cols, F.lit(collection).alias("collection")).write.mode("append").partitionBy("collection").parquet(f"{self.path}/{name}")
+
+    def read(self, name: str, collection: str) -> DataFrame:
+        """nodes, edges or mentions of a collection without repeats; empty before the first ingest."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        if not target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target):
+            return self.spark.createDataFrame([], self.TABLES[name])
+        rows = self.spark.read.schema(f"{self.TABLES[name]}, collection string").parquet(f"{self.path}/{name}")
+        return rows.where(F.col("collection") == collection).drop("collection").dropDuplicates()
+
+
+class FeedbackLog:
+    """An append-only table of what users said of routed questions; readable as a stream for adaptive thresholds."""
+
+    SCHEMA = "question_id bigint, intent string, confidence double, was_helpful boolean, correct_strategy string, ts timestamp"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def append(self, feedback: DataFrame) -> None:
+        """feedback: question_id, intent, confidence, was_helpful, and correct_strategy and ts where known."""
+        extra = {"correct_strategy": F.lit(None).cast("string"), "ts": F.current_timestamp()}
+        rows = feedback.withColumns({c: v for c, v in extra.items() if c not in feedback.columns})
+        rows.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in self.SCHEMA.split(", ")]).write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema(self.SCHEMA).parquet(self.path)
+
+
 def positions(chunks: DataFrame) -> DataFrame:
     """chunks with point_id: their place in the ingest, counted within documents and shifted by the documents before."""
+    # counted within spans of SPAN ids, then over the spans: no window holds all documents
     sizes = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)  # over documents of one ingest
-    shift = sizes.select("doc_id", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
+    whole = dict(chunks.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    span = F.floor(F.col("doc_id") / SPAN) if whole else F.substring(F.col("doc_id").cast("string"), 1, 4)
+    sizes = sizes.withColumn("_s", span)
+    spans = sizes.groupBy("_s").agg(F.sum("_n").alias("_m"))
+    earlier = spans.select("_s", F.coalesce(F.sum("_m").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_e"))
+    within = Window.partitionBy("_s").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.join(earlier, "_s").select("doc_id", (F.col("_e") + F.coalesce(F.sum("_n").over(within), F.lit(0))).alias("_b"))
     return chunks.join(shift, "doc_id").withColumn("point_id", F.col("_b") + F.col("chunk_pos")).drop("_b")

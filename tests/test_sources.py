@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from finlattice.functions import providers
@@ -60,18 +61,55 @@ def test_providers(spark):
     assert {r.prompt: r.response for r in asked.collect()} == {"x": "X", "bad": None}
 
 
-def test_engine(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "Apple reported revenue of $383B in fiscal year 2024. The buyer files reports with the SEC."), (2, "Bananas are yellow fruit. They grow in warm places."), (3, "x\n| a | b |\n|---|---|\n| 1 | 2 |\nend")], "doc_id int, text string")
+DOCS = [(1, "Apple reported revenue of $383B in fiscal year 2024. The buyer files reports with the SEC."), (2, "Bananas are yellow fruit. They grow in warm places."), (3, "x\n| segment revenue | b |\n|---|---|\n| 1 | 2 |\nend")]
 
-    class Model:
-        def generate(self, prompt: str) -> str:
-            return '{"nodes":[{"id":"N","type":"T"}],"relationships":[]}'
 
-    engine = Engine(spark, str(tmp_path / "e"), providers.Config(generator=Model()))
+class Model:
+    """Graph JSON for chunks, a fixed answer for questions."""
+
+    def generate(self, prompt: str) -> str:
+        if "Question:" in prompt:
+            return "Apple reported revenue of $383B in fiscal year 2024. The moon is made of cheese."
+        return '{"content": "```json {\\"nodes\\":[{\\"id\\":\\"Apple\\",\\"type\\":\\"Company\\"},{\\"id\\":\\"Banana Inc\\",\\"type\\":\\"Company\\"}],\\"relationships\\":[{\\"source\\":\\"Apple\\",\\"target\\":\\"Banana Inc\\",\\"type\\":\\"PARTNERS_WITH\\"}]} ```"}'
+
+
+class Length:
+    def score(self, question: str, texts: list[str]) -> list[float]:
+        return [float(len(t)) for t in texts]
+
+
+def test_engine_without_models(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "e"))
+    docs = spark.createDataFrame(DOCS, "doc_id int, text string")
     assert engine.ingest(docs) == {"vector": "ok", "table": "ok", "graph": "ok"}
-    questions = spark.createDataFrame([(1, "What was the revenue of Apple in 2024?"), (2, "Bananas?"), (3, " ")], "question_id int, text string")
+    questions = spark.createDataFrame([(1, "Tell me about Apple"), (2, "Bananas?"), (3, " "), (4, "Show the breakdown of segment revenue in the table")], "question_id int, text string")
+    got = {r.question_id: r for r in engine.query(questions).collect()}
+    assert set(got) == {1, 2, 4} and "Apple" in got[1].answer and got[1].branch == "simple" and got[1].score > 0 and got[1].citations
+    assert got[4].strategy == "multimodal_rag" and got[4].branch == "table" and "segment revenue" in got[4].contexts[0]
+    assert {c.verified for c in got[2].claims} == {True} and got[2].answer_confidence > 0
+    assert engine.query(questions.where("question_id = 3")).count() == 0
+    names = {r.name: r.value for r in engine.evaluate(questions.where("question_id = 4").withColumn("expected", F.lit("numerical_table")), "all").collect()}
+    assert names["intent.accuracy"] == 1.0 and names["e2e.all_answered"] == 1.0 and 0 <= names["verifier.verification_rate"] <= 1
+    with pytest.raises(ValueError):
+        engine.evaluate(questions, "other")
+    engine.record_feedback(spark.createDataFrame([(1, "entity", 0.8, True)], "question_id int, intent string, confidence double, was_helpful boolean"))
+    engine.record_feedback(spark.createDataFrame([(2, "entity", 0.8, False, "graphrag")], "question_id int, intent string, confidence double, was_helpful boolean, correct_strategy string"))
+    assert sorted((r.question_id, r.was_helpful, r.correct_strategy) for r in engine.feedback.read().collect()) == [(1, True, None), (2, False, "graphrag")]
+
+
+def test_engine_with_models(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "e"), providers.Config(generator=Model(), reranker=Length(), diversity=None))
+    docs = spark.createDataFrame(DOCS, "doc_id int, text string")
+    assert set(engine.ingest(docs).values()) == {"ok"} and set(engine.ingest(docs).values()) == {"ok"}
+    assert sorted(map(tuple, engine.graph.read("edges", "default").collect())) == [("Apple", "Company", "Banana Inc", "Company", "PARTNERS_WITH")]
+    engine.load_graph(spark.createDataFrame([(9, '{"nodes":[{"id":"Pear"}]}')], "doc_id int, json string"))
+    assert {r.id for r in engine.graph.read("nodes", "default").collect()} == {"Apple", "Banana Inc", "Pear"}
+    questions = spark.createDataFrame([(1, "What was the revenue of Apple in 2024?"), (2, "Who are the partners of Apple?")], "question_id int, text string")
     got = {r.question_id: r for r in engine.query(questions).collect()}
-    assert set(got) == {1, 2} and got[1].intent == "numerical_table" and "revenue" in got[1].answer
-    assert spark.read.parquet(str(tmp_path / "e/tables")).count() == 1 and spark.read.parquet(str(tmp_path / "e/nodes")).first().id == "N"
-    rated = engine.evaluate(questions.where("question_id = 1").withColumn("expected", F.lit("numerical_table"))).first()
-    assert rated.accuracy == 1.0
+    assert got[2].strategy == "graphrag" and got[2].branch == "graph" and got[2].contexts == ["Apple partners with Banana Inc"]
+    assert "cheese" in got[1].draft and "cheese" not in got[1].answer and "$383B" in got[1].answer
+    best = {r.question_id: r.text for r in engine.retrieve(questions).where("rank = 1").collect()}
+    assert best[1] == DOCS[0][1]
+    asked = questions.withColumn("ticker", F.lit("none"))
+    assert engine.retrieve_by_ticker(asked).count() == 0
+    assert engine.query_until_verified(questions).count() == 2

@@ -28,7 +28,7 @@ LENGTH, WIDTH, END_ID = 2048, 8, 1
 #: A task ranks this many pieces of a class, or this share of all pieces if that is more: the driver's counts stay few.
 RANKED, SHARES = 2000, 20_000
 #: Bytes of words and ids that a worker keeps, with what Python adds to each; words from LONG bytes on go to the tokenizer each time.
-CACHE_BYTES, ENTRY_BYTES, LONG = 64 << 20, 200, 64
+CACHE_BYTES, ENTRY_BYTES, LONG = 80 << 20, 200, 64
 _PRUNE = 1e-9
 _LATIN = re.compile("[a-zß-öø-ÿ]+")
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
@@ -61,8 +61,19 @@ class Words:
         self.pairs, self.rank, self.made = pairs[order], order.astype(np.int64), made[order]
         self.table: dict[bytes, bytes] = {}
 
+    def _ranks(self, ids: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs that begin at these places the merge and its rank; len(rank) where there is none."""
+        after = np.minimum(at + 1, len(ids) - 1)
+        key = ids[at] << np.uint64(32) | ids[after]
+        slot = np.minimum(np.searchsorted(self.pairs, key), len(self.rank) - 1)
+        hit = (self.pairs[slot] == key) & (word[at] == word[after]) & (after > at)
+        return slot, np.where(hit, self.rank[slot], len(self.rank))
+
     def merged(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words that are one pre-token each: all words take their best merge at once, round after round."""
+        """Ids of words that are one pre-token each: all words take their best merge at once, round after round.
+
+        Only pairs next to a merge are looked up again.
+        """
         size = np.array([len(w) for w in words])
         data = np.frombuffer(b"".join(words), np.uint8)
         ids = self.inner[data]
@@ -71,12 +82,8 @@ class Words:
         word = np.repeat(np.arange(len(words)), size)
         done_ids, done_word = [], []
         none = len(self.rank)
+        slot, rank = self._ranks(ids, word, np.arange(len(ids)))
         while len(ids):
-            key = ids[:-1] << np.uint64(32) | ids[1:]
-            at = np.minimum(np.searchsorted(self.pairs, key), none - 1)
-            rank = np.full(len(ids), none)
-            hit = (self.pairs[at] == key) & (word[:-1] == word[1:])
-            rank[:-1][hit] = self.rank[at[hit]]
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(ids))))
             over = best == none
@@ -89,10 +96,14 @@ class Words:
                 place = np.flatnonzero(pick)
                 pick[place[(place - start[np.searchsorted(start, place, "right") - 1]) % 2 == 1]] = False
             chosen = np.flatnonzero(pick)
-            ids[chosen] = self.made[at[chosen]]
+            ids[chosen] = self.made[slot[chosen]]
             keep = ~over
             keep[chosen + 1] = False
-            ids, word = ids[keep], word[keep]
+            moved = np.cumsum(keep) - 1
+            ids, word, slot, rank = ids[keep], word[keep], slot[keep], rank[keep]
+            new = moved[chosen]
+            look = np.concatenate([new, new[new > 0] - 1])
+            slot[look], rank[look] = self._ranks(ids, word, look)
         word = np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         raw = np.concatenate(done_ids)[order].astype("<u4").tobytes()

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +59,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, to be swept once no result depends on it."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _SCRATCH.append(path)
+    for scope in _SCOPES.get():
+        scope.append(path)
     return path
 
 
 _SCRATCH: list[str] = []
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch_but(spark: SparkSession, *kept: str):
+    """Sweep at the end what was written inside, but for tables of the names given: all that the result reads."""
+    mine: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), mine))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        sweep(spark, [p for p in mine if p in _SCRATCH and p.rsplit("/", 1)[1].rsplit("-", 1)[0] not in kept])
 
 
 def scratch() -> list[str]:

@@ -148,6 +148,11 @@ def _link_counts(least: float):
 
 def near_duplicates(rows: DataFrame, least: float = LEAST, bucket: int = BUCKET) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row."""
+    with common.scratch_but(rows.sparkSession, "units", "counted-links"):
+        return _near_duplicates(rows, least, bucket)
+
+
+def _near_duplicates(rows: DataFrame, least: float, bucket: int) -> DataFrame:
     largest = rows.where("label is not null").groupBy("label").count().agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
     clean = common.written(_clean(rows, *plan(largest, least)).withColumns({"h1": F.xxhash64("label", "unit"), "h2": F.xxhash64(F.lit("second"), "label", "unit")}), "units")
     good = clean.where("unit is not null and vec_id is not null")
@@ -166,7 +171,7 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, bucket: int = BUCKET)
     counted = common.map_runs(held.select(*parts, "block", "rep", "copies", "unit"), parts, _link_counts(least), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
     named = reps.join(groups, "rep", "left").join(counted, "rep", "left")
     named = named.select(*same, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("grp", "rep").alias("root"))
-    out = clean.join(common.written(named, "links"), same, "left")
+    out = clean.join(common.written(named, "counted-links"), same, "left")
     fine = F.col("unit").isNotNull() & F.col("vec_id").isNotNull()
     out = out.select("vec_id", F.when(fine, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(fine, F.col("root")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

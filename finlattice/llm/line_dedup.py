@@ -136,6 +136,11 @@ BATCHES = 4
 
 def dedup_lines(docs: DataFrame, batch: Column | None = None, n: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """Add all documents in n batches (default: by a hash of the id) to fresh runs and apply these to all."""
+    with common.scratch_but(docs.sparkSession, "lost-lines"):
+        return _dedup_lines(docs, batch, n, fanout)
+
+
+def _dedup_lines(docs: DataFrame, batch: Column | None, n: int, fanout: int) -> DataFrame:
     runs = LineRuns(docs.sparkSession, fanout)
     runs.add_batches(docs, F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(n)) if batch is None else batch, n)
     out = runs.apply(docs)

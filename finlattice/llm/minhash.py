@@ -300,6 +300,11 @@ def confirmed(texts: DataFrame, maybe: DataFrame, shingle: int, percent: int, gr
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80, bucket: int = BUCKET, group: int = GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs. percent: the least similarity."""
+    with common.scratch_but(docs.sparkSession, "signatures", "named-sets"):
+        return _near_duplicates(docs, shingle, percent, bucket, group)
+
+
+def _near_duplicates(docs: DataFrame, shingle: int, percent: int, bucket: int, group: int) -> DataFrame:
     signed = common.written(signatures(docs, shingle), "signatures")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     sets = ["n_shingles", "s1", "s2"]
@@ -316,7 +321,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 80,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(cand, F.col("doc_id") == F.col("cand_id")).select("grp", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     sure = confirmed(common.written(texts, "candidates"), maybe, shingle, percent, group)
     roots = components(sure).select(F.col("node").alias("rep"), "root")
-    named = common.written(reps.join(roots, "rep", "left").select(*sets, F.coalesce("root", "rep").alias("root")), "roots")
+    named = common.written(reps.join(roots, "rep", "left").select(*sets, F.coalesce("root", "rep").alias("root")), "named-sets")
     out = signed.select("doc_id", *sets).join(named, sets, "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, claims, feedback, graph, metrics, retrieval, routing, scoping, tables
+from ..session import cut
 from .views import view
 
 V = view
@@ -335,7 +336,7 @@ def graph_two_hops(s: SparkSession, d: str) -> DataFrame:
 
 def graph_reachable(s: SparkSession, d: str) -> DataFrame:
     starts = V(s, d, "supplier").select(F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("start"))
-    return graph.reachable(V(s, d, "graph_edges"), starts, 3).groupBy("start", "hops").agg(F.count(F.lit(1)).alias("n"))
+    return graph.reachable(V(s, d, "graph_edges"), starts, 3, cut).groupBy("start", "hops").agg(F.count(F.lit(1)).alias("n"))
 
 
 def feedback_success(s: SparkSession, d: str) -> DataFrame:

@@ -42,6 +42,23 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint, so that later plans don't repeat it.
+
+    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset, in local mode, one is made up.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="finlattice-shared-")
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of the data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -77,3 +77,46 @@ def page_images(pages: DataFrame, wanted: list[int] | None = None) -> DataFrame:
     if wanted is None:
         return pages
     return pages.where(F.col("page").isin(wanted) & F.col("page").between(1, F.col("n_pages")))
+
+
+def page_responses(spark: SparkSession, path: str, render: Callable[[bytes], list[bytes]], ask: Callable[[bytes], str], wanted: list[int] | None = None) -> DataFrame:
+    """doc_id (the path), page, response: what an image model says of each page of each .pdf file.
+
+    render: bytes of a PDF -> images of its pages. Pages are numbered from 1; of those wanted only those that exist are asked
+    about, and all if none are named. A page that fails has a null response, a file that fails no rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            rows = []
+            for name, content in zip(part["path"], part["content"]):
+                try:
+                    images = render(content)
+                except Exception:  # noqa: BLE001  a broken file has no pages
+                    continue
+                for page in range(1, len(images) + 1) if wanted is None else [p for p in wanted if 1 <= p <= len(images)]:
+                    try:
+                        rows.append((name, page, ask(images[page - 1])))
+                    except Exception:  # noqa: BLE001  what a remote model raises isn't known here
+                        rows.append((name, page, None))
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "response"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
+    return files.select("path", "content").mapInPandas(run, "doc_id string, page int, response string")
+
+
+class TableReader:
+    """Tables of documents from one source, chosen by what is there and built when first used.
+
+    Each source is a function without arguments that makes a reader (documents -> tables), or None where it has no credentials.
+    """
+
+    def __init__(self, local: Callable[[], Callable], parse: Callable[[], Callable] | None = None, vision: Callable[[], Callable] | None = None, prefer_local: bool = False):
+        self._sources = {"local": local, "parse": parse, "vision": vision}
+        self.source = choose_table_source(prefer_local, parse is not None, vision is not None)
+        self._readers: dict[str, Callable] = {}
+
+    def read(self, documents: DataFrame) -> DataFrame:
+        if self.source not in self._readers:
+            self._readers[self.source] = self._sources[self.source]()
+        return self._readers[self.source](documents)

@@ -112,4 +112,39 @@ def test_engine_with_models(spark, tmp_path):
     assert best[1] == DOCS[0][1]
     asked = questions.withColumn("ticker", F.lit("none"))
     assert engine.retrieve_by_ticker(asked).count() == 0
-    assert engine.query_until_verified(questions).count() == 2
+    assert engine.query_until_verified(questions.where("question_id = 1"), 1).count() == 1
+
+
+def test_page_responses_and_table_reader(spark, tmp_path):
+    from finlattice.operators import tables
+
+    for k, content in enumerate((b"one|two", b"bad", b"three")):
+        (tmp_path / f"d{k}.pdf").write_bytes(content)
+
+    def render(content: bytes) -> list[bytes]:
+        if content == b"bad":
+            raise ValueError
+        return content.split(b"|")
+
+    def ask(image: bytes) -> str:
+        if image == b"two":
+            raise RuntimeError
+        return f"| {image.decode()} | b |\n|---|---|\n| 1 | 2 |"
+
+    every = files.page_responses(spark, str(tmp_path), render, ask)
+    assert sorted((r.doc_id[-6:], r.page, r.response is None) for r in every.collect()) == [("d0.pdf", 1, False), ("d0.pdf", 2, True), ("d2.pdf", 1, False)]
+    some = files.page_responses(spark, str(tmp_path), render, ask, [2, 5])
+    assert [(r.page, r.response) for r in some.collect()] == [(2, None)]
+    assert sorted(r.num_rows for r in tables.parse_response(every.where("response is not null")).collect()) == [1, 1]
+    with pytest.raises(FileNotFoundError):
+        files.read_pdfs(spark, str(tmp_path / "none"))
+    built = []
+
+    def local():
+        built.append("local")
+        return lambda docs: docs.limit(0)
+
+    reader = files.TableReader(local, prefer_local=False)
+    docs = spark.createDataFrame([(1, "x")], "doc_id int, text string")
+    assert reader.source == "local" and not built and reader.read(docs).count() == reader.read(docs).count() == 0 and built == ["local"]
+    assert files.TableReader(local, parse=local, vision=local).source == "parse" and files.TableReader(local, vision=local).source == "vision"

@@ -7,7 +7,8 @@ at most SAMPLE rows and SAMPLE_BYTES, those of least hash; a fifth of them calib
 Only text and lang are learnt from; only text is predicted from.
 
 Defined cases: null text or text without a letter is `und` with score 0 and rejected; rows without lang, text or doc_id
-aren't learnt from; without any labelled row everything is `und` and nothing is rejected; repeated rows give repeated
+aren't learnt from; without any labelled row everything is `und` and nothing is rejected; a
+model that labels no calibration text right has threshold 0; repeated rows give repeated
 rows; an empty table gives no rows; columns other than doc_id, text and lang are ignored.
 """
 

@@ -657,7 +657,7 @@ def test_language_sample_keeps_its_bounds(spark):
     some = langid.sample(docs, most_bytes=5000)
     assert 4000 < sum(len(t.encode()) for _, t in some) <= 5000 and all(t.count("text") == 50 for _, t in some)
     few = langid.train([("en", "the cat")])
-    assert few.labels == ["en"] and langid.train([("en", "the cat"), ("de", "die Katze")]).threshold > 0
+    assert few.labels == ["en"] and few.threshold == 1.0 and langid.train([("en", "the cat and dog"), ("de", "die Katze")] * 6).threshold > 0
 
 
 def test_language_without_labels_rejects_nothing(spark):

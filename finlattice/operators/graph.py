@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ENTITY, RELATED = "Entity", "RELATED_TO"
+#: Facts told of the nodes that a question names.
+FACTS = 50
 _NODE = "struct<id:string,name:string,type:string,label:string>"
 _EDGE = "struct<source:string,source_node_id:string,target:string,target_node_id:string,type:string,label:string>"
 _SHAPE = f"struct<nodes:array<{_NODE}>,entities:array<{_NODE}>,relationships:array<{_EDGE}>,edges:array<{_EDGE}>>"
@@ -87,15 +89,29 @@ def entity_context(edges: DataFrame, mentions: DataFrame, chunks: DataFrame, sta
     return found.select("start", "node", "doc_id", "text", "page").orderBy("start", "page")
 
 
-def ask(questions: DataFrame, edges: DataFrame, words: int = 4) -> DataFrame:
-    """question_id, ctx_pos, text: the edges, as sentences, of each node that a question names.
+def _run(n: int) -> Callable[[Column], Column]:
+    return lambda k: F.array_join(F.slice("_w", k + 1, F.lit(n)), " ")
 
-    A node is named by the runs of up to `words` words of the question, without its punctuation; case doesn't count.
+
+def ask(questions: DataFrame, edges: DataFrame, limit: int | None = FACTS) -> DataFrame:
+    """question_id, ctx_pos, text: the edges, as sentences, of each node that a question names; the first `limit` by text, or all.
+
+    A node is named by a run of the question's words that is its whole name, of any length, without punctuation; case doesn't
+    count. Runs are made in the lengths that node names have, and meet the nodes before their edges do, so that a run that is
+    no name goes early; a node of many edges keeps `limit` of them in each task.
     """
-    clean = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^a-z0-9#]+", " ")), " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0))), lambda k: F.array_join(F.slice("_w", k + 1, n), " "))))
-    named = questions.where("text is not null").select("question_id", clean.alias("_w")).select("question_id", F.explode(F.array_distinct(runs)).alias("name"))
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9#]+", " "))
-    told = edges.select(plain(F.col("src")).alias("name"), F.concat_ws(" ", "src", F.regexp_replace(F.lower("type"), "_", " "), "dst").alias("text"))
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{Nd}#]+", " "))
+    told = edges.select(plain(F.col("src")).alias("name"), F.concat_ws(" ", "src", F.regexp_replace(F.lower("type"), "_", " "), "dst").alias("text")).where("name <> ''")
+    size = F.size(F.split("name", " "))
+    lengths = sorted(r[0] for r in told.select(size.alias("n")).distinct().collect())  # as many rows as names have lengths
+    if not lengths:
+        return questions.select("question_id", F.lit(0).alias("ctx_pos"), F.col("text").cast("string").alias("text")).where("false")
+    words = questions.where("text is not null").select("question_id", F.split(plain(F.col("text")), " ").alias("_w"))
+    starts = lambda n: F.filter(F.sequence(F.lit(0), F.size("_w")), lambda k: k + n <= F.size("_w"))
+    runs = F.flatten(F.array(*[F.transform(starts(n), _run(n)) for n in lengths]))
+    named = words.select("question_id", F.explode(F.array_distinct(runs)).alias("name"))
+    named = named.join(told.select("name").distinct(), "name", "left_semi")
     found = named.join(told, "name").select("question_id", "text").distinct()
-    return found.select("question_id", (F.row_number().over(Window.partitionBy("question_id").orderBy("text")) - 1).alias("ctx_pos"), "text")
+    ranked = found.withColumn("_r", F.row_number().over(Window.partitionBy("question_id").orderBy("text")))
+    ranked = ranked if limit is None else ranked.where(F.col("_r") <= limit)
+    return ranked.select("question_id", (F.col("_r") - 1).alias("ctx_pos"), "text")

@@ -209,8 +209,9 @@ _RAW = {
         grid AS (SELECT i.intent, f.place, count(*) FILTER (f.intent = i.intent) OVER w AS n, count(*) FILTER (f.intent = i.intent AND f.was_helpful) OVER w AS good FROM ints i, f WINDOW w AS (PARTITION BY i.intent ORDER BY f.place)),
         moves AS (SELECT intent, place, CASE WHEN n > 0 AND good::DOUBLE / n < 0.7 THEN 0.05::DOUBLE WHEN n > 0 AND good::DOUBLE / n > 0.9 THEN -0.05::DOUBLE ELSE 0.0::DOUBLE END AS way FROM grid WHERE place >= 10)
         SELECT i.intent, round(coalesce(list_reduce(list(m.way ORDER BY place), lambda t, x: CASE WHEN x > 0 THEN least(0.9::DOUBLE, t + x) WHEN x < 0 THEN greatest(0.1::DOUBLE, t + x) ELSE t END, 0.3::DOUBLE), 0.3), 6) AS threshold FROM ints i LEFT JOIN moves m USING (intent) GROUP BY i.intent""",
-    "metric_drift": """WITH m AS (SELECT l_returnflag, l_linestatus, avg(l_quantity) AS v FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2), b AS (SELECT l_returnflag AS metric, avg(v) AS b FROM m GROUP BY 1), c AS (SELECT l_returnflag AS metric, avg(l_quantity) AS c FROM lineitem WHERE l_quantity < 40 GROUP BY 1)
-        SELECT metric, round((b - c) / b, 6) AS drop, (b - c) / b > 0.1 AS alert FROM b JOIN c USING (metric)""",
+    "metric_drift": """WITH r AS (SELECT l_returnflag AS f, avg(l_extendedprice) AS p0, avg(l_extendedprice * (1 - l_discount)) AS p1, avg(l_quantity) AS q0, avg(l_quantity / 2) AS q1 FROM lineitem GROUP BY 1),
+        m AS (SELECT f || ' price' AS metric, (p0 - p1) / p0 AS d FROM r UNION ALL SELECT f || ' quantity', (q0 - q1) / q0 FROM r)
+        SELECT metric, round(d, 6) AS drop, d > 0.10 AS alert FROM m""",
     "document_scope": """SELECT question_id, CAST(label AS VARCHAR) AS ticker, 2024 AS year, CASE WHEN question_id % 3 = 0 THEN '10-Q' ELSE '10-K' END AS type, question_id % 3 <> 0 AS known,
         CASE WHEN question_id % 3 <> 0 THEN 'income' ELSE '' END AS sections, CASE WHEN question_id % 3 <> 0 THEN 0.9 ELSE 0.3 END::DOUBLE AS confidence FROM vector_queries""",
     "document_scoped_search": f"WITH {_dense(5, '(v.question_id % 3 = 0 OR v.label = p.label)')} SELECT question_id, point_id, round(score, 6) AS score, rank FROM den",
@@ -261,7 +262,7 @@ _RAW |= {
         count(*) FILTER (coalesce(b = expected_verified, TRUE) AND coalesce(a - b = expected_unverified, TRUE)) AS verification_passed FROM c""",
     "e2e_summary": f"""WITH {_ROUTED}, {_ANSWERED} SELECT count(*) AS n, round(avg((intent = expected_intent)::INT::DOUBLE), 6) AS intent_accuracy, round(avg((strategy <> 'simple_rag')::INT::DOUBLE), 6) AS strategy_accuracy,
         round(avg(coalesce(n_verified::DOUBLE / n_claims, 0)), 6) AS faithfulness, bool_and(coalesce(trim(answer), '') <> '') AS all_answered FROM routed LEFT JOIN done ON answer_id = question_id""",
-    "graph_questions": f"""WITH e AS (SELECT {_PLAIN.format('src')} AS name, concat_ws(' ', src, lower(replace(type, '_', ' ')), dst) AS text FROM graph_edges WHERE type <> 'SUPPLIES'),
+    "graph_questions": f"""WITH e AS (SELECT {_PLAIN.format('src')} AS name, concat_ws(' ', src, lower(replace(type, '_', ' ')), dst) AS text FROM graph_edges),
         f AS (SELECT DISTINCT question_id, e.text FROM graph_questions g JOIN e ON contains(' ' || {_PLAIN.format('g.text')} || ' ', ' ' || e.name || ' '))
         SELECT question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY text) - 1 AS INT) AS ctx_pos, text FROM f""",
     "odd_tables": f"WITH {_BLOCKS.replace('md_docs', 'odd_docs')}, {_DESC} SELECT doc_id, CAST(table_pos AS INT) AS table_pos, array_to_string(headers, '|') AS headers, CAST(num_rows AS INT) AS num_rows, CAST(num_cols AS INT) AS num_cols, table_type, 0.9::DOUBLE AS confidence, CASE WHEN strpos(text, markdown) = 0 THEN 1 ELSE least((strpos(text, markdown) - 1) // 3000 + 1, 100) END::INT AS page FROM described JOIN odd_docs USING (doc_id)",

@@ -13,15 +13,17 @@ NO_CONTEXT = "No relevant context found for your query."
 def dispatch(routed: DataFrame, simple: DataFrame, tables: DataFrame, graph: DataFrame) -> DataFrame:
     """question_id, branch, ctx_pos, text: the contexts of each question's strategy, or the simple ones where it has none.
 
-    routed: question_id, strategy. The branches: question_id, ctx_pos, text; contexts without text don't count. Each branch
-    only meets the questions that may use it, and one pass over what is left decides.
+    routed: question_id, strategy. The branches: question_id, ctx_pos, text; contexts without text don't count. The branches
+    are one table with a tag, which meets the questions once, so that a routing is worked out once.
     """
-    branches = [("graph", 0, graph, F.col("strategy") == "graphrag"), ("table", 0, tables, F.col("strategy") == "multimodal_rag"), ("simple", 1, simple, F.lit(True))]
-    found = None
+    branches = [("graph", 0, graph, "graphrag"), ("table", 0, tables, "multimodal_rag"), ("simple", 1, simple, None)]
+    told = None
     for name, order, rows, use in branches:
         rows = rows.where(F.col("text").isNotNull() & (F.col("text") != "")).select("question_id", "ctx_pos", "text")
-        part = rows.join(routed.where(use).select("question_id"), "question_id", "left_semi").withColumns({"branch": F.lit(name), "_o": F.lit(order)})
-        found = part if found is None else found.unionByName(part)
+        part = rows.withColumns({"branch": F.lit(name), "_o": F.lit(order), "_use": F.lit(use).cast("string")})
+        told = part if told is None else told.unionByName(part)
+    asked = routed.select("question_id", "strategy").dropDuplicates(["question_id"])
+    found = told.join(asked, "question_id").where(F.col("_use").isNull() | (F.col("_use") == F.col("strategy")))
     best = F.min("_o").over(Window.partitionBy("question_id"))
     return found.withColumn("_b", best).where("_o = _b").select("question_id", "branch", "ctx_pos", "text")
 

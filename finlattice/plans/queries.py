@@ -139,20 +139,24 @@ def weighted_hybrid_search(s: SparkSession, d: str) -> DataFrame:
     return retrieval.fuse(*_two_rankings(s, d), alpha=0.7).withColumn("score", F.round("score", 9))
 
 
-def _overlap(s: SparkSession, d: str) -> DataFrame:
-    """A deterministic scorer in place of a cross-encoder: distinct question terms that the document has."""
-    q = retrieval.terms(V(s, d, "text_queries"), "question_id").select("question_id", "term")
-    p = retrieval.terms(V(s, d, "documents").select(F.col("doc_id").alias("point_id"), "text"), "point_id").select("point_id", "term")
-    return p.join(q, "term").groupBy("question_id", "point_id").agg(F.count(F.lit(1)).cast("double").alias("ce"))
+def _overlap(s: SparkSession, d: str, candidates: DataFrame) -> DataFrame:
+    """A deterministic scorer in place of a cross-encoder: distinct terms that a candidate's text shares with its question."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    asked = V(s, d, "text_queries").select("question_id", words(F.col("text")).alias("_q"))
+    docs = V(s, d, "documents").select(F.col("doc_id").cast("long").alias("point_id"), F.col("text").alias("_t"))
+    both = candidates.select("question_id", "point_id").join(asked, "question_id").join(docs, "point_id", "left")
+    shared = F.coalesce(F.size(F.array_intersect("_q", words(F.col("_t")))), F.lit(0))
+    return both.select("question_id", "point_id", F.when(F.col("_t").isNull(), 0).otherwise(shared).cast("double").alias("ce"))
 
 
 def rerank(s: SparkSession, d: str) -> DataFrame:
-    found = retrieval.lexical_top_k(V(s, d, "text_queries"), V(s, d, "documents"), 20)
-    return retrieval.rerank(found, _overlap(s, d), 5)
+    found = cut(retrieval.lexical_top_k(V(s, d, "text_queries"), V(s, d, "documents"), 20))
+    return retrieval.rerank(found, _overlap(s, d, found), 5)
 
 
 def _scored(s: SparkSession, d: str, fused: DataFrame) -> DataFrame:
-    return fused.select("question_id", "point_id").join(_overlap(s, d), ["question_id", "point_id"], "left").fillna(0.0, ["ce"])
+    """ce of every candidate; 0 without a question or a text."""
+    return fused.select("question_id", "point_id").join(_overlap(s, d, fused), ["question_id", "point_id"], "left").fillna(0.0, ["ce"])
 
 
 def hybrid_rerank(s: SparkSession, d: str) -> DataFrame:
@@ -228,7 +232,7 @@ def e2e_summary(s: SparkSession, d: str) -> DataFrame:
 
 
 def graph_questions(s: SparkSession, d: str) -> DataFrame:
-    return graph.ask(V(s, d, "graph_questions"), V(s, d, "graph_edges").where("type <> 'SUPPLIES'"))
+    return graph.ask(V(s, d, "graph_questions"), V(s, d, "graph_edges"), limit=None)
 
 
 def odd_tables(s: SparkSession, d: str) -> DataFrame:
@@ -348,10 +352,12 @@ def adaptive_thresholds(s: SparkSession, d: str) -> DataFrame:
 
 
 def metric_drift(s: SparkSession, d: str) -> DataFrame:
-    months = V(s, d, "lineitem").where("l_returnflag <> 'N'").groupBy("l_returnflag", F.col("l_linestatus").alias("half")).agg(F.avg("l_quantity").alias("value"))
-    current = V(s, d, "lineitem").where("l_quantity < 40").groupBy(F.col("l_returnflag").alias("metric")).agg(F.avg("l_quantity").alias("value"))
-    baseline = months.groupBy(F.col("l_returnflag").alias("metric")).agg(F.avg("value").alias("value"))
-    out = metrics.drift(current, baseline, "metric")
+    """Two measures of each return flag's lines: the price after discount against the list price, and half of the quantity."""
+    rows = V(s, d, "lineitem").groupBy("l_returnflag").agg(
+        F.avg("l_extendedprice").alias("p0"), F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("p1"),
+        F.avg("l_quantity").alias("q0"), F.avg(F.col("l_quantity") / 2).alias("q1"))
+    told = lambda p, q: rows.select(F.inline(F.array(*[F.struct(F.concat("l_returnflag", F.lit(f" {n}")).alias("metric"), F.col(c).alias("value")) for n, c in (("price", p), ("quantity", q))])))
+    out = metrics.drift(told("p1", "q1"), told("p0", "q0"), "metric")
     return out.select("metric", F.round("drop", 6).alias("drop"), "alert")
 
 

@@ -43,7 +43,7 @@ VIEWS = {
     "points": """SELECT 'main' AS collection, CAST(vec_id AS BIGINT) AS point_id, 0 AS ingest_seq, embedding AS dense, label FROM embeddings
         UNION ALL SELECT 'main', CAST(vec_id AS BIGINT) - 100, 1, embedding, label FROM embeddings WHERE vec_id >= 100 AND vec_id < 200""",
     "vector_queries": "SELECT CAST(vec_id AS BIGINT) AS question_id, embedding, label FROM embeddings WHERE vec_id % 50 = 0",
-    "ticker_questions": "SELECT q.question_id, q.embedding, q.label, b.text FROM vector_queries q JOIN benchmark b ON b.item_id = q.question_id",
+    "ticker_questions": "SELECT q.question_id, q.embedding, q.label, b.text FROM vector_queries q CROSS JOIN (SELECT count(*) AS n FROM benchmark) c JOIN benchmark b ON b.item_id = CAST(floor(q.question_id / 50) AS BIGINT) % c.n",
     "ticker_documents": "SELECT CAST(doc_id AS BIGINT) AS doc_id, text, CAST(doc_id % 10 AS INT) AS label FROM documents",
     "table_contexts": """SELECT l_orderkey AS question_id, l_linenumber AS ctx_pos, CASE WHEN l_quantity > 10 THEN concat('| part | quantity |', chr(10), '| --- | --- |', chr(10), '| part ', CAST(l_partkey AS STRING), ' | ', CAST(CAST(l_quantity AS BIGINT) AS STRING), ' |') END AS text FROM lineitem""",
     "graph_contexts": """SELECT l_orderkey AS question_id, l_linenumber AS ctx_pos, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE concat('supplier ', CAST(s_suppkey AS STRING), ' located in ', n_name) END AS text

@@ -279,6 +279,51 @@ def test_dense_search_in_blocks(spark, monkeypatch):
     assert blocks == sorted(map(tuple, retrieval.dense_top_k(q, p, 4).collect()))
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_dense_search_of_mixed_lengths(spark, order):
+    """A question meets the points of its own length, whatever stands beside it, and however rows are dealt."""
+    points = [(k, [1.0, float(k)]) for k in range(3)] + [(10 + k, [1.0, float(k), 2.0]) for k in range(4)] + [(20, [float("nan"), 1.0]), (21, [float("inf"), 1.0]), (22, []), (None, [1.0, 1.0])]
+    asked = [(1, [1.0, 0.0]), (2, [1.0, 0.0, 2.0]), (3, [0.0, 1.0, 0.0]), (4, [1.0, 2.0, 3.0, 4.0]), (5, None), (6, [0.0, 0.0])]
+    q = spark.createDataFrame(asked[::order], "question_id long, embedding array<double>").coalesce(1)
+    p = spark.createDataFrame(points[::order], "point_id long, dense array<double>").coalesce(1)
+    got = {}
+    for r in sorted(retrieval.dense_top_k(q, p, 2).collect(), key=lambda r: (r.question_id, r.rank)):
+        got.setdefault(r.question_id, []).append(r.point_id)
+    assert got == {1: [0, 1], 2: [10, 11], 3: [13, 12]}
+
+
+def test_dense_search_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 2)
+    monkeypatch.setattr(retrieval, "POINTS", 3)
+    rows = [(k, [float(k + 1), 1.0, float(k % 4)], f"t{k % 2}") for k in range(30)]
+    q = spark.createDataFrame(rows[:11], "question_id long, embedding array<double>, t string")
+    p = spark.createDataFrame(rows + [(100 + k, [2.0, 1.0, 1.0], None) for k in range(9)], "point_id long, dense array<double>, t string").repartition(3)
+    for ticker in (None, "t"):
+        one = sorted(map(tuple, retrieval.dense_top_k(q, p, 4, ticker).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "ROUND_BYTES", 100)
+            assert one == sorted(map(tuple, retrieval.dense_top_k(q, p, 4, ticker).collect()))
+
+
+def test_graph_names_of_any_length_and_hubs(spark):
+    long = "The Very Long Named Holding Company"
+    edges = [(long, "OWNS", "Small Co"), ("Small Co", "OWNS_PART_OF", "X"), ("Ärzte Süd", "IN", "Ulm")] + [("Hub", "TO", f"n{k:03}") for k in range(120)]
+    e = spark.createDataFrame(edges, "src string, type string, dst string")
+    q = spark.createDataFrame([(1, "What does the very long named holding company own?"), (2, "hub!"), (3, None), (4, ""), (5, "small-co, small co; and ÄRZTE süd"), (6, "very long named")], "question_id long, text string")
+    got = {}
+    for r in sorted(graph.ask(q, e).collect(), key=lambda r: (r.question_id, r.ctx_pos)):
+        got.setdefault(r.question_id, []).append(r.text)
+    assert got == {1: [f"{long} owns Small Co"], 2: [f"Hub to n{k:03}" for k in range(graph.FACTS)], 5: ["Small Co owns part of X", "Ärzte Süd in Ulm"]}
+    assert graph.ask(q, e, limit=None).where("question_id = 2").count() == 120
+    assert graph.ask(q, e.where("false")).count() == 0
+
+
+def test_dispatch_evaluates_a_routing_once(spark, sf_dir):
+    plan = queries.QUERIES["strategy_contexts"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    alone = queries.QUERIES["route_intents"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") + plan.count("rlike") <= alone.count("RLIKE") + alone.count("rlike")
+
+
 def test_scope_by_section(spark):
     from finlattice.operators import scoping
 

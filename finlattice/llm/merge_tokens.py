@@ -21,6 +21,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import ahocorasick
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Characters of a remembered stretch, stretches of each of a worker's two generations, its remembered pairs, and ids decoded at once.
-SHORT, STRETCHES, PAIRS, SLICE = 48, 200_000, 400_000, 200_000
+SHORT, STRETCHES, PAIRS, SLICE = 48, 400_000, 400_000, 200_000
 #: Characters scanned by the automaton at once.
 WINDOW = 1 << 16
 #: Fixed values of the model file: types of pieces, the type of a merge model, and the sign for a space.
@@ -105,10 +106,13 @@ class MergeEncoder:
         self.out = [self._ids_of(t) for t in self.text]
         self.automaton = ahocorasick.Automaton()
         for n, t in enumerate(self.text):
-            self.automaton.add_word(t, n)
+            self.automaton.add_word(t, (n, len(t) - 1))
         self.automaton.make_automaton()
         self.size = [len(t) for t in self.text]
+        self.ends, self.begins = zip(*map(self._edges, self.text))
         self.longest = max(self.size)
+        self.first = [x[0] for x in self.out]
+        self.decimals = [",".join(map(str, x)) for x in self.out]
         self.plain = all(len(x) == 1 for x in self.out)
         inner = "".join(map(re.escape, sorted(letters - {SPACE})))
         known = f"{SPACE}*[{inner}]+|{SPACE}+"
@@ -125,38 +129,66 @@ class MergeEncoder:
             return [self.ids[text]]
         return [self.byte_ids[b] for b in text.encode()] if self.bytes else [self.unknown]
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces that merging makes of a short text: the pair of the highest score first, then the leftmost."""
+    def _merges(self, text: str) -> Iterator[tuple[float, list[str]]]:
+        """The merges of a short text in order, (score, pieces after it): the pair of the highest score first, then the leftmost."""
         parts = list(text)
         while len(parts) > 1:
             scores = [self.score.get(a + b) for a, b in zip(parts, parts[1:])]
             best = max((s for s in scores if s is not None), default=None)
             if best is None:
-                break
+                return
             at = scores.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            yield best, parts
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces that merging makes of a short text."""
+        parts = list(text)
+        for _, parts in self._merges(text):
+            pass
         return parts
 
+    def _edges(self, text: str) -> tuple[list[tuple[float, str]], list[tuple[float, str]]]:
+        """For each merge of a piece its score, and the part that then stands at the end, or at the beginning, of the piece."""
+        steps = [(score, parts[-1], parts[0]) for score, parts in self._merges(text)]
+        return [(s, last) for s, last, _ in steps], [(s, first) for s, _, first in steps]
+
     def _fits(self, left: int, right: int) -> bool:
-        """Whether two pieces stay as they are when their characters are merged again; remembered."""
+        """Whether two pieces stay as they are when their characters are merged again; remembered.
+
+        What both do inside is known, so only their merges' order is replayed, beside the pair that meets at the border.
+        """
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        a, b = self.text[left], self.text[right]
-        fits = self.pairs[left << 32 | right] = self.merged(a + b) == [a, b]
+        ends, begins, score = self.ends[left], self.begins[right], self.score
+        u, v = self.text[left][-1], self.text[right][0]
+        i = j = 0
+        fits = True
+        while True:
+            across = score.get(u + v)
+            a = ends[i][0] if i < len(ends) else None
+            b = begins[j][0] if j < len(begins) else None
+            if across is not None and (a is None or across > a) and (b is None or across >= b):
+                fits = False
+                break
+            if a is None and b is None:
+                break
+            if b is None or (a is not None and a >= b):
+                u = ends[i][1]
+                i += 1
+            else:
+                v = begins[j][1]
+                j += 1
+        self.pairs[left << 32 | right] = fits
         return fits
 
     def _longest_at(self, text: str, start: int) -> list[int]:
         """The longest piece that starts at each place of a window of the text."""
-        best, size = [-1] * min(WINDOW, len(text) - start), self.size
         part = text if len(text) <= WINDOW else text[start : start + WINDOW + self.longest - 1]
-        if len(part) == len(best):
-            for end, piece in self.automaton.iter(part):  # ends ascend, so the last one seen at a place is the longest
-                best[end - size[piece] + 1] = piece
-        else:
-            for end, piece in self.automaton.iter(part):
-                if end - size[piece] + 1 < len(best):
-                    best[end - size[piece] + 1] = piece
-        return best
+        best = [-1] * len(part)
+        for end, (piece, back) in self.automaton.iter(part):  # ends ascend, so the last one seen at a place is the longest
+            best[end - back] = piece
+        return best[:WINDOW]
 
     def pieces_of(self, text: str) -> list[int]:
         """Places in self.text of the pieces of a stretch whose characters are all known."""
@@ -197,14 +229,16 @@ class MergeEncoder:
         """A stretch that the younger generation doesn't know: from the older one, or worked out."""
         known = self.older.get(stretch)
         if known is None:
-            out = self.out
             if stretch[0] not in self.place:
                 ids = self._ids_of(stretch)
-            elif self.plain:
-                ids = [out[p][0] for p in self.pieces_of(stretch)]
+                known = (tuple(ids), ",".join(map(str, ids)))
             else:
-                ids = [i for p in self.pieces_of(stretch) for i in out[p]]
-            known = (tuple(ids), ",".join(map(str, ids)))
+                places = self.pieces_of(stretch)
+                decimals = ",".join(map(self.decimals.__getitem__, places))
+                if self.plain:
+                    known = (tuple(map(self.first.__getitem__, places)), decimals)
+                else:
+                    known = (tuple(chain.from_iterable(map(self.out.__getitem__, places))), decimals)
         if len(stretch) <= SHORT:
             if len(self.memo) >= STRETCHES:
                 self.memo, self.older = {}, self.memo
@@ -215,20 +249,32 @@ class MergeEncoder:
         """The ids of a text, and their decimals: joined by commas they are those of all ids."""
         text = self.library.normalize(text)
         ids: list[int] = []
-        done: list[str] = []
         decimals: list[str] = []
-        stretches = self.stretch.findall(text) if len(text) <= SLICE else (m[0] for m in self.stretch.finditer(text))
-        unknown = (self.unknown,)
-        for stretch in stretches:
-            known = self.memo.get(stretch) or self._stretch_ids(stretch)
-            if known[0] == unknown and ids and ids[-1] == self.unknown and not self.bytes:
-                continue  # neighbouring unknown characters count as one
-            ids += known[0]
-            decimals.append(known[1])
-            if len(decimals) == SLICE:
-                done.append(",".join(decimals))
-                decimals = []
-        return ids, done + decimals
+        if len(text) <= SLICE:
+            self._encode(self.stretch.findall(text), ids, decimals)
+        else:
+            stretches = (m[0] for m in self.stretch.finditer(text))
+            while part := list(islice(stretches, SLICE)):
+                more: list[str] = []
+                self._encode(part, ids, more)
+                decimals.append(",".join(more))
+        return ids, decimals
+
+    def _encode(self, stretches: list[str], ids: list[int], decimals: list[str]) -> None:
+        known = list(map(self.memo.get, stretches))
+        if None in known:
+            known = [k or self.memo.get(s) or self._stretch_ids(s) for k, s in zip(known, stretches)]
+        if not self.bytes:  # neighbouring unknown characters count as one
+            unknown = (self.unknown,)
+            before = ids[-1:] == [self.unknown]
+            kept = []
+            for k in known:
+                if k[0] != unknown or not before:
+                    kept.append(k)
+                before = k[0] == unknown
+            known = kept
+        ids.extend(chain.from_iterable([k[0] for k in known]))
+        decimals.extend([k[1] for k in known])
 
     def decode(self, ids: list[int]) -> Iterator[str]:
         """The text of ids, in slices that don't cut a run of byte pieces."""

@@ -170,6 +170,8 @@ _RAW = {
     "upsert_points": f"WITH {_LATEST} SELECT collection, point_id, ingest_seq, label FROM pts",
     "lexical_top_k": f"WITH {_lexical(False)} SELECT question_id, point_id, round(score, 6) AS score, rank FROM lex",
     "lexical_idf_top_k": f"WITH {_lexical(True)} SELECT question_id, point_id, round(score, 6) AS score, rank FROM lex",
+    "text_index_top_k": f"WITH {_lexical(False)} SELECT question_id, point_id, round(score, 6) AS score, rank FROM lex",
+    "text_index_idf_top_k": f"WITH {_lexical(True)} SELECT question_id, point_id, round(score, 6) AS score, rank FROM lex",
     "hybrid_search": _fused(1.0, 1.0),
     "weighted_hybrid_search": _fused(0.7, 0.3),
     "rerank": f"""WITH {_lexical(False)}, ov AS (SELECT q.k AS question_id, d.k AS point_id, count(*)::DOUBLE AS ce FROM tq q JOIN td d USING (term) GROUP BY 1, 2)

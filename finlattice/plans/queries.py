@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, claims, feedback, graph, metrics, retrieval, routing, scoping, tables
-from ..session import cut
+from ..operators.text_index import TextIndex
+from ..operators.vector_index import VectorIndex
+from ..session import cut, new_path
 from .views import view
 
 V = view
@@ -125,6 +127,27 @@ def lexical_idf_top_k(s: SparkSession, d: str) -> DataFrame:
     return retrieval.lexical_top_k(V(s, d, "text_queries"), V(s, d, "documents"), 20, use_idf=True).withColumn("score", F.round("score", 6))
 
 
+def vector_index_top_k(s: SparkSession, d: str) -> DataFrame:
+    """Approximate top-k from an index of all points; its recall against dense_top_k is tested."""
+    points = cut(retrieval.upsert_latest(V(s, d, "points")))
+    index = VectorIndex(s, new_path(s, "vector-index"))
+    index.build(points, len(points.where("dense is not null").select("dense").first()[0]))
+    index.calibrate(points)
+    return index.search(V(s, d, "vector_queries"), 20).withColumn("score", F.round("score", 6))
+
+
+def text_index_top_k(s: SparkSession, d: str) -> DataFrame:
+    index = TextIndex(s, new_path(s, "text-index"))
+    index.build(V(s, d, "documents"))
+    return index.search(V(s, d, "text_queries"), 20).withColumn("score", F.round("score", 6))
+
+
+def text_index_idf_top_k(s: SparkSession, d: str) -> DataFrame:
+    index = TextIndex(s, new_path(s, "text-index"))
+    index.build(V(s, d, "documents"))
+    return index.search(V(s, d, "text_queries"), 20, use_idf=True).withColumn("score", F.round("score", 6))
+
+
 def _two_rankings(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     dense = retrieval.dense_top_k(V(s, d, "vector_queries"), retrieval.upsert_latest(V(s, d, "points")), 20)
     sparse = retrieval.lexical_top_k(V(s, d, "text_queries"), V(s, d, "documents"), 20)
@@ -388,5 +411,5 @@ QUERIES = {f.__name__: f for f in (
     method_distribution, type_distribution, verification_totals, faithfulness, extractions, document_extractions, dense_top_k, scoped_search, upsert_points, lexical_top_k, lexical_idf_top_k,
     hybrid_search, weighted_hybrid_search, rerank, diverse_top_k, table_blocks, table_description, grid_tables, model_tables, table_retrieval, source_cascade, token_chunks, char_chunks,
     hybrid_rerank, hybrid_rerank_diverse, ticker_hybrid_search, answer_payload, answer_claims, strategy_contexts, told_claims, told_answers, semantic_claims, verifier_checks, verifier_totals, e2e_summary,
-    graph_questions, odd_tables, graph_input_chunks, text_splits, graph_nodes, graph_relationships, graph_mentions, graph_neighbours, graph_two_hops, graph_reachable, feedback_success, adaptive_thresholds, metric_drift, document_scope, document_scoped_search, answer_questions,
+    graph_questions, odd_tables, graph_input_chunks, text_splits, graph_nodes, graph_relationships, graph_mentions, graph_neighbours, graph_two_hops, graph_reachable, feedback_success, adaptive_thresholds, metric_drift, document_scope, document_scoped_search, answer_questions, vector_index_top_k, text_index_top_k, text_index_idf_top_k,
 )}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,35 +36,43 @@ class Engine:
 
     def release(self) -> None:
         """Delete what answers given so far were made from; they can't be read any more."""
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/work")
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        self.store.files.delete(f"{self.path}/work")
 
     # ---- ingest
 
-    def ingest(self, documents: DataFrame) -> dict[str, str]:
-        """Chunk, embed and store; extract tables; load a graph if a generator is set. Parts fail apart from each other."""
+    def ingest(self, documents: DataFrame, batch: str | None = None) -> dict[str, str]:
+        """Chunk, embed and store; extract tables; load a graph if a generator is set. Parts fail apart from each other.
+
+        batch: a name under which these documents may come again, from a stream; a part that is done isn't done again. Points
+        of batches are known by document and place, so a document that comes in a later batch replaces its own.
+        """
         status = {}
         for name, part in (("vector", self._ingest_vectors), ("table", self._ingest_tables), ("graph", self._ingest_graph)):
             try:
-                part(documents)
+                part(documents, batch)
                 status[name] = "ok"
             except Exception as e:  # noqa: BLE001
                 status[name] = f"failed: {str(e)[:200]}"
         return status
 
-    def _ingest_vectors(self, documents: DataFrame) -> None:
-        chunks = positions(chunking.as_documents(chunking.token_windows(documents)))
-        self.store.ingest(self.config.collection, embed(chunks, self.config.embedder))
+    def _ingest_vectors(self, documents: DataFrame, batch: str | None) -> None:
+        chunks = chunking.as_documents(chunking.token_windows(documents))
+        chunks = positions(chunks) if batch is None else chunks.withColumn("point_id", F.xxhash64("doc_id", "chunk_pos"))
+        self.store.ingest(self.config.collection, embed(chunks, self.config.embedder), batch)
 
-    def _ingest_tables(self, documents: DataFrame) -> None:
-        tables.parsed(documents).write.mode("overwrite").parquet(self._tables)
+    def _ingest_tables(self, documents: DataFrame, batch: str | None) -> None:
+        """Without a batch the collection's tables are these alone; a batch has a folder, which it writes anew if it comes again."""
+        if batch is None:
+            self.store.files.delete(self._tables)
+        found = tables.parsed(documents).withColumn("doc_id", F.col("doc_id").cast("string"))
+        found.write.mode("overwrite").parquet(f"{self._tables}/batch={quote(batch or 'all', safe='')}")
 
-    def _ingest_graph(self, documents: DataFrame) -> None:
+    def _ingest_graph(self, documents: DataFrame, batch: str | None) -> None:
         if self.config.generator is None:
             return
         chunks = chunking.char_windows(documents, max_docs=self.config.max_graph_chunks)
         told = generate(chunks.withColumnRenamed("text", "prompt"), self.config.generator)
-        self.load_graph(told.withColumn("json", F.col("response")))
+        self.load_graph(told.withColumn("json", F.col("response")))  # repeats merge when read
 
     def load_graph(self, documents: DataFrame) -> None:
         """Merge the graphs of documents (doc_id, json) into the collection's."""
@@ -100,8 +109,7 @@ class Engine:
         return found.join(points.select("point_id", "text"), "point_id").select("question_id", "rank", "point_id", "score", "text")
 
     def _table_contexts(self, questions: DataFrame) -> DataFrame:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(self._tables)
-        if not target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target):
+        if not self.store.files.names(self._tables):
             return self.spark.createDataFrame([], "question_id long, ctx_pos int, text string")
         mine = self.spark.read.parquet(self._tables)
         found = mine.select(F.lit(0).alias("collection"), F.xxhash64("doc_id", "table_pos").alias("table_pos"), "markdown", "headers")

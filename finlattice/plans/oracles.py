@@ -172,6 +172,9 @@ _RAW = {
     "lexical_idf_top_k": f"WITH {_lexical(True)} SELECT question_id, point_id, round(score, 6) AS score, rank FROM lex",
     "text_index_top_k": f"WITH {_lexical(False)} SELECT question_id, point_id, round(score, 6) AS score, rank FROM lex",
     "text_index_idf_top_k": f"WITH {_lexical(True)} SELECT question_id, point_id, round(score, 6) AS score, rank FROM lex",
+    "store_points": """WITH e AS (SELECT CAST(vec_id AS BIGINT) AS p, CAST(label AS VARCHAR) AS ticker, embedding[1] AS x FROM embeddings WHERE embedding IS NOT NULL),
+        a AS (SELECT p AS point_id, 1 AS o, 'first' AS text, ticker, x FROM e UNION ALL SELECT 2 * p, 2, 'second', ticker, x FROM e UNION ALL SELECT 3 * p, 3, 'third', ticker, x FROM e)
+        SELECT point_id, text, ticker, round(x::FLOAT::DOUBLE, 5) AS first_value FROM a QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY o DESC) = 1""",
     "hybrid_search": _fused(1.0, 1.0),
     "weighted_hybrid_search": _fused(0.7, 0.3),
     "rerank": f"""WITH {_lexical(False)}, ov AS (SELECT q.k AS question_id, d.k AS point_id, count(*)::DOUBLE AS ce FROM tq q JOIN td d USING (term) GROUP BY 1, 2)

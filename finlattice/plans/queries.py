@@ -10,6 +10,7 @@ from ..operators import chunking, claims, feedback, graph, metrics, retrieval, r
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
 from ..session import cut, new_path
+from ..sources.store import PointStore
 from .views import view
 
 V = view
@@ -148,6 +149,17 @@ def text_index_idf_top_k(s: SparkSession, d: str) -> DataFrame:
     return index.search(V(s, d, "text_queries"), 20, use_idf=True).withColumn("score", F.round("score", 6))
 
 
+def store_points(s: SparkSession, d: str) -> DataFrame:
+    """Three ingests of a store, the second compacted: what a scan then gives."""
+    rows = V(s, d, "embeddings").where("embedding is not null").select(F.col("vec_id").cast("long").alias("point_id"), F.col("label").cast("string").alias("ticker"), F.col("embedding").alias("dense"))
+    store = PointStore(s, new_path(s, "points"), len(rows.first().dense))
+    store.ingest("main", rows.withColumn("text", F.lit("first")))
+    store.ingest("main", rows.withColumns({"text": F.lit("second"), "point_id": F.col("point_id") * 2}))
+    store.compact("main")
+    store.ingest("main", rows.withColumns({"text": F.lit("third"), "point_id": F.col("point_id") * 3}))
+    return store.scan("main").select("point_id", "text", "ticker", F.round(F.get("dense", F.lit(0)).cast("double"), 5).alias("first_value"))
+
+
 def _two_rankings(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     dense = retrieval.dense_top_k(V(s, d, "vector_queries"), retrieval.upsert_latest(V(s, d, "points")), 20)
     sparse = retrieval.lexical_top_k(V(s, d, "text_queries"), V(s, d, "documents"), 20)
@@ -411,5 +423,5 @@ QUERIES = {f.__name__: f for f in (
     method_distribution, type_distribution, verification_totals, faithfulness, extractions, document_extractions, dense_top_k, scoped_search, upsert_points, lexical_top_k, lexical_idf_top_k,
     hybrid_search, weighted_hybrid_search, rerank, diverse_top_k, table_blocks, table_description, grid_tables, model_tables, table_retrieval, source_cascade, token_chunks, char_chunks,
     hybrid_rerank, hybrid_rerank_diverse, ticker_hybrid_search, answer_payload, answer_claims, strategy_contexts, told_claims, told_answers, semantic_claims, verifier_checks, verifier_totals, e2e_summary,
-    graph_questions, odd_tables, graph_input_chunks, text_splits, graph_nodes, graph_relationships, graph_mentions, graph_neighbours, graph_two_hops, graph_reachable, feedback_success, adaptive_thresholds, metric_drift, document_scope, document_scoped_search, answer_questions, vector_index_top_k, text_index_top_k, text_index_idf_top_k,
+    graph_questions, odd_tables, graph_input_chunks, text_splits, graph_nodes, graph_relationships, graph_mentions, graph_neighbours, graph_two_hops, graph_reachable, feedback_success, adaptive_thresholds, metric_drift, document_scope, document_scoped_search, answer_questions, vector_index_top_k, text_index_top_k, text_index_idf_top_k, store_points,
 )}

@@ -47,6 +47,72 @@ def test_store_replaces_by_id(spark, tmp_path):
     assert sorted((r.point_id, r.text) for r in positions(chunks).collect()) == [(0, "a"), (1, "b"), (2, "c")]
 
 
+def test_positions_of_string_ids(spark, monkeypatch):
+    from finlattice.sources import store
+
+    monkeypatch.setattr(store, "SPAN", 3)
+    chunks = spark.createDataFrame([(f"/same/prefix/{k:02}", j, f"{k}-{j}") for k in range(20) for j in range(k % 3 + 1)], "doc_id string, chunk_pos int, text string").repartition(4)
+    got = [r.text for r in positions(chunks).orderBy("point_id").collect()]
+    assert got == [f"{k}-{j}" for k in range(20) for j in range(k % 3 + 1)]
+    assert sorted(r.point_id for r in positions(chunks).collect()) == list(range(len(got)))
+
+
+def test_store_base_deltas_and_replay(spark, tmp_path):
+    store = PointStore(spark, str(tmp_path / "points"), 1)
+    rows = lambda ids, mark: spark.createDataFrame([(k, f"{mark}{k}", [1.0]) for k in ids], "point_id long, text string, dense array<float>")
+    texts = lambda: sorted(r.text for r in store.scan("a/b").collect())
+    assert texts() == [] and store.scan().count() == 0
+    store.compact("a/b")
+    assert store.ingest("a/b", rows(range(4), "x"), "s-0") == 0
+    assert store.ingest("a/b", rows(range(4), "again"), "s-0") is None  # a replay of what is done
+    assert texts() == ["x0", "x1", "x2", "x3"]
+    store.compact("a/b")
+    plan = store.scan("a/b")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    store.ingest("a/b", rows([1, 9], "y"))
+    store.ingest("a/b", rows([9], "z"))
+    assert texts() == ["x0", "x2", "x3", "y1", "z9"]
+    assert "SortMergeJoin" not in store.scan("a/b")._jdf.queryExecution().executedPlan().toString()
+    store.compact("a/b")
+    store.compact("a/b")
+    assert texts() == ["x0", "x2", "x3", "y1", "z9"]
+    # a batch that was cut off after it took its number writes the same folder again
+    store.files.write(f"{tmp_path}/points/batches/collection=a%2Fb/s-1", "3")
+    assert store.ingest("a/b", rows([0], "p"), "other") == 4
+    assert store.ingest("a/b", rows([0, 2], "q"), "s-1") == 3
+    assert texts() == ["p0", "q2", "x3", "y1", "z9"]
+    assert store.collections() == ["a/b"] and store.scan().count() == 5
+    with pytest.raises(Exception, match="vectors must have 1"):
+        store.ingest("a/b", spark.createDataFrame([(1, "x", [1.0, 2.0])], "point_id long, text string, dense array<float>"))
+
+
+def test_stream_ingest_and_replay(spark, tmp_path):
+    from finlattice.streaming import ingest
+
+    engine = Engine(spark, str(tmp_path / "e"), providers.Config(generator=Model()))
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, text in DOCS:
+        (folder / f"{k}.txt").write_text(text)
+    (folder / "no.md").write_text("left out")
+    run = lambda: ingest.into(engine, ingest.text_files(spark, str(folder)), str(tmp_path / "check")).awaitTermination()
+    run()
+    state = lambda: (sorted(r.text for r in engine.store.scan("default").collect()), sorted(map(tuple, engine.graph.read("edges", "default").collect())), engine.spark.read.parquet(engine._tables).count())
+    first = state()
+    assert len(first[0]) == 3 and first[2] == 1 and len(first[1]) == 1
+    run()
+    assert state() == first  # nothing new
+    batch = spark.createDataFrame([(f"file:{folder}/{k}.txt", t) for k, t in DOCS], "doc_id string, text string")
+    assert set(engine.ingest(batch, "files-0").values()) == {"ok"}  # the batch comes again
+    assert state() == first
+    (folder / "4.txt").write_text("Cherries are red and grow on trees in spring.")
+    run()
+    assert len(state()[0]) == 4
+    broken = Engine(spark, str(tmp_path / "e2"), providers.Config(dim=3))
+    with pytest.raises(Exception, match="batch 0"):
+        ingest.into(broken, ingest.text_files(spark, str(folder)), str(tmp_path / "check2")).awaitTermination()
+
+
 def test_providers(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None)], "id int, text string")
     got = {r.id: r.dense for r in providers.embed(rows, providers.HashingEmbedder(8)).collect()}

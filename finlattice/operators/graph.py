@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.repair import repaired
+
 ENTITY, RELATED = "Entity", "RELATED_TO"
 #: Facts told of the nodes that a question names.
 FACTS = 50
@@ -28,13 +31,17 @@ def message_text(message: Column) -> Column:
 
 
 def normalise(documents: DataFrame, column: str = "json") -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of each document's JSON, whichever field names it uses; text that isn't JSON gives none.
+    """(nodes, edges) of each document's JSON, whichever field names it uses; text without JSON gives none.
 
-    The JSON may stand in a code fence, or in a model's message around it.
+    The JSON may stand in a code fence, or in a model's message around it. What isn't valid is mended first; only such texts
+    go through Python.
 
     Endpoint types come from a join with the document's nodes, the last of an id winning; unknown endpoints are entities.
     """
-    parsed = documents.select("doc_id", F.from_json(strip_fences(message_text(F.col(column))), _SHAPE).alias("g"))
+    clean = documents.select("doc_id", strip_fences(message_text(F.col(column))).alias("j"))
+    fine = F.try_parse_json("j").isNotNull()
+    mended = clean.where(~fine & F.col("j").rlike(r"[{\[]")).select("doc_id", repaired("j").alias("j"))
+    parsed = clean.where(fine).unionByName(mended).select("doc_id", F.from_json("j", _SHAPE).alias("g"))
     nodes = parsed.select("doc_id", F.posexplode(F.coalesce("g.nodes", "g.entities")).alias("pos", "n"))
     nodes = nodes.select("doc_id", "pos", F.coalesce("n.id", "n.name", F.lit("")).alias("id"), F.coalesce("n.type", "n.label", F.lit(ENTITY)).alias("type"))
     types = nodes.groupBy("doc_id", "id").agg(F.max_by("type", "pos").alias("type"))
@@ -79,6 +86,49 @@ def reachable(edges: DataFrame, starts: DataFrame, depth: int = 4, kept: Callabl
     return seen
 
 
+@dataclass(frozen=True)
+class Step:
+    """One element of a path pattern: `least` to `most` edges of some types, along them or against, to nodes of a type."""
+
+    types: tuple[str, ...] = ()
+    least: int = 1
+    most: int = 1
+    against: bool = False
+    node_type: str | None = None
+
+
+def paths(edges: DataFrame, starts: DataFrame, steps: list[Step], limit: int | None = None, kept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """start, nodes, types: every path that matches the steps in order, as the nodes on it (start first) and its edges' types.
+
+    No edge occurs twice on a path, as in a graph database's patterns; a step's node type holds for its last node. Each edge
+    of a step is a join of the paths so far with the edges of its types alone. With a limit, the first paths of each start by
+    length and then nodes and types. kept writes a frontier and reads it back. starts: one column `start`.
+    """
+    found = starts.select("start", F.array("start").alias("nodes"), F.array().cast("array<string>").alias("types"), F.array().cast("array<string>").alias("_e"), F.lit(None).cast("string").alias("_t"))
+    for step in steps:
+        if not 0 <= step.least <= step.most:
+            raise ValueError("a step needs 0 <= least <= most")
+        mine = edges.where(F.col("type").isin(list(step.types))) if step.types else edges
+        here, there = ("dst", "src") if step.against else ("src", "dst")
+        key = F.to_json(F.array("src", "type", "dst"))
+        links = mine.select(F.col(here).alias("_h"), F.col(there).alias("_n"), F.col(f"{there}_type").alias("_nt"), F.col("type").alias("_y"), key.alias("_k")).distinct()
+        reached, frontier = (found if step.least == 0 else None), found
+        for n in range(1, step.most + 1):
+            both = frontier.join(links, F.element_at("nodes", -1) == F.col("_h")).where(~F.array_contains("_e", F.col("_k")))
+            frontier = both.select("start", F.array_append("nodes", F.col("_n")).alias("nodes"), F.array_append("types", F.col("_y")).alias("types"), F.array_append("_e", F.col("_k")).alias("_e"), F.col("_nt").alias("_t"))
+            frontier = kept(frontier) if kept else frontier
+            if n >= step.least:
+                reached = frontier if reached is None else reached.unionByName(frontier)
+        found = reached
+        if step.node_type is not None:
+            found = found.where(F.col("_t") == step.node_type)
+    out = found.select("start", "nodes", "types")
+    if limit is None:
+        return out
+    first = Window.partitionBy("start").orderBy(F.size("types"), "nodes", "types")
+    return out.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= limit).drop("_r")
+
+
 def entity_context(edges: DataFrame, mentions: DataFrame, chunks: DataFrame, starts: DataFrame, entity_type: str) -> DataFrame:
     """start, node, doc_id, text, page: the chunks that mention an entity of a type one hop from each start, in order of page.
 

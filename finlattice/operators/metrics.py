@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -34,13 +36,45 @@ def overall(rows: DataFrame, expected: str = "expected", predicted: str = "predi
     return ok.crossJoin(F.broadcast(macro))
 
 
+#: Parts that a group is cut into for counting, and values of a group that may be sorted in one task.
+PARTS, SORTED = 64, 100_000
+
+
+def order_statistic(rows: DataFrame, value: str, group: str, share: float) -> DataFrame:
+    """group, n, mean, v: the value at place int(n * share) of each group's sorted values (from 0); null values don't count.
+
+    A group of any size is counted, never sorted whole. Approximate quantiles cut it into PARTS, exact counts tell which part
+    holds the place, and that part is cut again until it has one value or at most SORTED rows, which are sorted. So rounds
+    grow with the logarithm of the rows, whatever the values; each shuffles a row for each part and task.
+    """
+    rows = rows.select(F.col(group).alias("_g"), F.col(value).alias("_v")).where("_v is not null")
+    state = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    state = cut(state.withColumns({"place": F.floor(F.col("n") * share).cast("long"), "left": F.col("n")}))
+    wide = (F.col("left") > SORTED) & (F.col("lo") < F.col("hi"))
+    grid = [k / PARTS for k in range(1, PARTS)]
+
+    def within(some: DataFrame) -> DataFrame:
+        bounds = some.select(F.col("_g").alias("_b"), "lo", "hi")
+        return rows.join(bounds, F.col("_g").eqNullSafe(F.col("_b")) & F.col("_v").between(F.col("lo"), F.col("hi"))).drop("_b", "lo", "hi")
+
+    while not state.where(wide).isEmpty():
+        inside = within(state.where(wide))
+        marks = inside.groupBy(F.col("_g").alias("_b")).agg(F.percentile_approx("_v", grid, 100 * PARTS).alias("_m"))
+        part = 2 * F.size(F.filter("_m", lambda m: m < F.col("_v"))) + F.array_contains("_m", F.col("_v")).cast("int")  # a mark is a part of its own
+        counts = inside.join(marks, F.col("_g").eqNullSafe(F.col("_b"))).groupBy("_g", part.alias("_p")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        counts = counts.withColumn("_upto", F.sum("_c").over(Window.partitionBy("_g").orderBy("_p")))
+        both = counts.withColumnRenamed("_g", "_b").join(state, F.col("_b").eqNullSafe(F.col("_g"))).where((F.col("_upto") > F.col("place")) & (F.col("_upto") - F.col("_c") <= F.col("place")))
+        narrowed = both.select("_g", "n", "mean", F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), (F.col("place") - (F.col("_upto") - F.col("_c"))).alias("place"), F.col("_c").alias("left"))
+        state = cut(state.where(~wide).unionByName(narrowed))
+    ranked = within(state.where("lo < hi")).withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("_v")) - 1)
+    last = ranked.select(F.col("_g").alias("_b"), F.col("_v").alias("_w"), "_r").join(state, F.col("_b").eqNullSafe(F.col("_g")) & (F.col("_r") == F.col("place")))
+    sorted_ones = last.select("_g", "n", "mean", F.col("_w").alias("v"))
+    return state.where("lo = hi").select("_g", "n", "mean", F.col("lo").alias("v")).unionByName(sorted_ones).withColumnRenamed("_g", group)
+
+
 def latency(rows: DataFrame, value: str, group: str) -> DataFrame:
-    """Mean and the value at place int(n * 0.95) of the sorted ones (from 0), by counts of equal values and not by a collected list."""
-    counts = rows.groupBy(group, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))  # equal values are one row
-    below = F.sum("c").over(Window.partitionBy(group).orderBy("v"))
-    ranked = counts.select(group, "v", "c", below.alias("upto"), F.sum("c").over(Window.partitionBy(group)).alias("n"))
-    place = F.floor(F.col("n") * 0.95)
-    return ranked.groupBy(group).agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), F.min(F.when(F.col("upto") > place, F.col("v"))).alias("p95"))
+    """Mean and the value at place int(n * 0.95) of the sorted ones (from 0)."""
+    return order_statistic(rows, value, group, 0.95).select(group, "mean", F.col("v").alias("p95"))
 
 
 def distribution(verified: DataFrame, column: str) -> DataFrame:

@@ -172,6 +172,17 @@ _RAW = {
     "lexical_idf_top_k": f"WITH {_lexical(True)} SELECT question_id, point_id, round(score, 6) AS score, rank FROM lex",
     "text_index_top_k": f"WITH {_lexical(False)} SELECT question_id, point_id, round(score, 6) AS score, rank FROM lex",
     "text_index_idf_top_k": f"WITH {_lexical(True)} SELECT question_id, point_id, round(score, 6) AS score, rank FROM lex",
+    "repaired_nodes": """WITH b AS (SELECT s_suppkey AS doc_id, 'S' || s_suppkey AS s, n_name AS n, s_suppkey % 7 AS m FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+        SELECT doc_id, 0 AS pos, s AS id, CASE WHEN m = 2 THEN 'Entity' ELSE 'Supplier' END AS type FROM b WHERE m <> 5 UNION ALL SELECT doc_id, 1, n, 'Nation' FROM b WHERE m < 3""",
+    "repaired_relationships": """SELECT s_suppkey AS doc_id, 0 AS pos, 'S' || s_suppkey AS src, CASE WHEN s_suppkey % 7 = 2 THEN 'Entity' ELSE 'Supplier' END AS src_type, n_name AS dst, 'Nation' AS dst_type, CASE WHEN s_suppkey % 7 = 1 THEN 'RELATED_TO' ELSE 'LOCATED_IN' END AS type
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 7 < 3""",
+    "graph_paths": """WITH RECURSIVE e AS (SELECT DISTINCT src, dst, type FROM graph_edges WHERE type IN ('LOCATED_IN', 'PART_OF')),
+        w AS (SELECT 'supplier ' || s_suppkey AS start, 'supplier ' || s_suppkey AS node, 'supplier ' || s_suppkey AS nodes, '' AS types, 0 AS n FROM supplier
+            UNION ALL SELECT w.start, e.dst, w.nodes || '|' || e.dst, CASE WHEN n = 0 THEN e.type ELSE w.types || '|' || e.type END, n + 1 FROM w JOIN e ON e.src = w.node WHERE n < 3)
+        SELECT start, nodes, types FROM w WHERE n > 0""",
+    "graph_path_pattern": """WITH p AS (SELECT 'supplier ' || a.s_suppkey AS start, 'supplier ' || a.s_suppkey || '|' || m.n_name || '|' || r_name || '|' || n.n_name || '|supplier ' || b.s_suppkey AS nodes, n.n_name AS x, 'supplier ' || b.s_suppkey AS y
+            FROM supplier a JOIN nation m ON a.s_nationkey = m.n_nationkey JOIN region ON m.n_regionkey = r_regionkey JOIN nation n ON n.n_regionkey = r_regionkey AND n.n_nationkey <> m.n_nationkey JOIN supplier b ON b.s_nationkey = n.n_nationkey)
+        SELECT start, nodes, 'LOCATED_IN|PART_OF|PART_OF|LOCATED_IN' AS types FROM p QUALIFY row_number() OVER (PARTITION BY start ORDER BY x, y) <= 3""",
     "store_points": """WITH e AS (SELECT CAST(vec_id AS BIGINT) AS p, CAST(label AS VARCHAR) AS ticker, embedding[1] AS x FROM embeddings WHERE embedding IS NOT NULL),
         a AS (SELECT p AS point_id, 1 AS o, 'first' AS text, ticker, x FROM e UNION ALL SELECT 2 * p, 2, 'second', ticker, x FROM e UNION ALL SELECT 3 * p, 3, 'third', ticker, x FROM e)
         SELECT point_id, text, ticker, round(x::FLOAT::DOUBLE, 5) AS first_value FROM a QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY o DESC) = 1""",

@@ -360,6 +360,28 @@ def graph_relationships(s: SparkSession, d: str) -> DataFrame:
     return graph.normalise(V(s, d, "graph_json"))[1].withColumn("pos", F.col("pos").cast("int"))
 
 
+def repaired_nodes(s: SparkSession, d: str) -> DataFrame:
+    return graph.normalise(V(s, d, "broken_graphs"))[0].withColumn("pos", F.col("pos").cast("int"))
+
+
+def repaired_relationships(s: SparkSession, d: str) -> DataFrame:
+    return graph.normalise(V(s, d, "broken_graphs"))[1].withColumn("pos", F.col("pos").cast("int"))
+
+
+def graph_paths(s: SparkSession, d: str) -> DataFrame:
+    """From every supplier one to three edges to places, as nodes and types."""
+    starts = V(s, d, "supplier").select(F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("start"))
+    found = graph.paths(V(s, d, "graph_edges"), starts, [graph.Step(("LOCATED_IN", "PART_OF"), 1, 3)])
+    return found.select("start", _joined("nodes").alias("nodes"), _joined("types").alias("types"))
+
+
+def graph_path_pattern(s: SparkSession, d: str) -> DataFrame:
+    """Up to three other suppliers of each supplier's region: along to the region, and back to suppliers."""
+    starts = V(s, d, "supplier").select(F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("start"))
+    steps = [graph.Step(("LOCATED_IN", "PART_OF"), 1, 2, node_type="Region"), graph.Step(("PART_OF",), against=True), graph.Step(("LOCATED_IN",), against=True, node_type="Supplier")]
+    return graph.paths(V(s, d, "graph_edges"), starts, steps, limit=3, kept=cut).select("start", _joined("nodes").alias("nodes"), _joined("types").alias("types"))
+
+
 def graph_mentions(s: SparkSession, d: str) -> DataFrame:
     return graph.load(*graph.normalise(V(s, d, "graph_json")))[2]
 
@@ -423,5 +445,5 @@ QUERIES = {f.__name__: f for f in (
     method_distribution, type_distribution, verification_totals, faithfulness, extractions, document_extractions, dense_top_k, scoped_search, upsert_points, lexical_top_k, lexical_idf_top_k,
     hybrid_search, weighted_hybrid_search, rerank, diverse_top_k, table_blocks, table_description, grid_tables, model_tables, table_retrieval, source_cascade, token_chunks, char_chunks,
     hybrid_rerank, hybrid_rerank_diverse, ticker_hybrid_search, answer_payload, answer_claims, strategy_contexts, told_claims, told_answers, semantic_claims, verifier_checks, verifier_totals, e2e_summary,
-    graph_questions, odd_tables, graph_input_chunks, text_splits, graph_nodes, graph_relationships, graph_mentions, graph_neighbours, graph_two_hops, graph_reachable, feedback_success, adaptive_thresholds, metric_drift, document_scope, document_scoped_search, answer_questions, vector_index_top_k, text_index_top_k, text_index_idf_top_k, store_points,
+    graph_questions, odd_tables, graph_input_chunks, text_splits, graph_nodes, graph_relationships, graph_mentions, graph_neighbours, graph_two_hops, graph_reachable, feedback_success, adaptive_thresholds, metric_drift, document_scope, document_scoped_search, answer_questions, vector_index_top_k, text_index_top_k, text_index_idf_top_k, store_points, repaired_nodes, repaired_relationships, graph_paths, graph_path_pattern,
 )}

@@ -67,6 +67,14 @@ VIEWS = {
             WHEN 1 THEN concat('```json', chr(10), '{"entities":[{"name":"S', CAST(s_suppkey AS STRING), '"},{"id":"', n_name, '","type":"Nation"}],"edges":[{"source":"S', CAST(s_suppkey AS STRING), '","target":"nowhere"}]}', chr(10), '```')
             WHEN 2 THEN concat('{"nodes":[{"name":"A","label":"T"}],"edges":[{"source_node_id":"A","target_node_id":"', n_name, '","label":"SELLS"}]}')
             ELSE 'no json' END AS json FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+    "broken_graphs": """SELECT s_suppkey AS doc_id, CASE s_suppkey % 7
+            WHEN 0 THEN concat('Sure, here it is: {"nodes":[{"id":"S', CAST(s_suppkey AS STRING), '","type":"Supplier"} {"id":"', n_name, '","label":"Nation"}], "relationships":[{"source":"S', CAST(s_suppkey AS STRING), '","target":"', n_name, '","type":"LOCATED_IN"}')
+            WHEN 1 THEN concat('```json', chr(10), '{nodes: [{id: S', CAST(s_suppkey AS STRING), ', type: Supplier,}, {"id": "', n_name, '", "type": "Nation"},], "edges": [{"source": "S', CAST(s_suppkey AS STRING), '", "target": "', n_name, '"},],}', chr(10), '```')
+            WHEN 2 THEN concat('{"entities":[{"name":"S', CAST(s_suppkey AS STRING), '"}, {"id":"', n_name, '","type":"Nation"}, "edges":[{"source":"S', CAST(s_suppkey AS STRING), '","target":"', n_name, '","type":"LOCATED_IN"}]} Let me know!')
+            WHEN 3 THEN concat('{"nodes":[{"id":"S', CAST(s_suppkey AS STRING), ', "type":"Supplier"}], "edges":[]}')
+            WHEN 4 THEN concat('{"nodes":[{"id":"S', CAST(s_suppkey AS STRING), '","type":"Supplier')
+            WHEN 5 THEN 'nothing [of use'
+            ELSE concat('{"nodes":[{"id":"S', CAST(s_suppkey AS STRING), '","type":"Supplier"}]}') END AS json FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "responses": """SELECT doc_id, 1 AS page, concat('```markdown', chr(10), markdown, chr(10), '```', chr(10), '---TABLE BREAK---', chr(10), 'NO TABLES FOUND', chr(10), '---TABLE BREAK---', chr(10), '| x |', chr(10), '---TABLE BREAK---', chr(10), 'nothing') AS response FROM md_tables""",
     "statements": """SELECT answer_id AS doc_id, concat('Confidence: 0.', CAST(v AS STRING), ' for ', CAST(k AS STRING), ' percent [', CAST(k AS STRING), ', ', CAST(y AS STRING), '] in Q', CAST(v + 1 AS STRING), ' ', CAST(y AS STRING), ' or $', CAST(k AS STRING), ',500.5M and ', CAST(v AS STRING), '.5%') AS text FROM facts""",
 }

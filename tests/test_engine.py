@@ -318,6 +318,74 @@ def test_graph_names_of_any_length_and_hubs(spark):
     assert graph.ask(q, e.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ('x {"a": 1 "b": [1, 2} y', {"a": 1, "b": [1, 2]}),
+    ("{'a': 'it\\'s', b: None,}", {"a": "it's", "b": None}),
+    ('{"a": "x, "b": 1}', {"a": "x", "b": 1}),
+    ('{"n": "A "quoted" name"}', {"n": 'A "quoted" name'}),
+    ('{"a": "open', {"a": "open"}),
+    ('{"a": [{"x": 1}, "b": 2}', {"a": [{"x": 1}], "b": 2}),
+    ('{"a": 1, // note\n "b" 2', {"a": 1, "b": 2}),
+    ("[1, 2", [1, 2]),
+    ("no json", None),
+    ("", None),
+])
+def test_json_repair(text, want):
+    from finlattice.functions import repair
+
+    assert repair.parse(text) == want
+
+
+def test_json_repair_keeps_valid_json_and_never_fails():
+    import json
+    import random
+
+    from finlattice.functions import repair
+
+    rng = random.Random(1)
+
+    def value(depth=0):
+        kind = rng.randrange(6 if depth < 4 else 4)
+        if kind == 0:
+            return rng.choice([None, True, False, 1, -2, 3.5])
+        if kind < 4:
+            return "".join(rng.choice(["a", " ", '"', "\\", "é", "\n", ",", "{", ":", "'", "\U0001f600"]) for _ in range(rng.randrange(8)))
+        return [value(depth + 1) for _ in range(rng.randrange(4))] if kind == 4 else {f"k{i}": value(depth + 1) for i in range(rng.randrange(4))}
+
+    for _ in range(2000):
+        v = {"r": value()}
+        assert repair.parse(json.dumps(v)) == repair.parse(json.dumps(v, indent=1)) == repair.parse(json.dumps(v, ensure_ascii=False)) == v
+        json.dumps(repair.parse("".join(rng.choice("{}[]:,\"'ab \\n1\n/*") for _ in range(rng.randrange(30)))))
+
+
+def test_order_statistic_by_counting(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(size=900), "b": np.repeat(7.0, 500), "c": np.array([1.0]), "d": np.concatenate([np.full(400, 1e300), np.full(5, -1e300), rng.normal(size=300)]), None: np.exp(rng.normal(size=700) * 20)}
+    rows = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("none", None)], "g string, v double").repartition(5)
+    monkeypatch.setattr(metrics, "SORTED", 20)
+    monkeypatch.setattr(metrics, "PARTS", 16)
+    for share in (0.0, 0.95):
+        got = {r.g: (r.n, r.v) for r in metrics.order_statistic(rows, "v", "g", share).collect()}
+        assert got == {g: (len(v), float(np.sort(v)[int(len(v) * share)])) for g, v in groups.items()}
+    assert metrics.order_statistic(rows.where("false"), "v", "g", 0.5).count() == 0
+
+
+def test_path_patterns(spark):
+    edges = [("a", "b", "R"), ("b", "c", "R"), ("c", "a", "R"), ("c", "d", "S"), ("b", "d", "S")]
+    e = spark.createDataFrame([(s, "N", t, "M" if t == "d" else "N", y) for s, t, y in edges], "src string, src_type string, dst string, dst_type string, type string")
+    starts = spark.createDataFrame([("a",), ("z",)], "start string")
+    found = lambda *steps, **more: sorted(("".join(r.nodes), "".join(r.types)) for r in graph.paths(e, starts, list(steps), **more).collect())
+    S = graph.Step
+    assert found(S(("R",), 1, 3)) == [("ab", "R"), ("abc", "RR"), ("abca", "RRR")]
+    assert found(S(("R",), 1, 9)) == [("ab", "R"), ("abc", "RR"), ("abca", "RRR")]  # no edge twice
+    assert found(S(("R",), 0, 1)) == [("a", ""), ("ab", "R"), ("z", "")]
+    assert found(S(("R",), 1, 2), S(("S",))) == [("abcd", "RRS"), ("abd", "RS")]
+    assert found(S(("R",), against=True), S((), node_type="M")) == [("acd", "RS")]
+    assert found(S((), 1, 3), limit=2) == [("ab", "R"), ("abc", "RR")]
+    with pytest.raises(ValueError):
+        found(S((), 3, 2))
+
+
 def test_dispatch_evaluates_a_routing_once(spark, sf_dir):
     plan = queries.QUERIES["strategy_contexts"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     alone = queries.QUERIES["route_intents"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()

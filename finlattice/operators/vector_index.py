@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import cut
-from .retrieval import POINTS, ROUND_BYTES, _Best, _top, dense_top_k
+from .retrieval import POINTS, ROUND_BYTES, _top, dense_top_k
 
 #: Sample rows of a cell, most cells, codes of a part, rounds of fitting.
 SAMPLE, MOST_CELLS, CODES, ROUNDS = 64, 4096, 256, 12
@@ -93,6 +93,32 @@ class Codebook:
         return out
 
 
+class _Pool:
+    """The k best points of each question over all cells that a task sees; cut back whenever it has grown by ROOM rows."""
+
+    ROOM = 2_000_000
+
+    def __init__(self, k: int):
+        self.k, self.rows = k, 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, names: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.parts.append((np.repeat(names, len(ids)), np.tile(ids, len(names)), scores.reshape(-1)))
+        self.rows += scores.size
+        if self.rows > self.ROOM:
+            self.parts, self.rows = [self.best()], 0
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(questions, points, scores), the k best of each question by score and then by id."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        names, ids, scores = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((ids, -scores, names))
+        names = names[order]
+        keep = np.arange(len(names)) - np.searchsorted(names, names) < self.k
+        return names[keep], ids[order][keep], scores[order][keep]
+
+
 class VectorIndex:
     """An index in a folder: `points` by cell, and the codebook as a small table."""
 
@@ -178,21 +204,20 @@ class VectorIndex:
         cells = sorted(r[0] for r in probed.select("cell").distinct().collect())  # MOST_CELLS at most
         points = self.spark.read.parquet(f"{self.path}/points").where(F.col("cell").isin(cells))
         codes = _by_cell(points.select("point_id", "cell", "code"), "point_id", "code")
-        packed = _by_cell(probed.repartition("cell"), "question_id", "unit").withColumnsRenamed({"ids": "q_ids", "code": "q_unit"}).withColumn("block", F.monotonically_increasing_id())
+        packed = _by_cell(probed.repartition("cell"), "question_id", "unit").withColumnsRenamed({"ids": "q_ids", "code": "q_unit"})
         small = questions.count() * probes * dim * 8 <= ROUND_BYTES
         both = codes.join(F.broadcast(packed) if small else packed, "cell")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[tuple[int, ...], _Best] = {}
+            pool = _Pool(wanted)
             for batch in batches:
                 for r in range(batch.num_rows):
                     raw = lambda c, kind: np.frombuffer(batch.column(c)[r].as_buffer(), kind)  # noqa: E731, B023
                     names, ids = raw("q_ids", np.int64), raw("ids", np.int64)
-                    scores = shared.value.scores(raw("q_unit", float).reshape(-1, dim), batch.column("cell")[r].as_py(), raw("code", np.uint8).reshape(len(ids), -1))
-                    held.setdefault((batch.column("block")[r].as_py(),), _Best(names, wanted)).add(scores, ids)
-            for best in held.values():
-                if len(best.at):
-                    yield pa.RecordBatch.from_arrays([pa.array(best.names[best.at]), pa.array(best.ids), pa.array(best.scores)], ["question_id", "point_id", "score"])
+                    pool.add(names, ids, shared.value.scores(raw("q_unit", float).reshape(-1, dim), batch.column("cell")[r].as_py(), raw("code", np.uint8).reshape(len(ids), -1)))
+            names, ids, scores = pool.best()
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids), pa.array(scores)], ["question_id", "point_id", "score"])
 
         near = _top(both.mapInArrow(run, "question_id long, point_id long, score double"), wanted, "score", ["point_id"])
         full = near.select("question_id", "point_id").join(points.select("point_id", "dense"), "point_id").join(asked, "question_id")

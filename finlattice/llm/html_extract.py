@@ -5,10 +5,14 @@ and divided by its blocks; both ratios are smoothed over neighbouring blocks, fu
 above a threshold are content, as are headings right before them. The text of its content blocks is the weight of an
 element, and decides what the page is about:
 
-* What is marked as menu, footer, sidebar, advert, form, comments and the like, by tag or by a word in class, id or role, is
-  left out, unless it holds a main element or the heaviest article or, where no such element is left, over half of the page's
-  weight. A word of a box that may be part of a text (related, notice, share) only counts if the fused ratio of the element's
-  own blocks is below the threshold.
+* Menus, footers and dialogs go by their tags, asides and forms unless they hold the article or over half of the page's weight.
+* The article is looked for without what is marked as menu, sidebar, advert, notice and the like, by a word in class, id or role: it is the heaviest article, a main element, or else the deepest element that holds all content.
+  A mark only proposes; the mean fused ratio of the blocks in the marked element decides. Outside of the article it goes if
+  that is below the article's highest, or if the page names its article or main; inside, if it is below the threshold of content, or
+  if the tags that its content stands in aren't those of the article's own content.
+  What is mostly links goes in either place; what is left is part of the text.
+* Comments are told by structure: an element with such a word that repeats like elements, or has the word again inside, is
+  left out wherever it is and whatever it weighs; without that structure the word counts outside of the article.
 * Article and main elements are the article if they hold half of the weight or more, else the deepest element that holds
   all of it. All their blocks are returned, short ones too; lists of links without content are left out of the latter.
 
@@ -46,8 +50,11 @@ ASIDE_TAGS = frozenset("nav footer aside form menu dialog".split())
 HARD = frozenset("nav footer menu dialog".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements adsbygoogle sponsor sponsored sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr "
-    "comment comments respond reply replies discussion disqus masthead toolbar pagination pager login copyright complementary contentinfo".split()
+    "masthead toolbar pagination pager login copyright complementary contentinfo".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies discussion disqus".split())
+#: What a single comment may be; paragraphs and headings repeat in any text.
+UNITS = frozenset("div li article section dd tr blockquote".split())
 #: Words of boxes that are left out only if their own ratio is low.
 BOX_WORDS = frozenset("promo promotion banner widget widgets notice notices popup modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations search skip".split())
 BLOCK_CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -62,12 +69,14 @@ _TAG = re.compile(r"<[A-Za-z/!?]")
 _STATE = re.compile(r"\b(?:has|have|with|without|no)[-_]+[A-Za-z]+")
 #: Share of the weight that article and main elements must hold, and of the page's weight that no mark may take.
 HOLD = 0.5
+#: Sums of the same ratios may differ by rounding.
+SAME = 1 - 1e-9
 
 
 class Node:
     """An element: what its tag and attributes say, its place in page order and the number of its tag path."""
 
-    __slots__ = ("tag", "parent", "at", "path", "mark", "box", "hidden", "main", "inside", "link")
+    __slots__ = ("tag", "parent", "at", "path", "mark", "box", "talk", "hidden", "main", "inside", "link", "kind")
 
     def __init__(self, tag: str, parent: "Node | None", attrs: str, at: int, path: int):
         self.tag, self.parent, self.at, self.path = tag, parent, at, path
@@ -75,7 +84,8 @@ class Node:
         self.inside = parent is not None and (parent.inside or parent.main)
         self.link = tag == "a" or parent is not None and parent.link
         self.mark = tag in ASIDE_TAGS or (tag == "header" and not self.inside)
-        self.box = self.hidden = False
+        self.box = self.talk = self.hidden = False
+        self.kind = tag
         if attrs and tag not in ("html", "body"):
             for name, value in _ATTR.findall(attrs):
                 name = name.lower()
@@ -83,6 +93,9 @@ class Node:
                     words = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", _STATE.sub(" ", value)).lower())
                     self.mark = self.mark or bool(ASIDE_WORDS.intersection(words)) or not self.inside and "header" in words
                     self.box = self.box or bool(BOX_WORDS.intersection(words))
+                    self.talk = self.talk or bool(COMMENT_WORDS.intersection(words))
+                    if name == "class":
+                        self.kind = f"{tag} {' '.join(words)}"
                 if name == "role" and "main" in value.lower():
                     self.main = True
                 if name == "style" and re.search(r"display\s*:\s*none", value, re.I) or name == "aria-hidden" and "true" in value.lower():
@@ -177,7 +190,7 @@ class Page:
                     while node.tag != tag and (tag not in INLINE or node.tag in INLINE):
                         node = node.parent
                     if node.tag == tag:  # a stray end of an inline element doesn't close blocks
-                        if node.mark or node.box or node.hidden:
+                        if node.mark or node.box or node.talk or node.hidden:
                             end_block()
                         close(node)
                 continue
@@ -199,7 +212,7 @@ class Page:
             if tag in CLOSED_BY:
                 pop_to(CLOSED_BY[tag], frozenset(("ul", "ol", "dl", "table", "menu", "div", "article", "section")))
             node = self._node(tag, top, m.group(3))
-            if node.mark or node.box or node.hidden:
+            if node.mark or node.box or node.talk or node.hidden:
                 end_block()
             open_tags[tag] += 1
             top = node
@@ -239,58 +252,125 @@ def path_scores(paths: list[int], texts: list[str]) -> np.ndarray:
     return smooth(text_ratio) * (1 + smooth(mark_ratio))
 
 
-def _content(page: Page, live: list[bool]) -> tuple[list[bool], float]:
-    """Of each block whether it is content among the live ones, and the threshold."""
+def _scores(page: Page, live: list[bool]) -> tuple[list[float], float]:
+    """The score of each block, 0 if it isn't live, and the threshold of content."""
     at = [k for k, on in enumerate(live) if on]
-    out = [False] * len(live)
+    out = [0.0] * len(live)
     if not at:
         return out, 0.0
     scores = path_scores([page.owners[k].path for k in at], [page.texts[k] for k in at])
-    least = min(scores.mean(), 0.5 * scores.max())
     for k, score in zip(at, scores.tolist()):
-        out[k] = score >= least
+        out[k] = score
+    return out, float(min(scores.mean(), 0.5 * scores.max()))
+
+
+def _content(page: Page, live: list[bool]) -> list[bool]:
+    """Of each block whether it is content among the live ones."""
+    at = [k for k, on in enumerate(live) if on]
+    scores, least = _scores(page, live)
+    out = [on and score >= least for on, score in zip(live, scores)]
     heading = page.inherited(lambda x: x.tag in HEADINGS)
     for k, after in zip(at[-2::-1], at[:0:-1]):
         if out[after] and heading[page.owners[k].at]:
             out[k] = True
-    return out, least
+    return out
+
+
+def _deepest(page: Page, content: list[bool]) -> Node:
+    """The deepest element that holds all content, and isn't part of a paragraph."""
+    total = page.sums(content)
+    best = page.nodes[0]
+    for x in page.nodes:  # parents come first, so the deepest that holds all content is the last
+        if total[x.at] == total[0]:
+            best = x
+    while best.parent is not None and (best.tag in INLINE or best.tag == "p" or best.tag in HEADINGS):
+        best = best.parent
+    return best
+
+
+def _leaf(x: Node) -> str:
+    """The tag that ends the tag path of a block."""
+    while x.tag in INLINE and x.parent is not None:
+        x = x.parent
+    return x.tag
+
+
+def _talks(page: Page, live: list[bool]) -> list[bool]:
+    """Of each element with a word of comments whether its structure is that of comments: like units, or the word again inside."""
+    size = page.sums([len(t) * v for t, v in zip(page.texts, live)])
+    again = [False] * len(page.nodes)
+    units: dict[tuple[int, str], int] = defaultdict(int)
+    for x in reversed(page.nodes[1:]):
+        up = x.parent.at
+        again[up] = again[up] or again[x.at] or x.talk
+        if x.tag in UNITS and size[x.at]:
+            units[up, x.kind] += 1
+    repeats = [False] * len(page.nodes)
+    for (at, _), n in units.items():
+        repeats[at] = repeats[at] or n > 1
+    for x in reversed(page.nodes[1:]):  # the units may stand in a list inside
+        if repeats[x.at] and not x.talk:
+            repeats[x.parent.at] = True
+    return [x.talk and (again[x.at] or repeats[x.at]) for x in page.nodes]
 
 
 def _asides(page: Page) -> list[bool]:
     """Of each element whether it is left out, or in one that is."""
     gone = page.inherited(lambda x: x.hidden or x.tag in HARD)
     live = [not gone[o.at] for o in page.owners]
-    content, least = _content(page, live)
+    talks = _talks(page, live)
+    chatter = page.inherited(lambda x: talks[x.at])
+    live = [on and not chatter[o.at] for on, o in zip(live, page.owners)]
+    scores, least = _scores(page, live)
+    content = _content(page, live)
     weight = page.sums([len(t) * c for t, c in zip(page.texts, content)])
-    blocks, length, marks = page.sums(live), page.sums([len(t) * v for t, v in zip(page.texts, live)]), page.sums([len(_PUNCT.findall(t)) * v for t, v in zip(page.texts, live)])
-    fused = [(s / max(n, 1)) * (1 + m / max(n, 1)) for n, s, m in zip(blocks, length, marks)]
+    blocks, length = page.sums(live), page.sums([len(t) * v for t, v in zip(page.texts, live)])
+    ratio = [s / max(n, 1) for s, n in zip(page.sums(scores), blocks)]
+    links = page.sums([len(t) * s * v for t, s, v in zip(page.texts, page.links, live)])
+    marked = [x.mark or x.box or x.talk for x in page.nodes]
     in_article = page.inherited(lambda x: x.tag == "article")
-    best = max((x for x in page.nodes if x.tag == "article" and weight[x.at]), key=lambda x: weight[x.at], default=None)
-    needed = page.sums([0] * len(page.owners))
-    for x in page.nodes:
-        if not gone[x.at] and length[x.at] and (x.main and x.tag != "article" or x is best):
-            needed[x.at] = 1
+    articles = [x for x in page.nodes if x.tag == "article" and weight[x.at]]
+    cores = {x.at for x in page.nodes if x.main and x.tag != "article" and length[x.at]}
+    if articles:
+        cores.add(max(articles, key=lambda x: weight[x.at]).at)
+    if not cores:
+        beside = page.inherited(lambda x: marked[x.at])
+        plain = _content(page, [on and not beside[o.at] for on, o in zip(live, page.owners)])
+        if any(plain):
+            cores = {_deepest(page, plain).at}
+    inside = page.inherited(lambda x: x.at in cores)
+    needed = [x.at in cores for x in page.nodes]
     for x in reversed(page.nodes[1:]):
         needed[x.parent.at] = needed[x.parent.at] or needed[x.at]
+    has_core = any(x.main and length[x.at] for x in page.nodes)
+    richest = max((score for score, o in zip(scores, page.owners) if inside[o.at]), default=0.0)
+
+    beside = page.inherited(lambda x: marked[x.at])
+    leaves = [_leaf(o) for o in page.owners]
+    own = {leaf for leaf, o, c in zip(leaves, page.owners, content) if c and inside[o.at] and not beside[o.at]}
+    alike = page.sums([len(t) * (c and leaf in own) for t, c, leaf in zip(page.texts, content, leaves)])
 
     def left_out(x: Node) -> bool:
-        if x.hidden or x.tag in HARD:
+        if x.hidden or x.tag in HARD or talks[x.at]:
             return True
-        if not (x.mark or x.box) or needed[x.at] or x.tag == "article" and not in_article[x.parent.at]:
+        if not marked[x.at] or needed[x.at] or x.tag == "article" and not in_article[x.parent.at]:
             return False
-        return x.mark or fused[x.at] < least
+        if ratio[x.at] < SAME * least or links[x.at] > HOLD * max(length[x.at], 1):
+            return True
+        if x.mark and x.tag in ASIDE_TAGS and (has_core or weight[x.at] <= HOLD * weight[0]):
+            return True  # the tag itself says that it isn't the article
+        if inside[x.at]:
+            return alike[x.at] < HOLD * weight[x.at] or not weight[x.at]
+        return x.talk or has_core or ratio[x.at] < SAME * richest
 
-    out = page.inherited(left_out)
-    if any(x.main and length[x.at] and not out[x.at] for x in page.nodes):
-        return out
-    return page.inherited(lambda x: left_out(x) and (x.hidden or x.tag in HARD or weight[x.at] <= HOLD * weight[0]))
+    return page.inherited(left_out)
 
 
 def main_text(html: str | None) -> str:
     page = Page(html or "")
     aside = _asides(page)
     live = [not aside[o.at] for o in page.owners]
-    content, _ = _content(page, live)
+    content = _content(page, live)
     if not any(content):
         return ""
     weight = [len(t) * c for t, c in zip(page.texts, content)]
@@ -308,13 +388,7 @@ def main_text(html: str | None) -> str:
             top = outer[o.at]
             keep.append(on and top is not None and (in_article[o.at] or not own[top.at] or own[top.at] > inner[top.at]))
     else:
-        total = page.sums(content)
-        best = page.nodes[0]
-        for x in page.nodes:  # parents come first, so the deepest that holds all content is the last
-            if total[x.at] == total[0]:
-                best = x
-        while best.parent is not None and (best.tag in INLINE or best.tag == "p" or best.tag in HEADINGS):
-            best = best.parent
+        total, best = page.sums(content), _deepest(page, content)
         size, links = page.sums([len(t) * v for t, v in zip(page.texts, live)]), page.sums([len(t) * s * v for t, s, v in zip(page.texts, page.links, live)])
         lists = page.inherited(lambda x: x.tag not in INLINE and not total[x.at] and links[x.at] > HOLD * size[x.at])
         within = page.inherited(lambda x: x is best)

@@ -180,6 +180,7 @@ class _Tree:
 
         tree = self
         self.blocks, self.stack, self.raw, self.text = [], [{"tag": "", "attrs": {}, "up": None}], 0, []
+        self.nodes = list(self.stack)
 
         class Parser(HTMLParser):
             def handle_starttag(self, tag, attrs):
@@ -194,6 +195,7 @@ class _Tree:
                     if attrs:
                         tree.flush()
                     tree.stack.append({"tag": tag, "attrs": dict(attrs), "up": tree.stack[-1]})
+                    tree.nodes.append(tree.stack[-1])
                 else:
                     tree.flush()
 
@@ -253,43 +255,76 @@ def op10(page, scored=True):
         for k in range(len(live) - 2, -1, -1):
             if picked[k + 1] and any(x["tag"] in ("h1", "h2") for x in chain(live[k][1])):
                 picked[k] = True
-        return [b for b, p in zip(live, picked) if p], least
+        return [b for b, p in zip(live, picked) if p], least, {id(b): f for b, f in zip(live, fused)}
 
-    hard = lambda x: x["tag"] in ("nav", "footer", "menu")
-    live = [b for b in blocks if not any(map(hard, chain(b[1])))]
-    content, least = choose(live)
+    words = lambda x: set(re.findall("[a-z]+", " ".join(v or "" for k, v in x["attrs"].items() if k in ("class", "id"))))
+    talk = lambda x: bool(words(x) & {"comment", "comments", "reply"})
+    inner = lambda x: [y for y in tree.nodes if y is not x and any(z is x for z in chain(y))]
     under = lambda x, those: [b for b in those if any(y is x for y in chain(b[1]))]
     length = lambda those: sum(len(b[0]) for b in those)
-    articles = {id(x): x for b in live for x in chain(b[1]) if x["tag"] == "article"}
-    best = max((x for x in articles.values() if under(x, content)), key=lambda x: length(under(x, content)), default=None)
+    hard = lambda x: x["tag"] in ("nav", "footer", "menu")
+    live = [b for b in blocks if not any(map(hard, chain(b[1])))]
 
-    def aside(x, spare):
-        words = set(re.findall("[a-z]+", " ".join(v or "" for v in x["attrs"].values())))
-        mark = x["tag"] in ("aside", "form", "nav", "footer", "menu") or words & {"ad", "sidebar", "comments", "menu", "footer", "cookie"}
-        box = words & {"related", "share", "promo", "notice"}
-        mine = under(x, live)
-        if hard(x):
-            return True
-        if not (mark or box) or spare and 2 * length(under(x, content)) > length(content) or best is not None and any(y is x for b in under(best, live) for y in chain(best)):
+    def comments(x):
+        """An element with a word of comments that has like units inside, or such a word again."""
+        if not talk(x):
             return False
-        if x["tag"] == "article" and not any(y["tag"] == "article" for y in chain(x)[:-1]):
+        if any(talk(y) for y in inner(x)):
+            return True
+        kinds = defaultdict(list)
+        for y in inner(x):
+            if y["tag"] in ("div", "li", "article", "section") and under(y, live):
+                kinds[id(y["up"]), y["tag"], " ".join(re.findall("[a-z]+", y["attrs"].get("class") or ""))].append(y)
+        return any(len(v) > 1 for v in kinds.values())
+
+    chatter = {id(x) for x in tree.nodes if comments(x)}
+    live = [b for b in live if not any(id(x) in chatter for x in chain(b[1]))]
+    content, least, scores = choose(live)
+    marked = lambda x: bool(x["tag"] in ("aside", "form", "nav", "footer", "menu") or words(x) & {"ad", "sidebar", "menu", "footer", "cookie", "related", "share", "promo", "notice"} or talk(x))
+    deepest = lambda those: [x for x in chain(those[0][1]) if all(any(x is y for y in chain(b[1])) for b in those)][-1]
+
+    def block_of(x):
+        while x["up"] is not None and x["tag"] in {*_Tree.INLINE, "p", "h1", "h2"}:
+            x = x["up"]
+        return x
+
+    articles = [x for x in tree.nodes if x["tag"] == "article" and under(x, content)]
+    core = max(articles, key=lambda x: length(under(x, content)), default=None)
+    named = any(x["tag"] == "article" and under(x, live) for x in tree.nodes)
+    if core is None:
+        plain = choose([b for b in live if not any(map(marked, chain(b[1])))])[0]
+        core = block_of(deepest(plain)) if plain else None
+    ratio = lambda x: sum(scores[id(b)] for b in under(x, live)) / max(1, len(under(x, live)))
+    richest = max((scores[id(b)] for b in under(core, live)), default=0) if core is not None else 0
+
+    leaf = lambda b: [y["tag"] for y in chain(b[1]) if y["tag"] not in _Tree.INLINE][-1]
+    own = {leaf(b) for b in under(core, content) if not any(map(marked, chain(b[1])))} if core is not None else set()
+
+    def aside(x):
+        if hard(x) or id(x) in chatter:
+            return True
+        if not marked(x) or core is not None and any(y is x for y in chain(core)) or x["tag"] == "article" and not any(y["tag"] == "article" for y in chain(x)[:-1]):
             return False
-        return bool(mark) or not mine or length(mine) / len(mine) * (1 + sum(punct(b[0]) for b in mine) / len(mine)) < least
+        mine = under(x, live)
+        if not mine or ratio(x) < (1 - 1e-9) * least or 2 * sum(len(b[0]) * b[2] for b in mine) > length(mine):
+            return True
+        if x["tag"] in ("aside", "form") and (named or 2 * length(under(x, content)) <= length(content)):
+            return True
+        if core is not None and any(y is core for y in chain(x)):
+            said = under(x, content)
+            return not said or 2 * length([b for b in said if leaf(b) in own]) < length(said)
+        return talk(x) or named or ratio(x) < (1 - 1e-9) * richest
 
-    left = [b for b in blocks if not any(aside(x, False) for x in chain(b[1]))]
-    if not any(x["tag"] == "article" for b in left for x in chain(b[1])):
-        left = [b for b in blocks if not any(aside(x, True) for x in chain(b[1]))]
+    left = [b for b in blocks if not any(aside(x) for x in chain(b[1]))]
     live = left
-    content, _ = choose(live)
+    content = choose(live)[0]
     if not content:
         return ""
     inside = [b for b in live if any(x["tag"] == "article" for x in chain(b[1]))]
     held = [b for b in content if any(b is y for y in inside)]
     if held and 2 * length(held) >= length(content):
         return " ".join(b[0] for b in inside)
-    common = [x for x in chain(content[0][1]) if all(any(x is y for y in chain(b[1])) for b in content)][-1]
-    while common["up"] is not None and common["tag"] in {*_Tree.INLINE, "p", "h1", "h2"}:
-        common = common["up"]
+    common = block_of(deepest(content))
 
     def links(x):
         mine = under(x, live)

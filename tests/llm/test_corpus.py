@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -609,6 +610,31 @@ def test_html_marks_and_boxes():
     assert html_extract.main_text(f"<article>{LONG}<section class='related'><h2>Related</h2><ul><li><a>One</a><li><a>Two</a></ul></section></article>") == STORY
 
 
+@pytest.mark.parametrize("section", ["section id='copyright'", "section id='login'", "section id='menu'", "div class='reply-rate'", "div class='comment'"])
+def test_html_marks_inside_an_article_only_propose(section):
+    page = f"<article>{LONG}<{section}>{LONG}</{section.split()[0]}></article>"
+    assert html_extract.main_text(page) == f"{STORY} {STORY}"
+    assert html_extract.main_text(page.replace("article>", "div>")) == f"{STORY} {STORY}"
+
+
+def test_html_comments_go_whatever_they_weigh():
+    units = "".join(f"<div class='comment'>{LONG}</div>" for _ in range(6))
+    for box in (f"<div id='comments'>{units}</div>", f"<ul class='commentlist'>{units.replace('div', 'li')}</ul>", f"<section class='discussion'><div>{units.replace('comment', 'c1')}</div></section>"):
+        assert html_extract.main_text(f"<div id='post'>{LONG}</div>{box}") == STORY
+        assert html_extract.main_text(f"<article>{LONG}{box}</article>") == STORY
+
+
+def test_html_ratios_decide(monkeypatch, sf_dir):
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = [re.sub(r"<(/?)(?:article|main)\b", r"<\1div", x or "") for x in pq.read_table(f"{sf_dir}/pages.parquet").column("html").to_pylist()]
+    scored = [html_extract.main_text(x) for x in pages]
+    monkeypatch.setattr(html_extract, "path_scores", lambda paths, texts: np.ones(len(paths)))
+    assert sum(html_extract.main_text(x) != y for x, y in zip(pages, scored)) * 10 >= len(pages)
+
+
 def test_html_is_linear_in_depth_and_strays():
     import time
 
@@ -650,6 +676,57 @@ def test_language_id_against_plain_scorer(spark):
         assert one[:2] == other[:2] and abs(one[2] - other[2]) < 1e-5 and one[3] == other[3]
 
 
+def test_lines_that_runs_settle_add_nothing(spark, monkeypatch):
+    line = "A line that is long enough to count, and stands in many documents."
+    rows = [(100 + k, f"{line}\nown text {k}, which is also long enough to be counted as one") for k in range(6)]
+    runs = line_dedup.LineRuns(spark, fanout=9)
+    runs.add(docs_of(spark, rows))
+    runs.add(docs_of(spark, [(k, line) for k in range(8)]))  # earlier documents: the line is settled
+    assert [r.count() for r in runs.levels[0]] == [7, 0]
+    runs.add(docs_of(spark, [(500, line)]))
+    assert [r.count() for r in runs.levels[0]] == [7, 0, 1]
+    runs.close()
+    before = {t.name for t in spark.catalog.listTables()}
+
+    def fails(self, docs):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(line_dedup.LineRuns, "apply", fails)
+    with pytest.raises(RuntimeError):
+        line_dedup.dedup_lines(docs_of(spark, rows))
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_language_scores_by_steps(monkeypatch):
+    rng = np.random.default_rng(3)
+    labels = [f"l{k}" for k in range(200)]
+    model = langid.Model(labels, rng.normal(size=((len(langid.ORDERS) << langid.BITS) + 1, 200)).astype(np.float32), rng.normal(size=200))
+    model.table[-1] = 0
+    texts = [b"", b"a", b"ab", "été naïve".encode(), rng.integers(32, 250, 30_000).astype(np.uint8).tobytes(), b"", b"xyz", rng.integers(97, 123, 9000).astype(np.uint8).tobytes()]
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    got = model.logits(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    for t, row in zip(texts, got):
+        ids = np.concatenate(langid.subwords(np.frombuffer(t, np.uint8)))
+        want = model.table[ids].astype(float).sum(axis=0) / max(1, len(ids)) + model.bias
+        np.testing.assert_allclose(row, want, atol=1e-5)
+    monkeypatch.setattr(langid, "_CELLS", 1)
+    np.testing.assert_allclose(model.logits(np.frombuffer(b"".join(texts), np.uint8), offsets), got, atol=1e-6)
+    assert langid._has_letter(b" " * 63 + "é".encode()) and langid._has_letter(b"1" * 70_000 + "Ж".encode()) and not langid._has_letter(b"1 " * 70_000)
+
+
+def test_language_model_is_small_for_long_texts():
+    import tracemalloc
+
+    labels = [f"l{k}" for k in range(200)]
+    model = langid.Model(labels, np.zeros(((len(langid.ORDERS) << langid.BITS) + 1, 200), np.float32), np.zeros(200))
+    text = pa.array(["abc def " * 500_000])  # 4 MB
+    tracemalloc.start()
+    names, _, _ = langid._judge(model, text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert names == ["l0"] and peak < 150 << 20
+
+
 def test_language_sample_keeps_its_bounds(spark):
     rows = [(k, f"text {k} " * 50, "en" if k % 2 else "de", 1, 1, 1, 0.0, "", 1, "", 1) for k in range(400)]
     docs = spark.createDataFrame(rows, SCHEMA)

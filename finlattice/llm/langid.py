@@ -8,7 +8,7 @@ Only text and lang are learnt from; only text is predicted from.
 
 Defined cases: null text or text without a letter is `und` with score 0 and rejected; rows without lang, text or doc_id
 aren't learnt from; without any labelled row everything is `und` and nothing is rejected; a
-model that labels no calibration text right has threshold 0; repeated rows give repeated
+model that labels no calibration text right has threshold 0; texts of any length are scored in steps of bounded memory; repeated rows give repeated
 rows; an empty table gives no rows; columns other than doc_id, text and lang are ignored.
 """
 
@@ -33,6 +33,8 @@ REJECT = 0.001
 #: The threshold is at most this many times the score of a guess: texts of several languages aren't rejected for it.
 CHANCE = 1.4
 _PIECE = 1 << 20
+#: Numbers in a table of a row for each byte and a column for each label.
+_CELLS = 4 << 20
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint8)
 
 
@@ -60,15 +62,22 @@ class Model:
         """Scores of each document (rows of whole texts laid end to end)."""
         size = np.diff(offsets)
         out = np.zeros((len(size), len(self.labels)))
-        full = np.flatnonzero(size)
-        if len(full):
-            rows = np.zeros((len(data), len(self.labels)), np.float32)
-            for n, ids in zip(ORDERS, subwords(data)):
-                ids = np.append(ids, np.full(min(n - 1, len(data)), len(self.table) - 1, np.int32))[: len(data)]
+        none, most = len(self.table) - 1, max(ORDERS)
+        step = max(1 << 12, _CELLS // max(1, len(self.labels)))  # bytes whose rows are held at once
+        for a in range(0, len(data), step):
+            b = min(len(data), a + step)
+            first, last = int(np.searchsorted(offsets, a, side="right")) - 1, int(np.searchsorted(offsets, b, side="left"))
+            edges = np.clip(offsets[first : last + 1], a, b) - a
+            full = np.flatnonzero(np.diff(edges))
+            rows = np.zeros((b - a, len(self.labels)), np.float32)
+            for n, ids in zip(ORDERS, subwords(data[a : b + most - 1])):
+                ids = np.append(ids[: b - a], np.full(max(0, b - a - len(ids)), none, np.int32))
+                ends = offsets[(offsets > a) & (offsets < b + n)]
                 for j in range(1, n):  # subwords don't cross into the next document
-                    ids[(offsets[1:][full] - j)[size[full] >= j]] = len(self.table) - 1
+                    at = ends - j - a
+                    ids[at[(at >= 0) & (at < b - a)]] = none
                 rows += self.table[ids]
-            out[full] = np.add.reduceat(rows, offsets[:-1][full], axis=0, dtype=np.float64)
+            out[first:last][full] += np.add.reduceat(rows, edges[:-1][full], axis=0, dtype=np.float64)
         count = sum(np.maximum(size - n + 1, 0) for n in ORDERS)
         return out / np.maximum(count, 1)[:, None] + self.bias
 
@@ -167,6 +176,18 @@ def sample(docs: DataFrame, rows: int = SAMPLE, most_bytes: int = SAMPLE_BYTES)
     return [(r[0], r[1]) for r in picked.select("lang", "text").collect()]
 
 
+def _has_letter(text: bytes) -> bool:
+    at, step = 0, 64
+    while at < len(text):
+        stop = min(len(text), at + step)
+        while stop < len(text) and text[stop] & 0xC0 == 0x80:  # not inside a character
+            stop += 1
+        if any(c.isalpha() for c in text[at:stop].decode("utf-8", "replace")):
+            return True
+        at, step = stop, 1 << 16
+    return False
+
+
 def _judge(m: Model, text: pa.Array) -> tuple[list[str], list[float], list[bool]]:
     """Label, score and acceptance of each text."""
     data, offsets = common.utf8(text)
@@ -180,7 +201,7 @@ def _judge(m: Model, text: pa.Array) -> tuple[list[str], list[float], list[bool]
         best, p = m.scores(m.logits(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]))
         for k in range(hi - lo):
             mine = raw[offsets[lo + k] : offsets[lo + k + 1]]
-            letters = any(c.isalpha() for c in mine[:64].decode("utf-8", "ignore")) or any(c.isalpha() for c in mine.decode("utf-8", "replace"))
+            letters = _has_letter(mine)
             names.append(m.labels[best[k]] if letters else "und")
             scores.append(float(p[k]) if letters else 0.0)
     return names, scores, [not m.labels or n != "und" and s >= m.threshold for n, s in zip(names, scores)]

@@ -1,9 +1,10 @@
 """Line dedup over levelled sorted runs of line hashes, in DataFrame operations only.
 
 A run is a table of (h1, h2, n_docs, last_doc), bucketed and sorted by the 128-bit hash of the line key, so merges and
-anti-joins of runs move nothing between executors. Each batch of documents is merge-anti-joined with the runs: keys that a
-run already settles (frequent, with a later document) add nothing and go; the rest is the batch's own run on level 0. When
-a level has FANOUT runs they are compacted into one of the next. In the end lines go whose key is frequent and whose
+anti-joins of runs move nothing between executors. Every batch is counted by itself, in a partition of its own with the same
+buckets. Each in turn is merge-anti-joined with the runs: keys that a run already settles (frequent, with a later document)
+add nothing and go; the rest is the batch's own run on level 0. When a level has FANOUT runs they are compacted into one of
+the next. What all batches know together is only ever in the runs. In the end lines go whose key is frequent and whose
 document isn't the last that holds it.
 
 Documents are read once for the hashes of all batches, once for the lines that go, and once to cut these out, by a join on
@@ -57,11 +58,10 @@ class LineRuns:
 
     def add_batches(self, docs: DataFrame, batch: Column, n: int) -> None:
         """Add the batches 0 to n - 1 of docs, one after the other; the documents are read once for all."""
-        mine = lambda k, c: F.when(F.col("batch") == k, c)
-        counts = [F.count(mine(k, F.lit(1))).alias(f"n_{k}") for k in range(n)] + [F.max(mine(k, F.col("doc_id"))).alias(f"last_{k}") for k in range(n)]
-        stats = self._stored(self.lines(docs, batch).groupBy("h1", "h2").agg(*counts), "line-stats")
+        counts = [F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc")]
+        stats = self._stored(self.lines(docs, batch.cast("int")).groupBy("batch", "h1", "h2").agg(*counts), "line-stats", "batch")
         for k in range(n):
-            self._add(stats.where(F.col(f"n_{k}") > 0).select("h1", "h2", F.col(f"n_{k}").alias("n_docs"), F.col(f"last_{k}").alias("last_doc")))
+            self._add(stats.where(F.col("batch") == k).select("h1", "h2", "n_docs", "last_doc"))
 
     def _add(self, stats: DataFrame) -> None:
         for run in [r for level in self.levels for r in level]:
@@ -70,13 +70,14 @@ class LineRuns:
             stats = stats.join(old.hint("merge"), settled, "left_anti")
         self._put(0, stats)
 
-    def _stored(self, rows: DataFrame, name: str) -> DataFrame:
-        """rows as a table in as many buckets as shuffles have partitions, sorted by the hash."""
+    def _stored(self, rows: DataFrame, name: str, part: str | None = None) -> DataFrame:
+        """rows as a table in as many buckets as shuffles have partitions, sorted by the hash; with part, partitioned by it."""
         path = common.scratch_path(self.spark, name)
         label = path.rsplit("/", 1)[1].replace("-", "_")
-        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(label)
         self._tables.append(label)
         self._paths.append(path)
+        writer = rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path)
+        (writer.partitionBy(part) if part else writer).saveAsTable(label)
         return self.spark.table(label)
 
     def _put(self, level: int, stats: DataFrame) -> None:
@@ -142,10 +143,11 @@ def dedup_lines(docs: DataFrame, batch: Column | None = None, n: int = BATCHES,
 
 def _dedup_lines(docs: DataFrame, batch: Column | None, n: int, fanout: int) -> DataFrame:
     runs = LineRuns(docs.sparkSession, fanout)
-    runs.add_batches(docs, F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(n)) if batch is None else batch, n)
-    out = runs.apply(docs)
-    runs.close()
-    return out
+    try:
+        runs.add_batches(docs, F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(n)) if batch is None else batch, n)
+        return runs.apply(docs)
+    finally:
+        runs.close()
 
 
 def cleaned(applied: DataFrame) -> DataFrame:

@@ -203,7 +203,8 @@ class VectorIndex:
         probed = asked.where("question_id is not null").mapInArrow(probe, "question_id long, cell int, unit binary")
         cells = sorted(r[0] for r in probed.select("cell").distinct().collect())  # MOST_CELLS at most
         points = self.spark.read.parquet(f"{self.path}/points").where(F.col("cell").isin(cells))
-        codes = _by_cell(points.select("point_id", "cell", "code"), "point_id", "code")
+        few = points.select("point_id", "cell", "code").coalesce(2 * self.spark.sparkContext.defaultParallelism)  # a task keeps its best of each question, however much it reads
+        codes = _by_cell(few, "point_id", "code")
         packed = _by_cell(probed.repartition("cell"), "question_id", "unit").withColumnsRenamed({"ids": "q_ids", "code": "q_unit"})
         small = questions.count() * probes * dim * 8 <= ROUND_BYTES
         both = codes.join(F.broadcast(packed) if small else packed, "cell")

@@ -183,6 +183,7 @@ _RAW = {
     "graph_path_pattern": """WITH p AS (SELECT 'supplier ' || a.s_suppkey AS start, 'supplier ' || a.s_suppkey || '|' || m.n_name || '|' || r_name || '|' || n.n_name || '|supplier ' || b.s_suppkey AS nodes, n.n_name AS x, 'supplier ' || b.s_suppkey AS y
             FROM supplier a JOIN nation m ON a.s_nationkey = m.n_nationkey JOIN region ON m.n_regionkey = r_regionkey JOIN nation n ON n.n_regionkey = r_regionkey AND n.n_nationkey <> m.n_nationkey JOIN supplier b ON b.s_nationkey = n.n_nationkey)
         SELECT start, nodes, 'LOCATED_IN|PART_OF|PART_OF|LOCATED_IN' AS types FROM p QUALIFY row_number() OVER (PARTITION BY start ORDER BY x, y) <= 3""",
+    "detected_tables": """SELECT doc_id, 1 AS page, 0 AS table_no, md5('| Order | Priority | Total |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || k || ' | ' || substr(p, 1, 1) || ' ' || substr(p, 3) || ' | ' || CASE WHEN r % 5 = 0 THEN '' ELSE t END || ' |', chr(10) ORDER BY r)) AS markdown_md5, CAST(count(*) AS INT) AS num_rows, 3 AS num_cols FROM order_rows GROUP BY doc_id""",
     "store_points": """WITH e AS (SELECT CAST(vec_id AS BIGINT) AS p, CAST(label AS VARCHAR) AS ticker, embedding[1] AS x FROM embeddings WHERE embedding IS NOT NULL),
         a AS (SELECT p AS point_id, 1 AS o, 'first' AS text, ticker, x FROM e UNION ALL SELECT 2 * p, 2, 'second', ticker, x FROM e UNION ALL SELECT 3 * p, 3, 'third', ticker, x FROM e)
         SELECT point_id, text, ticker, round(x::FLOAT::DOUBLE, 5) AS first_value FROM a QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY o DESC) = 1""",

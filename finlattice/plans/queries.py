@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, claims, feedback, graph, metrics, retrieval, routing, scoping, tables
+from ..operators import chunking, claims, feedback, graph, grids, metrics, retrieval, routing, scoping, tables
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
 from ..session import cut, new_path
@@ -304,6 +304,13 @@ def grid_tables(s: SparkSession, d: str) -> DataFrame:
     return tables.grids(_grids(s, d)).select("doc_id", "table_no", "markdown", "num_rows", "num_cols", F.col("bbox.y2").alias("height"))
 
 
+def detected_tables(s: SparkSession, d: str) -> DataFrame:
+    """Tables found from the words of pages: a customer's orders below a line of prose, and a page without a table."""
+    words = V(s, d, "page_words").select("doc_id", "page", *[F.col(c).cast("double").alias(c) for c in ("x0", "top", "x1", "bottom")], "text", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"))
+    found = tables.grids(grids.detect(words))
+    return found.select("doc_id", F.col("page").cast("int").alias("page"), F.col("table_no").cast("int").alias("table_no"), F.md5("markdown").alias("markdown_md5"), "num_rows", "num_cols")
+
+
 def model_tables(s: SparkSession, d: str) -> DataFrame:
     out = tables.parse_response(V(s, d, "responses"))
     return out.select("doc_id", "table_id", "markdown", _joined("headers").alias("headers"), "num_rows", "num_cols", "confidence")
@@ -445,5 +452,5 @@ QUERIES = {f.__name__: f for f in (
     method_distribution, type_distribution, verification_totals, faithfulness, extractions, document_extractions, dense_top_k, scoped_search, upsert_points, lexical_top_k, lexical_idf_top_k,
     hybrid_search, weighted_hybrid_search, rerank, diverse_top_k, table_blocks, table_description, grid_tables, model_tables, table_retrieval, source_cascade, token_chunks, char_chunks,
     hybrid_rerank, hybrid_rerank_diverse, ticker_hybrid_search, answer_payload, answer_claims, strategy_contexts, told_claims, told_answers, semantic_claims, verifier_checks, verifier_totals, e2e_summary,
-    graph_questions, odd_tables, graph_input_chunks, text_splits, graph_nodes, graph_relationships, graph_mentions, graph_neighbours, graph_two_hops, graph_reachable, feedback_success, adaptive_thresholds, metric_drift, document_scope, document_scoped_search, answer_questions, vector_index_top_k, text_index_top_k, text_index_idf_top_k, store_points, repaired_nodes, repaired_relationships, graph_paths, graph_path_pattern,
+    graph_questions, odd_tables, graph_input_chunks, text_splits, graph_nodes, graph_relationships, graph_mentions, graph_neighbours, graph_two_hops, graph_reachable, feedback_success, adaptive_thresholds, metric_drift, document_scope, document_scoped_search, answer_questions, vector_index_top_k, text_index_top_k, text_index_idf_top_k, store_points, repaired_nodes, repaired_relationships, graph_paths, graph_path_pattern, detected_tables,
 )}

@@ -75,6 +75,14 @@ VIEWS = {
             WHEN 4 THEN concat('{"nodes":[{"id":"S', CAST(s_suppkey AS STRING), '","type":"Supplier')
             WHEN 5 THEN 'nothing [of use'
             ELSE concat('{"nodes":[{"id":"S', CAST(s_suppkey AS STRING), '","type":"Supplier"}]}') END AS json FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+    "order_rows": """SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, CAST(o_orderkey AS STRING) AS k, o_orderpriority AS p, CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) AS t FROM orders""",
+    "page_words": """SELECT doc_id, 1 AS page, 50.0 AS x0, 100.0 + 14 * r AS top, 50.0 + 6 * length(k) AS x1, 110.0 + 14 * r AS bottom, k AS text FROM order_rows
+        UNION ALL SELECT doc_id, 1, 200.0 + r % 3, 101.0 + 14 * r, 205.0, 109.0 + 14 * r, substr(p, 1, 1) FROM order_rows
+        UNION ALL SELECT doc_id, 1, 209.0, 100.0 + 14 * r, 260.0, 110.0 + 14 * r, substr(p, 3) FROM order_rows
+        UNION ALL SELECT doc_id, 1, 400.0 - 6 * length(t), 99.0 + 14 * r, 400.0, 110.0 + 14 * r, t FROM order_rows WHERE r % 5 <> 0
+        UNION ALL SELECT doc_id, 1, x, 100.0, x + 40, 110.0, w FROM order_rows CROSS JOIN (VALUES (50.0, 'Order'), (200.0, 'Priority'), (360.0, 'Total')) v(x, w) WHERE r = 1
+        UNION ALL SELECT doc_id, 1, x, 50.0, x + 95, 60.0, w FROM order_rows CROSS JOIN (VALUES (50.0, 'Orders'), (150.0, 'of'), (250.0, 'one'), (350.0, 'customer')) v(x, w) WHERE r = 1
+        UNION ALL SELECT doc_id, 2, 50.0, 50.0 + 14 * r, 70.0, 60.0 + 14 * r, 'Prose' FROM order_rows""",
     "responses": """SELECT doc_id, 1 AS page, concat('```markdown', chr(10), markdown, chr(10), '```', chr(10), '---TABLE BREAK---', chr(10), 'NO TABLES FOUND', chr(10), '---TABLE BREAK---', chr(10), '| x |', chr(10), '---TABLE BREAK---', chr(10), 'nothing') AS response FROM md_tables""",
     "statements": """SELECT answer_id AS doc_id, concat('Confidence: 0.', CAST(v AS STRING), ' for ', CAST(k AS STRING), ' percent [', CAST(k AS STRING), ', ', CAST(y AS STRING), '] in Q', CAST(v + 1 AS STRING), ' ', CAST(y AS STRING), ' or $', CAST(k AS STRING), ',500.5M and ', CAST(v AS STRING), '.5%') AS text FROM facts""",
 }

@@ -370,6 +370,44 @@ def test_order_statistic_by_counting(spark, monkeypatch):
     assert metrics.order_statistic(rows.where("false"), "v", "g", 0.5).count() == 0
 
 
+def planted_page(rng, rows, columns):
+    """Words of a table of random cells below and above prose, and its grid."""
+    grid = [[" ".join("w" * rng.randrange(1, 6) for _ in range(rng.randrange(1, 3))) if r in (0, rows - 1) or c == 0 or rng.random() < 0.8 else "" for c in range(columns)] for r in range(rows)]
+    words, at = [], 100.0
+    for text_line in range(3):
+        words += [(50 + 45.0 * k, 20 + 12.0 * text_line, 92 + 45.0 * k, 30 + 12.0 * text_line, "prose") for k in range(10)]
+    for row in grid:
+        for c, cell in enumerate(row):
+            x = 50 + 120.0 * c + rng.random() * 3
+            for word in cell.split():
+                words.append((x, at + rng.random(), x + 6 * len(word), at + 10, word))
+                x += 6 * len(word) + 4
+        at += 13
+    words += [(50 + 45.0 * k, at + 40, 92 + 45.0 * k, at + 50, "after") for k in range(10)]
+    rng.shuffle(words)
+    return words, grid
+
+
+def test_tables_from_words(spark):
+    import random
+
+    from finlattice.operators import grids
+
+    rng = random.Random(8)
+    pages = {}
+    for k in range(40):
+        rows, columns = rng.randrange(2, 8), rng.randrange(2, 5)
+        pages[k] = planted_page(rng, rows, columns)
+    rows = [(k, 1, *w, 600.0, 800.0) for k, (words, _) in pages.items() for w in words]
+    rows += [(100, 1, 1.0, 1.0, 5.0, 9.0, None, 600.0, 800.0), (101, 1, None, 1.0, 5.0, 9.0, "x", 600.0, 800.0), (102, 3, 1.0, 1.0, 5.0, 9.0, "lone", 600.0, 800.0)]
+    frame = spark.createDataFrame(rows, "doc_id int, page int, x0 double, top double, x1 double, bottom double, text string, page_width double, page_height double")
+    got = {}
+    for r in grids.detect(frame).collect():
+        got.setdefault(r.doc_id, []).append(r.grid)
+    assert got == {k: [grid] for k, (_, grid) in pages.items()}
+    assert grids.detect(frame.where("false")).count() == 0
+
+
 def test_path_patterns(spark):
     edges = [("a", "b", "R"), ("b", "c", "R"), ("c", "a", "R"), ("c", "d", "S"), ("b", "d", "S")]
     e = spark.createDataFrame([(s, "N", t, "M" if t == "d" else "N", y) for s, t, y in edges], "src string, src_type string, dst string, dst_type string, type string")
@@ -392,6 +430,54 @@ def test_dispatch_evaluates_a_routing_once(spark, sf_dir):
     assert plan.count("RLIKE") + plan.count("rlike") <= alone.count("RLIKE") + alone.count("rlike")
 
 
+def clustered(rng, n, dim=16):
+    centres = rng.normal(size=(12, dim))
+    return [(k, (centres[k % 12] + 0.4 * rng.normal(size=dim)).tolist()) for k in range(n)]
+
+
+def test_vector_index_recall_and_pruning(spark, tmp_path):
+    from finlattice.operators.vector_index import VectorIndex, recall
+
+    rng = np.random.default_rng(4)
+    rows = clustered(rng, 1500) + [(5000, None), (5001, [0.0] * 16), (5002, [1.0] * 3), (5003, [float("nan")] * 16)]
+    points = spark.createDataFrame(rows, "point_id long, dense array<double>").repartition(3)
+    asked = spark.createDataFrame([(k, v) for k, v in rows if k % 50 == 0 and k < 1500] + [(9001, [1.0] * 3), (9002, None)], "question_id long, embedding array<double>")
+    index = VectorIndex(spark, str(tmp_path / "index"))
+    index.build(points, 16)
+    assert 1 <= index.calibrate(points, 20) <= 39
+    exact = retrieval.dense_top_k(asked.where("question_id < 9000"), points, 20)
+    found = index.search(asked, 20)
+    assert found.where("question_id > 9000 or point_id >= 5000").count() == 0
+    assert recall(found, exact).agg(F.avg("recall")).first()[0] >= 0.95
+    everything = index.search(asked, 20, probes=1000, shortlist=1000)
+    assert sorted(map(tuple, everything.select("question_id", "point_id", "score", "rank").collect())) == sorted(map(tuple, exact.select("question_id", "point_id", "score", "rank").collect()))
+    plan = index.search(asked.where("question_id = 0"), 20, probes=2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell" in plan
+
+
+def test_text_index_equals_scan_and_skips_ranges(spark, tmp_path, monkeypatch):
+    import random
+
+    from finlattice.operators import text_index
+
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(200)]
+    weights = [1 / (k + 1) for k in range(200)]
+    docs = [(k, " ".join(rng.choices(vocabulary, weights, k=rng.choice([3, 10, 40, 200])))) for k in range(600)] + [(1000, None), (1001, ""), (1002, "--"), (1003, "Rare rare RARE w1")]
+    asked = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 6])))) for k in range(30)] + [(100, "rare"), (101, None), (102, "unknown")]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "question_id long, text string")
+    monkeypatch.setattr(text_index, "RANGE", 16)
+    index = text_index.TextIndex(spark, str(tmp_path / "index"))
+    index.build(d)
+    rows = lambda df: sorted(map(tuple, df.select("question_id", "rank", "point_id", "score").collect()))
+    for idf in (False, True):
+        assert rows(index.search(q, 5, idf)) == rows(retrieval.lexical_top_k(q, d, 5, use_idf=idf))
+    found = index.search(q, 5)
+    least = found.where("rank = 5").select("question_id", F.col("score").alias("least"))
+    bounds = index.plan(q)[2]
+    assert index.remaining(bounds, least).count() < 0.7 * bounds.count()
+
+
 def test_scope_by_section(spark):
     from finlattice.operators import scoping
 

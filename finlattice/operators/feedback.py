@@ -19,7 +19,7 @@ def numbered(feedback: DataFrame, time: str, tie: str) -> DataFrame:
     before = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)  # over hours, a small table
     shift = hours.select("_hour", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_hour").orderBy(time, tie))
-    return rows.join(shift, "_hour").withColumn("place", (F.col("_before") + rank).cast("int")).drop("_hour", "_before")
+    return rows.join(shift, "_hour").withColumn("place", (F.col("_before") + rank).cast("long")).drop("_hour", "_before")
 
 
 def success(feedback: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def thresholds(feedback: DataFrame, start: dict[str, float] | None = None) -> Da
     records of an intent its rate stands still, so each of its records stands for a number of equal steps: rows are kept
     per record, not per record and intent.
     """
-    placed = feedback.select("intent", F.col("place").cast("int").alias("place"), F.col("was_helpful").cast("int").alias("good")).withColumn("block", F.floor(F.col("place") / BLOCK))
+    placed = feedback.select("intent", F.col("place").cast("long").alias("place"), F.col("was_helpful").cast("int").alias("good")).withColumn("block", F.floor(F.col("place") / BLOCK))
     last = placed.agg(F.max("place").alias("last"))  # one row
     # counts run within blocks of places, and over the blocks of an intent, of which there are few
     order = Window.partitionBy("intent").orderBy("block")

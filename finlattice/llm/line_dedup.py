@@ -59,7 +59,8 @@ class LineRuns:
     def add_batches(self, docs: DataFrame, batch: Column, n: int) -> None:
         """Add the batches 0 to n - 1 of docs, one after the other; the documents are read once for all."""
         counts = [F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc")]
-        stats = self._stored(self.lines(docs, batch.cast("int")).groupBy("batch", "h1", "h2").agg(*counts), "line-stats", "batch")
+        stats = self.lines(docs, batch.cast("int")).groupBy("batch", "h1", "h2").agg(*counts)
+        stats = self._stored(stats.repartition(self.buckets, "h1", "h2"), "line-stats", "batch")  # counted first, then dealt as buckets are
         for k in range(n):
             self._add(stats.where(F.col("batch") == k).select("h1", "h2", "n_docs", "last_doc"))
 

@@ -232,6 +232,7 @@ _RAW = {
     "document_scope": """SELECT question_id, CAST(label AS VARCHAR) AS ticker, 2024 AS year, CASE WHEN question_id % 3 = 0 THEN '10-Q' ELSE '10-K' END AS type, question_id % 3 <> 0 AS known,
         CASE WHEN question_id % 3 <> 0 THEN 'income' ELSE '' END AS sections, CASE WHEN question_id % 3 <> 0 THEN 0.9 ELSE 0.3 END::DOUBLE AS confidence FROM vector_queries""",
     "document_scoped_search": f"WITH {_dense(5, '(v.question_id % 3 = 0 OR v.label = p.label)')} SELECT question_id, point_id, round(score, 6) AS score, rank FROM den",
+    "section_scoped_search": f"WITH {_dense(10, '(v.question_id % 3 = 0 OR v.label = p.label AND p.point_id % 3 = 1)')} SELECT question_id, point_id, round(score, 6) AS score, rank FROM den WHERE rank <= 5 OR question_id % 3 <> 0",
     "answer_questions": f"WITH {_ROUTED}, {_ANSWERED} SELECT question_id, intent, strategy, coalesce(answer, {q(C.REFUSAL)}) AS answer, coalesce(done.confidence, 0) AS confidence, coalesce(n_claims, 0) AS n_claims, coalesce(n_verified, 0) AS n_verified FROM routed LEFT JOIN done ON answer_id = question_id",
 }
 _TYPES = "('numerical', 'comparative', 'computational', 'temporal', 'entity', 'regulatory')"

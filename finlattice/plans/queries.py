@@ -440,6 +440,13 @@ def document_scoped_search(s: SparkSession, d: str) -> DataFrame:
     return scoping.scoped_top_k(_scoped(s, d), V(s, d, "vector_queries"), points).withColumn("score", F.round("score", 6))
 
 
+def section_scoped_search(s: SparkSession, d: str) -> DataFrame:
+    """Within a sure scope's sections twice as many as without, for a reranker; over all points where the scope is unsure."""
+    section = F.element_at(F.array(F.lit("risk"), F.lit("income"), F.lit("notes")), (F.pmod("point_id", F.lit(3)) + 1).cast("int"))
+    points = retrieval.upsert_latest(V(s, d, "points")).select("point_id", "dense", F.col("label").cast("string").alias("ticker"), section.alias("section"))
+    return scoping.scoped_top_k(_scoped(s, d), V(s, d, "vector_queries"), points, 5, within=10).withColumn("score", F.round("score", 6))
+
+
 def answer_questions(s: SparkSession, d: str) -> DataFrame:
     """Route, pick contexts by strategy, decompose a draft, verify, and answer from what was verified."""
     from .pipeline import answer
@@ -452,5 +459,5 @@ QUERIES = {f.__name__: f for f in (
     method_distribution, type_distribution, verification_totals, faithfulness, extractions, document_extractions, dense_top_k, scoped_search, upsert_points, lexical_top_k, lexical_idf_top_k,
     hybrid_search, weighted_hybrid_search, rerank, diverse_top_k, table_blocks, table_description, grid_tables, model_tables, table_retrieval, source_cascade, token_chunks, char_chunks,
     hybrid_rerank, hybrid_rerank_diverse, ticker_hybrid_search, answer_payload, answer_claims, strategy_contexts, told_claims, told_answers, semantic_claims, verifier_checks, verifier_totals, e2e_summary,
-    graph_questions, odd_tables, graph_input_chunks, text_splits, graph_nodes, graph_relationships, graph_mentions, graph_neighbours, graph_two_hops, graph_reachable, feedback_success, adaptive_thresholds, metric_drift, document_scope, document_scoped_search, answer_questions, vector_index_top_k, text_index_top_k, text_index_idf_top_k, store_points, repaired_nodes, repaired_relationships, graph_paths, graph_path_pattern, detected_tables,
+    graph_questions, odd_tables, graph_input_chunks, text_splits, graph_nodes, graph_relationships, graph_mentions, graph_neighbours, graph_two_hops, graph_reachable, feedback_success, adaptive_thresholds, metric_drift, document_scope, document_scoped_search, answer_questions, vector_index_top_k, text_index_top_k, text_index_idf_top_k, store_points, repaired_nodes, repaired_relationships, graph_paths, graph_path_pattern, detected_tables, section_scoped_search,
 )}

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: In heights of a line: how far words of one cell may stand apart, and rows of one table.
 CELL_GAP, ROW_GAP = 1.2, 2.5
+#: Pages whose tables are handed on at once.
+PAGES = 256
 
 Word = tuple[float, float, float, float, str]
 
@@ -92,15 +96,26 @@ def detect(words: DataFrame) -> DataFrame:
     """doc_id, page, grid_pos, grid, page_width, page_height and box for each table found.
 
     words: doc_id, page, x0, top, x1, bottom, text, page_width, page_height, tops counted downwards. A page's words are
-    worked on in one task; pages are dealt by document and page. Words without text or box don't count.
+    gathered in one row, and many pages go through Python together. Words without text or box don't count.
     """
-    wanted = ["doc_id", "page", "x0", "top", "x1", "bottom", "text", "page_width", "page_height"]
-    good = words.where("text is not null and x0 is not null and top is not null and x1 is not null and bottom is not null and trim(text) <> ''").select(*wanted)
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        first = page.iloc[0]
-        tables = tables_of(list(zip(*(page[c].tolist() for c in ("x0", "top", "x1", "bottom", "text")))))
-        return pd.DataFrame([(first.doc_id, first.page, k, grid, first.page_width, first.page_height, dict(zip(("x1", "y1", "x2", "y2"), box))) for k, (grid, box) in enumerate(tables)], columns=["doc_id", "page", "grid_pos", "grid", "page_width", "page_height", "box"])
+    good = words.where("text is not null and x0 is not null and top is not null and x1 is not null and bottom is not null and trim(text) <> ''")
+    word = F.struct(*[F.col(c).cast("double").alias(c) for c in ("x0", "top", "x1", "bottom")], F.col("text").cast("string").alias("text"))
+    pages = good.groupBy("doc_id", F.col("page").cast("int").alias("page")).agg(F.collect_list(word).alias("words"), *[F.first(c).cast("double").alias(c) for c in ("page_width", "page_height")])
+    fields = [("grid_pos", pa.int32()), ("grid", pa.list_(pa.list_(pa.string()))), ("page_width", pa.float64()), ("page_height", pa.float64()), ("box", pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")]))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([("doc_id", batch.schema.field("doc_id").type), ("page", pa.int32()), *fields])
+            listed = batch.column("words")
+            ends, every = listed.offsets.to_pylist(), listed.values
+            for at in range(0, batch.num_rows, PAGES):
+                told = batch.select(["doc_id", "page", "page_width", "page_height"]).slice(at, PAGES).to_pylist()
+                rows = []
+                for page, a, b in zip(told, ends[at:], ends[at + 1 :]):
+                    part = every.slice(a, b - a)
+                    found = tables_of(list(zip(*[part.field(c).to_pylist() for c in ("x0", "top", "x1", "bottom", "text")])))
+                    rows += [{**page, "grid_pos": k, "grid": grid, "box": dict(zip(("x1", "y1", "x2", "y2"), box))} for k, (grid, box) in enumerate(found)]
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     kind = words.schema["doc_id"].dataType.simpleString()
-    return good.groupBy("doc_id", "page").applyInPandas(run, f"doc_id {kind}, page int, grid_pos int, grid array<array<string>>, page_width double, page_height double, box struct<x1:double,y1:double,x2:double,y2:double>")
+    return pages.mapInArrow(run, f"doc_id {kind}, page int, grid_pos int, grid array<array<string>>, page_width double, page_height double, box struct<x1:double,y1:double,x2:double,y2:double>")

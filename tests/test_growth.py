@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from finlattice.operators import grids
+from finlattice.operators import grids, routing
+from finlattice.plans import queries
 
 
 def plan(df) -> str:
@@ -14,3 +15,8 @@ def test_detected_tables_gather_pages_in_rows(spark):
     found = grids.detect(spark.createDataFrame(words, "doc_id long, page int, x0 double, top double, x1 double, bottom double, text string, page_width double, page_height double"))
     assert sorted((r.doc_id, r.page, len(r.grid), r.box.x2) for r in found.collect()) == [(d, p, 3, 160.0) for d in (1, 2) for p in (1, 2)]
     assert "InPandas" not in plan(found)
+
+
+def test_route_filters_evaluate_patterns_once(spark, sf_dir):
+    patterns = sum(len(p) for _, _, p in routing.INTENTS.values())
+    assert plan(queries.intent_failures(spark, sf_dir)).count("RLIKE") <= patterns

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from finlattice.operators import grids, routing
+import random
+
+from pyspark.sql import functions as F
+
+from finlattice.operators import graph, grids, routing
 from finlattice.plans import queries
 
 
@@ -20,3 +24,33 @@ def test_detected_tables_gather_pages_in_rows(spark):
 def test_route_filters_evaluate_patterns_once(spark, sf_dir):
     patterns = sum(len(p) for _, _, p in routing.INTENTS.values())
     assert plan(queries.intent_failures(spark, sf_dir)).count("RLIKE") <= patterns
+
+
+def test_limited_paths_equal_the_first_of_all(spark):
+    rng = random.Random(3)
+    rows = {(rng.choice("abcdef"), "T", rng.choice("abcdef"), rng.choice("PQ"), rng.choice("xy")) for _ in range(60)}
+    edges = spark.createDataFrame(sorted(rows), "src string, src_type string, dst string, dst_type string, type string")
+    starts = edges.select(F.col("src").alias("start")).distinct()
+    for steps in ([graph.Step(("x",), 1, 2), graph.Step((), 0, 2, node_type="P")], [graph.Step(("x",)), graph.Step(("x",), against=True), graph.Step(("x", "y"), node_type="Q")]):
+        every: dict[str, list] = {}
+        for r in graph.paths(edges, starts, steps).collect():
+            every.setdefault(r.start, []).append((len(r.types), r.nodes, r.types))
+        got: dict[str, list] = {}
+        for r in graph.paths(edges, starts, steps, limit=3).collect():
+            got.setdefault(r.start, []).append((len(r.types), r.nodes, r.types))
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:3] for k, v in every.items()}
+
+
+def test_limited_paths_meet_few_last_edges(spark):
+    rows = [(f"s{n}", "S", f"n{n % 2}", "N", "IN") for n in range(200)] + [("n0", "N", "r", "R", "OF"), ("n1", "N", "r", "R", "OF")]
+    edges = spark.createDataFrame(rows, "src string, src_type string, dst string, dst_type string, type string")
+    sizes: list[int] = []
+
+    def kept(df):
+        sizes.append(df.count())
+        return df
+
+    starts = edges.where("type = 'IN'").select(F.col("src").alias("start"))
+    found = graph.paths(edges, starts, [graph.Step(("IN",)), graph.Step(("OF",)), graph.Step(("OF",), against=True), graph.Step(("IN",), against=True)], limit=3, kept=kept)
+    assert found.count() == 600 and max(sizes) == 200
+    assert "dense_rank" in plan(found)

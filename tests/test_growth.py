@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from finlattice.operators import graph, grids, routing
+from finlattice.operators import graph, grids, metrics, routing
 from finlattice.plans import queries
 
 
@@ -26,6 +26,12 @@ def test_route_filters_evaluate_patterns_once(spark, sf_dir):
     assert plan(queries.intent_failures(spark, sf_dir)).count("RLIKE") <= patterns
 
 
+def test_distribution_counts_before_it_filters(spark, sf_dir):
+    assert plan(queries.method_distribution(spark, sf_dir)).count("numerical_near_match") == 1
+    rows = spark.createDataFrame([("a",), ("a",), (None,), ("b",)], "method string")
+    assert sorted(map(tuple, metrics.distribution(rows, "method").collect())) == [("a", 2), ("b", 1)]
+
+
 def test_limited_paths_equal_the_first_of_all(spark):
     rng = random.Random(3)
     rows = {(rng.choice("abcdef"), "T", rng.choice("abcdef"), rng.choice("PQ"), rng.choice("xy")) for _ in range(60)}

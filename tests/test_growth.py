@@ -8,7 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from finlattice.operators import graph, grids, metrics, retrieval, routing
+from finlattice.operators import claims, graph, grids, metrics, retrieval, routing
 from finlattice.operators.text_index import TextIndex
 from finlattice.plans import queries
 
@@ -107,3 +107,11 @@ def test_text_index_keeps_few_rows_a_task(spark, tmp_path):
     found = TextIndex._scored(bounds.select("question_id", "part"), asked, blocks, 2)
     assert 4 <= found.count() <= 4 * found.rdd.getNumPartitions()
     assert plan(found).count("Generate") == 0
+
+
+def test_semantic_claims_search_within_their_key(spark):
+    told = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 0.0]), (2, 0, [0.0, 1.0]), (3, 0, [1.0, 1.0])], "answer_id int, claim_pos int, embedding array<double>")
+    shown = spark.createDataFrame([(1, [2.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, -1.0]), (2, [float("nan"), 1.0])], "answer_id int, embedding array<double>")
+    found = claims.verify_semantic(told, shown)
+    assert sorted((r.answer_id, r.claim_pos, r.similarity, r.verified) for r in found.collect()) == [(1, 0, 1.0, True), (1, 1, 0.0, False), (2, 0, 0.0, False), (3, 0, 0.0, False)]
+    assert "zip_with" not in plan(found)

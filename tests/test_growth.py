@@ -8,6 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from finlattice.functions import text as T
 from finlattice.operators import claims, graph, grids, metrics, retrieval, routing
 from finlattice.operators.text_index import TextIndex
 from finlattice.plans import queries
@@ -115,3 +116,11 @@ def test_semantic_claims_search_within_their_key(spark):
     found = claims.verify_semantic(told, shown)
     assert sorted((r.answer_id, r.claim_pos, r.similarity, r.verified) for r in found.collect()) == [(1, 0, 1.0, True), (1, 1, 0.0, False), (2, 0, 0.0, False), (3, 0, 0.0, False)]
     assert "zip_with" not in plan(found)
+
+
+def test_claims_look_for_what_their_type_needs(spark, sf_dir):
+    text = plan(queries.verified_answers(spark, sf_dir))
+    assert text.count("regexp_extract(") < 100 and text.count("upper(") == 0 and text.count("\\s+$") == 0
+    numbers = ["$1,250.5K", "2m", "3 B", "7", "none"]
+    rows = spark.createDataFrame([(x,) for x in numbers], "text string").select(T.primary_number(F.col("text")).alias("n"))
+    assert [r.n for r in rows.collect()] == [1250500.0, 2e6, 3e9, 7.0, None]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from finlattice.functions import text as T
 from finlattice.operators import claims, graph, grids, metrics, retrieval, routing
 from finlattice.operators.text_index import TextIndex
-from finlattice.plans import queries
+from finlattice.plans import pipeline, queries
 
 
 def plan(df) -> str:
@@ -124,3 +124,27 @@ def test_claims_look_for_what_their_type_needs(spark, sf_dir):
     numbers = ["$1,250.5K", "2m", "3 B", "7", "none"]
     rows = spark.createDataFrame([(x,) for x in numbers], "text string").select(T.primary_number(F.col("text")).alias("n"))
     assert [r.n for r in rows.collect()] == [1250500.0, 2e6, 3e9, 7.0, None]
+
+
+def test_routing_looks_for_fixed_parts_first(spark):
+    every = [p for _, _, patterns in routing.INTENTS.values() for p in patterns]
+    assert [routing.fixed(p) for p in (r"\$[0-9.]+", "suppliers?", "EPS", "year-over-year", "a|b")] == ["$", "supplier", "eps", "year-over-year", ""]
+    asked = ["US$5 and $7.5 EPS", "SUPPLIERS, Partner and partnership", "supplierss revenues", "Year-over-Year yoy", None, ""]
+    rows = spark.createDataFrame(list(enumerate(asked)), "question_id long, text string")
+    found = routing.classify(rows)
+    assert plan(found).count("Contains(") >= len(every)
+    want = rows.select("question_id", *[F.regexp_like("text", F.lit(rf"(?i)\b{p}\b")).alias(f"p{n}") for n, p in enumerate(every)])
+    told = {r.question_id: {routing.display(p) for n, p in enumerate(every) if r[f"p{n}"]} for r in want.collect()}
+    for r in found.collect():
+        assert set(r.keywords_matched) <= told[r.question_id] and bool(r.keywords_matched) == bool(told[r.question_id])
+
+
+def test_answers_meet_contexts_once(spark):
+    asked = spark.createDataFrame([(n, "revenue") for n in range(5)], "question_id long, text string")
+    drafts = spark.createDataFrame([(0, "The firm is pleasant."), (1, "Short."), (2, "The firm is pleasant."), (None, "The firm is pleasant.")], "answer_id long, text string")
+    shown = spark.createDataFrame([(0, 0, "the firm is pleasant."), (1, 0, "x"), (3, 0, "x"), (None, 0, "x")], "answer_id long, ctx_pos int, text string")
+    found = pipeline.answer(asked, drafts, shown)
+    got = {r.question_id: (r.answer, r.confidence, r.n_claims, r.n_verified) for r in found.collect()}
+    refused = (claims.REFUSAL, 0.0, 0, 0)
+    assert got == {0: ("The firm is pleasant.", 0.8, 1, 1), 1: refused, 2: (pipeline.NO_CONTEXT, 0.0, 0, 0), 3: refused, 4: (pipeline.NO_CONTEXT, 0.0, 0, 0)}
+    assert plan(found).count("Join") == 2

@@ -148,3 +148,14 @@ def test_answers_meet_contexts_once(spark):
     refused = (claims.REFUSAL, 0.0, 0, 0)
     assert got == {0: ("The firm is pleasant.", 0.8, 1, 1), 1: refused, 2: (pipeline.NO_CONTEXT, 0.0, 0, 0), 3: refused, 4: (pipeline.NO_CONTEXT, 0.0, 0, 0)}
     assert plan(found).count("Join") == 2
+
+
+def test_told_answers_join_before_claims(spark):
+    answers = spark.createDataFrame([(1, "The firm is pleasant. The firm was small."), (2, "The firm is pleasant."), (3, "Short."), (None, "The firm is pleasant.")], "answer_id long, text string")
+    shown = spark.createDataFrame([(1, 1, "the firm was small."), (1, 0, "the firm is pleasant."), (2, 0, None)], "answer_id long, ctx_pos int, text string")
+    told = spark.createDataFrame([(1, "Confidence: 0.9"), (1, None), (1, "Confidence: 0.9"), (2, "Confidence: 1"), (None, "x")], "answer_id long, response string")
+    found = claims.answer_told(answers, shown, told)
+    want = claims.regenerate_told(claims.verify_answers(answers, shown), told)
+    assert found.columns == want.columns and sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.count() == 5
+    above = plan(found).split("Generate")[0]
+    assert "Join" not in above

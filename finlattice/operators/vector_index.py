@@ -24,6 +24,8 @@ from .retrieval import POINTS, ROUND_BYTES, _top, dense_top_k
 
 #: Sample rows of a cell, most cells, codes of a part, rounds of fitting.
 SAMPLE, MOST_CELLS, CODES, ROUNDS = 64, 4096, 256, 12
+#: Questions of a row that meets a cell's points, rows of probes made at once, and points that a task keeps over all questions of a round.
+ASKED, PROBED, KEPT = 256, 1 << 15, 1 << 19
 
 
 def _units(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,15 +98,17 @@ class Codebook:
 class _Pool:
     """The k best points of each question over all cells that a task sees; cut back whenever it has grown by ROOM rows."""
 
-    ROOM = 2_000_000
+    ROOM = 1 << 19
 
     def __init__(self, k: int):
         self.k, self.rows = k, 0
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, names: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
-        self.parts.append((np.repeat(names, len(ids)), np.tile(ids, len(names)), scores.reshape(-1)))
-        self.rows += scores.size
+        least = np.partition(scores, -self.k, axis=1)[:, -self.k] if scores.shape[1] > self.k else np.full(len(names), -np.inf)
+        row, column = np.nonzero(scores >= least[:, None])
+        self.parts.append((names[row], ids[column], scores[row, column]))
+        self.rows += len(row)
         if self.rows > self.ROOM:
             self.parts, self.rows = [self.best()], 0
 
@@ -193,21 +197,23 @@ class VectorIndex:
                     continue
                 n = min(probes, len(shared.value.centres))
                 half = (shared.value.centres**2).sum(axis=1) / 2
-                near = np.argsort(half[None, :] - unit @ shared.value.centres.T, axis=1)[:, :n]
-                row = np.repeat(np.arange(len(at)), n)
-                ids = batch.column("question_id").to_numpy()[at][row]
-                vectors = pa.array([v.tobytes() for v in unit]).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near.reshape(-1).astype(np.int32)), vectors], ["question_id", "cell", "unit"])
+                names, few = batch.column("question_id").to_numpy()[at], max(1, PROBED // n)
+                for a in range(0, len(at), few):
+                    part = unit[a : a + few]
+                    near = np.argsort(half[None, :] - part @ shared.value.centres.T, axis=1)[:, :n]
+                    row = np.repeat(np.arange(len(part)), n)
+                    vectors = pa.array([v.tobytes() for v in part]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([pa.array(names[a : a + few][row]), pa.array(near.reshape(-1).astype(np.int32)), vectors], ["question_id", "cell", "unit"])
 
         asked = questions.select(F.col("question_id").cast("long").alias("question_id"), F.col("embedding").cast("array<double>").alias("vector"))
-        probed = asked.where("question_id is not null").mapInArrow(probe, "question_id long, cell int, unit binary")
-        cells = sorted(r[0] for r in probed.select("cell").distinct().collect())  # MOST_CELLS at most
+        probing = lambda rows: rows.where("question_id is not null").mapInArrow(probe, "question_id long, cell int, unit binary")
+        cells = sorted(r[0] for r in probing(asked).select("cell").distinct().collect())  # MOST_CELLS at most
         points = self.spark.read.parquet(f"{self.path}/points").where(F.col("cell").isin(cells))
         few = points.select("point_id", "cell", "code").coalesce(2 * self.spark.sparkContext.defaultParallelism)  # a task keeps its best of each question, however much it reads
         codes = _by_cell(few, "point_id", "code")
-        packed = _by_cell(probed.repartition("cell"), "question_id", "unit").withColumnsRenamed({"ids": "q_ids", "code": "q_unit"})
-        small = questions.count() * probes * dim * 8 <= ROUND_BYTES
-        both = codes.join(F.broadcast(packed) if small else packed, "cell")
+        total = questions.count()
+        rounds = max(1, -(-total * wanted // KEPT))  # a task keeps at most `wanted` points of each question of a round
+        small = total * probes * dim * 8 <= ROUND_BYTES * rounds
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pool = _Pool(wanted)
@@ -220,21 +226,27 @@ class VectorIndex:
             if len(ids):
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids), pa.array(scores)], ["question_id", "point_id", "score"])
 
-        near = _top(both.mapInArrow(run, "question_id long, point_id long, score double"), wanted, "score", ["point_id"])
+        out = None
+        for r in range(rounds):
+            mine = asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("question_id"), F.lit(rounds)) == r)
+            packed = _by_cell(probing(mine).repartition("cell"), "question_id", "unit", ASKED).withColumnsRenamed({"ids": "q_ids", "code": "q_unit"})
+            part = codes.join(F.broadcast(packed) if small else packed, "cell").mapInArrow(run, "question_id long, point_id long, score double")
+            out = part if out is None else out.unionByName(part)
+        near = _top(out, wanted, "score", ["point_id"])
         full = near.select("question_id", "point_id").join(points.select("point_id", "dense"), "point_id").join(asked, "question_id")
         return _top(full.select("question_id", "point_id", F.round(T.cosine(F.col("vector"), F.col("dense")), 9).alias("score")), k, "score", ["point_id"])
 
 
-def _by_cell(df: DataFrame, ids: str, value: str) -> DataFrame:
-    """cell, ids, code: rows of a cell that stand in one batch, POINTS at most, end to end."""
+def _by_cell(df: DataFrame, ids: str, value: str, most: int = POINTS) -> DataFrame:
+    """cell, ids, code: rows of a cell that stand in one batch, `most` at most, end to end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell = batch.column("cell").to_numpy()
             for c in np.unique(cell).tolist():
                 mine = np.flatnonzero(cell == c)
-                for at in range(0, len(mine), POINTS):
-                    part = batch.take(pa.array(mine[at : at + POINTS]))
+                for at in range(0, len(mine), most):
+                    part = batch.take(pa.array(mine[at : at + most]))
                     yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part.column(ids).to_numpy().tobytes()]), pa.array([b"".join(part.column(value).to_pylist())])], ["cell", "ids", "code"])
 
     return df.select(ids, "cell", value).mapInArrow(run, "cell int, ids binary, code binary")

@@ -6,10 +6,11 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from finlattice.functions import text as T
-from finlattice.operators import claims, graph, grids, metrics, retrieval, routing
+from finlattice.operators import claims, graph, grids, metrics, retrieval, routing, vector_index
 from finlattice.operators.text_index import TextIndex
 from finlattice.plans import pipeline, queries
 
@@ -159,3 +160,23 @@ def test_told_answers_join_before_claims(spark):
     assert found.columns == want.columns and sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.count() == 5
     above = plan(found).split("Generate")[0]
     assert "Join" not in above
+
+
+def test_vector_index_keeps_few_rows_a_task(spark, tmp_path, monkeypatch):
+    pool = vector_index._Pool(5)
+    scores = np.random.default_rng(1).random((10, 100)).round(1)
+    pool.add(np.arange(10), np.arange(100), scores)
+    assert pool.rows == sum((x >= np.sort(x)[-5]).sum() for x in scores)
+    names, ids, _ = pool.best()
+    assert [ids[names == n].tolist() for n in range(10)] == [np.lexsort((np.arange(100), -x))[:5].tolist() for x in scores]
+    vectors = np.random.default_rng(2).normal(size=(300, 4)).tolist()
+    rows = spark.createDataFrame(list(enumerate(vectors)), "point_id long, dense array<double>")
+    index = vector_index.VectorIndex(spark, str(tmp_path / "index"))
+    index.build(rows, 4, cells=6, parts=2)
+    asked = rows.where("point_id < 40").select(F.col("point_id").alias("question_id"), F.col("dense").alias("embedding"))
+    whole = sorted(map(tuple, index.search(asked, 3, probes=4, shortlist=5).collect()))
+    for name, value in (("KEPT", 200), ("PROBED", 8), ("ASKED", 3)):
+        monkeypatch.setattr(vector_index, name, value)
+    found = index.search(asked, 3, probes=4, shortlist=5)
+    assert sorted(map(tuple, found.collect())) == whole and len(whole) == 120
+    assert plan(found).count("MapInArrow") > 3 * 3  # three rounds

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from finlattice.functions import text as T
 from finlattice.operators import claims, graph, grids, metrics, retrieval, routing, vector_index
 from finlattice.operators.text_index import TextIndex
-from finlattice.plans import pipeline, queries
+from finlattice.plans import pipeline, queries, views
 
 
 def plan(df) -> str:
@@ -180,3 +180,30 @@ def test_vector_index_keeps_few_rows_a_task(spark, tmp_path, monkeypatch):
     found = index.search(asked, 3, probes=4, shortlist=5)
     assert sorted(map(tuple, found.collect())) == whole and len(whole) == 120
     assert plan(found).count("MapInArrow") > 3 * 3  # three rounds
+
+
+def test_edges_are_told_apart_in_small_ranges(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(graph, "APART", 500, raising=False)
+    edges = views.view(spark, sf_dir, "graph_edges").where("type = 'SUPPLIES'")
+    pairs = views.view(spark, sf_dir, "lineitem").select(F.format_string("supplier %d", "l_suppkey").alias("src"), F.format_string("part %d", "l_partkey").alias("dst"))
+    assert sorted(map(tuple, edges.select("src", "dst").collect())) == sorted(map(tuple, pairs.distinct().collect()))
+    sizes = [r["count"] for r in edges.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) >= pairs.count() // 500 and max(sizes) < 1000
+    rows = [(1, n % 300) for n in range(3000)] + [(None, 5), (None, 5), (2, None), (2, None)]  # a node of many edges, told ten times
+    told = graph.told_apart(spark.createDataFrame(rows, "a int, b int"))
+    assert sorted(map(str, map(tuple, told.collect()))) == sorted(map(str, set(rows))) and told.count() == 302
+    assert told.groupBy(F.spark_partition_id()).count().count() > 4
+
+
+def test_neighbours_are_counted_before_they_meet_the_starts(spark):
+    rows = [("a", "x", "n1"), ("a", "x", "n9"), ("a", "x", "n10"), ("a", "y", None), ("a", None, "n2"), ("b", "x", "n1"), ("b", "x", "n1"), (None, "x", "n3"), ("c", "x", "n4")]
+    edges = spark.createDataFrame(rows, "src string, type string, dst string")
+    starts = spark.createDataFrame([("a",), ("b",), ("b",), ("none",), (None,)], "start string")
+    found = graph.neighbour_counts(edges, starts)
+    want = graph.neighbours(edges, starts).groupBy("start", "type").agg(F.count(F.lit(1)).alias("n"), F.max("node").alias("last_node"))
+    assert found.dtypes == want.dtypes and sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.count() == 4
+    assert plan(found).lstrip().startswith(("Project", "Join"))
+
+
+def test_graph_neighbours_meet_starts_last(spark, sf_dir):
+    assert "Join" in plan(queries.graph_neighbours(spark, sf_dir)).split("Aggregate")[0]

@@ -2,7 +2,8 @@
 
 The table has a partition for each cell, with a row for every point: its id, the codes of its residual and its vector. A
 search finds the nearest cells of each question, reads the codes of those cells alone, keeps the best `shortlist` points of
-each question by code, and ranks them by exact cosine. The centres are fitted on a bounded sample (SAMPLE rows of each
+each question by code, and ranks them by exact cosine. Questions meet cells by number alone: their vectors go to the tasks
+once for each round of questions, not once for each probe. The centres are fitted on a bounded sample (SAMPLE rows of each
 cell, by the hash of the id); every row is indexed, and a large cell is dealt over several files.
 
 Vectors have one length; others, and those that are null, zero or hold null or what isn't finite, match nothing in the exact
@@ -20,12 +21,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import cut
-from .retrieval import POINTS, ROUND_BYTES, _top, dense_top_k
+from .retrieval import POINTS, _top, dense_top_k
 
 #: Sample rows of a cell, most cells, codes of a part, rounds of fitting.
 SAMPLE, MOST_CELLS, CODES, ROUNDS = 64, 4096, 256, 12
 #: Questions of a row that meets a cell's points, rows of probes made at once, and points that a task keeps over all questions of a round.
 ASKED, PROBED, KEPT = 256, 1 << 15, 1 << 19
+#: Bytes of question vectors that go to the tasks at once, and probes up to which a search broadcasts them.
+SENT, PAIRED = 16 << 20, 1 << 20
 
 
 def _units(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,55 +193,70 @@ class VectorIndex:
         book = self.codebook()
         dim, shared, wanted = book.centres.shape[1], self.spark.sparkContext.broadcast(book), k * shortlist
 
+        def probed(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Rows of a batch and the cells that each probes, some PROBED at once."""
+            at, unit = _units(batch.column("vector"), dim)
+            centres = shared.value.centres
+            n = min(probes, len(centres))
+            half, few = (centres**2).sum(axis=1) / 2, max(1, PROBED // n)
+            for a in range(0, len(at), few):
+                yield at[a : a + few], np.argsort(half[None, :] - unit[a : a + few] @ centres.T, axis=1)[:, :n].astype(np.int32)
+
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at, unit = _units(batch.column("vector"), dim)
-                if not len(at):
-                    continue
-                n = min(probes, len(shared.value.centres))
-                half = (shared.value.centres**2).sum(axis=1) / 2
-                names, few = batch.column("question_id").to_numpy()[at], max(1, PROBED // n)
-                for a in range(0, len(at), few):
-                    part = unit[a : a + few]
-                    near = np.argsort(half[None, :] - part @ shared.value.centres.T, axis=1)[:, :n]
-                    row = np.repeat(np.arange(len(part)), n)
-                    vectors = pa.array([v.tobytes() for v in part]).take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([pa.array(names[a : a + few][row]), pa.array(near.reshape(-1).astype(np.int32)), vectors], ["question_id", "cell", "unit"])
-
-        asked = questions.select(F.col("question_id").cast("long").alias("question_id"), F.col("embedding").cast("array<double>").alias("vector"))
-        probing = lambda rows: rows.where("question_id is not null").mapInArrow(probe, "question_id long, cell int, unit binary")
-        cells = sorted(r[0] for r in probing(asked).select("cell").distinct().collect())  # MOST_CELLS at most
-        points = self.spark.read.parquet(f"{self.path}/points").where(F.col("cell").isin(cells))
-        few = points.select("point_id", "cell", "code").coalesce(2 * self.spark.sparkContext.defaultParallelism)  # a task keeps its best of each question, however much it reads
-        codes = _by_cell(few, "point_id", "code")
-        total = questions.count()
-        rounds = max(1, -(-total * wanted // KEPT))  # a task keeps at most `wanted` points of each question of a round
-        small = total * probes * dim * 8 <= ROUND_BYTES * rounds
+                numbers = batch.column("number").to_numpy()
+                for at, near in probed(batch):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers[at], near.shape[1])), pa.array(near.reshape(-1))], ["number", "cell"])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pool = _Pool(wanted)
+        def any_probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for r in range(batch.num_rows):
-                    raw = lambda c, kind: np.frombuffer(batch.column(c)[r].as_buffer(), kind)  # noqa: E731, B023
-                    names, ids = raw("q_ids", np.int64), raw("ids", np.int64)
-                    pool.add(names, ids, shared.value.scores(raw("q_unit", float).reshape(-1, dim), batch.column("cell")[r].as_py(), raw("code", np.uint8).reshape(len(ids), -1)))
-            names, ids, scores = pool.best()
-            if len(ids):
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids), pa.array(scores)], ["question_id", "point_id", "score"])
+                for _, near in probed(batch):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(near))], ["cell"])
+
+        asked = questions.select(F.col("question_id").cast("long").alias("question_id"), F.col("embedding").cast("array<double>").alias("vector")).where(F.col("question_id").isNotNull() & (F.size("vector") == dim))
+        asked = cut(asked.withColumn("number", F.monotonically_increasing_id()))
+        cells = sorted(r[0] for r in asked.select("vector").mapInArrow(any_probe, "cell int").distinct().collect())  # MOST_CELLS at most
+        points = self.spark.read.parquet(f"{self.path}/points").where(F.col("cell").isin(cells))
+        tasks = 2 * self.spark.sparkContext.defaultParallelism
+        codes = _by_cell(points.select("point_id", "cell", "code").coalesce(tasks), "point_id", "code")  # a task keeps its best of each question, however much it reads
+        total = asked.count()
+        rounds = max(1, -(-total * wanted // KEPT), -(-total * dim * 8 // SENT))  # a task keeps at most `wanted` points of each question of a round
+        small = total * probes <= PAIRED
+
+        def scored(mine: DataFrame) -> DataFrame:
+            """question_id, point_id, score: at most `wanted` rows of each question of a round for each task."""
+            told = mine.orderBy("number").toArrow()  # bounded: SENT
+            at, unit = _units(told.column("vector").combine_chunks(), dim)
+            sent = self.spark.sparkContext.broadcast((told.column("number").to_numpy()[at], told.column("question_id").to_numpy()[at], unit))
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                pool = _Pool(wanted)
+                numbers, questions, units = sent.value
+                for batch in batches:
+                    for r in range(batch.num_rows):
+                        raw = lambda c, kind: np.frombuffer(batch.column(c)[r].as_buffer(), kind)  # noqa: E731, B023
+                        rows, ids = np.searchsorted(numbers, raw("q_ids", np.int64)), raw("ids", np.int64)
+                        pool.add(questions[rows], ids, shared.value.scores(units[rows], batch.column("cell")[r].as_py(), raw("code", np.uint8).reshape(len(ids), -1)))
+                names, ids, scores = pool.best()
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids), pa.array(scores)], ["question_id", "point_id", "score"])
+
+            pairs = _by_cell(mine.mapInArrow(probe, "number long, cell int").repartition("cell"), "number", None, ASKED).withColumnRenamed("ids", "q_ids")
+            met = codes.join(F.broadcast(pairs), "cell") if small else codes.join(pairs, "cell").coalesce(tasks)
+            return met.mapInArrow(run, "question_id long, point_id long, score double")
 
         out = None
         for r in range(rounds):
-            mine = asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("question_id"), F.lit(rounds)) == r)
-            packed = _by_cell(probing(mine).repartition("cell"), "question_id", "unit", ASKED).withColumnsRenamed({"ids": "q_ids", "code": "q_unit"})
-            part = codes.join(F.broadcast(packed) if small else packed, "cell").mapInArrow(run, "question_id long, point_id long, score double")
+            part = scored(asked if rounds == 1 else asked.where(F.pmod(F.xxhash64("number"), F.lit(rounds)) == r))
             out = part if out is None else out.unionByName(part)
         near = _top(out, wanted, "score", ["point_id"])
-        full = near.select("question_id", "point_id").join(points.select("point_id", "dense"), "point_id").join(asked, "question_id")
+        vectors = asked.select("question_id", "vector")
+        full = near.select("question_id", "point_id").join(points.select("point_id", "dense"), "point_id").join(F.broadcast(vectors) if total * dim * 8 <= SENT else vectors, "question_id")
         return _top(full.select("question_id", "point_id", F.round(T.cosine(F.col("vector"), F.col("dense")), 9).alias("score")), k, "score", ["point_id"])
 
 
-def _by_cell(df: DataFrame, ids: str, value: str, most: int = POINTS) -> DataFrame:
-    """cell, ids, code: rows of a cell that stand in one batch, `most` at most, end to end."""
+def _by_cell(df: DataFrame, ids: str, value: str | None, most: int = POINTS) -> DataFrame:
+    """cell, ids and, with a value, code: rows of a cell that stand in one batch, `most` at most, end to end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,9 +265,12 @@ def _by_cell(df: DataFrame, ids: str, value: str, most: int = POINTS) -> DataFra
                 mine = np.flatnonzero(cell == c)
                 for at in range(0, len(mine), most):
                     part = batch.take(pa.array(mine[at : at + most]))
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part.column(ids).to_numpy().tobytes()]), pa.array([b"".join(part.column(value).to_pylist())])], ["cell", "ids", "code"])
+                    told = {"cell": pa.array([c], pa.int32()), "ids": pa.array([part.column(ids).to_numpy().tobytes()])}
+                    if value:
+                        told["code"] = pa.array([b"".join(part.column(value).to_pylist())])
+                    yield pa.RecordBatch.from_pydict(told)
 
-    return df.select(ids, "cell", value).mapInArrow(run, "cell int, ids binary, code binary")
+    return df.select(ids, "cell", *([value] if value else [])).mapInArrow(run, "cell int, ids binary" + (", code binary" if value else ""))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

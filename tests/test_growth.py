@@ -182,6 +182,26 @@ def test_vector_index_keeps_few_rows_a_task(spark, tmp_path, monkeypatch):
     assert plan(found).count("MapInArrow") > 3 * 3  # three rounds
 
 
+def test_vector_index_broadcasts_no_vector_for_each_probe(spark, tmp_path, monkeypatch):
+    vectors = np.random.default_rng(3).normal(size=(300, 4)).tolist()
+    rows = spark.createDataFrame(list(enumerate(vectors)), "point_id long, dense array<double>")
+    index = vector_index.VectorIndex(spark, str(tmp_path / "index"))
+    index.build(rows, 4, cells=6, parts=2)
+    odd = [(0, vectors[0]), (0, vectors[0]), (7, None), (8, [1.0] * 3), (9, [float("nan")] * 4), (None, [1.0] * 4)]
+    asked = spark.createDataFrame(odd + [(n, vectors[n]) for n in range(20, 60)], "question_id long, embedding array<double>")
+    search = lambda: index.search(asked, 3, probes=4, shortlist=5)
+    found = search()
+    whole = sorted(map(tuple, found.collect()))
+    assert {r[0] for r in whole} == {0, *range(20, 60)} and len(whole) == 123
+    assert "unit" not in plan(found) and "strategy=broadcast" in plan(found)
+    for name, value in (("SENT", 600), ("PAIRED", 0)):
+        monkeypatch.setattr(vector_index, name, value, raising=False)
+    found = search()
+    assert sorted(map(tuple, found.collect())) == whole
+    assert "strategy=broadcast" not in plan(found) and plan(found).count("Union") == 1 and plan(found).count("MapInArrow") >= 3 * 3
+    assert not search().where("question_id in (7, 8, 9) or question_id is null").count()
+
+
 def test_edges_are_told_apart_in_small_ranges(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(graph, "APART", 500, raising=False)
     edges = views.view(spark, sf_dir, "graph_edges").where("type = 'SUPPLIES'")
